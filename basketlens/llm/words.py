@@ -7,6 +7,7 @@ a word unless its caller asks for the bytes.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -141,3 +142,59 @@ def grams(hashes: np.ndarray, size: int) -> np.ndarray:
         own *= np.uint64(0x2545F4914F6CDD1D)
         own += hashes[j : n + j]
     return mix(own)
+
+
+def earliest(known: dict, n: int) -> dict:
+    """The first ``n`` entries; frequent words are met first, so that these are the ones worth keeping."""
+    return dict(itertools.islice(known.items(), n))
+
+
+_held: dict[str, object] = {}
+
+
+def held(key: str, make):
+    """What a worker keeps from task to task; only the newest is kept."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+class Remembered:
+    """Values of distinct words, computed once for each word while a task goes over its texts.
+
+    ``compute`` gets a list of new words (bytes) and returns an array with a row
+    for each.  Beyond ``limit`` words the later half is forgotten, which costs time
+    but changes no result.
+    """
+
+    def __init__(self, compute, limit: int = 400_000):
+        self.compute, self.limit = compute, limit
+        self.index: dict[bytes, int] = {}
+        self.rows: np.ndarray | None = None
+
+    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Values of all words of the texts in order, and how many words each text has."""
+        split = [x.encode().split() if x else [] for x in texts]
+        words = set().union(*split)
+        fresh = [w for w in words if w not in self.index]
+        if len(self.index) + len(fresh) > self.limit and self.rows is not None:
+            self.index = earliest(self.index, self.limit // 2)
+            self.rows = self.rows[: len(self.index)]
+            fresh = [w for w in words if w not in self.index]
+        if fresh or self.rows is None:
+            new = self.compute(fresh)
+            self.index.update(zip(fresh, range(len(self.index), len(self.index) + len(fresh)), strict=True))
+            self.rows = new if self.rows is None else np.concatenate([self.rows, new])
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        at = np.fromiter((i for words in split for i in map(self.index.__getitem__, words)), np.int64, int(counts.sum()))
+        return self.rows[at], counts
+
+
+def per_row(values: np.ndarray, counts: np.ndarray, of=np.add) -> np.ndarray:
+    """Reduce consecutive values to one for each row; rows without values get 0."""
+    out = np.zeros((len(counts), *values.shape[1:]), dtype=values.dtype if of is not np.add else np.result_type(values.dtype, np.int64))
+    full = np.flatnonzero(counts)
+    if len(full):
+        out[full] = of.reduceat(values, (np.cumsum(counts) - counts)[full], axis=0)
+    return out
