@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from basketlens.llm import packing
+from basketlens.llm import jaccard, language, packing, pieces, quality, secrets, toxicity, urls
 
 
 def queries():
     return {
+        "op1_toxicity": toxicity.query,
+        "op2_sentencepiece": pieces.query,
+        "op4_ngram_jaccard": jaccard.query,
+        "op5_url_filters": urls.query,
+        "op6_secret_scan": secrets.query,
+        "op8_quality_rules": quality.query,
+        "op9_language_id": language.query,
         "op10_best_fit_packing": packing.query,
     }
 
 
 def oracle_sql():
-    return {}
+    return {"op4_ngram_jaccard": jaccard.ORACLE}
