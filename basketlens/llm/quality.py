@@ -119,7 +119,7 @@ def votes() -> dict[str, Column]:
         "length": c("n_words") < 20,
         "repeats": 100 * c("n_repeat_words") > 30 * c("n_words"),
         "symbols": 10 * c("n_symbols") > c("n_words"),
-        "same_lines": 10 * c("n_dup_lines") > 3 * c("n_lines"),
+        "same_lines": (c("n_dup_lines") > 1) & (10 * c("n_dup_lines") > 3 * c("n_lines")),
         "shouting": 10 * c("n_upper") > 4 * c("n_letters"),
         "exclaiming": 10 * c("n_bang") > c("n_words"),
         "word_length": (c("word_chars") < 3 * c("n_words")) | (c("word_chars") > 12 * c("n_words")),

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from basketlens.llm import jaccard, language, packing, pieces, quality, secrets, toxicity, urls
+from basketlens.llm import jaccard, language, packing, pieces, quality, secrets, substrings, toxicity, urls
 
 
 def queries():
     return {
         "op1_toxicity": toxicity.query,
         "op2_sentencepiece": pieces.query,
+        "op3_substring_dedup": substrings.query,
         "op4_ngram_jaccard": jaccard.query,
         "op5_url_filters": urls.query,
         "op6_secret_scan": secrets.query,
@@ -19,4 +20,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op4_ngram_jaccard": jaccard.ORACLE}
+    return {"op3_substring_dedup": substrings.ORACLE, "op4_ngram_jaccard": jaccard.ORACLE}
