@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.llm.frames import NO_ID, cut, deal, kept, map_arrow, partitions
+from basketlens.llm.frames import NO_ID, cut, deal, map_arrow, partitions
 from basketlens.llm.words import Words, mix, slices
 
 #: Sets that a block of a home has on average at most.
@@ -42,7 +42,7 @@ BLOCK = 512
 #: Postings that a task gathers before it hands them on.
 GATHERED = 1_000_000
 #: Rounds in which sets take the home of their neighbours.
-ROUNDS = 3
+ROUNDS = 2
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -134,13 +134,13 @@ def _neighbourhoods(h: np.ndarray, scheme: int, distance: int) -> np.ndarray:
     parts = distance // 2 + 1
     of = (mix(h ^ _C) % np.uint64(parts)).astype(np.int64)
     values, out, thin = mix(h + _C), [], False
-    lane = np.uint64(scheme) * _B + np.uint64(1)
+    lane = mix(np.array([2 * scheme + 1]))[0]
     for p in range(parts):
         own = values[of == p]
         thin |= len(own) < 2
         if len(own):
             total = own.sum(dtype=np.uint64)
-            out.append(mix(np.concatenate([[total], total - own if len(own) > 1 else own[:0]]).astype(np.uint64) + np.uint64(p + 1) * _A + lane))
+            out.append(mix(np.concatenate([[total], total - own if len(own) > 1 else own[:0]]).astype(np.uint64) + mix(np.array([p + 1])) ^ lane))
     if thin:
         out.append(mix(np.array([lane], np.uint64) ^ _C))
     return np.unique(np.concatenate(out))
@@ -260,8 +260,8 @@ def shared_postings(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def homes(shared: DataFrame) -> DataFrame:
-    """``node, home``: the smallest node that a few rounds over common postings lead to."""
-    found = shared.select("node").distinct().withColumn("home", F.col("node"))
+    """``node, home``: the smallest hash of a node that a few rounds over common postings lead to."""
+    found = shared.select("node").distinct().withColumn("home", F.xxhash64("node"))
     for _ in range(ROUNDS):
         least = shared.join(found, "node").groupBy("sig").agg(F.min("home").alias("home"))
         found = shared.join(least, "sig").groupBy("node").agg(F.min("home").alias("home"))
@@ -271,14 +271,14 @@ def homes(shared: DataFrame) -> DataFrame:
 def cells(shared: DataFrame, home: DataFrame) -> DataFrame:
     """``cell, node``: blocks of homes that are to be compared with each other."""
     sizes = home.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = kept(home.join(sizes, "home").withColumn("block", F.pmod(F.hash("node"), F.col("blocks"))))
+    placed = cut(home.join(sizes, "home").withColumn("block", F.pmod(F.hash("node"), F.col("blocks"))))
     each = F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("other")
     low, high = F.least("block", "other"), F.greatest("block", "other")
     inside = placed.withColumn("others", F.col("blocks")).select("node", "home", "block", each).select(F.xxhash64("home", "home", low, high).alias("cell"), "node")
-    met = kept(shared.join(placed.select("node", "home", "blocks"), "node").select("sig", "home", "blocks").distinct())
+    met = cut(shared.join(placed.select("node", "home", "blocks"), "node").select("sig", "home", "blocks").distinct())
     several = met.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1").select("sig")
     met = met.join(several, "sig")
-    pairs = kept(
+    pairs = cut(
         met.select("sig", F.col("home").alias("a"), F.col("blocks").alias("na"))
         .join(met.select("sig", F.col("home").alias("b"), F.col("blocks").alias("nb")), "sig")
         .filter("a < b")
@@ -391,9 +391,9 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     id is the smallest ``doc_id`` that links lead to.
     """
     docs = docs.select("doc_id", "text")
-    rows = kept(sets(docs, size))
-    shared = kept(shared_postings(docs, size, percent))
-    home = kept(homes(shared))
+    rows = cut(sets(docs, size))
+    shared = cut(shared_postings(docs, size, percent))
+    home = cut(homes(shared))
     placed = cells(shared, home)
     one = F.coalesce("doc_id", F.lit(NO_ID))
     ids = rows.filter("node is not null").groupBy("node").agg(F.min(one).alias("__id"))
