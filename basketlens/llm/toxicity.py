@@ -22,10 +22,10 @@ each get their own result; other columns are ignored.
 
 from __future__ import annotations
 
-import math
 import re
 import uuid
-from collections import defaultdict
+import zlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,10 +43,14 @@ ORDER = 3
 #: Longer strings are looked at in overlapping windows of this many characters.
 SPAN = 24
 LANDMARKS = (14, 6)  # toxic and clean
+#: Share of a landmark's letters that a string must have to be compared.
+ALIKE = 0.7
 SPACED = re.compile(r"(?<!\S)(?:[^\W\d_] ){3,}[^\W\d_](?!\S)")
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 SENTENCE = re.compile(r"[.!?\n]+")
 NEVER = -9.0
+#: Slope of the calibrated probability at its threshold.
+STEEP = 20.0
 
 
 def codes(strings: list[str]) -> np.ndarray:
@@ -85,22 +89,33 @@ def _kernel(s: np.ndarray, t: np.ndarray) -> np.ndarray:
     return total
 
 
+def letters(strings: list[str]) -> np.ndarray:
+    """The letters a to z of each string, as bits."""
+    return np.array([sum(1 << (ord(c) - 97) for c in set(s) if "a" <= c <= "z") for s in strings], np.int64)
+
+
 def string_kernel(strings: list[str], landmarks: list[str]) -> np.ndarray:
-    """Normalised kernels of all strings with all landmarks."""
-    t = codes(landmarks)
+    """Normalised kernels of all strings with all landmarks.
+
+    The kernel of a string that has fewer than ``ALIKE`` of a landmark's letters is
+    0: such strings have next to no subsequences in common.
+    """
+    t, own = codes(landmarks), letters(landmarks)
     own_t = _own(t)
     out = np.zeros((len(strings), len(landmarks)), np.float32)
-    by_length = defaultdict(list)
-    for i, s in enumerate(strings):
-        by_length[len(s)].append(i)
-    for length, at in by_length.items():
-        if length < ORDER:
-            continue
-        for a in range(0, len(at), 2000):
-            part = at[a : a + 2000]
-            s = codes([strings[i] for i in part])
-            k = _kernel(s, t[None])
-            out[part] = k / np.sqrt(_own(s)[:, None] * own_t[None] + 1e-12)
+    near = np.bitwise_count(letters(strings)[:, None] & own[None]) >= ALIKE * np.bitwise_count(own)[None]
+    size = np.array([len(s) for s in strings], np.int64)
+    near &= (size >= ORDER)[:, None]
+    at, of = np.nonzero(near)
+    for length in np.unique(size[at]):
+        pick = np.flatnonzero(size[at] == length)
+        used, back = np.unique(at[pick], return_inverse=True)
+        s = codes([strings[i] for i in used])
+        norm = np.concatenate([_own(s[i : i + 1000]) for i in range(0, len(s), 1000)])
+        for i in range(0, len(pick), 4000):
+            j, part = back[i : i + 4000], pick[i : i + 4000]
+            k = _kernel(s[j], t[of[part]][:, None, :])[:, 0]
+            out[at[part], of[part]] = k / np.sqrt(norm[j] * own_t[of[part]] + 1e-12)
     return out
 
 
@@ -131,8 +146,9 @@ class Machine:
     whiten: np.ndarray
     weights: np.ndarray
     bias: float
-    slope: float = 1.0
-    shift: float = 0.0
+    threshold: float = 0.0
+    low: float = 0.0
+    high: float = 1.0
 
     def margins(self, strings: list[str]) -> np.ndarray:
         if not self.landmarks:
@@ -143,7 +159,7 @@ class Machine:
         return per_row(values.astype(np.float64), np.array([len(p) for p in parts], np.int64), np.maximum) if flat else np.zeros(0)
 
     def probability(self, margin: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -50, 50)))
+        return self.low + (self.high - self.low) / (1 + np.exp(-np.clip(STEEP * (margin - self.threshold), -50, 50)))
 
 
 def _squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 20.0) -> np.ndarray:
@@ -161,15 +177,20 @@ def _squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float
     return w
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    a, b = 1.0, 0.0
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        g, h = p - y, p * (1 - p) + 1e-4
-        m = np.array([[(h * x * x).sum() + 1e-2, (h * x).sum()], [(h * x).sum(), h.sum() + 1e-6]])
-        da, db = np.linalg.solve(m, [(g * x).sum() + 1e-2 * a, g.sum()])
-        a, b = a - np.clip(da, -2, 2), b - np.clip(db, -2, 2)
-    return float(a), float(b)
+def _calibrated(margin: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+    """Threshold and the shares of toxic texts below and above it, of greatest likelihood.
+
+    A plain logistic curve will not do: texts that are labelled toxic for what no
+    string shows keep the share below the threshold from going to 0.
+    """
+    best = (-np.inf, 0.0, y.mean(), y.mean())
+    for threshold in np.arange(-0.8, 3.0, 0.05):
+        above = 1 / (1 + np.exp(-np.clip(STEEP * (margin - threshold), -50, 50)))
+        high = (y @ above + y.mean()) / (above.sum() + 1)
+        low = (y @ (1 - above) + y.mean()) / ((1 - above).sum() + 1)
+        p = np.clip(low + (high - low) * above, 1e-6, 1 - 1e-6)
+        best = max(best, (float(y @ np.log(p) + (1 - y) @ np.log1p(-p)), float(threshold), float(low), float(high)))
+    return best[1:]
 
 
 def _gapped(strings: list[str], rng: np.random.Generator) -> list[str]:
@@ -181,16 +202,31 @@ def _gapped(strings: list[str], rng: np.random.Generator) -> list[str]:
     return out
 
 
+def _first_of_copies(texts: list[str | None]) -> list[bool]:
+    """Whether a text is the first of its near copies: few of the least hashes of its word pairs were seen before."""
+    seen: dict[int, int] = {}
+    out = []
+    for i, text in enumerate(texts):
+        words = (text or "").split()
+        sketch = sorted({zlib.crc32(f"{a} {b}".encode()) for a, b in zip(words, words[1:], strict=False)})[:10]
+        before = Counter(seen[h] for h in sketch if h in seen)
+        out.append(not before or max(before.values()) < 3)
+        for h in sketch:
+            seen.setdefault(h, i)
+    return out
+
+
 def fit(texts: list[str | None], toxic: list[int]) -> Machine:
     """A machine from labelled texts, whose sentences take the texts' labels."""
     n_toxic = sum(toxic)
     share = (n_toxic + 0.5) / (len(toxic) + 1)
-    empty = Machine([], np.zeros((0, 0)), np.zeros(0), NEVER, 0.0, math.log(share / (1 - share)))
+    empty = Machine([], np.zeros((0, 0)), np.zeros(0), NEVER, 0.0, share, share)
     if not 0 < n_toxic < len(toxic):
         return empty
     rng = np.random.default_rng(7)
-    sentences = [(s, y) for t, y in zip(texts, toxic, strict=True) for x in SENTENCE.split(t or "") if (s := strings_of(x))]
-    # in how many different surroundings a string stands: copies of a text count once
+    single = _first_of_copies(texts)
+    sentences = [(s, y) for t, y, one in zip(texts, toxic, single, strict=True) if one for x in SENTENCE.split(t or "") if (s := strings_of(x))]
+    # in how many different surroundings a string stands
     around: tuple[dict[str, set], dict[str, set]] = (defaultdict(set), defaultdict(set))
     for s, y in sentences:
         for a, word, b in zip(["", *s], s, [*s[1:], ""], strict=False):
@@ -198,32 +234,38 @@ def fit(texts: list[str | None], toxic: list[int]) -> Machine:
     least = max(3, n_toxic // 50)
     lift = {w: len(c) * (1 - share) / share / (len(around[0].get(w, ())) + 1) for w, c in around[1].items() if len(c) >= least}
     insults = sorted((w for w, v in lift.items() if v >= 12), key=lambda w: (-len(around[1][w]), w))
+    if insults:  # words that copies of one text share stand far behind
+        usual = np.median([len(around[1][w]) for w in insults[:7]])
+        insults = [w for w in insults if len(around[1][w]) >= usual / 4]
     if not insults:
         return empty
     common = sorted((w for w in around[0] if w not in lift or lift[w] < 3), key=lambda w: (-len(around[0][w]), w))
     landmarks = insults[: LANDMARKS[0]] + [w for w in common if len(w) >= 5][: LANDMARKS[1]]
     gram = string_kernel(landmarks, landmarks).astype(np.float64)
     values, vectors = np.linalg.eigh(gram + 1e-6 * np.eye(len(landmarks)))
-    whiten = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
+    whiten = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 0.02))) @ vectors.T
     machine = Machine(landmarks, whiten, np.zeros(len(landmarks)), 0.0)
     clean = list(rng.permutation(sorted(around[0])))[:20_000]
     hinted = set(insults)
     witnesses = [w for s, y in sentences if y for w in s if w in hinted]
     negatives = clean[:2000] + common[:1000]
-    for _ in range(3):
-        good = list(dict.fromkeys(witnesses))[:500]
+    for _ in range(6):
+        count = Counter(witnesses).most_common(500)
+        good = [w for w, _ in count]
+        often = np.array([n for _, n in count], np.float64)
         good += _gapped(good, rng)
+        often = np.concatenate([often, np.repeat(often, 2) / 2])
         bad = negatives + _gapped([w for w in negatives[:300] if len(w) >= ORDER], rng)
         x = np.concatenate([string_kernel([w[:SPAN] for w in good + bad], landmarks) @ whiten, np.ones((len(good) + len(bad), 1))], axis=1)
         y = np.r_[np.ones(len(good)), -np.ones(len(bad))]
-        w = _squared_hinge(x, y, np.where(y > 0, len(bad) / len(good), 1.0))
+        w = _squared_hinge(x, y, np.concatenate([often * len(bad) / often.sum() / 4, np.ones(len(bad))]))
         machine.weights, machine.bias = w[:-1], float(w[-1])
         margins = machine.margins(clean)
-        negatives = [clean[i] for i in np.argsort(-margins)[:1500]] + clean[:1500]
+        negatives = list(dict.fromkeys(negatives + [clean[i] for i in np.argsort(-margins)[:500]]))
         of = dict(zip(all_ := sorted({w for s, y in sentences if y for w in s if w in lift}), machine.margins(all_), strict=True))
         witnesses = insults + [top for s, y in sentences if y and (own := [w for w in s if w in of]) and of[top := max(own, key=of.__getitem__)] > 0]
     most = _most(machine, texts)
-    machine.slope, machine.shift = _logistic(most, np.array(toxic, float))
+    machine.threshold, machine.low, machine.high = _calibrated(most, np.array(toxic, float))
     return machine
 
 

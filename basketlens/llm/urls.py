@@ -71,24 +71,16 @@ def segments(path: Column) -> Column:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """Pages with ``host`` and ``path`` get their ``template``, level by level of their host's tree."""
-    rows = pages.withColumns({"__left": segments(F.col("path")), "template": F.lit("")})
-    for depth in range(1, DEPTH + 1):
-        child = F.try_element_at("__left", F.lit(depth))
-        rows = rows.withColumn("__child", child)
-        each = rows.filter("__child is not null").groupBy("host", "template", "__child").agg(F.count("*").alias("n"))
-        open_ = (
-            each.groupBy("host", "template")
-            .agg(F.count("*").alias("kinds"), F.sum("n").alias("n"))
-            .filter(f"kinds >= {CHILDREN} and n <= {PAGES_EACH} * kinds")
-            .select(F.col("host").alias("__host"), F.col("template").alias("__node"), F.lit(True).alias("__open"))
-        )
-        rows = rows.join(open_, (F.col("host") == F.col("__host")) & (F.col("template") == F.col("__node")), "left")
-        step = F.when(F.col("__open"), "*").otherwise(F.col("__child"))
-        rows = rows.withColumn("template", F.when(F.col("__child").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), step)))
-        rows = rows.drop("__host", "__node", "__open", "__child")
-    deeper = F.size("__left") > DEPTH
-    return rows.withColumn("template", F.when(deeper, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))).drop("__left")
+    """Pages with ``host`` and ``path`` get their ``template`` in their host's tree."""
+    rows = pages.withColumn("__segments", segments(F.col("path"))).withColumn("__raw", F.array_join("__segments", "/"))
+    paths = rows.groupBy("host", "__raw", "__segments").agg(F.count("*").alias("n")).select("host", "__raw", "__segments", "n", F.posexplode("__segments").alias("at", "child"))
+    paths = paths.withColumn("node", F.array_join(F.slice("__segments", 1, F.col("at")), "/"))
+    children = paths.groupBy("host", "node", "at", "child").agg(F.sum("n").alias("n"))
+    open_ = children.groupBy("host", "node", "at").agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).filter(f"kinds >= {CHILDREN} and n <= {PAGES_EACH} * kinds")
+    steps = paths.join(open_.select("host", "node", "at", F.lit("*").alias("open")), ["host", "node", "at"], "left")
+    steps = steps.groupBy("host", "__raw").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("open", "child").alias("step")))).alias("steps"))  # at most DEPTH + 1
+    named = steps.select("host", "__raw", F.concat(F.lit("/"), F.array_join("steps.step", "/")).alias("template"))
+    return rows.join(named, ["host", "__raw"], "left").withColumn("template", F.coalesce("template", F.lit(""))).drop("__segments", "__raw")
 
 
 def template_shares(labelled: DataFrame) -> DataFrame:
