@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from basketlens.llm import jaccard, language, packing, pieces, quality, secrets, substrings, toxicity, urls
+from basketlens.llm import jaccard, language, neighbours, packing, pieces, quality, secrets, substrings, toxicity, urls
 
 
 def queries():
@@ -13,6 +13,7 @@ def queries():
         "op4_ngram_jaccard": jaccard.query,
         "op5_url_filters": urls.query,
         "op6_secret_scan": secrets.query,
+        "op7_nearest_neighbours": neighbours.query,
         "op8_quality_rules": quality.query,
         "op9_language_id": language.query,
         "op10_best_fit_packing": packing.query,
