@@ -405,6 +405,22 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     return rooted.join(least, F.col("root") == F.col("__root"), "left").select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` without those of a component whose smallest ``doc_id`` is another one.
+
+    Of repeated rows of one id and text one stays.  Rows without an id cannot be told
+    apart and all stay, as do those with an empty set.
+    """
+    found = cut(jaccard_components(docs, size, percent).filter("doc_id is not null"))
+    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    repeated = found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    if repeated.isEmpty():
+        return left
+    twice = left.join(repeated, "doc_id", "left_semi").withColumn("__hash", F.xxhash64("text")).dropDuplicates(["doc_id", "__hash"])
+    return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(twice.select(*docs.columns))
+
+
 def query(spark, folder):
     """``op4``: components of all documents under 4-word shingles and a similarity of 0.85."""
     return jaccard_components(spark.read.parquet(f"{folder}/documents.parquet"), 4, 85)

@@ -94,11 +94,11 @@ def measure(column: pa.Array) -> dict[str, np.ndarray]:
     return out
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """Every row of ``docs`` with its counts and without its text."""
-    names = [c for c in docs.columns if c != "text" and c not in COUNTS]
+def measured(docs: DataFrame, texts: bool = False) -> DataFrame:
+    """Every row of ``docs`` with its counts, and with its text if asked for."""
+    names = [c for c in docs.columns if (texts or c != "text") and c not in COUNTS]
     fields = [f"`{c}` {kind}" for c, kind in docs.dtypes if c in names]
-    docs = docs.select(*names, "text")
+    docs = docs.select(*dict.fromkeys([*names, "text"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for batch in batches for part in slices(batch, "text")):
@@ -158,14 +158,18 @@ def posteriors(patterns: np.ndarray, accuracy: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """Every row of ``docs`` without its text, with counts, ``base_failed``, ``quality`` (posterior) and ``kept``.
+def judge(docs: DataFrame, texts: bool = False) -> DataFrame:
+    """Every row of ``docs`` with counts, ``base_failed``, ``quality`` (posterior) and ``kept``; with its text if asked for.
 
     ``kept`` is false for texts that fail the base rules, else the model's verdict.
     """
-    rules = votes()
-    rows = kept(measured(docs).withColumns({"base_failed": base_failed(), "__votes": F.concat_ws(",", *(v.cast("string") for v in rules.values()))}))
-    counted = {tuple(map(int, r[0].split(","))): r[1] for r in rows.groupBy("__votes").agg(F.count("*")).collect()}
+    pattern = F.concat_ws(",", *(v.cast("string") for v in votes().values()))
+    rows = measured(docs, texts).withColumns({"base_failed": base_failed(), "__votes": pattern})
+    if texts:  # rather measured twice than held
+        counts = measured(docs.select("text")).withColumn("__votes", pattern)
+    else:
+        counts = rows = kept(rows)
+    counted = {tuple(map(int, r[0].split(","))): r[1] for r in counts.groupBy("__votes").agg(F.count("*")).collect()}
     if not counted:
         return rows.drop("__votes").withColumns({"quality": F.lit(0.0), "kept": F.lit(False)})
     good = posteriors(np.array(list(counted), dtype=np.float64), fit(counted))
@@ -174,6 +178,11 @@ def judge(docs: DataFrame) -> DataFrame:
     return judged.drop("__votes", "__of").withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5))
 
 
+def good_documents(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept, with their own columns only."""
+    return judge(docs, texts=True).filter("kept").select(*docs.columns)
+
+
 def query(spark, folder):
     """``op8``: counts and verdict of every document."""
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")

@@ -11,7 +11,7 @@ a word) reaches ``length``, the maximal spans are removed.
 *Against the corpus itself* (:func:`dedup`) the reference grows with the input, so
 that its automata are not broadcast but meet the documents where both can match:
 
-1. The minimum of the hashed five-word runs of a window (its anchor) is the same
+1. The minimum of the hashed four-word runs of a window (its anchor) is the same
    wherever the window occurs.  Anchors that occur in one document only are
    dropped: no window of theirs repeats.
 2. Runs of windows with one anchor are segments.  Equal segments of a task's
@@ -43,10 +43,10 @@ from pyspark.sql import functions as F
 from basketlens.llm.frames import NO_ID, deal, kept, map_arrow, partitions
 from basketlens.llm.words import Words, grams, mix, slices
 
-ANCHOR_WORDS = 5
+ANCHOR_WORDS = 4
 #: Anchors or segments that a task gathers before it hands them on.
 GATHERED = 1_500_000
-SEGMENTS = 150_000
+SEGMENTS = 250_000
 #: An anchor is hot if it is in one of so many documents, and in more than the least number.
 HOT_SHARE, HOT_LEAST = 1000, 2000
 #: Words of a broadcast reference, and of one of its shards.
@@ -324,7 +324,7 @@ def segments(docs: DataFrame, length: int, hot: frozenset[int]) -> DataFrame:
                 yield out()
         yield out()
 
-    return map_arrow(docs.select("id", "hash", "text", "anchors"), run, FOUND)
+    return map_arrow(docs, run, FOUND)  # all columns, so that the shuffle of texts is that of the last join
 
 
 def matched(found: DataFrame, length: int) -> DataFrame:
