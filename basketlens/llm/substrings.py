@@ -143,10 +143,10 @@ class _Gathered:
         self.n += len(anchors)
         return self.n >= GATHERED
 
-    def flush(self) -> tuple[list[tuple[int, bytes]], list[tuple[int, int, bytes]]]:
-        """Entries by bucket, and the anchors of each document that several documents of the task have."""
+    def flush(self) -> list[tuple[int, bool, bytes]]:
+        """Bucket, whether it is of documents, and blob: entries by anchor, and by document the anchors that several of the task have."""
         if not self.n:
-            return [], []
+            return []
         anchors, docs = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         self.n, self.parts = 0, []
         order = np.lexsort((docs["hash"], docs["id"], anchors))
@@ -157,46 +157,42 @@ class _Gathered:
         first = np.flatnonzero(new)
         count = np.diff(np.append(first, len(a)))
         several = d["id"] != d["id"][first][group]
-        shared = np.bincount(group, several) > 0
-        at = np.flatnonzero(shared[group])
-        own = list(_by_doc(a[at], d[at]))
-        packed = []
-        bucket = (a[first] % np.uint64(self.buckets)).astype(np.int64)
-        by = np.argsort(bucket, kind="stable")
-        for part in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1):
+        shared = (np.bincount(group, several) > 0)[group]
+        rows = [(bucket, True, blob) for bucket, blob in _by_doc(a[shared], d[shared], self.buckets)]
+        for bucket, part in _by_bucket(a[first], self.buckets):
             i = first[part]
-            packed.append((int(bucket[part[0]]), np.array([len(i)], np.int64).tobytes() + a[i].tobytes() + d[i].tobytes() + count[part].astype(np.int32).tobytes()))
-        return packed, own
+            rows.append((bucket, False, np.array([len(i)], np.int64).tobytes() + a[i].tobytes() + d[i].tobytes() + count[part].astype(np.int32).tobytes()))
+        return rows
 
 
-def _by_doc(anchors: np.ndarray, docs: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    if not len(anchors):
-        return
-    order = np.lexsort((anchors, docs["hash"], docs["id"]))
-    a, d = anchors[order], docs[order]
-    cuts = np.flatnonzero(d[1:] != d[:-1]) + 1
-    for own, doc in zip(np.split(a, cuts), d[np.append(0, cuts)], strict=True):
-        yield int(doc["id"]), int(doc["hash"]), np.unique(own).tobytes()
+def _by_bucket(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    bucket = (keys % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+        if len(own):
+            yield int(bucket[own[0]]), own
 
 
-def _doc_rows(found: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    ids, hashes, blobs = zip(*found, strict=True) if found else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(blobs, pa.binary())], names=["id", "hash", "blob"])
+def _by_doc(anchors: np.ndarray, docs: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
+    """Anchors and their documents, packed by a bucket of documents."""
+    keys = mix((docs["id"] ^ docs["hash"]).view(np.uint64)) if len(docs) else np.zeros(0, np.uint64)
+    for bucket, own in _by_bucket(keys, buckets):
+        table, index = np.unique(docs[own], return_inverse=True)
+        yield bucket, np.array([len(own)], np.int64).tobytes() + anchors[own].tobytes() + index.astype(np.uint32).tobytes() + table.tobytes()
+
+
+def _blobs(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    kinds = {"bucket": pa.int32(), "by_doc": pa.bool_(), "blob": pa.binary()}
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, k in zip(columns, names, strict=True)], names=names)
 
 
 def repeated_anchors(docs: DataFrame, length: int, hot: int) -> DataFrame:
-    """``id, hash, blob``: anchors of each document that others have too; rows with a null id list hot anchors."""
+    """``bucket, blob``: packed anchors of documents that others have too, by a bucket of documents; bucket -1 lists hot anchors."""
     buckets = partitions(docs.sparkSession)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered = _Gathered(buckets)
-
-        def out() -> pa.RecordBatch:
-            packed, own = gathered.flush()
-            rows = [(b, None, None, x) for b, x in packed] + [(i % buckets, i, h, x) for i, h, x in own]
-            columns = zip(*rows, strict=True) if rows else [()] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "id", "hash", "blob"])
-
         for batch in (part for batch in batches for part in slices(batch, "text")):
             w = Words(batch.column("text"))
             _, row, anchor = _anchors(w, length)
@@ -205,40 +201,58 @@ def repeated_anchors(docs: DataFrame, length: int, hot: int) -> DataFrame:
             doc = np.zeros(w.rows, _DOC)
             doc["id"], doc["hash"] = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "hash"))
             if gathered.add(anchor[new], doc[row[new]]):
-                yield out()
-        yield out()
+                yield _blobs(gathered.flush(), ["bucket", "by_doc", "blob"])
+        yield _blobs(gathered.flush(), ["bucket", "by_doc", "blob"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors, docs, counts = [np.zeros(0, np.uint64)], [np.zeros(0, _DOC)], [np.zeros(0, np.int32)]
+        out = []
         for batch in batches:
-            known = []
-            for i, h, blob in zip(*(batch.column(c).to_pylist() for c in ("id", "hash", "blob")), strict=True):
-                if i is not None:
-                    known.append((i, h, blob))
+            for bucket, by_doc, blob in zip(*(batch.column(c).to_pylist() for c in ("bucket", "by_doc", "blob")), strict=True):
+                if by_doc:
+                    out.append((bucket, blob))
                     continue
                 n = int(np.frombuffer(blob, np.int64, 1)[0])
                 anchors.append(np.frombuffer(blob, np.uint64, n, 8))
                 docs.append(np.frombuffer(blob, _DOC, n, 8 + 8 * n))
                 counts.append(np.frombuffer(blob, np.int32, n, 8 + 24 * n))
-            if known:
-                yield _doc_rows(known)
         a, d, c = np.concatenate(anchors), np.concatenate(docs), np.concatenate(counts)
         order = np.argsort(a, kind="stable")
         a, d, c = a[order], d[order], c[order]
         new = np.ones(len(a), bool)
         new[1:] = a[1:] != a[:-1]
-        if not len(a):
-            return
-        group, first = np.cumsum(new) - 1, np.flatnonzero(new)
-        total = np.add.reduceat(c.astype(np.int64), first)
-        own = np.flatnonzero((np.diff(np.append(first, len(a))) > 1)[group])
-        yield _doc_rows(list(_by_doc(a[own], d[own])))
-        often = a[first][total >= hot]
-        if len(often):
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([often.tobytes()], pa.binary())], names=["id", "hash", "blob"])
+        if len(a):
+            group, first = np.cumsum(new) - 1, np.flatnonzero(new)
+            own = np.flatnonzero((np.diff(np.append(first, len(a))) > 1)[group])
+            out.extend(_by_doc(a[own], d[own], buckets))
+            often = a[first][np.add.reduceat(c.astype(np.int64), first) >= hot]
+            if len(often):
+                out.append((-1, often.tobytes()))
+        yield _blobs(out, ["bucket", "blob"])
+
+    posted = map_arrow(docs.select("id", "hash", "text"), post, "bucket int, by_doc boolean, blob binary")
+    return map_arrow(deal(posted, "bucket"), meet, "bucket int, blob binary")
+
+
+def anchor_lists(repeated: DataFrame) -> DataFrame:
+    """``id, hash, anchors``: the repeated anchors of each document, one row each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        anchors, docs = [np.zeros(0, np.uint64)], [np.zeros(0, _DOC)]
+        for batch in batches:
+            for blob in batch.column("blob").to_pylist():
+                n = int(np.frombuffer(blob, np.int64, 1)[0])
+                anchors.append(np.frombuffer(blob, np.uint64, n, 8))
+                docs.append(np.frombuffer(blob, _DOC, -1, 8 + 12 * n)[np.frombuffer(blob, np.uint32, n, 8 + 8 * n)])
+        a, d = np.concatenate(anchors), np.concatenate(docs)
+        order = np.lexsort((a, d["hash"], d["id"]))
+        a, d = a[order], d[order]
+        cuts = np.flatnonzero(d[1:] != d[:-1]) + 1 if len(a) else np.zeros(0, np.int64)
+        heads = d[np.append(0, cuts)] if len(a) else d
+        lists = [np.unique(x).tobytes() for x in np.split(a, cuts)] if len(a) else []
+        yield pa.RecordBatch.from_arrays([pa.array(heads["id"]), pa.array(heads["hash"]), pa.array(lists, pa.binary())], names=["id", "hash", "anchors"])
 
-    posted = map_arrow(docs.select("id", "hash", "text"), post, "bucket int, id long, hash long, blob binary")
-    return map_arrow(deal(posted, "bucket"), meet, "id long, hash long, blob binary")
+    return map_arrow(deal(repeated, "bucket"), run, "id long, hash long, anchors binary")
 
 
 FOUND = "key long, id long, hash long, words binary, starts binary"
@@ -254,7 +268,7 @@ def _rows(rows: list[tuple], names: list[str] = _FOUND, types: tuple = _TYPES) -
 def segments(docs: DataFrame, length: int, hot: frozenset[int]) -> DataFrame:
     """``key, id, hash, words, starts``: segments of repeated anchors, or, with null words, windows that go at once.
 
-    ``docs`` has ``id, hash, text`` and ``anchors array<binary>``; ``hot`` is a bounded list.
+    ``docs`` has ``id, hash, text`` and ``anchors``; ``hot`` is a bounded list.
     """
     often = np.array(sorted(hot), np.uint64)
 
@@ -283,7 +297,7 @@ def segments(docs: DataFrame, length: int, hot: frozenset[int]) -> DataFrame:
                 a, b = bounds[i], bounds[i + 1]
                 if a == b or not lists[i]:
                     continue
-                wanted = np.unique(np.frombuffer(b"".join(lists[i]), np.uint64))
+                wanted = np.frombuffer(lists[i], np.uint64)
                 own = anchor[a:b]
                 use = wanted[np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)] == own
                 if not use.any():
@@ -439,8 +453,8 @@ def dedup(docs: DataFrame, length: int = 50, texts: bool = True) -> DataFrame:
     rows = docs.drop("id", "hash", "anchors", "windows").withColumns({"id": F.coalesce("doc_id", F.lit(NO_ID)), "hash": F.xxhash64("text")})
     hot = max(HOT_LEAST, rows.count() // HOT_SHARE)
     repeated = kept(repeated_anchors(rows, length, hot))
-    often = frozenset(x for r in repeated.filter("id is null").select("blob").collect() for x in np.frombuffer(r["blob"], np.uint64).tolist())
-    lists = repeated.filter("id is not null").groupBy("id", "hash").agg(F.collect_list("blob").alias("anchors"))
+    often = frozenset(x for r in repeated.filter("bucket < 0").select("blob").collect() for x in np.frombuffer(r["blob"], np.uint64).tolist())
+    lists = anchor_lists(repeated.filter("bucket >= 0"))
     picked = rows.join(lists.hint("shuffle_hash"), ["id", "hash"])
     found = matched(segments(picked, length, often), length)
     windows = found.groupBy("id", "hash").agg(F.collect_list("starts").alias("windows"))
