@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -70,8 +71,8 @@ class Vocabulary:
         """The merges applied to a short text, best rank first, the leftmost of equal ones."""
         parts, rank = list(text), self.rank
         while len(parts) > 1:
-            best, at = min((rank.get(a + b, 1e9), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
-            if best >= 1e9:
+            best, at = min((rank.get(a + b, math.inf), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+            if best == math.inf:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
