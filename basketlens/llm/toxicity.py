@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from basketlens.llm.frames import held_out, map_arrow
 from basketlens.llm.words import Remembered, held, per_row, slices
 
-LEARN_ROWS = 4000
+LEARN_ROWS = 2500
 DECAY = 0.6
 ORDER = 3
 #: Longer strings are looked at in overlapping windows of this many characters.
