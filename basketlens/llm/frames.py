@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -31,12 +32,19 @@ def kept(df: DataFrame) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iteration's state by a reliable checkpoint in the cluster's shared folder."""
+    """Cut the lineage of an iteration's state by a reliable checkpoint in the cluster's shared folder.
+
+    The garbage collection lets Spark drop the shuffle files that led to it.
+    """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    del df
+    gc.collect()
+    context._jvm.System.gc()
+    return out
 
 
 def partitions(spark: SparkSession) -> int:

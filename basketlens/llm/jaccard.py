@@ -31,16 +31,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.llm.frames import NO_ID, cut, deal, map_arrow, partitions
-from basketlens.llm.words import Words, mix, slices
+from basketlens.llm.words import Words, mix, release, slices
 
 #: Sets that a block of a home has on average at most.
 BLOCK = 512
 #: Postings that a task gathers before it hands them on.
-GATHERED = 1_000_000
+GATHERED = 500_000
 #: Rounds in which sets take the home of their neighbours.
 ROUNDS = 2
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -226,6 +226,7 @@ def shared_postings(docs: DataFrame, size: int, percent: int) -> DataFrame:
     buckets = partitions(docs.sparkSession)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         schemes, gathered = Schemes(percent), _Gathered(buckets)
 
         def out() -> Iterator[pa.RecordBatch]:
@@ -250,6 +251,9 @@ def shared_postings(docs: DataFrame, size: int, percent: int) -> DataFrame:
                     sigs.append(s)
                     names.append(n)
         sigs, names = np.concatenate(sigs), np.concatenate(names)
+        ascending = np.sort(sigs)
+        twice = np.isin(sigs, ascending[1:][ascending[1:] == ascending[:-1]])  # the others need no ordering by node
+        sigs, names = sigs[twice], names[twice]
         shared = _shared(sigs, names)[1] if len(sigs) else np.zeros(0, np.int64)
         for a in range(0, len(shared), 50_000):
             own = shared[a : a + 50_000]
@@ -269,27 +273,31 @@ def homes(shared: DataFrame) -> DataFrame:
 
 
 def cells(shared: DataFrame, home: DataFrame) -> DataFrame:
-    """``cell, node``: blocks of homes that are to be compared with each other."""
-    sizes = home.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = cut(home.join(sizes, "home").withColumn("block", F.pmod(F.hash("node"), F.col("blocks"))))
+    """``cell, node``: blocks of nodes that are to be compared with each other.
+
+    All nodes of a home meet; of two homes only the nodes that share a posting do.
+    """
+
+    def blocks(n: Column) -> Column:
+        return F.ceil(n / BLOCK).cast("int")
+
     each = F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("other")
-    low, high = F.least("block", "other"), F.greatest("block", "other")
-    inside = placed.withColumn("others", F.col("blocks")).select("node", "home", "block", each).select(F.xxhash64("home", "home", low, high).alias("cell"), "node")
-    met = cut(shared.join(placed.select("node", "home", "blocks"), "node").select("sig", "home", "blocks").distinct())
-    several = met.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1").select("sig")
+    sizes = home.groupBy("home").agg(blocks(F.count("*")).alias("others"))
+    placed = home.join(sizes, "home").withColumn("block", F.pmod(F.hash("node"), F.col("others")))
+    inside = placed.select("node", "home", "block", each).select(F.xxhash64("home", "home", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), "node")
+
+    met = cut(shared.join(home, "node").select("sig", "node", "home"))
+    several = met.groupBy("sig").agg(F.min("home").alias("low"), F.max("home").alias("high")).filter("low < high").select("sig")
     met = met.join(several, "sig")
-    pairs = cut(
-        met.select("sig", F.col("home").alias("a"), F.col("blocks").alias("na"))
-        .join(met.select("sig", F.col("home").alias("b"), F.col("blocks").alias("nb")), "sig")
-        .filter("a < b")
-        .select("a", "b", "na", "nb")
-        .distinct()
-    )
-    across = []
-    for mine, others, order in (("a", "nb", ("block", "other")), ("b", "na", ("other", "block"))):
-        joined = placed.join(pairs.withColumnRenamed(others, "others"), F.col("home") == F.col(mine)).select("node", "a", "b", "block", each)
-        across.append(joined.select(F.xxhash64("a", "b", *order).alias("cell"), "node"))
-    return inside.unionByName(across[0]).unionByName(across[1])
+    other = met.select("sig", F.col("home").alias("away")).distinct()
+    low = F.col("home") < F.col("away")
+    pairs = cut(met.join(other, "sig").filter("home <> away").select(F.least("home", "away").alias("a"), F.greatest("home", "away").alias("b"), low.alias("low"), "node").distinct())
+    sides = pairs.groupBy("a", "b", "low").agg(blocks(F.count("*")).alias("blocks"))
+    own = pairs.join(sides, ["a", "b", "low"]).withColumn("block", F.pmod(F.hash("node"), F.col("blocks")))
+    facing = sides.select("a", "b", (~F.col("low")).alias("low"), F.col("blocks").alias("others"))
+    own = own.join(facing, ["a", "b", "low"]).select("a", "b", "low", "node", "block", each)
+    first, second = F.when(F.col("low"), F.col("block")).otherwise(F.col("other")), F.when(F.col("low"), F.col("other")).otherwise(F.col("block"))
+    return inside.unionByName(own.select(F.xxhash64("a", "b", first, second).alias("cell"), "node"))
 
 
 def linked(own: list[np.ndarray], percent: int) -> np.ndarray:

@@ -14,7 +14,6 @@ other columns of the input are ignored.
 from __future__ import annotations
 
 import bisect
-import functools
 import os
 import re
 import zlib
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlens.llm.frames import kept, map_arrow, texts
-from basketlens.llm.words import earliest, slices
+from basketlens.llm.words import earliest, held, slices
 
 CAPACITY = 2048
 #: Distinct words whose ids a worker remembers; more only cost time.
@@ -77,10 +76,9 @@ class WordIds(dict):
             yield b"".join(map(self.__getitem__, words))
 
 
-@functools.lru_cache(maxsize=1)
 def word_ids(path: str) -> WordIds:
     """One for a worker, whose tasks follow each other."""
-    return WordIds(path)
+    return held(f"word ids {path}", lambda: WordIds(path))
 
 
 def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, ids: bool = True) -> DataFrame:

@@ -160,6 +160,11 @@ def held(key: str, make):
     return _held[key]
 
 
+def release() -> None:
+    """Drop what earlier tasks of other operators have left in this worker."""
+    _held.clear()
+
+
 class Remembered:
     """Values of distinct words, computed once for each word while a task goes over its texts.
 
