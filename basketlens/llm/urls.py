@@ -3,8 +3,11 @@
 The tree's nodes are prefixes of templates.  A segment becomes a wildcard if it is
 made of digits (with what stands around them kept), or if its node has many
 children that hardly repeat.  Sibling templates whose labelled shares do not differ
-significantly are merged.  A template is rejected if its smoothed share of labelled
-bad pages reaches the threshold; a template without labels keeps the prior share.
+significantly are merged.  Above the hosts the tree goes on with their suffixes:
+``com``, ``example.com``, ``www.example.com``, then the path's nodes, then the template.
+The share of labelled bad pages is smoothed from the root down, so that each node
+starts from the share of its parent and labels reach templates that have none.
+A template is rejected if its share reaches the threshold.
 
 Everything is DataFrame expressions; counts cover all pages, and are summed before
 any shuffle, so that a host with a third of all pages is no hot group.
@@ -40,10 +43,12 @@ RULES = (Rule("net", "/", "block"), Rule("example.net", "/en/", "allow"), Rule("
 DEPTH = 6
 #: A node with at least so many children, of which each has at most so many pages on average, generalises them.
 CHILDREN, PAGES_EACH = 20, 3
-#: Virtual labelled pages with the prior share of bad ones, and the share from which a template is rejected.
+#: Virtual labelled pages with the parent's share of bad ones, and the share from which a template is rejected.
 SMOOTHING, REJECT = 4.0, 0.8
 #: Standard errors within which sibling shares count as the same.
 SIMILAR = 2.0
+#: Most labels of a host name (RFC 1035); what has more is no name, and only its last ones and the whole are nodes.
+LABELS = 127
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -83,6 +88,25 @@ def templates(pages: DataFrame) -> DataFrame:
     return rows.join(named, ["host", "__raw"], "left").withColumn("template", F.coalesce("template", F.lit(""))).drop("__segments", "__raw")
 
 
+def ancestors(own: DataFrame) -> DataFrame:
+    """``host, template, level, node`` of all nodes above each template: suffixes of the host, the host, prefixes of the template.
+
+    An address of digits has no suffixes, and a port is none of them.
+    """
+    names = F.split(F.regexp_replace("host", r":[0-9]*$", ""), r"\.")
+    some = F.when(F.col("host").rlike(r"^[0-9.]*(:[0-9]*)?$|^\["), F.lit(0)).otherwise(F.least(F.size(names), F.lit(LABELS)))
+    suffixes = F.transform(F.when(some > 0, F.sequence(F.lit(1), some)).otherwise(F.array().cast("array<int>")), lambda k: F.struct(k.alias("level"), F.array_join(F.slice(names, -k, k), ".").alias("node"), F.lit("").alias("of")))
+    hosts = own.select("host").distinct().select("host", F.explode(F.concat(suffixes, F.array(F.struct(F.lit(LABELS + 1).alias("level"), F.lit("").alias("node"), F.col("host").alias("of"))))).alias("x"))
+    steps = F.filter(F.split("template", "/"), lambda s: s != "")
+    prefixes = F.transform(F.when(F.size(steps) > 1, F.sequence(F.lit(1), F.size(steps) - 1)).otherwise(F.array().cast("array<int>")), lambda k: F.struct((k + LABELS + 1).alias("level"), F.concat(F.lit("/"), F.array_join(F.slice(steps, 1, k), "/")).alias("node"), F.col("host").alias("of")))
+    return hosts.select("host", F.lit(None).cast("string").alias("template"), "x.*").unionByName(own.select("host", "template", F.explode(prefixes).alias("x")).select("host", "template", "x.*"))
+
+
+def smoothed(chain: Column, start: Column) -> Column:
+    """Share of bad pages at the end of ``chain`` (``level, n, n_bad``), each node smoothed towards the one above."""
+    return F.aggregate(F.array_sort(chain), start, lambda share, x: (x["n_bad"] + SMOOTHING * share) / (x["n"] + SMOOTHING))
+
+
 def template_shares(labelled: DataFrame) -> DataFrame:
     """Smoothed bad share of every ``host`` and ``template`` of pages with ``bad`` (1, 0, or null where not labelled)."""
     own = labelled.groupBy("host", "template").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("n_bad"))
@@ -90,13 +114,24 @@ def template_shares(labelled: DataFrame) -> DataFrame:
     siblings = Window.partitionBy("host", F.regexp_extract("template", r"^(.*)/[^/]*$", 1))
     all_n, all_bad = F.sum("n").over(siblings), F.sum("n_bad").over(siblings)
     pooled = (all_bad + 1.0) / (all_n + 2.0)
-    own = own.withColumns({"pooled": pooled}).withColumn("similar", (F.col("n") > 0) & (F.abs(F.col("n_bad") / F.greatest("n", F.lit(1)) - F.col("pooled")) <= SIMILAR * F.sqrt(F.col("pooled") * (1 - F.col("pooled")) / F.greatest("n", F.lit(1)))))
+    rows = own.withColumns({"pooled": pooled}).withColumn("similar", (F.col("n") > 0) & (F.abs(F.col("n_bad") / F.greatest("n", F.lit(1)) - F.col("pooled")) <= SIMILAR * F.sqrt(F.col("pooled") * (1 - F.col("pooled")) / F.greatest("n", F.lit(1)))))
     merged = Window.partitionBy("host", F.regexp_extract("template", r"^(.*)/[^/]*$", 1), "similar")
     n = F.when(F.col("similar"), F.sum("n").over(merged)).otherwise(F.col("n"))
     bad = F.when(F.col("similar"), F.sum("n_bad").over(merged)).otherwise(F.col("n_bad"))
-    return own.withColumns({"m": n, "m_bad": bad}).crossJoin(F.broadcast(prior)).select(  # the prior is one row
-        "host", "template", ((F.col("m_bad") + SMOOTHING * F.col("prior")) / (F.col("m") + SMOOTHING)).alias("bad_share")
-    )
+    rows = rows.withColumns({"m": n, "m_bad": bad}).select("host", "template", "m", "m_bad")
+
+    # labels of a host are counted once for its suffixes, those of a template once for its prefixes
+    above = ancestors(own)
+    host_n = own.groupBy("host").agg(F.sum("n").alias("n"), F.sum("n_bad").alias("n_bad"))
+    upper, lower = above.filter("template is null").drop("template"), above.filter("template is not null")
+    sums = lambda nodes: nodes.filter("n > 0").groupBy("of", "level", "node").agg(F.sum("n").alias("n"), F.sum("n_bad").alias("n_bad"))
+    chained = lambda nodes, known, keys: nodes.join(known, ["of", "level", "node"]).groupBy(*keys).agg(F.collect_list(F.struct("level", "n", "n_bad")).alias("chain"))
+    by_host = chained(upper, sums(upper.join(host_n, "host")), ["host"]).withColumnRenamed("chain", "upper")  # at most LABELS + 1 nodes
+    by_path = chained(lower, sums(lower.join(own, ["host", "template"])), ["host", "template"]).withColumnRenamed("chain", "lower")  # at most DEPTH
+    rows = rows.join(by_path, ["host", "template"], "left").join(by_host, "host", "left").crossJoin(F.broadcast(prior))  # the prior is one row
+    none = F.array().cast("array<struct<level:int,n:bigint,n_bad:bigint>>")
+    chain = F.concat(F.coalesce("upper", none), F.coalesce("lower", none), F.array(F.struct(F.lit(LABELS + DEPTH + 3).alias("level"), F.col("m").alias("n"), F.col("m_bad").alias("n_bad"))))
+    return rows.select("host", "template", smoothed(chain, F.col("prior").cast("double")).alias("bad_share"))
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, labels: DataFrame | None = None) -> DataFrame:

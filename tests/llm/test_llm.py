@@ -338,6 +338,20 @@ def test_urls(spark):
     assert urls.judge(df.limit(0)).count() == 0
 
 
+def test_url_labels_reach_templates_without_labels(spark):
+    data = [(i, f"https://bad.example.com/de/{i}") for i in range(20)] + [(100 + i, f"https://www.bad.example.com/en/{i}") for i in range(5)]
+    data += [(200 + i, f"https://good.org/fr/{i}") for i in range(20)] + [(300, "https://good.org/en/1"), (301, "https://new.example.com/en/1"), (302, "https://new.edu/en/1"), (303, "http://10.0.0.1:80/x"), (304, None)]
+    df = spark.createDataFrame(data, "page_id long, url string")
+    got = {r["page_id"]: r for r in urls.judge(df).collect()}
+    assert len(got) == len(data) and all(got[100 + i]["rule"] is None and got[100 + i]["verdict"] == "block" for i in range(5))
+    assert got[300]["rule"] is None and got[300]["verdict"] == "allow" and got[300]["bad_share"] < 0.1
+    assert got[301]["verdict"] == "block" and all(got[i]["bad_share"] == pytest.approx(20.5 / 41) for i in (302, 303, 304))
+    # a node with labels of its own overrules the host
+    labels = spark.createDataFrame([(i, 1) for i in range(20)] + [(100 + i, 0) for i in range(3)], "page_id long, bad int")
+    got = {r["page_id"]: r for r in urls.judge(df, (), labels).collect()}
+    assert got[3]["verdict"] == "block" and got[104]["verdict"] == "allow"
+
+
 def test_toxicity(spark):
     rng = random.Random(9)
     clean = ["".join(rng.choice("bcdfghklmnprstvw") + rng.choice("aeou") for _ in range(rng.randrange(1, 4))) for _ in range(300)]
