@@ -172,6 +172,20 @@ def test_fuzzy_names(spark):
     assert {c for q, c in got if q == names[0]} == {names[0], names[1], names[4]}
 
 
+def test_registered_queries_have_all_three_tiers(spark):
+    from basketlens.plans import basket_queries as bq
+
+    t = bq.Tables(spark, "")
+    t.products = spark.createDataFrame([(1, "bamba snack 5 g"), (2, "bamba snack 5 g"), (3, "bamba snack 7 g"), (4, "milk 5 g"), (5, "bamba snack 25 g")], "product_id long, name_norm string")
+    t.stores = spark.createDataFrame([(10, "x"), (20, "x"), (30, "x")], "store_id long, city string")
+    t.prices = spark.createDataFrame([(1, 10, Decimal(5)), (2, 20, Decimal(6)), (3, 20, Decimal(1)), (3, 30, Decimal(4)), (4, 30, Decimal(2))], "product_id long, store_id long, price decimal(10,2)")
+    t.baskets = spark.createDataFrame([(1, "x", 1, Decimal(2)), (1, "x", 4, Decimal(1))], "basket_id long, city string, product_id long, quantity decimal(10,3)")
+    run = lambda name: sorted(tuple(r) for r in bq.QUERIES[name][0](t).collect())
+    assert run("i2_candidates") == [(1, 1, 1), (1, 2, 2), (1, 3, 3), (1, 5, 3), (4, 4, 1)]
+    assert run("i3_best_offers") == [(1, "x", 10, 1, 5.0), (1, "x", 20, 2, 6.0), (1, "x", 30, 3, 4.0), (4, "x", 30, 1, 2.0)]
+    assert (1, 30, 2, 0, True, 10.0) in run("i4_store_totals")
+
+
 def test_cities(spark):
     stores = spark.createDataFrame([(1, "'Tel-Aviv'", "s", None), (2, "0070", "s", None), (3, None, "Shop North Haifa", None), (4, "Old", "s", "Oak 1")], "store_id long, city string, store_name string, address string")
     known = spark.createDataFrame([("Haifa",), ("Tel Aviv",)], "city string")
