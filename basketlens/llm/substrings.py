@@ -156,7 +156,7 @@ class _Gathered:
         group = np.cumsum(new) - 1
         first = np.flatnonzero(new)
         count = np.diff(np.append(first, len(a)))
-        several = d["id"] != d["id"][first][group]
+        several = d != d[first][group]  # texts of one id too: a smaller id may be in another task
         shared = (np.bincount(group, several) > 0)[group]
         rows = [(bucket, True, blob) for bucket, blob in _by_doc(a[shared], d[shared], self.buckets)]
         for bucket, part in _by_bucket(a[first], self.buckets):

@@ -156,6 +156,17 @@ def test_substring_dedup_texts(docs, rows, spark):
     assert substrings.dedup(empty(spark), 13).count() == 0
 
 
+@pytest.mark.parametrize("key", [None, 9])
+def test_substring_dedup_of_texts_that_share_an_id(spark, key):
+    rng = random.Random(8)
+    passage, *tails = (" ".join(rng.choice(WORDS) for _ in range(40)) for _ in range(4))
+    rows = [(1, passage), (2, None), (3, None), *((key, f"{passage} {t}") for t in tails)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "doc_id long, text string")
+    assert {r["doc_id"]: r["at"] for r in df.withColumn("at", F.spark_partition_id()).collect()} == {1: 0, 2: 0, 3: 0, key: 1}
+    got = substrings.dedup(df, 13).filter("text is not null and n_words > 0").collect()
+    assert sorted(" ".join(words(r["text"])) for r in got) == sorted([passage, *tails])
+
+
 def test_reference_automata(docs, rows, spark):
     reference = spark.createDataFrame([(rows[4][1],), (None,)], "text string")
     got = {r["doc_id"]: r["n_removed"] for r in substrings.remove_reference(docs, reference, 50, texts=False).collect()}
