@@ -391,8 +391,8 @@ def components(pairs: DataFrame) -> DataFrame:
     return found
 
 
-def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row of ``docs`` (``doc_id, text``).
+def node_components(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """``doc_id, node, n_shingles, component_id`` of every row of ``docs`` (``doc_id, text``); rows of no shingle have no node.
 
     Two texts link when the Jaccard similarity of their sets of ``size``-word
     shingles (A-Z lower-cased) is at least ``percent`` hundredths; the component's
@@ -410,22 +410,31 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     root = components(links(texts, placed, size, percent))
     rooted = rows.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy(F.col("root").alias("__root")).agg(F.min("doc_id").alias("component_id"))
-    return rooted.join(least, F.col("root") == F.col("__root"), "left").select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return rooted.join(least, F.col("root") == F.col("__root"), "left").select("doc_id", "node", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every row, as :func:`node_components` finds them."""
+    return node_components(docs, size, percent).select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` without those of a component whose smallest ``doc_id`` is another one.
 
-    Of repeated rows of one id and text one stays.  Rows without an id cannot be told
-    apart and all stay, as do those with an empty set.
+    Of repeated rows of one id and text one stays; different texts of one id are
+    judged each by its own component.  Rows without an id cannot be told apart and
+    all stay, as do those with an empty set.
     """
-    found = cut(jaccard_components(docs, size, percent).filter("doc_id is not null"))
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    found = cut(node_components(docs, size, percent).filter("doc_id is not null"))
+    gone = found.filter("doc_id <> component_id").select("doc_id", "node").distinct()
+    left = docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
     repeated = found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
     if repeated.isEmpty():
         return left
-    twice = left.join(repeated, "doc_id", "left_semi").withColumn("__hash", F.xxhash64("text")).dropDuplicates(["doc_id", "__hash"])
+    twice = docs.join(repeated, "doc_id", "left_semi").withColumn("__hash", F.xxhash64("text")).dropDuplicates(["doc_id", "__hash"])
+    own = sets(twice.select(F.col("__hash").alias("doc_id"), "text"), size).select(F.col("doc_id").alias("__hash"), F.col("node").alias("__node")).distinct()
+    away = gone.select(F.col("doc_id").alias("__id"), F.col("node").alias("__gone"))
+    twice = twice.join(own, "__hash", "left").join(away, (F.col("doc_id") == F.col("__id")) & (F.col("__node") == F.col("__gone")), "left_anti")
     return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(twice.select(*docs.columns))
 
 

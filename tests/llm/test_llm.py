@@ -120,6 +120,12 @@ def test_one_of_each(docs, spark):
     assert jaccard.one_of_each(empty(spark)).count() == 0
 
 
+def test_one_of_each_judges_texts_of_one_id_alone(spark):
+    a, b, c = (" ".join(WORDS[i : i + 60]) for i in (0, 100, 200))
+    df = spark.createDataFrame([(1, a), (5, a + " tail"), (5, b), (5, b), (5, ""), (6, c), (7, b + " tail"), (None, a)], "doc_id long, text string")
+    assert sorted(map(str, jaccard.one_of_each(df).collect())) == sorted(map(str, spark.createDataFrame([(1, a), (5, b), (5, ""), (6, c), (None, a)], "doc_id long, text string").collect()))
+
+
 def plain_windows(rows, n):
     least, of = {}, []
     for i, text, *_ in rows:
