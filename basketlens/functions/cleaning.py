@@ -69,7 +69,7 @@ def column_or_null(df: DataFrame, name: str) -> Column:
 def product_key(code: Column, chain: Column) -> Column:
     """Item codes that are not global are put in their chain's name space."""
     code, chain = clean_str(code), clean_str(chain)
-    return F.when(chain.isNull() | (F.char_length(code) >= GTIN_LENGTH), code).otherwise(F.concat_ws("_", chain, code))
+    return F.when(chain.isNull() | (F.char_length(code) >= GTIN_LENGTH), code).otherwise(F.concat(chain, F.lit("_"), code))
 
 
 def promo_value(c: Column) -> Column:
@@ -87,8 +87,8 @@ def clamp(c: Column, n: int = 255) -> Column:
 
 
 def money(c: Column) -> Column:
-    """Rounded half up to cents."""
-    return F.round(c, 2).cast("decimal(10,2)")
+    """Rounded half up to cents; null where that is more than the type holds."""
+    return F.round(c, 2).try_cast("decimal(10,2)")
 
 
 def norm_locality(c: Column) -> Column:

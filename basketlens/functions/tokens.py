@@ -16,6 +16,8 @@ STOP_TOKENS = (
 )
 # Hebrew final letters and their base forms.
 FINAL_LETTERS, BASE_LETTERS = "ךםןףץ", "כמנפצ"
+# What a number and a pack of several look like.
+NUMERIC, PACK = r"^[0-9]+([.,][0-9]+)?%?$", r"(\d+)\s*[*x×X]\s*(\d+)"
 # Fixed value: operators of search expressions.
 OPERATORS = r"""[+\-><()~*"@]"""
 
@@ -34,14 +36,14 @@ def prominent_tokens(c: Column, limit: int = 4) -> Column:
     """The first words of a name that are no numbers, sizes or units."""
     raw = F.split(norm_name(c), r"(?U)[\s\-/,]+")
     clean = F.transform(raw, lambda w: F.regexp_replace(F.regexp_replace(w, OPERATORS, ""), r"""^['"]+|['"]+$""", ""))
-    good = F.filter(clean, lambda w: (F.char_length(w) >= 2) & ~w.rlike(r"^[0-9]+([.,][0-9]+)?%?$") & ~w.isin(*STOP_TOKENS))
+    good = F.filter(clean, lambda w: (F.char_length(w) >= 2) & ~w.rlike(NUMERIC) & ~w.isin(*STOP_TOKENS))
     return F.slice(good, 1, limit)
 
 
 def size_tokens(c: Column, limit: int = 2) -> Column:
     """Both numbers of packs such as ``4*55``, then numbers of two digits or more; distinct."""
     c = F.coalesce(c, F.lit(""))
-    pack = r"(\d+)\s*[*x×X]\s*(\d+)"
+    pack = PACK
     first, second = (F.regexp_extract_all(c, F.lit(pack), F.lit(i)) for i in (1, 2))
     packs = F.flatten(F.zip_with(first, second, lambda a, b: F.array(a, b)))
     alone = F.filter(F.regexp_extract_all(c, F.lit(r"(\d+)"), F.lit(1)), lambda n: F.char_length(n) >= 2)

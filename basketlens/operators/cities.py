@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlens.functions.cleaning import clean_city, norm_locality
 
 
+# How chains mark their branches' names, and words after which a locality names a venue.
+CHAIN_PREFIXES = (
+    "אקספרס", "יש חסד", "יש בשכונה", "שופרסל דיל", "שופרסל שלי", "שופרסל אונליין", "שופרסל", "נטו חיסכון", "וולט מרקט",
+    "סיטי מרקט", "דור אלון", "סופר יודה", "טיב טעם", "יוחננוף", "קרפור", "דיל", "שלי", "BE", "Be", "be",
+)
+VENUE_WORDS = ("קניון", "חוצות", "מתחם", "פנינת", "מרכז מסחרי", "מרכז", "סי סנטר", "פארק")
+#: What separates the segments of a name or an address.
+SEPARATORS = r"[-–—|,/*]+"
+
+
 def merge_closure(merges: list[tuple[str, str]]) -> dict[str, str]:
     """Where each alias ends when merges are followed; a cycle ends where it is met again."""
     step = dict(merges)
@@ -35,10 +45,12 @@ def canonical_city(stores: DataFrame, merges: list[tuple[str, str]], by_address:
 def city_from_name(stores: DataFrame, cities: DataFrame) -> DataFrame:
     """``store_id, named_city``: the longest known city in the store's name, as whole words.
 
-    Runs of up to four words of the name are looked up, so that this is an equi-join.
+    Runs of as many words as the longest city has are looked up, so that this is an
+    equi-join.
     """
+    longest = cities.agg(F.max(F.size(F.split(norm_locality(F.col("city")), " ")))).first()[0] or 1
     words = F.split(norm_locality(F.col("store_name")), " ")
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.lit(4), F.size(words))), lambda n: F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))))
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size(words))), lambda n: F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))))
     named = stores.filter("store_name is not null").select("store_id", F.explode(F.array_distinct(runs)).alias("run"))
     known = cities.select(F.col("city").alias("named_city"), norm_locality(F.col("city")).alias("run")).distinct()
     rows = named.join(known, "run")
@@ -46,6 +58,48 @@ def city_from_name(stores: DataFrame, cities: DataFrame) -> DataFrame:
     return rows.withColumn("__best", best).filter("__best = 1").select("store_id", "named_city")
 
 
+def _literal(words: tuple[str, ...]) -> str:
+    """A pattern for any of some words, longer ones first."""
+    return "(?:" + "|".join(rf"\Q{w}\E" for w in sorted(words, key=lambda w: (-len(w), w))) + ")"
+
+
+def _segments(c: Column) -> Column:
+    plain = F.regexp_replace(F.coalesce(clean_city(c), F.lit("")), r"\([^)]*\)", " ")
+    return F.filter(F.transform(F.split(plain, SEPARATORS), norm_locality), lambda x: x != "")
+
+
+def corroborated(locality: Column, store_name: Column, address: Column, elsewhere: Column) -> Column:
+    """False where a locality is part of a venue's name or of a street with a number, or where the address names others only.
+
+    ``elsewhere`` is the array of localities that the address names.
+    """
+    quoted = F.concat(F.lit(r"\Q"), locality, F.lit(r"\E"))
+    text = lambda c: norm_locality(F.coalesce(clean_city(c), F.lit("")))
+    venue = F.lit(False)
+    for field in (store_name, address):
+        venue = venue | F.rlike(text(field), F.concat(F.lit(_literal(VENUE_WORDS) + r"\s+"), quoted))
+    street = F.rlike(text(address), F.concat(quoted, F.lit(r"\s+\d")))
+    other = (F.size(elsewhere) > 0) & ~F.array_contains(elsewhere, locality)
+    return ~(venue | street | other)
+
+
+def strict_locality(stores: DataFrame, localities: DataFrame) -> DataFrame:
+    """``store_id, named_city``: localities (``name``) that are the whole name of a branch, or a whole segment, once the chain's mark is gone.
+
+    The whole name goes before segments, and these in their order; a locality that the
+    branch's name or address speaks against is none.
+    """
+    known = localities.select(norm_locality(F.col("name")).alias("__key"), F.col("name").alias("named_city")).groupBy("__key").agg(F.min("named_city").alias("named_city"))
+    name = F.regexp_replace(F.coalesce(clean_city(F.col("store_name")), F.lit("")), r"(?i)^(אונליין|online)\s*[-|]\s*", "")
+    bare = F.regexp_replace(F.regexp_replace(name, "^" + _literal(CHAIN_PREFIXES), ""), r"^[ \-|,.*]+|[ \-|,.*]+$", "")
+    tries = F.array_distinct(F.filter(F.concat(F.array(norm_locality(name), norm_locality(bare)), _segments(bare)), lambda x: x != ""))
+    rows = stores.select("store_id", "store_name", "address", F.posexplode(tries).alias("at", "__key")).join(known, "__key")
+    named = stores.select("store_id", F.explode(_segments(F.col("address"))).alias("__key")).join(known, "__key").groupBy("store_id").agg(F.collect_set("named_city").alias("elsewhere"))
+    rows = rows.join(named, "store_id", "left").withColumn("elsewhere", F.coalesce("elsewhere", F.array().cast("array<string>")))
+    first = rows.withColumn("place", F.row_number().over(Window.partitionBy("store_id").orderBy("at"))).filter("place = 1")
+    return first.filter(corroborated(F.col("named_city"), F.col("store_name"), F.col("address"), F.col("elsewhere"))).select("store_id", "named_city")
+
+
 def resolve_city(stores: DataFrame, codes: DataFrame, aliases: DataFrame, cities: DataFrame) -> DataFrame:
     """Codes (``code, city``) and aliases (``alias, city``) are replaced; without a city the store's name may say it."""
     rows = stores.withColumn("__city", clean_city(F.col("city")))

@@ -46,15 +46,19 @@ def best_offers(found: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def offered_lines(lines: DataFrame, offers: DataFrame) -> DataFrame:
-    """Lines of baskets at every branch of their city that has the item."""
+    """Lines of baskets at every branch of their city that has the item, with how many lines their basket has."""
+    lines = lines.withColumn("requested", F.count("*").over(Window.partitionBy("basket_id")).cast("int"))
     return lines.join(offers.withColumnRenamed("rep_id", "product_id"), ["city", "product_id"]).withColumn("line_total", money(F.col("price") * F.col("quantity")))
 
 
-def store_totals(offered: DataFrame, lines: DataFrame) -> DataFrame:
-    """Total, found and missing count, and whether nothing is missing, for each basket and branch."""
-    wanted = lines.groupBy("basket_id").agg(F.count("*").alias("requested"))
-    totals = offered.groupBy("basket_id", "store_id").agg(F.sum(F.col("price") * F.col("quantity")).alias("total"), F.count("*").alias("found_count"))
-    totals = totals.join(wanted, "basket_id").withColumn("missing_count", F.col("requested") - F.col("found_count"))
+def store_totals(offered: DataFrame) -> DataFrame:
+    """Total, found and missing count, and whether nothing is missing, for each basket and branch.
+
+    Rows are dealt by basket, as all that follows needs them.
+    """
+    totals = offered.select("basket_id", "store_id", "price", "quantity", "requested").repartition("basket_id")
+    totals = totals.groupBy("basket_id", "store_id").agg(F.sum(F.col("price") * F.col("quantity")).alias("total"), F.count("*").alias("found_count"), F.max("requested").alias("requested"))
+    totals = totals.withColumn("missing_count", (F.col("requested") - F.col("found_count")).cast("long"))
     return totals.select("basket_id", "store_id", money(F.col("total")).alias("total"), "found_count", "missing_count", (F.col("missing_count") == 0).alias("is_complete"))
 
 
@@ -65,14 +69,27 @@ def missing_items(totals: DataFrame, lines: DataFrame, offered: DataFrame) -> Da
     return totals.select("basket_id", "store_id").join(wanted, "basket_id").join(has, ["basket_id", "store_id"]).select("basket_id", "store_id", F.array_sort(F.array_except("all", "has")).alias("missing"))
 
 
+def twin_groups(stores: DataFrame) -> DataFrame:
+    """Branches with ``twins``, a number that same-named branches of a chain in a city share (null for a branch without any), and ``no_address``."""
+    name, address = F.trim(F.coalesce("store_name", F.lit(""))), F.trim(F.coalesce("address", F.lit("")))
+    info = stores.select("store_id", "chain_id", "chain_name", "city", name.alias("__name"), F.nullif(address, F.lit("")).alias("__address"))
+    key = F.xxhash64("chain_id", "city", "__name")
+    several = F.count("*").over(Window.partitionBy("chain_id", "city", "__name")) > 1
+    return info.select("store_id", "chain_id", "chain_name", "city", F.when(several, key).alias("twins"), F.xxhash64("__address").alias("__address"), F.col("__address").isNull().alias("no_address"))
+
+
 def dedup_twins(totals: DataFrame, stores: DataFrame) -> DataFrame:
-    """Of same-named branches of a chain in a city the richest one, unless all have addresses of their own."""
-    info = stores.select("store_id", "chain_id", "chain_name", "city", F.trim(F.coalesce("store_name", F.lit(""))).alias("__name"), F.trim(F.coalesce("address", F.lit(""))).alias("__address"))
+    """Of same-named branches of a chain in a city the richest one, unless all have addresses of their own.
+
+    Which branches have namesakes is found among the branches, so that only their rows are compared.
+    """
+    info = twin_groups(stores)
     rows = totals.join(info, "store_id")
-    twins = Window.partitionBy("basket_id", "chain_id", "city", "__name")
-    apart = F.size(F.collect_set(F.when(F.col("__address") != "", F.col("__address"))).over(twins)) == F.count("*").over(twins)
-    richest = F.row_number().over(twins.orderBy(F.desc("found_count"), F.col("__address") == "", "total", "store_id"))
-    return rows.withColumns({"__apart": apart, "__place": richest}).filter(F.col("__apart") | (F.col("__place") == 1)).drop("__apart", "__place", "__name", "__address")
+    twins = Window.partitionBy("basket_id", "twins")
+    apart = F.size(F.collect_set(F.when(~F.col("no_address"), F.col("__address"))).over(twins)) == F.count("*").over(twins)
+    richest = F.row_number().over(twins.orderBy(F.desc("found_count"), "no_address", "total", "store_id"))
+    judged = rows.filter("twins is not null").withColumns({"__apart": apart, "__place": richest}).filter(F.col("__apart") | (F.col("__place") == 1)).drop("__apart", "__place")
+    return rows.filter("twins is null").unionByName(judged).drop("twins", "no_address", "__address")
 
 
 def rank_stores(totals: DataFrame) -> DataFrame:
@@ -86,11 +103,15 @@ def rank_stores(totals: DataFrame) -> DataFrame:
 
 
 def select_branches(ranked: DataFrame, limit: int = BRANCHES) -> DataFrame:
-    """At most ``limit`` branches of each basket: the first of every chain, then the next ones; order stays."""
-    first = F.row_number().over(Window.partitionBy("basket_id", "chain_name").orderBy("pos")) == 1
-    rows = ranked.withColumn("__first", first)
-    place = F.row_number().over(Window.partitionBy("basket_id").orderBy(F.desc("__first"), "pos"))
-    return rows.withColumn("__place", place).filter(F.col("__place") <= limit).drop("__first", "__place")
+    """At most ``limit`` branches of each basket: the first of every chain, then the next ones; order stays.
+
+    Those that are not the first of their chain can only be among the first ``limit``
+    of all, so that no more rows need a second look.
+    """
+    firsts = ranked.groupBy("basket_id", "chain_name").agg(F.min("pos").alias("pos")).select("basket_id", "pos", F.lit(True).alias("__first"))
+    rows = ranked.join(firsts, ["basket_id", "pos"], "left").filter(F.col("__first") | (F.col("pos") <= limit))
+    place = F.row_number().over(Window.partitionBy("basket_id").orderBy(F.desc_nulls_last("__first"), "pos"))
+    return rows.withColumn("__place", place).filter(F.col("__place") <= limit).drop("__first", "__place").select(*ranked.columns)
 
 
 def compare(baskets: DataFrame, products: DataFrame, prices: DataFrame, stores: DataFrame, tiers: int = 3) -> DataFrame:
@@ -98,7 +119,7 @@ def compare(baskets: DataFrame, products: DataFrame, prices: DataFrame, stores:
     lines = basket_lines(baskets, products)
     reps = lines.select(F.col("product_id").alias("rep_id")).distinct()
     offers = best_offers(candidates(products, reps, tiers), city_prices(prices, stores))
-    return rank_stores(dedup_twins(store_totals(offered_lines(lines, offers), lines), stores))
+    return rank_stores(dedup_twins(store_totals(offered_lines(lines, offers)), stores))
 
 
 def compare_header(baskets: DataFrame, ranked: DataFrame, limit: int = BRANCHES) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlens.functions import tokens
@@ -35,35 +35,58 @@ def name_features(names: DataFrame) -> DataFrame:
     )
 
 
-def fuzzy_names(names: DataFrame) -> DataFrame:
-    """``query, candidate``: names that match fuzzily.
+def _holds(words: Column, sizes: Column) -> tuple[Column, Column]:
+    """Whether every prominent word of a query begins a word of a name, and every size is a run of digits of one; and whether the name contains them all."""
+    as_words = F.forall("brand", lambda t: F.exists(words, lambda w: F.startswith(w, t))) & F.forall(sizes, lambda n: F.exists(words, lambda w: F.rlike(w, F.concat(F.lit(r"(^|\D)"), n, F.lit(r"(\D|$)")))))
+    inside = F.forall(F.concat("brand", sizes), lambda t: F.contains(F.lower("candidate"), t))
+    return as_words, inside
+
+
+def fuzzy_names(names: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """``query, candidate``: names that match fuzzily; ``asked`` (``name_norm``) limits the queries.
 
     Every prominent word of the query is a prefix of a word, and every size a word's
-    run of digits; sizes and heads must agree.  Where no name has them all as words,
-    names that hold them all as substrings are taken instead.  Heads that agree share
-    their first two letters, and sizes that agree are equal, which makes the join an
-    equi-join; names without a head or sizes are met through the key that they have.
+    run of digits; sizes and heads must agree.  Only where no name at all has them as
+    words, whatever its size and head, names that hold them as substrings are taken.
+
+    Queries meet names through the first letters of their rarest word (through a size
+    where they have no word), and through equal sizes where they have sizes.  The few
+    queries that are not found by their own words (words in quotes, for instance) meet
+    names through the first two letters of the head, and names without a head.
     """
     f = name_features(names).withColumns({"prefix": F.substring("head", 1, 2), "sizes_key": F.array_join(F.array_sort("sizes"), "|")})
-    q = f.filter((F.size("brand") > 0) | (F.size("sizes") > 0)).select(F.col("name_norm").alias("query"), "brand", F.col("sizes").alias("want"), F.col("head").alias("query_head"), "prefix", "sizes_key")
+    q = f if asked is None else f.join(asked.select("name_norm").distinct(), "name_norm", "left_semi")
+    q = q.filter((F.size("brand") > 0) | (F.size("sizes") > 0)).select(F.col("name_norm").alias("query"), F.col("name_norm").alias("candidate"), "brand", F.col("sizes").alias("want"), F.col("head").alias("query_head"), "prefix", "sizes_key", "words")
+    q = q.withColumn("own", _holds(F.col("words"), F.col("want"))[0]).drop("words", "candidate")
     c = f.select(F.col("name_norm").alias("candidate"), "words", "sizes", "head", F.col("prefix").alias("c_prefix"), F.col("sizes_key").alias("c_sizes"))
-    # a query with a head meets candidates of its prefix, or without a head; one without meets those of its sizes
-    headed = q.filter("query_head is not null").withColumn("__k", F.explode(F.array("prefix", F.lit("")))).join(c.withColumn("__k", F.coalesce("c_prefix", F.lit(""))), "__k")
-    headless = q.filter("query_head is null").join(c, F.col("sizes_key") == F.col("c_sizes")).withColumn("__k", F.lit(""))
-    met = headed.unionByName(headless.select(*headed.columns))
-    met = met.filter(tokens.size_ok(F.col("sizes"), F.col("want")) & tokens.head_ok(F.col("head"), F.col("query_head")))
-    as_words = F.forall("brand", lambda t: F.exists("words", lambda w: F.startswith(w, t))) & F.forall("want", lambda n: F.exists("words", lambda w: F.rlike(w, F.concat(F.lit(r"(^|\D)"), n, F.lit(r"(\D|$)")))))
-    inside = F.forall(F.concat("brand", "want"), lambda t: F.contains(F.lower("candidate"), t))
-    met = met.filter(inside).withColumn("as_words", as_words)
-    any_words = F.max("as_words").over(Window.partitionBy("query"))
-    return met.withColumn("any_words", any_words).filter(F.col("as_words") | ~F.col("any_words")).select("query", "candidate")
+    keys = F.transform("words", lambda w: F.array(F.substring(w, 1, 2), F.substring(w, 1, 3)))
+    by_key = c.withColumn("key", F.explode(F.array_distinct(F.flatten(keys))))
+    often = by_key.groupBy("key").agg(F.count("*").alias("n"))
+    rare = q.select("query", F.explode(F.transform("brand", lambda t: F.substring(t, 1, 3))).alias("key")).join(often, "key", "left")
+    rare = rare.groupBy("query").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "key"))["key"].alias("key"))
+    worded = q.join(rare, "query")
+    sized, plain = worded.filter("sizes_key <> ''"), worded.filter("sizes_key = ''")
+    met = sized.join(by_key, (sized["key"] == by_key["key"]) & (F.col("sizes_key") == F.col("c_sizes"))).drop("key")
+    met = met.unionByName(plain.join(by_key, "key").drop("key"))
+    wordless = q.filter(F.size("brand") == 0).join(c, F.col("sizes_key") == F.col("c_sizes"))
+    met = met.unionByName(wordless.select(*met.columns))
+    as_words, inside = _holds(F.col("words"), F.col("want"))
+    agree = tokens.size_ok(F.col("sizes"), F.col("want")) & tokens.head_ok(F.col("head"), F.col("query_head"))
+    found = met.filter(as_words & agree).select("query", "candidate")
+    # queries that their own name does not answer: does any name have their words?
+    odd = worded.filter(~F.col("own"))
+    answered = odd.join(by_key, "key").filter(as_words).select("query").distinct()
+    left = q.filter(~F.col("own")).join(answered, "query", "left_anti")
+    near = left.withColumn("key", F.explode(F.array(F.coalesce("prefix", F.lit("")), F.lit("")))).join(c.withColumn("key", F.coalesce("c_prefix", F.lit(""))), "key")
+    return found.unionByName(near.filter(inside & agree).select("query", "candidate")).distinct()
 
 
 def fuzzy(products: DataFrame, reps: DataFrame, cap: int = MATCHES) -> DataFrame:
     """``rep_id, product_id`` of fuzzy matches."""
     named = products.select("product_id", "name_norm")
-    pairs = fuzzy_names(products)
-    wanted = reps.join(named.withColumnRenamed("product_id", "rep_id"), "rep_id").withColumnRenamed("name_norm", "query")
+    wanted = reps.join(named.withColumnRenamed("product_id", "rep_id"), "rep_id")
+    pairs = fuzzy_names(products, wanted)
+    wanted = wanted.withColumnRenamed("name_norm", "query")
     return _capped(wanted.join(pairs, "query").join(named.withColumnRenamed("name_norm", "candidate"), "candidate").select("rep_id", "product_id"), cap)
 
 

@@ -4,7 +4,8 @@ Lines are ``basket_id, store_id, canonical_id, quantity, unit_price`` with one l
 for each canonical item; promotions and ``promotion_items`` (``promotion_id,
 canonical_id, is_gift``) have the columns of the feed.  Everything up to the choice
 among conflicting promotions is DataFrame expressions; that choice is a small exact
-search in a grouped Python function, for the groups that have a conflict only.
+search in Python, for conflicts of promotions over several items only.  Rows are dealt
+once by basket and branch; everything else happens within these partitions.
 """
 
 from __future__ import annotations
@@ -33,13 +34,17 @@ def active_promotions(promotions: DataFrame, now: Column) -> DataFrame:
 
 
 def covered_lines(lines: DataFrame, promotions: DataFrame, items: DataFrame) -> DataFrame:
-    """Every promotion of a branch with the basket lines it covers or gives."""
-    totals = Window.partitionBy("basket_id", "store_id")
-    priced = lines.withColumn("basket_total", money(F.sum(F.col("unit_price") * F.col("quantity")).over(totals)))
+    """Every promotion of a branch with the basket lines it covers or gives, dealt by basket and branch.
+
+    ``lines`` may have their ``basket_total``; otherwise it is summed here.
+    """
+    priced = lines
+    if "basket_total" not in lines.columns:
+        priced = lines.withColumn("basket_total", money(F.sum(F.col("unit_price") * F.col("quantity")).over(Window.partitionBy("basket_id", "store_id"))))
     offered = promotions.select("promotion_id", "store_id", "reward_kind", "discounted_price", "discount_rate", "discount_amount", "min_basket_amount", F.coalesce(F.nullif("min_qty", F.lit(0)), F.lit(1)).cast("decimal(10,3)").alias("min_qty"), F.when(F.col("max_qty") > 0, F.col("max_qty")).alias("max_qty"), "allow_stacking", "chain_id")
     rows = items.join(offered, "promotion_id").join(priced, ["store_id", "canonical_id"])
     enough = F.col("min_basket_amount").isNull() | (F.col("min_basket_amount") == 0) | (F.col("basket_total") >= F.col("min_basket_amount"))
-    return rows.filter(enough)
+    return rows.filter(enough).repartition("basket_id", "store_id")
 
 
 def eligible_units(covered: DataFrame) -> DataFrame:
@@ -51,7 +56,7 @@ def eligible_units(covered: DataFrame) -> DataFrame:
 
 
 def evaluate(lines: DataFrame, promotions: DataFrame, items: DataFrame) -> DataFrame:
-    """``basket_id, store_id, promotion_id, canonical_id, used, saving, allow_stacking``: what promotions take and save.
+    """``basket_id, store_id, promotion_id, canonical_id, used, saving, allow_stacking, items``: what promotions take and save, and from how many items.
 
     Basket-level rewards have a null ``canonical_id``.  Promotions that save nothing
     are left out.  ``saving`` is the promotion's, on each of its rows.  All rewards are
@@ -95,80 +100,98 @@ def evaluate(lines: DataFrame, promotions: DataFrame, items: DataFrame) -> DataF
     gifts = gifts.withColumn("used", part("n", before(cheapest))).filter("used > 0")
     gifts = gifts.select(*KEY, "canonical_id", "allow_stacking", "used", (c("unit_price") * c("used")).cast("decimal(18,5)").alias("gain"))
     parts = rows.unionByName(gifts).groupBy(*KEY, "canonical_id", "allow_stacking").agg(F.sum("used").cast("decimal(12,3)").alias("used"), F.sum("gain").alias("gain"))
-    return parts.withColumn("saving", money(F.sum("gain").over(promo))).filter("saving > 0").drop("gain")
+    return parts.withColumns({"saving": money(F.sum("gain").over(promo)), "items": F.count("canonical_id").over(promo)}).filter("saving > 0").drop("gain")
 
 
 def conflicts(found: DataFrame) -> DataFrame:
-    """``basket_id, store_id, a, b``: promotions that take a common item and do not both stack."""
+    """``basket_id, store_id, a, b``: promotions that take a common item and do not both stack; a report, nothing is decided by it."""
     rows = found.filter("canonical_id is not null").select("basket_id", "store_id", "promotion_id", "canonical_id", "allow_stacking")
     a = rows.withColumnsRenamed({"promotion_id": "a", "allow_stacking": "a_stacks"})
     b = rows.withColumnsRenamed({"promotion_id": "b", "allow_stacking": "b_stacks"})
     return a.join(b, ["basket_id", "store_id", "canonical_id"]).filter("a < b and not (a_stacks and b_stacks)").select("basket_id", "store_id", "a", "b").distinct()
 
 
-def best_subset(ids: list[int], saving: dict[int, float], bad: dict[int, set[int]]) -> list[int]:
-    """The ids of greatest total saving of which no two conflict, component by component."""
+def best_subset(ids: list[int], saving: dict, stacks: dict[int, bool], items: dict[int, set[int]]) -> list[int]:
+    """The ids of greatest total saving of which no two conflict, for each component of promotions with common items.
+
+    Of equally good choices the one whose ids, read as a binary number from the
+    largest id down, are smallest.  Components of more than ``EXACT`` promotions are
+    solved by savings, dearest first.
+    """
     chosen: list[int] = []
     left = set(ids)
+
+    def clash(i: int, j: int) -> bool:
+        return not (stacks[i] and stacks[j]) and bool(items[i] & items[j])
+
     while left:
         part, stack = [], [min(left)]
         left.discard(stack[0])
         while stack:
             i = stack.pop()
             part.append(i)
-            stack.extend(bad[i] & left)
-            left -= bad[i]
+            near = {j for j in left if items[i] & items[j]}
+            stack.extend(near)
+            left -= near
         part.sort()
         if len(part) > EXACT:
             own: list[int] = []
             for i in sorted(part, key=lambda i: (-saving[i], i)):
-                if not bad[i] & set(own):
+                if not any(clash(i, j) for j in own):
                     own.append(i)
             chosen += own
             continue
-        best: tuple = (0, [])
-
-        def grow(at: int, own: list[int], value, part=part) -> None:
-            nonlocal best
-            if value > best[0] or (value == best[0] and best[1] and own and _mask(own, part) < _mask(best[1], part)):
-                best = (value, list(own))
-            for k in range(at, len(part)):
-                if not bad[part[k]].intersection(own):
-                    grow(k + 1, [*own, part[k]], value + saving[part[k]])
-
-        grow(0, [], 0)
-        chosen += best[1]
+        best, kept = 0, []
+        bad = [sum(1 << k for k, j in enumerate(part) if k != n and clash(i, j)) for n, i in enumerate(part)]
+        for mask in range(1, 1 << len(part)):
+            own = [n for n in range(len(part)) if mask >> n & 1]
+            if not any(bad[n] & mask for n in own) and (value := sum(saving[part[n]] for n in own)) > best:
+                best, kept = value, own
+        chosen += [part[n] for n in kept]
     return chosen
 
 
-def _mask(own: list[int], part: list[int]) -> int:
-    return sum(1 << part.index(i) for i in own)
-
-
 def resolve_conflicts(found: DataFrame) -> DataFrame:
-    """The rows of ``found`` whose promotions are applied."""
-    pairs = conflicts(found)
-    names = ["basket_id", "store_id", "promotion_id"]
-    in_conflict = pairs.select("basket_id", "store_id", F.explode(F.array("a", "b")).alias("promotion_id")).distinct()
-    free = found.join(in_conflict, names, "left_anti")
-    bound = found.join(in_conflict, names, "left_semi")
-    heads = bound.select(*names, "saving").distinct().groupBy("basket_id", "store_id").agg(F.collect_list(F.struct("promotion_id", "saving")).alias("promos"))
-    groups = pairs.groupBy("basket_id", "store_id").agg(F.collect_list(F.struct("a", "b")).alias("pairs")).join(heads, ["basket_id", "store_id"])
+    """The rows of ``found`` whose promotions are applied.
+
+    Where all promotions of an item take nothing else, either all that stack apply
+    or the dearest of the others (beyond ``EXACT`` promotions, whichever is dearest
+    decides).  Promotions that share an item with one over several items go to
+    :func:`best_subset`, together for each basket and branch.
+    """
+    c = F.col
+    item = Window.partitionBy("basket_id", "store_id", "canonical_id")
+    stacks = c("allow_stacking")
+    rows = found.withColumns({
+        "__several": F.max("items").over(item) > 1,
+        "__n": F.count("*").over(item),
+        "__stacked": F.coalesce(F.sum(F.when(stacks, c("saving"))).over(item), F.lit(0)),
+        "__last": F.max(F.when(stacks, c("promotion_id"))).over(item),
+        "__best": F.max(F.when(~stacks, F.struct("saving", (-c("promotion_id")).alias("id")))).over(item),
+        "__top": F.max(F.struct("saving", (-c("promotion_id")).alias("id"), stacks.alias("stacks"))).over(item),
+    })
+    alone = c("__best.saving")
+    exact = alone.isNull() | (c("__stacked") > alone) | ((c("__stacked") == alone) & (c("__last") < -c("__best.id")))
+    together = F.when(c("__n") <= EXACT, exact).otherwise(c("__top.stacks"))
+    mine = F.when(c("__n") <= EXACT, -c("__best.id")).otherwise(-c("__top.id"))
+    applies = c("canonical_id").isNull() | F.when(together, stacks).otherwise(~stacks & (c("promotion_id") == mine))
+    bound = c("canonical_id").isNotNull() & c("__several")
+    simple = rows.filter(~bound & applies).select(*found.columns)
+
+    promos = rows.filter(bound).groupBy(*KEY).agg(F.first("saving").alias("saving"), F.first("allow_stacking").alias("stacks"), F.collect_list("canonical_id").alias("items"))
+    groups = promos.groupBy("basket_id", "store_id").agg(F.collect_list(F.struct("promotion_id", "saving", "stacks", "items")).alias("promos"))
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for r in pdf.itertuples():
-                saving = {p["promotion_id"]: p["saving"] for p in r.promos}
-                bad: dict[int, set[int]] = {i: set() for i in saving}
-                for p in r.pairs:
-                    bad[p["a"]].add(p["b"])
-                    bad[p["b"]].add(p["a"])
-                out += [(r.basket_id, r.store_id, i) for i in best_subset(sorted(saving), saving, bad)]
-            yield pd.DataFrame(out, columns=names)
+                own = {p["promotion_id"]: p for p in r.promos}
+                chosen = best_subset(sorted(own), {i: p["saving"] for i, p in own.items()}, {i: p["stacks"] for i, p in own.items()}, {i: set(p["items"]) for i, p in own.items()})
+                out += [(r.basket_id, r.store_id, i) for i in chosen]
+            yield pd.DataFrame(out, columns=KEY)
 
     chosen = groups.mapInPandas(choose, "basket_id long, store_id long, promotion_id long")
-    return free.unionByName(bound.join(chosen, names, "left_semi").select(*free.columns))
+    return simple.unionByName(rows.filter(bound).select(*found.columns).join(chosen, KEY, "left_semi").select(*found.columns))
 
 
 def attribute(applied: DataFrame, lines: DataFrame) -> DataFrame:
@@ -181,11 +204,27 @@ def attribute(applied: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def reprice(totals: DataFrame, applied: DataFrame) -> DataFrame:
-    """Totals with ``base_total``, ``total_savings`` and the new ``total``; without promotions they stay as they are."""
-    sums = applied.select(*KEY, "saving").distinct().groupBy("basket_id", "store_id").agg(F.sum("saving").alias("__saving"))
+    """Totals with ``base_total``, ``total_savings``, the new ``total`` and ``promotions_applied``; without promotions they stay as they are."""
+    sums = applied.groupBy(*KEY).agg(F.max("saving").alias("saving")).groupBy("basket_id", "store_id").agg(F.sum("saving").alias("__saving"))
     rows = totals.join(sums, ["basket_id", "store_id"], "left").withColumn("base_total", F.col("total"))
     saved = F.least(F.coalesce("__saving", F.lit(0)), F.col("base_total")).cast("decimal(10,2)")
-    return rows.withColumn("total_savings", saved).withColumn("total", (F.col("base_total") - F.col("total_savings")).cast("decimal(10,2)")).drop("__saving")
+    return rows.withColumn("total_savings", saved).withColumn("total", (F.col("base_total") - F.col("total_savings")).cast("decimal(10,2)")).withColumn("promotions_applied", F.col("__saving").isNotNull()).drop("__saving")
+
+
+def repriced_lines(lines: DataFrame, attributed: DataFrame) -> DataFrame:
+    """Lines with ``original``, ``saved`` (at most the original), ``final`` and the promotion that names the saving."""
+    own = attributed.select("basket_id", "store_id", "canonical_id", F.col("saved").alias("__saved"), "promotion_id")
+    rows = lines.join(own, ["basket_id", "store_id", "canonical_id"], "left").withColumn("original", money(F.col("unit_price") * F.col("quantity")))
+    rows = rows.withColumn("saved", F.least(F.round(F.coalesce("__saved", F.lit(0.0)), 2).cast("decimal(10,2)"), F.col("original")))
+    return rows.withColumn("final", (F.col("original") - F.col("saved")).cast("decimal(10,2)")).drop("__saved")
+
+
+def applied_list(applied: DataFrame, promotions: DataFrame) -> DataFrame:
+    """``basket_id, store_id, applied``: the promotions of each branch, dearest first, with description and saving."""
+    each = applied.groupBy(*KEY).agg(F.max("saving").alias("saving")).join(promotions.select("promotion_id", "description", "reward_kind"), "promotion_id")
+    entry = F.struct((-F.col("saving")).alias("order"), "promotion_id", "description", "reward_kind", "saving")
+    drop = lambda x: F.struct(*(x[k].alias(k) for k in ("promotion_id", "description", "reward_kind", "saving")))
+    return each.groupBy("basket_id", "store_id").agg(F.transform(F.array_sort(F.collect_list(entry)), drop).alias("applied"))
 
 
 def unit_cost(kind: Column, price: Column, min_qty: Column) -> Column:

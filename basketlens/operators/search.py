@@ -41,12 +41,13 @@ def word_search(products: DataFrame, queries: DataFrame, limit: int = 20) -> Dat
 def substring_search(products: DataFrame, queries: DataFrame, answered: DataFrame, limit: int = 20) -> DataFrame:
     """For queries without an answer: names or makers that contain the query.
 
-    A contained text shares its first three letters with some place of the name, so
-    that runs of three letters make this an equi-join; shorter queries find nothing.
+    A contained text shares its first letters, three at most, with some place of the
+    name, so that runs of one to three letters make this an equi-join.
     """
-    left = queries.join(answered.select("query_id").distinct(), "query_id", "left_anti").select("query_id", F.lower(tokens.norm_name(F.col("query"))).alias("q")).filter(F.char_length("q") >= 3)
-    fields = products.select(F.explode(F.array(F.lower("name_norm"), F.lower(F.coalesce("manufacturer", F.lit(""))))).alias("field")).distinct()
-    runs = fields.filter(F.char_length("field") >= 3).select("field", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length("field") - 2), lambda i: F.substring("field", i, F.lit(3))))).alias("__k"))
+    left = queries.join(answered.select("query_id").distinct(), "query_id", "left_anti").select("query_id", F.lower(tokens.norm_name(F.col("query"))).alias("q")).filter("q <> ''")
+    fields = products.select(F.explode(F.array(F.lower("name_norm"), F.lower(F.coalesce("manufacturer", F.lit(""))))).alias("field")).distinct().filter("field <> ''")
+    run = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("field") - (n - 1), F.lit(1))), lambda i: F.substring("field", i, F.lit(n)))
+    runs = fields.select("field", F.explode(F.array_distinct(F.concat(run(1), run(2), run(3)))).alias("__k"))
     met = left.withColumn("__k", F.substring("q", 1, 3)).join(runs, "__k").filter(F.contains("field", F.col("q"))).select("query_id", "q", "field").distinct()
     named = products.withColumn("field", F.explode(F.array_distinct(F.array(F.lower("name_norm"), F.lower(F.coalesce("manufacturer", F.lit("")))))))
     rows = met.join(named, "field").groupBy("query_id", "q", "name_norm").agg(F.min("product_id").alias("product_id"), F.coalesce(F.sum("availability"), F.lit(0)).alias("availability"))

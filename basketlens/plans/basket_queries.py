@@ -36,11 +36,11 @@ class Tables:
     @functools.cached_property
     def offered(self) -> DataFrame:
         offers = compare.best_offers(matching.candidates(self.products, self.reps), compare.city_prices(self.prices, self.stores))
-        return compare.offered_lines(self.lines, offers)
+        return compare.offered_lines(self.lines, offers).persist(StorageLevel.MEMORY_AND_DISK)
 
     @functools.cached_property
     def totals(self) -> DataFrame:
-        return compare.store_totals(self.offered, self.lines)
+        return compare.store_totals(self.offered)
 
     @functools.cached_property
     def single(self) -> DataFrame:
@@ -52,16 +52,16 @@ class Tables:
 
     @functools.cached_property
     def live(self) -> DataFrame:
-        return pricing.active_promotions(self.promotions, F.lit(b.NOW).cast("timestamp_ntz"))
+        return pricing.active_promotions(self.promotions, F.lit(b.NOW).cast("timestamp_ntz")).persist(StorageLevel.MEMORY_AND_DISK)
 
     @functools.cached_property
     def items(self) -> DataFrame:
-        return b.promotion_items(self.live)
+        return self.promotion_items.join(self.live.select("promotion_id"), "promotion_id", "left_semi")
 
     @functools.cached_property
     def promo_lines(self) -> DataFrame:
-        rows = self.offered.join(self.single.select("basket_id", "store_id"), ["basket_id", "store_id"], "left_semi")
-        return rows.select("basket_id", "store_id", F.col("product_id").alias("canonical_id"), "quantity", F.col("price").alias("unit_price")).persist(StorageLevel.MEMORY_AND_DISK)
+        rows = self.offered.join(self.single.select("basket_id", "store_id", F.col("total").alias("basket_total")), ["basket_id", "store_id"])
+        return rows.select("basket_id", "store_id", F.col("product_id").alias("canonical_id"), "quantity", F.col("price").alias("unit_price"), "basket_total").persist(StorageLevel.MEMORY_AND_DISK)
 
     @functools.cached_property
     def found(self) -> DataFrame:
@@ -104,9 +104,12 @@ RERANKED = f"""{PROMO}, posed2 AS (
   SELECT *, row_number() OVER (PARTITION BY basket_id ORDER BY is_complete DESC, CASE WHEN NOT is_complete THEN missing_count END NULLS FIRST, total, store_id) AS pos FROM repriced
 ) SELECT basket_id, store_id, pos, CASE WHEN is_complete THEN pos END AS rank, CAST(base_total AS DOUBLE) AS base_total, CAST(total AS DOUBLE) AS total, CAST(total_savings AS DOUBLE) AS total_savings FROM posed2"""
 
+#: Whether a promotion makes a line cheaper, in SQL.
+ADVERTISED = "CASE reward_kind WHEN 'FIXED_PRICE' THEN discounted_price > 0 AND discounted_price < unit_price WHEN 'BUNDLE_PRICE' THEN discounted_price < unit_price * min_qty WHEN 'AMOUNT_OFF' THEN false WHEN 'NTH_FREE' THEN min_qty >= 2 ELSE true END"
+
 #: Name: (function of the tables, SQL).
 QUERIES = {
-    "b20_validate_baskets": (lambda t: compare.validate_baskets(t.baskets)[1], f"{CTES} SELECT basket_id, CASE WHEN count(*) > 50 THEN 'too many lines' ELSE 'quantity' END AS reason FROM baskets GROUP BY 1 HAVING count(*) > 50 OR count(*) FILTER (quantity <= 0) > 0"),
+    "b20_validate_baskets": (lambda t: compare.validate_baskets(t.raw_baskets)[1], f"{PROMO} SELECT basket_id, CASE WHEN count(*) > 50 THEN 'too many lines' ELSE 'quantity' END AS reason FROM raw_baskets GROUP BY 1 HAVING count(*) > 50 OR count(*) FILTER (quantity <= 0) > 0"),
     "i1_basket_lines": (lambda t: t.lines.select("basket_id", "city", "product_id", *dbl("quantity")), f"{CTES} SELECT basket_id, city, product_id, CAST(quantity AS DOUBLE) AS quantity FROM lines"),
     "c4_same_name": (lambda t: matching.same_name(t.products, t.reps), f"{CTES} SELECT rep_id, product_id FROM tier2"),
     "c6_city_prices": (lambda t: compare.city_prices(t.prices, t.stores).select("city", "store_id", "product_id", *dbl("price")), f"{CTES} SELECT city, store_id, product_id, CAST(price AS DOUBLE) AS price FROM prices JOIN stores USING (store_id)"),
@@ -138,7 +141,7 @@ QUERIES = {
         f"{CTES}, k AS (SELECT DISTINCT chain_name, name_norm FROM prices JOIN stores USING (store_id) JOIN products USING (product_id)) SELECT basket_id, chain_name, count(DISTINCT product_id) AS items FROM lines JOIN products USING (product_id) JOIN k USING (name_norm) GROUP BY 1, 2",
     ),
     "b19_active": (lambda t: t.live.select("promotion_id", "store_id", "reward_kind"), f"{PROMO} SELECT promotion_id, store_id, reward_kind FROM live"),
-    "c7_active_promos": (lambda t: t.items.join(t.live.select("promotion_id", "store_id"), "promotion_id").join(t.promo_lines.select("store_id", "canonical_id").distinct(), ["store_id", "canonical_id"], "left_semi").select("promotion_id", "store_id", "canonical_id"), f"{PROMO} SELECT promotion_id, store_id, product_id AS canonical_id FROM live WHERE (store_id, product_id) IN (SELECT store_id, canonical_id FROM plines)"),
+    "c7_active_promos": (lambda t: t.items.join(t.live.select("promotion_id", "store_id"), "promotion_id").join(t.promo_lines.select("store_id", "canonical_id").distinct(), ["store_id", "canonical_id"], "left_semi").select("promotion_id", "store_id", "canonical_id"), f"{PROMO} SELECT promotion_id, store_id, canonical_id FROM live JOIN promo_items USING (promotion_id) WHERE (store_id, canonical_id) IN (SELECT store_id, canonical_id FROM plines)"),
     "j2_eligible_units": (_units, f"{PROMO} SELECT basket_id, store_id, promotion_id, canonical_id, CAST(take AS DOUBLE) AS take FROM covered"),
     "j3_fixed_price": (_kind("FIXED_PRICE"), _kind_sql("FIXED_PRICE")),
     "j4_pct_off": (_kind("PCT_OFF"), _kind_sql("PCT_OFF")),
@@ -148,15 +151,24 @@ QUERIES = {
     "j9_conflicts": (lambda t: pricing.conflicts(t.found), f"{PROMO} SELECT x.basket_id, x.store_id, x.promotion_id AS a, y.promotion_id AS b FROM found x JOIN found y USING (basket_id, store_id, canonical_id) WHERE x.promotion_id < y.promotion_id AND NOT (x.allow_stacking AND y.allow_stacking)"),
     "j11_resolve_conflicts": (lambda t: t.applied.select("basket_id", "store_id", "promotion_id", *dbl("saving")).distinct(), f"{PROMO} SELECT DISTINCT basket_id, store_id, promotion_id, CAST(saving AS DOUBLE) AS saving FROM applied"),
     "j12_attribute": (lambda t: t.attributed.select("basket_id", "store_id", "canonical_id", "promotion_id", F.round("saved", 2).alias("saved")), f"{PROMO} SELECT basket_id, store_id, canonical_id, promotion_id, round(saved, 2) AS saved FROM attributed"),
-    "j13_reprice": (lambda t: pricing.reprice(t.single, t.applied).select("basket_id", "store_id", *dbl("base_total", "total_savings", "total")), f"{PROMO} SELECT basket_id, store_id, CAST(base_total AS DOUBLE) AS base_total, CAST(total_savings AS DOUBLE) AS total_savings, CAST(total AS DOUBLE) AS total FROM repriced"),
+    "j13_reprice": (lambda t: pricing.reprice(t.single, t.applied).select("basket_id", "store_id", "promotions_applied", *dbl("base_total", "total_savings", "total")), f"{PROMO} SELECT basket_id, store_id, promotions_applied, CAST(base_total AS DOUBLE) AS base_total, CAST(total_savings AS DOUBLE) AS total_savings, CAST(total AS DOUBLE) AS total FROM repriced"),
     "j15_available_promo": (
         lambda t: pricing.available_promotions(t.promo_lines, t.attributed, t.live, t.items),
         f"""{PROMO} SELECT l.basket_id, l.store_id, l.canonical_id, v.promotion_id, CAST(CASE WHEN min_qty > quantity THEN min_qty - quantity END AS DOUBLE) AS units_short
-        FROM plines l JOIN live v ON v.store_id = l.store_id AND v.product_id = l.canonical_id ANTI JOIN attributed a ON a.basket_id = l.basket_id AND a.store_id = l.store_id AND a.canonical_id = l.canonical_id
-        WHERE CASE reward_kind WHEN 'FIXED_PRICE' THEN discounted_price > 0 AND discounted_price < unit_price WHEN 'BUNDLE_PRICE' THEN discounted_price < unit_price * min_qty WHEN 'AMOUNT_OFF' THEN false ELSE true END
+        FROM plines l JOIN promo_items i ON i.canonical_id = l.canonical_id AND NOT is_gift JOIN live v ON v.store_id = l.store_id AND v.promotion_id = i.promotion_id ANTI JOIN attributed a ON a.basket_id = l.basket_id AND a.store_id = l.store_id AND a.canonical_id = l.canonical_id
+        WHERE {ADVERTISED}
         QUALIFY row_number() OVER (PARTITION BY l.basket_id, l.store_id, l.canonical_id ORDER BY min_qty, v.promotion_id) = 1""",
     ),
-    "j16_alternative_promo": (lambda t: pricing.alternative_promotions(t.promo_lines, t.attributed, t.live, t.items).select("basket_id", "store_id", "canonical_id", "promotion_id"), None),
+    "j16_alternative_promo": (
+        lambda t: pricing.alternative_promotions(t.promo_lines, t.attributed, t.live, t.items).select("basket_id", "store_id", "canonical_id", "promotion_id"),
+        f"""{PROMO}, rivals AS (
+          SELECT l.basket_id, l.store_id, l.canonical_id, v.promotion_id, CASE v.reward_kind WHEN 'FIXED_PRICE' THEN CAST(v.discounted_price AS DOUBLE) WHEN 'BUNDLE_PRICE' THEN CAST(v.discounted_price AS DOUBLE) / CAST(v.min_qty AS DOUBLE) END AS cost,
+            (CAST(unit_price AS DOUBLE) * CAST(quantity AS DOUBLE) - saved) / CAST(quantity AS DOUBLE) AS charged
+          FROM plines l JOIN attributed a ON a.basket_id = l.basket_id AND a.store_id = l.store_id AND a.canonical_id = l.canonical_id JOIN live x ON x.promotion_id = a.promotion_id
+          JOIN promo_items i ON i.canonical_id = l.canonical_id AND NOT is_gift JOIN live v ON v.store_id = l.store_id AND v.promotion_id = i.promotion_id
+          WHERE v.promotion_id <> a.promotion_id AND v.min_qty <> x.min_qty AND {ADVERTISED.replace("reward_kind", "v.reward_kind").replace("discounted_price", "v.discounted_price").replace("min_qty", "v.min_qty")}
+        ) SELECT basket_id, store_id, canonical_id, promotion_id FROM rivals WHERE cost >= charged - 1e-9 QUALIFY row_number() OVER (PARTITION BY basket_id, store_id, canonical_id ORDER BY cost, promotion_id) = 1""",
+    ),
     "j17_rerank": (lambda t: t.reranked.select("basket_id", "store_id", "pos", "rank", *dbl("base_total", "total", "total_savings")), RERANKED),
     "j18_degrade": (
         lambda t: pricing.reprice(t.single, t.applied.limit(0)).select("basket_id", "store_id", *dbl("base_total", "total_savings", "total")),

@@ -105,11 +105,12 @@ QUERIES = {
     ),
     "c5_fuzzy": (
         _fuzzy,
-        rf"""{CTES}, f AS (SELECT DISTINCT name_norm, list_transform({NAME_TOKENS}, lambda x: lower(x)) AS brand, size_signature AS z, list_filter(string_split_regex(lower(name_norm), '[\s\-/,]+'), lambda w: w <> '') AS words FROM products),
-        m AS (SELECT q.name_norm AS query, c.name_norm AS candidate, len(list_filter(q.brand, lambda t: len(list_filter(c.words, lambda w: starts_with(w, t))) = 0)) = 0 AND (q.z = '' OR list_contains(c.words, q.z)) AS as_words
-          FROM f q JOIN f c ON (q.z = '' OR q.z = c.z) AND (len(c.brand) = 0 OR len(q.brand) = 0 OR starts_with(c.brand[1], q.brand[1]) OR starts_with(q.brand[1], c.brand[1]))
-          WHERE (len(q.brand) > 0 OR q.z <> '') AND len(list_filter(q.brand, lambda t: NOT contains(lower(c.name_norm), t))) = 0 AND contains(c.name_norm, q.z))
-        SELECT query, candidate FROM m QUALIFY as_words OR NOT bool_or(as_words) OVER (PARTITION BY query)""",
+        rf"""{CTES}, m AS (SELECT q.name_norm AS query, c.name_norm AS candidate, len(list_filter(q.brand, lambda t: len(list_filter(c.words, lambda w: starts_with(w, t))) = 0)) = 0 AND (q.z = '' OR list_contains(c.words, q.z)) AS as_words,
+            (q.z = '' OR q.z = c.z) AND (len(c.brand) = 0 OR len(q.brand) = 0 OR starts_with(c.brand[1], q.brand[1]) OR starts_with(q.brand[1], c.brand[1])) AS agree
+          FROM features q JOIN features c ON len(q.brand) = 0 OR contains(lower(c.name_norm), q.brand[1])
+          WHERE (len(q.brand) > 0 OR q.z <> '') AND len(list_filter(q.brand, lambda t: NOT contains(lower(c.name_norm), t))) = 0 AND contains(c.name_norm, q.z)),
+        d AS (SELECT *, bool_or(as_words) OVER (PARTITION BY query) AS any_words FROM m)
+        SELECT query, candidate FROM d WHERE agree AND (as_words OR NOT any_words)""",
     ),
     "c8_products_for_chains": (lambda t: canonical.products_for_chains(t.products, t.prices, t.stores, ["1", "2", "3"]).select("product_id"), f"{CTES} SELECT product_id FROM products WHERE product_id IN (SELECT product_id FROM prices JOIN stores USING (store_id) WHERE chain_id IN ('1', '2', '3'))"),
     "c9_orphans": (lambda t: canonical.orphans(canonical.build_canonical(t.products), canonical.map_products(t.products.filter("product_id % 3 = 0"))).select("name_norm", "size_signature"), f"{CTES} SELECT name_norm, size_signature FROM products GROUP BY 1, 2 HAVING count(*) FILTER (product_id % 3 = 0) = 0"),
@@ -127,7 +128,12 @@ QUERIES = {
     ),
     "d7_dq_all": (lambda t: quality.dq_all(t.prices, t.stores), f"{CTES} SELECT count(*) AS prices, count(*) FILTER (s.store_id IS NULL) AS orphans, count(*) FILTER (price <= 0) AS bad, count(*) > 0 AND count(*) FILTER (s.store_id IS NULL) = 0 AND count(*) FILTER (price <= 0) <= 0.001 * count(*) AS ok FROM prices p LEFT JOIN stores s ON p.store_id = s.store_id"),
     "d8_chain_profile": (lambda t: quality.chain_profile(t.prices, t.stores).drop("share"), f"{CTES} SELECT chain_name, count(*) AS prices, count(DISTINCT store_id) AS stores, count(DISTINCT product_id) AS products FROM prices JOIN stores USING (store_id) GROUP BY 1"),
-    "d13_audit_promotions": (lambda t: quality.audit_promotions(t.promotions, b.promotion_items(t.promotions), t.prices, F.lit(b.NOW).cast("timestamp_ntz")).select("description", "branches"), None),
+    "d13_audit_promotions": (
+        lambda t: quality.audit_promotions(t.promotions, t.promotion_items, t.prices, F.lit(b.NOW).cast("timestamp_ntz")).select("description", "branches", *dbl("discounted_price", "shelf")),
+        f"""{PROMO} SELECT description, count(DISTINCT store_id) AS branches, CAST(discounted_price AS DOUBLE) AS discounted_price, CAST(min(price) AS DOUBLE) AS shelf
+        FROM promos v JOIN promo_items i USING (promotion_id) JOIN prices r ON r.store_id = v.store_id AND r.product_id = i.canonical_id
+        WHERE reward_kind = 'FIXED_PRICE' AND (ends_at IS NULL OR ends_at >= TIMESTAMP '2026-06-15 12:00:00') AND description <> 'offer AR' GROUP BY description, v.discounted_price HAVING v.discounted_price < min(price) * 0.6 ORDER BY branches DESC, description, discounted_price LIMIT 25""",
+    ),
     "d14_mixed_packs": (
         lambda t: quality.audit_mixed_packs(t.products.withColumn("name", F.when(F.col("product_id") % 5 == 0, F.concat("name", F.lit(" 4*50"))).otherwise(F.col("name"))), canonical.map_products(t.products)).select("packs", "members"),
         f"{CTES} SELECT count(*) FILTER (product_id % 5 = 0) AS packs, count(*) AS members FROM products GROUP BY name_norm, size_signature HAVING count(*) FILTER (product_id % 5 = 0) BETWEEN 1 AND count(*) - 1",

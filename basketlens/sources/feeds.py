@@ -25,6 +25,26 @@ def read_feed(spark: SparkSession, paths: str | Sequence[str], columns: Sequence
     return rows.filter(F.col("_bad").isNull()).drop("_bad")
 
 
+def read_feeds(spark: SparkSession, paths: Sequence[str], splittable: bool = False) -> DataFrame:
+    """Feeds whose columns differ in names and order: each file is read by its own header (lower-cased), and what a file lacks is null."""
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for path in paths:
+        names = spark.read.option("header", True).option("multiLine", not splittable).csv(path).columns
+        by_header.setdefault(tuple(n.strip().lstrip("\ufeff").lower() for n in names), []).append(path)
+    parts = [read_feed(spark, own, list(names), splittable) for names, own in by_header.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def chain_ids(raw: DataFrame) -> DataFrame:
+    """``file, chain_id``: the first chain id of each store feed that is one."""
+    own = F.trim("chainid")
+    good = F.col("chainid").isNotNull() & ~F.lower(own).isin("", "none", "null")
+    return raw.filter(good).groupBy("file").agg(F.min_by(own, F.col("ord")).alias("chain_id"))
+
+
 def chain_files(spark: SparkSession, folder: str, slugs: Sequence[str], full: bool = False) -> dict[str, dict[str, str]]:
     """Existing store, price and promotion files of each chain; promotions fall back from full to snapshot files."""
     jvm = spark.sparkContext._jvm
@@ -41,7 +61,7 @@ def chain_files(spark: SparkSession, folder: str, slugs: Sequence[str], full: bo
 
 
 def _blank(c: Column) -> Column:
-    return c.isNull() | F.trim(c).isin("", "''", '""')
+    return c.isNull() | F.regexp_replace(c, r"(?U)^\s+|\s+$", "").isin("", "''", '""')
 
 
 def forward_fill(df: DataFrame, columns: Sequence[str], file: str, order: str, block: Column | None = None) -> DataFrame:

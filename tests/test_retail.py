@@ -139,16 +139,27 @@ def test_best_subset_is_best():
     for _ in range(200):
         n = rng.randrange(1, 9)
         saving = {i: rng.randrange(1, 20) for i in range(n)}
-        bad = {i: set() for i in range(n)}
-        for a, b in itertools.combinations(range(n), 2):
-            if rng.random() < 0.4:
-                bad[a].add(b)
-                bad[b].add(a)
+        items = {i: set(rng.sample(range(6), rng.randrange(1, 4))) for i in range(n)}
+        stacks = {i: rng.random() < 0.5 for i in range(n)}
+        bad = {i: {j for j in range(n) if j != i and items[i] & items[j] and not (stacks[i] and stacks[j])} for i in range(n)}
         best = max(sum(saving[i] for i in s) for k in range(n + 1) for s in itertools.combinations(range(n), k) if all(b not in bad[a] for a, b in itertools.combinations(s, 2)))
-        own = pricing.best_subset(list(range(n)), saving, bad)
+        own = pricing.best_subset(list(range(n)), saving, stacks, items)
         assert sum(saving[i] for i in own) == best and all(b not in bad[a] for a, b in itertools.combinations(own, 2))
 
 
+def test_promotions_of_one_item_are_settled_like_the_others(spark):
+    """The shortcut for promotions that take one item agrees with the search."""
+    rng = random.Random(6)
+    rows, want = [], set()
+    for basket in range(60):
+        n = rng.choice([1, 2, 3, 5, 16])
+        own = {basket * 100 + i: (Decimal(rng.randrange(1, 9)), rng.random() < 0.5) for i in range(n)}
+        rows += [(basket, 1, i, 7, Decimal(1), saving, stacks, 1) for i, (saving, stacks) in own.items()]
+        want |= set(pricing.best_subset(sorted(own), {i: x[0] for i, x in own.items()}, {i: x[1] for i, x in own.items()}, {i: {7} for i in own}))
+    found = spark.createDataFrame(rows, "basket_id long, store_id long, promotion_id long, canonical_id long, used decimal(12,3), saving decimal(10,2), allow_stacking boolean, items long")
+    assert {r["promotion_id"] for r in pricing.resolve_conflicts(found).collect()} == want
+
+
 def test_compare(spark):
     stores = spark.createDataFrame([(10, "1", "A", "x", "s10", "a"), (20, "2", "B", "x", "s20", "b"), (30, "3", "C", "x", "s30", "c"), (31, "3", "C", "x", "s30", "")], "store_id long, chain_id string, chain_name string, city string, store_name string, address string")
     products = spark.createDataFrame([(i, f"p{i}", f"p{i}") for i in (1, 2, 3)], "product_id long, name string, name_norm string")
