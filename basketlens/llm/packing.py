@@ -14,6 +14,7 @@ other columns of the input are ignored.
 from __future__ import annotations
 
 import bisect
+import math
 import os
 import re
 import zlib
@@ -31,8 +32,8 @@ from basketlens.llm.words import earliest, held, slices
 CAPACITY = 2048
 #: Distinct words whose ids a worker remembers; more only cost time.
 REMEMBERED = 800_000
-#: Fillings that are looked at before the best one so far is taken.
-NODES = 400
+#: Nodes of the search for one filling before the best one so far is taken; more are spent only while the plan is above the lower bound.
+NODES = (400, 1600, 6400)
 #: Pieces of one length that one group ranks, on average at most.
 RANK_ROWS = 5_000
 
@@ -46,7 +47,8 @@ class WordIds(dict):
     """Little-endian 32-bit ids of white-space-free chunks, filled as chunks are met.
 
     The tokenizer turns white space into plain breaks, so that a text's ids are
-    those of its chunks, one after the other.
+    those of its chunks, one after the other.  A text that spells out a special
+    token, which may reach over chunks, goes to the tokenizer as a whole.
     """
 
     def __init__(self, path: str):
@@ -55,7 +57,8 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, added)) if added else r"(?!)")
 
     def learn(self, words: set[bytes]) -> None:
         fresh = words.difference(self)
@@ -70,10 +73,14 @@ class WordIds(dict):
 
     def ids(self, texts: list[str | None]) -> Iterator[bytes]:
         """Of each text; words are learnt for all of them together."""
-        split = [STOP.sub(rb" \g<0>", x.encode()).split() if x else [] for x in texts]
+        whole = {i for i, x in enumerate(texts) if x and self.special.search(x)}
+        split = [STOP.sub(rb" \g<0>", x.encode()).split() if x and i not in whole else [] for i, x in enumerate(texts)]
         self.learn(set().union(*split))
-        for words in split:
-            yield b"".join(map(self.__getitem__, words))
+        for i, words in enumerate(split):
+            if i in whole:
+                yield np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, dtype="<u4").tobytes()
+            else:
+                yield b"".join(map(self.__getitem__, words))
 
 
 def word_ids(path: str) -> WordIds:
@@ -114,14 +121,14 @@ def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, ids: boo
     return map_arrow(texts(docs), run, PIECES + ", ids array<int>" * ids)
 
 
-def complete(lengths: list[int], counts: dict[int, int], room: int) -> list[int]:
+def complete(lengths: list[int], counts: dict[int, int], room: int, nodes: int) -> list[int]:
     """The fullest found filling of ``room`` from the lengths at hand, larger items first.
 
-    Branch and bound over undominated fillings: items are tried from large to
-    small, so that a filling that another of the same fullness with a larger
-    item dominates comes later and is not kept.  The greedy best fit is the
-    first incumbent; a branch is left when even filling its room would not
-    waste less than the incumbent.
+    Branch and bound over undominated fillings.  The greedy best fit is the first
+    incumbent.  Items are tried from large to small; of the items behind which
+    nothing more fits only the largest is tried, as it dominates the others.  A
+    branch is left when all smaller items together could not fill its room better
+    than the incumbent does.
     """
     best: list[int] = []
     left = room
@@ -137,7 +144,9 @@ def complete(lengths: list[int], counts: dict[int, int], room: int) -> list[int]
         else:
             at -= 1
     waste = left
-    nodes = 0
+    if not waste or not lengths:
+        return best
+    below = np.concatenate([[0], np.cumsum(np.array(lengths, np.int64) * np.array([counts[x] for x in lengths]))]).tolist()
     used: dict[int, int] = {}
 
     def branch(top: int, left: int, chosen: list[int]) -> None:
@@ -145,43 +154,42 @@ def complete(lengths: list[int], counts: dict[int, int], room: int) -> list[int]
         if left < waste:
             best, waste = list(chosen), left
         at = bisect.bisect_right(lengths, left, 0, top)
-        while at and waste and nodes < NODES:
+        while at and waste and nodes > 0 and left - below[at] < waste:
             size = lengths[at - 1]
-            n = counts[size] - used.get(size, 0)
-            if size * 64 < left:  # the rest is too small to fill the room to any use
-                break
-            if n > 0:
-                nodes += 1
+            if counts[size] > used.get(size, 0):
+                nodes -= 1
                 used[size] = used.get(size, 0) + 1
                 chosen.append(size)
                 branch(at, left - size, chosen)
                 chosen.pop()
                 used[size] -= 1
+                if left - size < lengths[0]:  # smaller ones are dominated
+                    break
             at -= 1
 
-    if waste:
-        branch(len(lengths), room, [])
+    branch(len(lengths), room, [])
     return best
 
 
-def bin_completion(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
-    """Fillings (lengths, larger first) with multiplicities that use up a histogram of lengths.
-
-    The largest length left is completed again and again; a filling is repeated
-    as often as the counts allow, so that every step uses up some length.
-    """
+def _plan(histogram: dict[int, int], capacity: int, nodes: int, most: float) -> list[tuple[list[int], int]] | None:
+    """Fillings with multiplicities, or None as soon as they need ``most`` sequences or more."""
     counts = {k: n for k, n in histogram.items() if n > 0}
     lengths = sorted(counts)
     plan: list[tuple[list[int], int]] = []
+    total = sum(k * n for k, n in counts.items())
+    waste = 0
     while lengths:
         top = lengths[-1]
         counts[top] -= 1
-        rest = complete(lengths, counts, capacity - top)
+        rest = complete(lengths, counts, capacity - top, nodes)
         counts[top] += 1
         filling = [top, *rest]
         need = {x: filling.count(x) for x in set(filling)}
         times = min(counts[x] // n for x, n in need.items())
         plan.append((filling, times))
+        waste += times * (capacity - sum(filling))
+        if -(-(total + waste) // capacity) >= most:  # what is wasted cannot be won back
+            return None
         for x, n in need.items():
             counts[x] -= n * times
             if not counts[x]:
@@ -190,6 +198,27 @@ def bin_completion(histogram: dict[int, int], capacity: int = CAPACITY) -> list[
     return plan
 
 
+def bin_completion(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
+    """Fillings (lengths, larger first) with multiplicities that use up a histogram of lengths.
+
+    The largest length left is completed again and again; a filling is repeated
+    as often as the counts allow, so that every step uses up some length.  The plan
+    of best fit alone is the first incumbent.  Searches with more and more nodes
+    follow until the lower bound (all tokens, or the pieces of more than half a
+    sequence) is reached; each is left as soon as its waste is as large as the
+    incumbent's.
+    """
+    halves = sum(n for k, n in histogram.items() if 2 * k > capacity)
+    bound = max(-(-sum(k * n for k, n in histogram.items()) // capacity), halves)
+    best = _plan(histogram, capacity, 0, math.inf)
+    for nodes in NODES:
+        n = sum(times for _, times in best)
+        if n <= bound:
+            break
+        best = _plan(histogram, capacity, nodes, n) or best
+    return best
+
+
 def places(plan: list[tuple[list[int], int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each length: first ranks, first sequences and offsets of its runs of places."""
     out: dict[int, list[list[int]]] = {}
