@@ -76,7 +76,7 @@ def _both(a: Query, b: Query) -> Query:
 
 
 def _trigrams(texts: set[str]) -> Query:
-    return frozenset(frozenset(t[i : i + 3] for i in range(len(t) - 2)) for t in texts)
+    return frozenset(frozenset(x for i in range(len(t) - 2) if (x := t[i : i + 3]).isascii()) for t in texts)
 
 
 def trigram_query(pattern: str) -> Query:
@@ -143,7 +143,7 @@ class TrigramIndex:
 
     def __init__(self, wanted: list[str]):
         self.wanted = wanted
-        self.number = np.zeros(1 << 24, dtype=np.uint8)
+        self.number = np.zeros(1 << 24, dtype=np.uint16)
         for i, t in enumerate(wanted):
             a, b, c = t.encode("ascii")
             self.number[a << 16 | b << 8 | c] = i + 1
