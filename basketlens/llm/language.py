@@ -3,13 +3,14 @@
 For each language a suffix automaton of labelled text is built.  A text is cut
 greedily into the longest phrases that occur in the automaton's text; the
 language that needs the fewest phrases, weighted by the bits that a phrase of its
-reference takes, wins.  A word is parsed together with the blanks around it and
-phrases end at words, so that a word is parsed once for each language however
-often it occurs; every word of every text counts.
+reference takes, wins.  Case and what is between words do not count: a text is its
+runs of letters, one blank apart, in units that end with a line or sentence, where
+phrases end too; within a unit phrases run over words.  All units of a slice are
+parsed together, one character of each at a time.
 
-Models learn from a bounded, documented sample: about ``LEARN_ROWS`` labelled rows
-of each language (rows with the smallest hashes) and no more than
-``LEARN_CHARS`` characters of their distinct words.
+Models learn from a bounded, documented sample: whole labelled texts, one row for
+each text, in the order of their hashes, at most ``LEARN_ROWS`` for each language and
+as many as fit into ``LEARN_CHARS`` characters of all languages together.
 
 Defined results: ``und`` with score 0 for a null text or one without a letter;
 no labelled rows at all give ``und`` everywhere; of equally good languages the
@@ -21,24 +22,31 @@ from __future__ import annotations
 import math
 import re
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlens.llm.frames import held_out, map_arrow
-from basketlens.llm.words import Remembered, held, per_row, slices
+from basketlens.llm.words import held, per_row, slices
 
-LEARN_ROWS = 200
-LEARN_CHARS = 60_000
+LEARN_ROWS = 60
+LEARN_CHARS = 320_000
+#: Letters that the automata tell apart; rarer ones are like letters that no labelled text has.
+ALPHABET = 62
 LETTERS = re.compile(r"[^\W\d_]+")
+ENDS = re.compile(r"[.!?\n]+")
+
+
+def units(text: str) -> list[str]:
+    """The letters of a text's sentences and lines, words one blank apart."""
+    return [f" {' '.join(own)} " for part in ENDS.split(text.lower()) if (own := LETTERS.findall(part))]
 
 
 class SuffixAutomaton:
-    """Substrings of a reference text, as transitions ``state << 21 | character -> state``."""
+    """Substrings of a reference text, as transitions (state, character, next state)."""
 
     def __init__(self, text: str):
         moves, links, lengths, last = [{}], [-1], [0], 0
@@ -65,43 +73,72 @@ class SuffixAutomaton:
                         p = links[p]
                     links[q] = links[new] = copy
             last = new
-        self.moves = {s << 21 | c: t for s, own in enumerate(moves) for c, t in own.items()}
+        self.moves = np.array([(s, c, t) for s, own in enumerate(moves) for c, t in own.items()], np.int32).reshape(-1, 3)
+        self.states = len(moves)
         self.bits = math.log2(len(text) + 2)
 
-    def phrases(self, text: str) -> int:
-        """Into how many longest matches the text falls; an unknown character is one of its own."""
-        get, state, n = self.moves.get, 0, 0
-        for c in map(ord, text):
-            to = get(state << 21 | c)
-            if to is None:
-                n += state > 0
-                to = get(c)
-                if to is None:
-                    n, to = n + 1, 0
-            state = to
-        return n + (state > 0)
+    def table(self, alphabet: np.ndarray) -> np.ndarray:
+        """The next state by state and number of a character in ``alphabet``; 0 where there is none or for unknown characters."""
+        out = np.zeros((self.states, len(alphabet) + 2), np.int32)
+        at = np.searchsorted(alphabet, self.moves[:, 1])
+        known = alphabet[np.minimum(at, len(alphabet) - 1)] == self.moves[:, 1]
+        out[self.moves[known, 0], at[known] + 1] = self.moves[known, 2]
+        return out
+
+
+class Parser:
+    """Cross-parses units against the automata of all languages."""
+
+    def __init__(self, automata: list[SuffixAutomaton]):
+        seen = np.concatenate([a.moves[:, 1] for a in automata] or [np.zeros(0, np.int32)])
+        chars, n = np.unique(seen, return_counts=True)
+        alphabet = np.sort(chars[np.argsort(-n, kind="stable")][: ALPHABET + 1])
+        self.number = np.full(0x110000, len(alphabet) + 1, np.uint8)  # of a character; the last one for unknown characters
+        self.number[alphabet] = np.arange(1, len(alphabet) + 1)
+        self.tables = [a.table(alphabet) for a in automata]
+
+    def phrases(self, own: list[str]) -> np.ndarray:
+        """Into how many longest matches each unit falls, by language; an unknown character is one of its own."""
+        size = np.array([len(x) for x in own], np.int64)
+        order = np.argsort(-size, kind="stable")
+        starts = (np.cumsum(size) - size)[order]
+        data = self.number[np.frombuffer("".join(own).encode("utf-32-le"), np.uint32)]
+        still = np.searchsorted(-size[order], -np.arange(size.max(initial=0)), side="left")  # units longer than each step
+        out = np.zeros((len(own), len(self.tables)), np.int32)
+        for j, table in enumerate(self.tables):
+            width, flat = table.shape[1], table.ravel()
+            state, count = np.zeros(len(own), np.int32), np.zeros(len(own), np.int32)
+            for step, n in enumerate(still.tolist()):
+                c = data[starts[:n] + step]
+                before = state[:n]
+                to = flat[before * width + c]
+                cut = np.flatnonzero(to == 0)
+                if len(cut):
+                    again = flat[c[cut].astype(np.int32)]
+                    count[cut] += before[cut] > 0
+                    count[cut] += again == 0
+                    to[cut] = again
+                state[:n] = to
+            out[order, j] = count + (state > 0)
+        return out
 
 
 def learn(docs: DataFrame, rows: int = LEARN_ROWS, chars: int = LEARN_CHARS) -> dict[str, SuffixAutomaton]:
-    """Automata by language from rows with ``text`` and ``lang``, of a sample of about ``rows`` rows each."""
+    """Automata by language from rows with ``text`` and ``lang``, of whole texts of a bounded sample."""
     docs = docs.select("text", "lang").filter("text is not null and lang is not null").withColumn("h", F.xxhash64("text"))
-    counts = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.approx_count_distinct("h", 0.01).alias("n")).collect()}
     if not counts:
         return {}
-    most = {k: int(min(1.0, 2 * rows / n) * 2.0**64 - 2.0**63) if n > 2 * rows else 2**63 - 1 for k, n in counts.items()}
+    most = {k: int(min(1.0, 3 * rows / n) * 2.0**64 - 2.0**63) if n > 3 * rows else 2**63 - 1 for k, n in counts.items()}
     limits = docs.sparkSession.createDataFrame(list(most.items()), "lang string, most long")
-    sample = docs.join(F.broadcast(limits), "lang").filter("h <= most").select("lang", "h", "text").collect()
+    chosen = docs.join(F.broadcast(limits), "lang").filter("h <= most").groupBy("lang", "h").agg(F.first("text").alias("text"), F.min(F.char_length("text")).alias("n"))
+    by_hash = Window.partitionBy("lang").orderBy("h")  # about three times the asked rows
+    chosen = chosen.withColumn("place", F.row_number().over(by_hash)).withColumn("chars", F.sum("n").over(by_hash.rowsBetween(Window.unboundedPreceding, 0)))
+    sample = chosen.filter((F.col("place") == 1) | (F.col("place") <= rows) & (F.col("chars") <= chars // len(counts))).select("lang", "h", "text").collect()
     models = {}
     for lang in sorted(counts):
-        seen: Counter[str] = Counter()
-        for r in sorted((r for r in sample if r["lang"] == lang), key=lambda r: r["h"])[:rows]:
-            seen.update(LETTERS.findall(r["text"].lower()))
-        text = " "
-        for word, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0])):
-            if len(text) + len(word) >= chars:
-                break
-            text += word + " "
-        models[lang] = SuffixAutomaton(text)
+        own = sorted((r for r in sample if r["lang"] == lang), key=lambda r: r["h"])
+        models[lang] = SuffixAutomaton("\n".join(x for r in own for x in units(r["text"])))
     return models
 
 
@@ -111,25 +148,18 @@ def identify(docs: DataFrame, models: dict[str, SuffixAutomaton]) -> DataFrame:
     fields = [f"`{c}` {kind}" for c, kind in docs.dtypes if c in names]
     langs = sorted(models)
     name = str(uuid.uuid4())
-    shared = docs.sparkSession.sparkContext.broadcast([models[k] for k in langs])  # at most LEARN_CHARS each
+    shared = docs.sparkSession.sparkContext.broadcast([models[k] for k in langs])  # at most LEARN_CHARS and one text each
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automata = shared.value
         bits = np.array([a.bits for a in automata])
-
-        def compute(words: list[bytes]) -> np.ndarray:
-            out = np.zeros((len(words), len(automata) + 1), np.int32)
-            for i, word in enumerate(words):
-                for part in LETTERS.findall(word.decode().lower()):
-                    out[i, -1] += len(part)
-                    part = f" {part} "
-                    for j, a in enumerate(automata):
-                        out[i, j] += a.phrases(part)
-            return out
-
-        known = held(name, lambda: Remembered(compute))
+        parser = held(name, lambda: Parser(automata))
         for batch in (part for batch in batches for part in slices(batch, "text")):
-            sums = per_row(*known.of(batch.column("text").to_pylist()))
+            own = [units(t) if t else [] for t in batch.column("text").to_pylist()]
+            flat = [x for part in own for x in part]
+            counts = np.array([len(part) for part in own], np.int64)
+            size = np.array([len(x) for x in flat], np.int32)
+            sums = per_row(np.concatenate([parser.phrases(flat), size[:, None]], axis=1), counts)
             preds, scores = [], []
             for own in sums:
                 if not own[-1] or not langs:
