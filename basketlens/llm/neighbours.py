@@ -1,11 +1,11 @@
 """Approximate nearest neighbours with a permutation index.
 
-A vector is represented by the order in which a few pivots are near to it.  The
-index keeps an inverted file for each pivot: at which place the pivot stands in the
-permutation of every vector of a block.  A query adds up, pivot by pivot, how far
-these places are from the pivot's place in its own permutation (the footrule
-distance), reranks the nearest share of every block by inner product in double
-precision, and merges the blocks' best.
+A vector is represented by the pivots that are nearest to it, in their order, and is
+posted in these pivots' inverted files with the pivot's place.  A query reads the
+files of its own nearest pivots alone and adds up, pivot by pivot, how far the
+places are from its own (the footrule distance, where a pivot that is not among the
+nearest stands behind them all), reranks the nearest share of every block by inner
+product in double precision, and merges the blocks' best.
 
 Blocks have a bounded number of vectors, and queries are packed in blocks too, so
 that tasks compare one block with another.  Pivots are a bounded sample
@@ -31,10 +31,11 @@ from pyspark.sql import functions as F
 
 from basketlens.llm.frames import cut, map_arrow
 
-PIVOTS = 128
+#: Pivots, and how many of them a vector is posted under.
+PIVOTS, NEAREST = 512, 64
 BLOCK, QUERY_BLOCK = 8192, 512
-#: Share of a block that is reranked, and how many vectors at least.
-RERANKED, LEAST = 0.12, 400
+#: Share of a block that is reranked, and how many times the asked number of vectors at least.
+RERANKED, LEAST = 0.25, 4
 #: Distinct vectors that a task gathers before it hands them on.
 GATHERED = 50_000
 
@@ -86,15 +87,20 @@ def distinct(rows: DataFrame, k: int) -> DataFrame:
     return found.groupBy("key").agg(ids.alias("ids"), F.first("vector").alias("vector"))
 
 
-def permutations(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """The place of every pivot in the permutation of every vector, pivots first."""
-    order = np.argsort(-(vectors @ pivots.T), axis=1, kind="stable")
-    place = np.empty_like(order)
-    np.put_along_axis(place, order, np.arange(order.shape[1])[None], axis=1)
-    return np.ascontiguousarray(place.T).astype(np.int16)
+def nearest_pivots(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """The numbers of the nearest pivots of every vector, nearest first."""
+    return np.argsort(-(vectors @ pivots.T), axis=1, kind="stable")[:, :NEAREST]
 
 
-INDEX = "block long, ids array<array<long>>, vectors binary, postings binary"
+def inverted_files(vectors: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each pivot's file begins, and the vectors and places of all files one after the other."""
+    near = nearest_pivots(vectors, pivots)
+    order = np.argsort(near, axis=None, kind="stable")
+    begins = np.searchsorted(near.ravel()[order], np.arange(len(pivots) + 1))
+    return begins.astype(np.int32), (order // near.shape[1]).astype(np.int32), (order % near.shape[1]).astype(np.int16)
+
+
+INDEX = "block long, ids array<array<long>>, vectors binary, begins binary, posted binary, places binary"
 
 
 def index(vectors: DataFrame, pivots: np.ndarray, blocks: int) -> DataFrame:
@@ -104,17 +110,23 @@ def index(vectors: DataFrame, pivots: np.ndarray, blocks: int) -> DataFrame:
         raw = b"".join(block.column("vector").to_pylist())
         own = np.frombuffer(raw, np.float64).reshape(block.num_rows, -1)
         ids = pa.array([block.column("ids").to_pylist()], pa.list_(pa.list_(pa.int64())))
-        return pa.table([block.column("block")[:1], ids, pa.array([raw], pa.binary()), pa.array([permutations(own, pivots).tobytes()], pa.binary())], names=["block", "ids", "vectors", "postings"])
+        files = [pa.array([x.tobytes()], pa.binary()) for x in inverted_files(own, pivots)]
+        return pa.table([block.column("block")[:1], ids, pa.array([raw], pa.binary()), *files], names=["block", "ids", "vectors", "begins", "posted", "places"])
 
     return vectors.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks))).groupBy("block").applyInArrow(pack, INDEX)
 
 
-def footrule_nearest(postings: np.ndarray, place: np.ndarray, depth: int) -> np.ndarray:
-    """The ``depth`` vectors of a block whose permutations are nearest to the one with these places."""
-    total = np.zeros(postings.shape[1], np.int32)
-    for file, own in zip(postings, place, strict=True):
-        total += np.abs(file - own)
-    return np.argpartition(total, depth - 1)[:depth] if depth < len(total) else np.arange(len(total))
+def footrule_nearest(files: tuple[np.ndarray, np.ndarray, np.ndarray], n: int, near: np.ndarray, depth: int) -> np.ndarray:
+    """The ``depth`` of ``n`` vectors whose nearest pivots are most alike to ``near``."""
+    if depth >= n:
+        return np.arange(n)
+    begins, posted, places = files
+    last = len(near)
+    less = np.zeros(n, np.int32)  # than the distance of a vector without any of these pivots
+    for place, pivot in enumerate(near.tolist()):
+        own = slice(begins[pivot], begins[pivot + 1])
+        less[posted[own]] += last - place - np.abs(places[own] - place)
+    return np.argpartition(-less, depth - 1)[:depth]
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -148,15 +160,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     def compare(cell: pa.Table) -> pa.Table:
         """The best of one block for one block of queries."""
-        row = {c: cell.column(c)[0].as_py() for c in ("ids", "vectors", "postings", "keys", "queries")}
+        row = {c: cell.column(c)[0].as_py() for c in ("ids", "vectors", "begins", "posted", "places", "keys", "queries")}
         own = np.frombuffer(row["vectors"], np.float64).reshape(len(row["ids"]), -1)
-        postings = np.frombuffer(row["postings"], np.int16).reshape(len(pivots), -1)
+        files = tuple(np.frombuffer(row[c], kind) for c, kind in (("begins", np.int32), ("posted", np.int32), ("places", np.int16)))
         asked_vectors = np.frombuffer(row["queries"], np.float64).reshape(len(row["keys"]), -1)
-        places = permutations(asked_vectors, pivots).T
-        depth = max(LEAST, int(RERANKED * len(own)))
+        asked_near = nearest_pivots(asked_vectors, pivots)
+        depth = max(LEAST * (k + 1), int(RERANKED * len(own)))
         out: tuple[list, list, list] = ([], [], [])
-        for key, vector, place in zip(row["keys"], asked_vectors, places, strict=True):
-            near = footrule_nearest(postings, place, depth)
+        for key, vector, order in zip(row["keys"], asked_vectors, asked_near, strict=True):
+            near = footrule_nearest(files, len(own), order, depth)
             score = (own[near] * vector).sum(axis=1)
             if len(near) > k + 1:
                 bound = np.partition(score, len(score) - k - 1)[len(score) - k - 1]
