@@ -1,16 +1,19 @@
 """URL filters: host and path rules first, then a tree of path templates for each host.
 
-The tree's nodes are prefixes of templates.  A segment becomes a wildcard if it is
-made of digits (with what stands around them kept), or if its node has many
-children that hardly repeat.  Sibling templates whose labelled shares do not differ
-significantly are merged.  Above the hosts the tree goes on with their suffixes:
-``com``, ``example.com``, ``www.example.com``, then the path's nodes, then the template.
+The tree is built from the top, level by level: the children of a node become one
+wildcard if they are many and hardly repeat, and what lies below them is counted
+together from then on.  Digit runs are wildcards from the start (what stands around
+them is kept).  Sibling branches whose labelled shares do not differ significantly
+are merged, at every level.  Above the hosts the tree goes on with their suffixes:
+``com``, ``example.com``, ``www.example.com``, then the path's nodes down to the template.
 The share of labelled bad pages is smoothed from the root down, so that each node
 starts from the share of its parent and labels reach templates that have none.
 A template is rejected if its share reaches the threshold.
 
 Everything is DataFrame expressions; counts cover all pages, and are summed before
-any shuffle, so that a host with a third of all pages is no hot group.
+any shuffle, so that a host with a third of all pages is no hot group.  Templates go
+back to their pages by a join in which the few paths that a thousandth of all
+pages have (a thousand at most) are broadcast.
 
 Defined results: a null url or one without ``://`` has an empty host and path and
 the empty template; repeated rows each get their own result; an empty table gives
@@ -22,9 +25,11 @@ from __future__ import annotations
 import string
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from basketlens.llm.frames import cut
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -39,14 +44,14 @@ class Rule:
 
 #: The rules of the registered query.
 RULES = (Rule("net", "/", "block"), Rule("example.net", "/en/", "allow"), Rule("example.com", "/de/", "block"), Rule("org", "/fr/", "allow"))
-#: Segments below this depth are one wildcard.
-DEPTH = 6
 #: A node with at least so many children, of which each has at most so many pages on average, generalises them.
 CHILDREN, PAGES_EACH = 20, 3
 #: Virtual labelled pages with the parent's share of bad ones, and the share from which a template is rejected.
 SMOOTHING, REJECT = 4.0, 0.8
 #: Standard errors within which sibling shares count as the same.
 SIMILAR = 2.0
+#: Paths that so small a share of all pages has are not broadcast; nodes of a level that are.
+HOT_SHARE, BROADCAST = 1000, 100_000
 #: Most labels of a host name (RFC 1035); what has more is no name, and only its last ones and the whole are nodes.
 LABELS = 127
 
@@ -69,69 +74,82 @@ def matched(host: Column, path: Column, rules: tuple[Rule, ...]) -> tuple[Column
 
 
 def segments(path: Column) -> Column:
-    """Segments with digit runs generalised; those below ``DEPTH`` are one wildcard."""
+    """Segments with digit runs generalised."""
     own = F.filter(F.split(path, "/"), lambda s: s != "")
-    own = F.transform(own, lambda s: F.regexp_replace(s, r"[0-9a-fA-F]{16,}|[0-9]+", "#"))
-    return F.when(F.size(own) > DEPTH, F.concat(F.slice(own, 1, DEPTH), F.array(F.lit("**")))).otherwise(own)
+    return F.transform(own, lambda s: F.regexp_replace(s, r"[0-9a-fA-F]{16,}|[0-9]+", "#"))
+
 
+def template_tree(paths: DataFrame) -> DataFrame:
+    """``paths`` (``host, raw, segments, n``; one row for each path) with their ``template`` in their host's tree.
 
-def templates(pages: DataFrame) -> DataFrame:
-    """Pages with ``host`` and ``path`` get their ``template`` in their host's tree."""
-    rows = pages.withColumn("__segments", segments(F.col("path"))).withColumn("__raw", F.array_join("__segments", "/"))
-    paths = rows.groupBy("host", "__raw", "__segments").agg(F.count("*").alias("n")).select("host", "__raw", "__segments", "n", F.posexplode("__segments").alias("at", "child"))
-    paths = paths.withColumn("node", F.array_join(F.slice("__segments", 1, F.col("at")), "/"))
-    children = paths.groupBy("host", "node", "at", "child").agg(F.sum("n").alias("n"))
-    open_ = children.groupBy("host", "node", "at").agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).filter(f"kinds >= {CHILDREN} and n <= {PAGES_EACH} * kinds")
-    steps = paths.join(open_.select("host", "node", "at", F.lit("*").alias("open")), ["host", "node", "at"], "left")
-    steps = steps.groupBy("host", "__raw").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("open", "child").alias("step")))).alias("steps"))  # at most DEPTH + 1
-    named = steps.select("host", "__raw", F.concat(F.lit("/"), F.array_join("steps.step", "/")).alias("template"))
-    return rows.join(named, ["host", "__raw"], "left").withColumn("template", F.coalesce("template", F.lit(""))).drop("__segments", "__raw")
+    A path is followed down as long as its node has enough paths for a wildcard to be possible.
+    """
+    done = None
+    rows = paths.withColumns({"at": F.lit(0), "node": F.lit("")})
+    while True:
+        child = F.get("segments", F.col("at"))
+        children = rows.filter(F.col("at") < F.size("segments")).groupBy("host", "node", child.alias("child")).agg(F.sum("n").alias("n"), F.count("*").alias("paths"))
+        nodes = cut(children.groupBy("host", "node").agg(F.count("*").alias("kinds"), F.sum("n").alias("n"), F.sum("paths").alias("paths")).filter(F.col("paths") >= CHILDREN).select("host", "node", ((F.col("kinds") >= CHILDREN) & (F.col("n") <= PAGES_EACH * F.col("kinds"))).alias("open")))
+        n = nodes.count()
+        met = rows.join(F.broadcast(nodes) if n <= BROADCAST else nodes, ["host", "node"], "left")
+        step = F.when(F.col("open"), F.lit("*")).otherwise(child)
+        going = F.col("open").isNotNull() & (F.col("at") < F.size("segments"))
+        rest = F.transform(F.slice("segments", F.col("at") + 1, F.greatest(F.size("segments") - F.col("at"), F.lit(0))), lambda x: F.concat(F.lit("/"), x))
+        ended = met.filter(~going).select("host", "raw", "n", F.concat("node", F.array_join(rest, "")).alias("template"))
+        done = ended if done is None else done.unionByName(ended)
+        if not n:
+            return done.withColumn("template", F.when(F.col("template") == "", "/").otherwise(F.col("template")))
+        rows = cut(met.filter(going).select("host", "raw", "segments", "n", (F.col("at") + 1).alias("at"), F.concat("node", F.lit("/"), step).alias("node")))
 
 
 def ancestors(own: DataFrame) -> DataFrame:
-    """``host, template, level, node`` of all nodes above each template: suffixes of the host, the host, prefixes of the template.
+    """``host, template, of, level, node, parent`` of all nodes of each template: suffixes of the host, the host, prefixes of the template.
 
     An address of digits has no suffixes, and a port is none of them.
     """
     names = F.split(F.regexp_replace("host", r":[0-9]*$", ""), r"\.")
     some = F.when(F.col("host").rlike(r"^[0-9.]*(:[0-9]*)?$|^\["), F.lit(0)).otherwise(F.least(F.size(names), F.lit(LABELS)))
-    suffixes = F.transform(F.when(some > 0, F.sequence(F.lit(1), some)).otherwise(F.array().cast("array<int>")), lambda k: F.struct(k.alias("level"), F.array_join(F.slice(names, -k, k), ".").alias("node"), F.lit("").alias("of")))
-    hosts = own.select("host").distinct().select("host", F.explode(F.concat(suffixes, F.array(F.struct(F.lit(LABELS + 1).alias("level"), F.lit("").alias("node"), F.col("host").alias("of"))))).alias("x"))
+    last = lambda k: F.array_join(F.slice(names, -k, k), ".")
+    suffixes = F.transform(F.when(some > 0, F.sequence(F.lit(1), some)).otherwise(F.array().cast("array<int>")), lambda k: F.struct(F.lit("").alias("of"), k.alias("level"), last(k).alias("node"), F.when(k > 1, last(F.greatest(k - 1, F.lit(1)))).otherwise("").alias("parent")))
+    top = F.array(F.struct(F.col("host").alias("of"), F.lit(LABELS + 1).alias("level"), F.lit("").alias("node"), F.lit("").alias("parent")))
+    hosts = own.select("host").distinct().select("host", F.explode(F.concat(suffixes, top)).alias("x"))
     steps = F.filter(F.split("template", "/"), lambda s: s != "")
-    prefixes = F.transform(F.when(F.size(steps) > 1, F.sequence(F.lit(1), F.size(steps) - 1)).otherwise(F.array().cast("array<int>")), lambda k: F.struct((k + LABELS + 1).alias("level"), F.concat(F.lit("/"), F.array_join(F.slice(steps, 1, k), "/")).alias("node"), F.col("host").alias("of")))
+    upto = lambda k: F.concat(F.lit("/"), F.array_join(F.slice(steps, 1, k), "/"))
+    prefixes = F.transform(F.when(F.size(steps) > 0, F.sequence(F.lit(1), F.size(steps))).otherwise(F.array().cast("array<int>")), lambda k: F.struct(F.col("host").alias("of"), (k + LABELS + 1).alias("level"), upto(k).alias("node"), upto(k - 1).alias("parent")))
     return hosts.select("host", F.lit(None).cast("string").alias("template"), "x.*").unionByName(own.select("host", "template", F.explode(prefixes).alias("x")).select("host", "template", "x.*"))
 
 
+def merged(nodes: DataFrame) -> DataFrame:
+    """Labelled counts of ``nodes`` (``of, level, node, parent, n, n_bad``), those of similar siblings summed."""
+    family = ["of", "level", "parent"]
+    pooled = nodes.groupBy(*family).agg(((F.sum("n_bad") + 1.0) / (F.sum("n") + 2.0)).alias("pooled"))
+    error = F.sqrt(F.col("pooled") * (1 - F.col("pooled")) / F.col("n"))
+    rows = nodes.join(pooled, family).withColumn("similar", F.abs(F.col("n_bad") / F.col("n") - F.col("pooled")) <= SIMILAR * error)
+    sums = rows.filter("similar").groupBy(*family).agg(F.sum("n").alias("all_n"), F.sum("n_bad").alias("all_bad"))
+    rows = rows.join(sums, family, "left")
+    return rows.select("of", "level", "node", *(F.when(F.col("similar"), F.col(total)).otherwise(F.col(own)).alias(own) for own, total in (("n", "all_n"), ("n_bad", "all_bad"))))
+
+
 def smoothed(chain: Column, start: Column) -> Column:
     """Share of bad pages at the end of ``chain`` (``level, n, n_bad``), each node smoothed towards the one above."""
     return F.aggregate(F.array_sort(chain), start, lambda share, x: (x["n_bad"] + SMOOTHING * share) / (x["n"] + SMOOTHING))
 
 
-def template_shares(labelled: DataFrame) -> DataFrame:
-    """Smoothed bad share of every ``host`` and ``template`` of pages with ``bad`` (1, 0, or null where not labelled)."""
-    own = labelled.groupBy("host", "template").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("n_bad"))
-    prior = labelled.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 0.5) / (F.count("bad") + 1.0)).alias("prior"))
-    siblings = Window.partitionBy("host", F.regexp_extract("template", r"^(.*)/[^/]*$", 1))
-    all_n, all_bad = F.sum("n").over(siblings), F.sum("n_bad").over(siblings)
-    pooled = (all_bad + 1.0) / (all_n + 2.0)
-    rows = own.withColumns({"pooled": pooled}).withColumn("similar", (F.col("n") > 0) & (F.abs(F.col("n_bad") / F.greatest("n", F.lit(1)) - F.col("pooled")) <= SIMILAR * F.sqrt(F.col("pooled") * (1 - F.col("pooled")) / F.greatest("n", F.lit(1)))))
-    merged = Window.partitionBy("host", F.regexp_extract("template", r"^(.*)/[^/]*$", 1), "similar")
-    n = F.when(F.col("similar"), F.sum("n").over(merged)).otherwise(F.col("n"))
-    bad = F.when(F.col("similar"), F.sum("n_bad").over(merged)).otherwise(F.col("n_bad"))
-    rows = rows.withColumns({"m": n, "m_bad": bad}).select("host", "template", "m", "m_bad")
-
+def template_shares(own: DataFrame) -> DataFrame:
+    """``host, template, bad_share``: the smoothed bad share of templates with counts of labelled pages (``host, template, n, n_bad``)."""
+    own = cut(own.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("n_bad").alias("n_bad")))
+    prior = own.agg(((F.coalesce(F.sum("n_bad"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0)) + 1.0)).alias("prior")).first()["prior"]
     # labels of a host are counted once for its suffixes, those of a template once for its prefixes
     above = ancestors(own)
-    host_n = own.groupBy("host").agg(F.sum("n").alias("n"), F.sum("n_bad").alias("n_bad"))
     upper, lower = above.filter("template is null").drop("template"), above.filter("template is not null")
-    sums = lambda nodes: nodes.filter("n > 0").groupBy("of", "level", "node").agg(F.sum("n").alias("n"), F.sum("n_bad").alias("n_bad"))
+    host_n = own.groupBy("host").agg(F.sum("n").alias("n"), F.sum("n_bad").alias("n_bad"))
+    sums = lambda nodes: merged(nodes.filter("n > 0").groupBy("of", "level", "node", "parent").agg(F.sum("n").alias("n"), F.sum("n_bad").alias("n_bad")))
     chained = lambda nodes, known, keys: nodes.join(known, ["of", "level", "node"]).groupBy(*keys).agg(F.collect_list(F.struct("level", "n", "n_bad")).alias("chain"))
     by_host = chained(upper, sums(upper.join(host_n, "host")), ["host"]).withColumnRenamed("chain", "upper")  # at most LABELS + 1 nodes
-    by_path = chained(lower, sums(lower.join(own, ["host", "template"])), ["host", "template"]).withColumnRenamed("chain", "lower")  # at most DEPTH
-    rows = rows.join(by_path, ["host", "template"], "left").join(by_host, "host", "left").crossJoin(F.broadcast(prior))  # the prior is one row
+    by_path = chained(lower, sums(lower.join(own, ["host", "template"])), ["host", "template"]).withColumnRenamed("chain", "lower")  # as many as segments
+    rows = own.join(by_path, ["host", "template"], "left").join(by_host, "host", "left")
     none = F.array().cast("array<struct<level:int,n:bigint,n_bad:bigint>>")
-    chain = F.concat(F.coalesce("upper", none), F.coalesce("lower", none), F.array(F.struct(F.lit(LABELS + DEPTH + 3).alias("level"), F.col("m").alias("n"), F.col("m_bad").alias("n_bad"))))
-    return rows.select("host", "template", smoothed(chain, F.col("prior").cast("double")).alias("bad_share"))
+    return rows.select("host", "template", smoothed(F.concat(F.coalesce("upper", none), F.coalesce("lower", none)), F.lit(float(prior))).alias("bad_share"))
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, labels: DataFrame | None = None) -> DataFrame:
@@ -143,16 +161,24 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, labels: DataFrame |
     host, path = host_path(F.col("url"))
     rows = pages.select("page_id", "url").select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = matched(F.col("host"), F.col("path"), rules)
-    rows = templates(rows.withColumns({"rule": rule, "__verdict": verdict}))
+    rows = rows.withColumns({"rule": rule, "__verdict": verdict, "__segments": segments(F.col("path"))}).withColumn("raw", F.array_join("__segments", "/"))
     if labels is None:
-        rows = rows.withColumn("bad", F.when(F.col("__verdict") == "block", 1).when(F.col("__verdict") == "allow", 0))
+        labelled = rows.withColumn("bad", F.when(F.col("__verdict") == "block", 1).when(F.col("__verdict") == "allow", 0))
     else:
         known = labels.select(F.col("page_id").alias("__page"), "bad")
-        rows = rows.join(known, F.col("page_id") == F.col("__page"), "left").drop("__page")
-    shares = template_shares(rows).select(F.col("host").alias("__host"), F.col("template").alias("__template"), "bad_share")
-    judged = rows.join(shares, (F.col("host") == F.col("__host")) & (F.col("template") == F.col("__template")))
-    own = F.when(F.col("bad_share") >= REJECT, "block").otherwise("allow")
-    return judged.select("page_id", "host", "path", "rule", F.coalesce("__verdict", own).alias("verdict"), "template", "bad_share")
+        labelled = rows.join(known, F.col("page_id") == F.col("__page"), "left").drop("__page")
+    paths = cut(labelled.groupBy("host", "raw", F.col("__segments").alias("segments")).agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("n_bad")))
+    named = cut(template_tree(paths.select("host", "raw", "segments", "n")))
+    own = named.drop("n").join(paths.select("host", "raw", F.col("labelled").alias("n"), "n_bad"), ["host", "raw"])
+    shares = template_shares(own)
+    found = cut(named.join(shares, ["host", "template"]).select(F.col("host").alias("__host"), F.col("raw").alias("__raw"), "n", "template", "bad_share"))
+    total = found.agg(F.sum("n")).first()[0] or 0
+    often = found.filter(F.col("n") * HOT_SHARE >= total)  # at most HOT_SHARE rows
+    same = (F.col("host") == F.col("__host")) & (F.col("raw") == F.col("__raw"))
+    hot = rows.join(F.broadcast(often), same)
+    cold = rows.join(F.broadcast(often.select("__host", "__raw")), same, "left_anti").join(found.filter(F.col("n") * HOT_SHARE < total), same)
+    verdict = F.coalesce("__verdict", F.when(F.col("bad_share") >= REJECT, "block").otherwise("allow"))
+    return hot.unionByName(cold).select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.when((F.col("host") == "") & (F.col("path") == ""), "").otherwise(F.col("template")).alias("template"), "bad_share")
 
 
 def query(spark, folder):
