@@ -31,6 +31,16 @@ def kept(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``; where it is unset a temporary one, on one machine only."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="checkpoints-")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of an iteration's state by a reliable checkpoint in the cluster's shared folder.
 
@@ -38,8 +48,7 @@ def cut(df: DataFrame) -> DataFrame:
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     out = df.checkpoint(eager=True)
     del df
     gc.collect()

@@ -1,22 +1,38 @@
 """Exact n-gram Jaccard join by partitioning the universe of shingles.
 
-Sizes fall into bands whose borders grow by the threshold.  A scheme for each band
-bounds the Hamming distance of a linked pair whose smaller set lies in the band,
-and cuts the universe of hashed shingles into more segments than that distance: at
-least one segment (in fact one more than the scheme's slack) must be equal.  Each
-set posts the hashes of its segments under its own band's scheme and under the one
-below.  What a set posts is chosen by cost: full segments where they have shingles
-(value 0), none for empty ones (value -1) as long as the slack pays for them, and
-else, for small sets, coarser segments with all their one-deletion neighbourhoods
-(value 1), which find sets that differ by one shingle there.
-
-Postings are packed and grouped by bucket, and sets that share a posting are
-verified exactly, in blocks: neighbouring sets get a common home by a few rounds of
-taking the smallest set of a posting, homes are cut into blocks of bounded size, and a
-task compares the blocks of two homes that share a posting.  Only spanning links
-leave a task, so no list of pairs is ever made.  Links are contracted to components.
-
-Equal sets are one node from the start.  Nodes are 128-bit hashes of sets; the
+Sizes fall into bands.  A scheme for each band bounds the Hamming distance of a
+linked pair whose smaller set lies in the band, and cuts the universe of hashed
+shingles into more segments than that distance: at least one segment (in fact one
+more than the scheme's slack) must be equal.  Each set posts the hashes of its
+segments under its own band's scheme and, if its partners may be smaller than its
+band, under the one below.
+
+What a set looks up is allocated by cost.  The cost of a segment is the number of
+sets that post it, which is counted over the whole corpus.  A set leaves out (value
+-1) its empty segments and then its dearest ones, as many as the slack pays for;
+the others are looked up as they are (value 0).  The slack is half the distance: a larger one would find less
+by chance, but cost more postings.  Small sets whose empty segments
+use up more than the slack post coarser segments with all their one-deletion
+neighbourhoods (value 1), which find sets that differ by one shingle there.
+As all sets order their postings in the same way, linked sets have one in common that
+both look up; those that only one set looks up are dropped.
+
+Postings are packed and grouped by bucket.  Postings of the same sets are one
+candidate group.  Candidates are verified exactly, and a set is shipped to where it
+is compared, not to every partner:
+
+1. Neighbouring sets get a common home by a few rounds of taking the smallest home
+   of a group.  Homes are cut into blocks of bounded size, and a few sets of a home
+   stand in all its blocks; each block is compared in itself.
+2. Links are contracted.  Groups whose sets are of one component by now need no
+   further comparison.  In the others components meet with lists of the groups that
+   they are in: sets that link have more postings in common than either could have
+   left out.  Only components with such a partner are compared, each pair in the first
+   of its common groups, and no component with itself.
+
+Only spanning links leave a task, so no list of pairs is ever made.
+
+Equal sets are one node from the start.  Nodes are 80-bit hashes of sets; the
 comparison itself counts common 64-bit shingle hashes of two sets.
 
 Defined results: a null text or one without words has an empty set and is linked
@@ -31,19 +47,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlens.llm.frames import NO_ID, cut, deal, map_arrow, partitions
 from basketlens.llm.words import Words, mix, release, slices
 
-#: Sets that a block of a home has on average at most.
-BLOCK = 512
+#: Sets, and shingles, that a block has on average at most.
+BLOCK, BLOCK_SHINGLES = 512, 1_000_000
+#: Sets of a home that stand in all its blocks.
+SEEDS = 8
 #: Postings that a task gathers before it hands them on.
 GATHERED = 500_000
+#: A posting that more sets of a task share goes from task to task without being held in memory.
+LARGE = 512
 #: Rounds in which sets take the home of their neighbours.
 ROUNDS = 2
+#: Ids that are broadcast to choose texts; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+#: Postings are 40-bit hashes in a bucket: two that are equal by chance only make a candidate more.
+_SIG = np.uint64((1 << 40) - 1)
+#: Scheme of a posting: that of the set's own band, the one below, or a neighbourhood.
+OWN, BELOW, NEAR = 0, 1, 2
+#: A set, and how many segments it may leave out under its two schemes.
+_NODE = np.dtype([("high", "<u8"), ("low", "<u2"), ("skips", "<u2", (2,))])
 
 
 class Schemes:
@@ -52,15 +80,20 @@ class Schemes:
     def __init__(self, percent: int, largest: int = 1 << 40):
         edges = [1]
         while edges[-1] <= largest:
-            edges.append(max(edges[-1] + 1, -(-edges[-1] * 100 // percent)))
+            edges.append(max(edges[-1] + 1, -(-edges[-1] * 10_000 // percent**2)))
+        self.percent = percent
         self.edges = np.array(edges, np.int64)
         self.distance = (100 - percent) * (self.edges[1:] - 1) // percent
-        self.slack = self.distance // 8
+        self.slack = self.distance // 2
         self.segments = self.distance + 1 + self.slack
 
     def band(self, size: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.edges, size, side="right") - 1
 
+    def reaches_below(self, size: np.ndarray) -> np.ndarray:
+        """Whether the smallest partner of a set lies in the band below."""
+        return size * self.percent <= 100 * (self.edges[self.band(size)] - 1)
+
 
 def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of all rows, and how many each row has."""
@@ -90,25 +123,32 @@ def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def node_names(own: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """128-bit hashes of the sets, as two 64-bit columns; rows without a set have zeros."""
-    out = np.zeros((len(counts), 2), np.uint64)
+    """80-bit hashes of the sets; rows without a set have zeros."""
+    out = np.zeros(len(counts), _NODE)
     full = np.flatnonzero(counts)
     if len(full):
         starts = (np.cumsum(counts) - counts)[full]
-        for j, salt in enumerate((_A, _B)):
-            out[full, j] = mix(np.add.reduceat(mix(own ^ salt), starts) + counts[full].astype(np.uint64))
+        for part, salt in (("high", _A), ("low", _B)):
+            out[part][full] = mix(np.add.reduceat(mix(own ^ salt), starts) + counts[full].astype(np.uint64)).astype(_NODE[part])
     return out
 
 
-def postings(own: np.ndarray, counts: np.ndarray, schemes: Schemes) -> tuple[np.ndarray, np.ndarray]:
-    """Posted hashes and the rows that post them."""
-    sigs, rows = [], []
+def _names(nodes: np.ndarray) -> pa.Array:
+    raw = np.ascontiguousarray(nodes[["high", "low"]].astype([("high", ">u8"), ("low", ">u2")]))
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(10), len(raw), [None, pa.py_buffer(raw.tobytes())]).cast(pa.binary())
+
+
+def postings(own: np.ndarray, counts: np.ndarray, schemes: Schemes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Posted hashes, the rows and schemes that post them, and how many segments each row may leave out."""
+    sigs, rows, kinds = [], [], []
+    skips = np.zeros((len(counts), 2), np.uint16)
     row = np.repeat(np.arange(len(counts)), counts)
-    band = schemes.band(np.maximum(counts, 1))
+    size = np.maximum(counts, 1)
+    band = schemes.band(size)
     starts = np.cumsum(counts) - counts
-    for below in (0, 1):
+    for below in (OWN, BELOW):
         scheme = np.maximum(band - below, 0)
-        use = (counts > 0) & (band >= below)
+        use = (counts > 0) & ((band > 0) & schemes.reaches_below(size) if below else True)
         pick = use[row]
         h, r = own[pick], row[pick]
         if not len(h):
@@ -119,14 +159,17 @@ def postings(own: np.ndarray, counts: np.ndarray, schemes: Schemes) -> tuple[np.
         of = r[at]
         sigs.append(mix(np.add.reduceat(mix(h), at) + segment[at] * _A + scheme[of].astype(np.uint64) * _B))
         rows.append(of)
+        kinds.append(np.full(len(of), below, np.uint8))
         empty = schemes.segments[scheme] - np.bincount(of, minlength=len(counts))
+        skips[:, below] = np.where(use, np.clip(schemes.slack[scheme] - empty, 0, 65535), 0)
         for i in np.flatnonzero(use & (empty > schemes.slack[scheme])):  # few and small
             found = _neighbourhoods(own[starts[i] : starts[i] + counts[i]], int(scheme[i]), int(schemes.distance[scheme[i]]))
             sigs.append(found)
             rows.append(np.full(len(found), i))
+            kinds.append(np.full(len(found), NEAR, np.uint8))
     if not sigs:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(sigs), np.concatenate(rows)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint8), skips
+    return np.concatenate(sigs), np.concatenate(rows), np.concatenate(kinds), skips
 
 
 def _neighbourhoods(h: np.ndarray, scheme: int, distance: int) -> np.ndarray:
@@ -146,65 +189,61 @@ def _neighbourhoods(h: np.ndarray, scheme: int, distance: int) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
+def _ordered(sigs: np.ndarray, nodes: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct postings by hash and set, and for each how many sets have its hash."""
+    order = np.lexsort((nodes["high"], sigs))
+    s, n, k = sigs[order], nodes[order], kinds[order]
+    fresh = np.ones(len(s), bool)
+    fresh[1:] = (s[1:] != s[:-1]) | (n["high"][1:] != n["high"][:-1]) | (n["low"][1:] != n["low"][:-1])
+    s, n, k = s[fresh], n[fresh], k[fresh]
+    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
+    times = np.diff(np.append(first, len(s)))
+    return s, n, k, np.repeat(times, times)
+
+
 class _Gathered:
-    """Postings of a task's texts: those shared among them are known at once, one node of each is handed on."""
+    """Postings of a task's texts, packed by bucket."""
 
     def __init__(self, buckets: int):
         self.buckets, self.n, self.parts = buckets, 0, []
 
-    def add(self, sigs: np.ndarray, names: np.ndarray) -> bool:
-        self.parts.append((sigs, names))
+    def add(self, sigs: np.ndarray, nodes: np.ndarray, kinds: np.ndarray) -> bool:
+        self.parts.append((sigs, nodes, kinds))
         self.n += len(sigs)
         return self.n >= GATHERED
 
     def flush(self) -> Iterator[tuple[int, bytes]]:
+        """Bucket and blob: a byte that marks large postings, then hashes, schemes and sets."""
         if not self.n:
             return
-        sigs, names = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        sigs, nodes, kinds, times = _ordered(*(np.concatenate(x) for x in zip(*self.parts, strict=True)))
         self.n, self.parts = 0, []
-        first, shared = _shared(sigs, names)
-        for bucket, own in _by_bucket(sigs[shared], self.buckets):
-            yield bucket, b"\1" + sigs[shared][own].tobytes() + names[shared][own].tobytes()
-        for bucket, own in _by_bucket(sigs[first], self.buckets):
-            own = first[own]
-            table, index = np.unique(names[own], axis=0, return_inverse=True)
-            yield bucket, b"\0" + np.array([len(own), len(table)], np.uint32).tobytes() + sigs[own].tobytes() + index.astype(np.uint32).tobytes() + table.tobytes()
-
-
-def _by_bucket(sigs: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    bucket = (sigs % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-    for own in np.split(order, cuts):
-        if len(own):
-            yield int(bucket[own[0]]), own
-
-
-def _shared(sigs: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One entry for each posting (the smallest node), and all entries of postings with two nodes or more."""
-    order = np.lexsort((names[:, 1], names[:, 0], sigs))
-    s, n = sigs[order], names[order]
-    new = np.ones(len(s), bool)
-    new[1:] = s[1:] != s[:-1]
-    node = new.copy()
-    node[1:] |= (n[1:] != n[:-1]).any(axis=1)
-    group = np.cumsum(new) - 1
-    several = np.bincount(group[node]) > 1
-    return order[new], order[node & several[group]]
-
-
-def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, bool]:
-    if blob[0]:
-        n = (len(blob) - 1) // 24
-        return np.frombuffer(blob, np.uint64, n, 1), np.frombuffer(blob, np.uint64, 2 * n, 1 + 8 * n).reshape(-1, 2), True
-    n, m = np.frombuffer(blob, np.uint32, 2, 1)
-    sigs = np.frombuffer(blob, np.uint64, n, 9)
-    index = np.frombuffer(blob, np.uint32, n, 9 + 8 * n)
-    return sigs, np.frombuffer(blob, np.uint64, 2 * m, 9 + 12 * n).reshape(-1, 2)[index], False
-
-
-def _names(column: np.ndarray) -> pa.Array:
-    return pa.array([x.tobytes() for x in column], pa.binary())
+        bucket = (sigs % np.uint64(self.buckets)).astype(np.int64)
+        for large in (False, True):
+            at = np.flatnonzero((times > LARGE) == large)
+            at = at[np.argsort(bucket[at], kind="stable")]
+            for own in np.split(at, np.flatnonzero(np.diff(bucket[at])) + 1):
+                if len(own):
+                    yield int(bucket[own[0]]), _packed(large, sigs[own], nodes[own], kinds[own])
+
+
+def _packed(large: bool, sigs: np.ndarray, nodes: np.ndarray, kinds: np.ndarray) -> bytes:
+    _, at, index = np.unique(nodes["high"], return_index=True, return_inverse=True)
+    table = nodes[at]
+    index = index.astype(np.uint32) << np.uint32(2) | kinds
+    wide = len(table) >= 1 << 14
+    short = (sigs >> np.uint64(24) & _SIG).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+    return bytes([large | 2 * wide]) + np.array([len(sigs), len(table)], np.uint32).tobytes() + short.tobytes() + index.astype(np.uint32 if wide else np.uint16).tobytes() + table.tobytes()
+
+
+def _unpacked(blob: bytes) -> tuple[bool, np.ndarray, np.ndarray, np.ndarray]:
+    n, m = map(int, np.frombuffer(blob, np.uint32, 2, 1))
+    sigs = np.zeros((n, 8), np.uint8)
+    sigs[:, :5] = np.frombuffer(blob, np.uint8, 5 * n, 9).reshape(-1, 5)
+    kind = np.dtype(np.uint32 if blob[0] & 2 else np.uint16)
+    index = np.frombuffer(blob, kind, n, 9 + 5 * n)
+    table = np.frombuffer(blob, _NODE, m, 9 + (5 + kind.itemsize) * n)
+    return bool(blob[0] & 1), sigs.view("<u8").ravel(), table[index >> 2], (index & 3).astype(np.uint8)
 
 
 def sets(docs: DataFrame, size: int) -> DataFrame:
@@ -215,14 +254,18 @@ def sets(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for batch in batches for part in slices(batch, "text")):
             own, counts = shingle_sets(batch.column("text"), size)
-            nodes = [x.tobytes() if n else None for x, n in zip(node_names(own, counts), counts, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(counts, pa.int64()), pa.array(nodes, pa.binary())], names=[*names, "n_shingles", "node"])
+            nodes = _names(node_names(own, counts))
+            nodes = pa.array([x if n else None for x, n in zip(nodes.to_pylist(), counts, strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(counts, pa.int64()), nodes], names=[*names, "n_shingles", "node"])
 
     return map_arrow(docs.select(*names, "text"), run, ", ".join([*fields, "n_shingles long, node binary"]))
 
 
-def shared_postings(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """``sig, node`` of all postings that two different sets have in common."""
+_GROUPS = ["gid", "node", "kind", "skips", "n"]
+
+
+def posted_groups(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """``gid, node, kind, skips, n``: the sets of postings that two sets or more have; postings of the same sets have one ``gid``."""
     buckets = partitions(docs.sparkSession)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,69 +278,229 @@ def shared_postings(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
         for batch in (part for batch in batches for part in slices(batch, "text")):
             own, counts = shingle_sets(batch.column("text"), size)
-            sigs, rows = postings(own, counts, schemes)
-            if gathered.add(sigs, node_names(own, counts)[rows]):
+            sigs, rows, kinds, skips = postings(own, counts, schemes)
+            nodes = node_names(own, counts)
+            nodes["skips"] = skips
+            if gathered.add(sigs, nodes[rows], kinds):
                 yield from out()
         yield from out()
 
+    def rows_of(gid: np.ndarray, nodes: np.ndarray, kinds: np.ndarray, times: np.ndarray) -> Iterator[pa.RecordBatch]:
+        skips = np.select([kinds == OWN, kinds == BELOW], [nodes["skips"][:, 0], nodes["skips"][:, 1]], 0)
+        for a in range(0, len(gid), 50_000):
+            own = slice(a, a + 50_000)
+            yield pa.RecordBatch.from_arrays([pa.array(gid[own].view(np.int64)), _names(nodes[own]), pa.array(kinds[own].astype(np.int8)), pa.array(skips[own].astype(np.int32)), pa.array(times[own].astype(np.int64))], names=_GROUPS)
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sigs, names = [np.zeros(0, np.uint64)], [np.zeros((0, 2), np.uint64)]
+        parts, large = [], set()
         for batch in batches:
             for blob in batch.column("blob").to_pylist():
-                s, n, known = _unpacked(blob)
-                if known:
-                    yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), _names(n)], names=["sig", "node"])
+                wide, s, n, k = _unpacked(blob)
+                if wide:
+                    large.update(np.unique(s).tolist())
+                    yield from rows_of(mix(s), n, k, np.full(len(s), 1 << 40))
                 else:
-                    sigs.append(s)
-                    names.append(n)
-        sigs, names = np.concatenate(sigs), np.concatenate(names)
-        ascending = np.sort(sigs)
-        twice = np.isin(sigs, ascending[1:][ascending[1:] == ascending[:-1]])  # the others need no ordering by node
-        sigs, names = sigs[twice], names[twice]
-        shared = _shared(sigs, names)[1] if len(sigs) else np.zeros(0, np.int64)
-        for a in range(0, len(shared), 50_000):
-            own = shared[a : a + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(sigs[own].view(np.int64)), _names(names[own])], names=["sig", "node"])
+                    parts.append((s, n, k))
+        if not parts:
+            return
+        s, n, k = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.clear()
+        ascending = np.sort(s)
+        twice = np.isin(s, ascending[1:][ascending[1:] == ascending[:-1]])  # the others need no ordering by set
+        del ascending
+        if large:
+            away = np.isin(s, np.array(sorted(large), np.uint64))
+            yield from rows_of(mix(s[away]), n[away], k[away], np.full(int(away.sum()), 1 << 40))
+            twice &= ~away
+        s, n, k, times = _ordered(s[twice], n[twice], k[twice])
+        if not len(s):
+            return
+        first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        gid = mix(np.add.reduceat(mix(n["high"] ^ mix(n["low"])), first) + times[first].astype(np.uint64) * _C)
+        gid = np.repeat(gid, times[first])
+        some = times > 1
+        yield from rows_of(gid[some], n[some], k[some], times[some])
 
     posted = map_arrow(docs.select("text"), post, "bucket int, blob binary")
-    return map_arrow(deal(posted, "bucket"), meet, "sig long, node binary").distinct()
+    return map_arrow(deal(posted, "bucket"), meet, "gid long, node binary, kind tinyint, skips int, n long")
 
 
-def homes(shared: DataFrame) -> DataFrame:
-    """``node, home``: the smallest hash of a node that a few rounds over common postings lead to."""
-    found = shared.select("node").distinct().withColumn("home", F.xxhash64("node"))
+def asked_postings(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """``gid, node, kind, times, skips, asks``: the postings of all sets by group; the dearest that a set may leave out are not asked.
+
+    ``times`` is how many postings of a kind a set has in the group.
+    """
+    own = posted_groups(docs, size, percent).groupBy("gid", "node", "kind").agg(F.count("*").cast("int").alias("times"), F.max("n").alias("n"), F.max("skips").alias("skips"))
+    dearest = Window.partitionBy("node", "kind").orderBy(F.desc("n"), "gid").rowsBetween(Window.unboundedPreceding, 0)
+    return own.withColumn("asks", F.sum("times").over(dearest) > F.col("skips")).drop("n")
+
+
+def candidate_groups(asked: DataFrame) -> DataFrame:
+    """``gid, node``: the groups that two sets or more ask for, with these sets."""
+    members = asked.filter("asks").select("gid", "node").distinct()
+    several = members.groupBy("gid").agg(F.count("*").alias("n")).filter("n > 1").select("gid")
+    return members.join(several, "gid", "left_semi")
+
+
+def homes(groups: DataFrame) -> DataFrame:
+    """``node, home``: the smallest hash of a node that a few rounds over common groups lead to."""
+    found = groups.select("node").distinct().withColumn("home", F.xxhash64("node"))
     for _ in range(ROUNDS):
-        least = shared.join(found, "node").groupBy("sig").agg(F.min("home").alias("home"))
-        found = shared.join(least, "sig").groupBy("node").agg(F.min("home").alias("home"))
+        least = groups.join(found, "node").groupBy("gid").agg(F.min("home").alias("home"))
+        found = groups.join(least, "gid").groupBy("node").agg(F.min("home").alias("home"))
     return found
 
 
-def cells(shared: DataFrame, home: DataFrame) -> DataFrame:
-    """``cell, node``: blocks of nodes that are to be compared with each other.
+def _blocks(sizes: Column) -> Column:
+    """How many blocks some sets are cut into."""
+    return F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(sizes) / BLOCK_SHINGLES)).cast("int")
+
+
+def home_cells(home: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``cell, node``: the blocks of each home (``node, home``), with its seeds in all of them."""
+    placed = home.join(sizes, "node")
+    seeds = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node"))["node"].alias(f"seed{k}") for k in range(SEEDS)]
+    blocks = cut(placed.groupBy("home").agg(_blocks(F.col("n_shingles")).alias("blocks"), *seeds))
+    own = placed.join(blocks.select("home", "blocks"), "home").select(F.xxhash64("home", F.pmod(F.hash("node"), "blocks")).alias("cell"), "node")
+    common = blocks.filter("blocks > 1").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    common = common.select(F.xxhash64("home", "block").alias("cell"), F.explode(F.array(*(f"seed{k}" for k in range(SEEDS)))).alias("node"))
+    return own.unionByName(common).distinct()
+
 
-    All nodes of a home meet; of two homes only the nodes that share a posting do.
+def component_groups(asked: DataFrame, labels: DataFrame) -> DataFrame:
+    """``gid, node, kind, times, skips, asks`` of components (``node`` is their root); groups of the same components become one.
+
+    A component has at least the postings, and leaves out at most what, each of its sets does.
+    """
+    own = asked.join(labels, "node").groupBy("gid", "root", "kind").agg(F.max("times").alias("times"), F.min("skips").alias("skips"), F.max("asks").alias("asks"))
+    own = cut(own)
+    same = own.select("gid", "root").distinct().groupBy("gid").agg(F.sum(F.xxhash64("root").cast("decimal(38,0)")).alias("all"), F.count("*").alias("n"))
+    same = same.filter("n > 1").select("gid", F.xxhash64("all", "n").alias("joined"))
+    found = own.join(same, "gid").groupBy("joined", "root", "kind").agg(F.sum("times").cast("int").alias("times"), F.min("skips").alias("skips"), F.max("asks").alias("asks"))
+    return found.select(F.col("joined").alias("gid"), F.col("root").alias("node"), "kind", "times", "skips", "asks")
+
+
+def group_cells(groups: DataFrame) -> DataFrame:
+    """``cell, gid, node``: blocks in which all members of each group meet."""
+    blocks = cut(groups.groupBy("gid").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+    own = groups.join(blocks, "gid").withColumn("block", F.pmod(F.hash("node"), "blocks"))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return own.select(F.xxhash64("gid", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), "gid", "node")
+
+
+def component_cells(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``cell, node``: blocks in which all sets of different components of a cell meet (``cell, root, node``).
+
+    Small components share blocks; a large one has blocks of its own, which do not meet each other.
     """
+    sized = members.join(sizes, "node")
+    each = sized.groupBy("cell", "root").agg(_blocks(F.col("n_shingles")).alias("blocks"), F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
+    each = cut(each.withColumn("own", F.when(F.col("blocks") > 1, F.xxhash64("root")).otherwise(0)))
+    sides = each.groupBy("cell", "own").agg(F.greatest(F.ceil(F.sum("n") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    facing = sides.groupBy("cell").agg(F.flatten(F.collect_list(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.col("own").alias("own"), b.alias("block"))))).alias("facing"))
+    rows = members.join(each.select("cell", "root", "own"), ["cell", "root"]).join(sides, ["cell", "own"]).join(facing, "cell")
+    rows = rows.withColumn("block", F.pmod(F.hash("node"), "blocks")).withColumn("other", F.explode("facing")).filter((F.col("own") == 0) | (F.col("own") != F.col("other.own")))
+    a, b = F.xxhash64("own", "block"), F.xxhash64("other.own", "other.block")
+    return rows.select(F.xxhash64("cell", F.least(a, b), F.greatest(a, b)).alias("cell"), "node").distinct()
 
-    def blocks(n: Column) -> Column:
-        return F.ceil(n / BLOCK).cast("int")
 
-    each = F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("other")
-    sizes = home.groupBy("home").agg(blocks(F.count("*")).alias("others"))
-    placed = home.join(sizes, "home").withColumn("block", F.pmod(F.hash("node"), F.col("others")))
-    inside = placed.select("node", "home", "block", each).select(F.xxhash64("home", "home", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), "node")
+_MEMBERS = ["cell", "gid", "node", "skips", "list"]
+_ENTRY = np.dtype([("gid", "<i8"), ("times", "<u2"), ("kind", "u1"), ("asks", "?")])
 
-    met = cut(shared.join(home, "node").select("sig", "node", "home"))
-    several = met.groupBy("sig").agg(F.min("home").alias("low"), F.max("home").alias("high")).filter("low < high").select("sig")
-    met = met.join(several, "sig")
-    other = met.select("sig", F.col("home").alias("away")).distinct()
-    low = F.col("home") < F.col("away")
-    pairs = cut(met.join(other, "sig").filter("home <> away").select(F.least("home", "away").alias("a"), F.greatest("home", "away").alias("b"), low.alias("low"), "node").distinct())
-    sides = pairs.groupBy("a", "b", "low").agg(blocks(F.count("*")).alias("blocks"))
-    own = pairs.join(sides, ["a", "b", "low"]).withColumn("block", F.pmod(F.hash("node"), F.col("blocks")))
-    facing = sides.select("a", "b", (~F.col("low")).alias("low"), F.col("blocks").alias("others"))
-    own = own.join(facing, ["a", "b", "low"]).select("a", "b", "low", "node", "block", each)
-    first, second = F.when(F.col("low"), F.col("block")).otherwise(F.col("other")), F.when(F.col("low"), F.col("other")).otherwise(F.col("block"))
-    return inside.unionByName(own.select(F.xxhash64("a", "b", first, second).alias("cell"), "node"))
+
+def group_lists(asked: DataFrame) -> DataFrame:
+    """``node, skips, list``: for each component the groups that it is in, packed, and what it may leave out by kind."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("list")
+            flat = lists.flatten()
+            entries = np.zeros(len(flat), _ENTRY)
+            for k, name in enumerate(("gid", "times", "kind", "asks")):
+                entries[name] = flat.field(k).to_numpy(zero_copy_only=False)
+            at = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
+            blobs = [entries[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("skips"), pa.array(blobs, pa.binary())], names=["node", "skips", "list"])
+
+    skips = F.array(*(F.coalesce(F.min(F.when(F.col("kind") == k, F.col("skips"))), F.lit(0)) for k in (OWN, BELOW, NEAR)))
+    own = asked.groupBy("node").agg(skips.alias("skips"), F.collect_list(F.struct("gid", "times", "kind", "asks")).alias("list"))
+    return map_arrow(own.select("node", "skips", "list"), run, "node binary, skips array<int>, list binary")
+
+
+def _products(row: np.ndarray, column: np.ndarray, weight: np.ndarray, n: int, width: int = 2048) -> np.ndarray:
+    """Sums, over the columns that two rows have in common, of the first row's weights."""
+    out = np.zeros((n, n), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column, weight = row[order], column[order], weight[order]
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        lo, hi = np.searchsorted(column, [a, a + width])
+        if lo == hi:
+            continue
+        has, often = np.zeros((n, width), np.float32), np.zeros((n, width), np.float32)
+        has[row[lo:hi], column[lo:hi] - a] = 1
+        often[row[lo:hi], column[lo:hi] - a] = weight[lo:hi]
+        out += often @ has.T
+    return out
+
+
+def _partners(gid: int, skips: np.ndarray, lists: list[bytes]) -> np.ndarray:
+    """Which of some components may link with which others and ask for no common group that comes before ``gid``."""
+    n = len(lists)
+    entries = np.frombuffer(b"".join(lists), _ENTRY)
+    row = np.repeat(np.arange(n), [len(x) // _ENTRY.itemsize for x in lists])
+    _, column, count = np.unique(entries["gid"], return_inverse=True, return_counts=True)
+    pick = count[column] > 1
+    entries, row, column = entries[pick], row[pick], (np.cumsum(count > 1) - 1)[column[pick]]
+    before = entries["asks"] & (entries["gid"] < gid)
+    link = ~np.eye(n, dtype=bool)
+    if before.any():
+        link &= _products(row[before], column[before], np.ones(int(before.sum())), n) == 0
+    if not link.any():
+        return link
+    lane = row * 3 + entries["kind"]  # a row for each kind of postings
+    used, lane = np.unique(lane, return_inverse=True)
+    common = _products(lane, column, entries["times"], len(used))
+    left_out = skips[used // 3, used % 3]
+    a, b = np.nonzero(np.minimum(common, common.T) > np.maximum(left_out[:, None], left_out[None]))
+    possible = np.zeros((n, n), bool)
+    possible[used[a] // 3, used[b] // 3] = True
+    return link & possible
+
+
+def possible_cells(placed: DataFrame, lists: DataFrame) -> DataFrame:
+    """``cell, node``: the components of each cell that have a possible partner there, connected ones together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(cell: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            gids, nodes, skips, lists = zip(*rows, strict=True)
+            a, b = np.nonzero(_partners(gids[0], np.array(skips), lists)) if len(nodes) > 1 else ((), ())
+            if not len(a):
+                return
+            own = np.arange(len(nodes))
+            while True:
+                new = own.copy()
+                np.minimum.at(new, a, own[b])
+                new = new[new]
+                if (new == own).all():
+                    break
+                own = new
+            used = np.unique(a)
+            cells = mix(np.uint64(cell & (1 << 64) - 1) + mix(own[used].astype(np.uint64))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array([nodes[i] for i in used], pa.binary())], names=["cell", "node"])
+
+        cell, rows = None, []
+        for batch in batches:
+            for c, *row in zip(*(batch.column(k).to_pylist() for k in _MEMBERS), strict=True):
+                if c != cell and rows:
+                    yield from flush(cell, rows)
+                    rows = []
+                cell = c
+                rows.append(row)
+        if rows:
+            yield from flush(cell, rows)
+
+    dealt = deal(placed.join(lists, "node").select(*_MEMBERS), "cell").sortWithinPartitions("cell", "node")
+    return map_arrow(dealt, run, "cell long, node binary")
 
 
 def linked(own: list[np.ndarray], percent: int) -> np.ndarray:
@@ -339,10 +542,10 @@ def linked(own: list[np.ndarray], percent: int) -> np.ndarray:
         label = new
 
 
-def links(docs: DataFrame, placed: DataFrame, size: int, percent: int) -> DataFrame:
-    """``a, b``: nodes of equal component; enough to span the components of exact links.
+def links(texts: DataFrame, placed: DataFrame, size: int, percent: int) -> DataFrame:
+    """``a, b``: nodes of equal component; enough to span the components of exact links in each cell.
 
-    ``docs`` has the ``text`` of all nodes in ``placed`` (``cell, node``); other texts do no harm.
+    ``texts`` has the ``text`` of all nodes in ``placed`` (``cell, node``); other texts do no harm.
     """
 
     def with_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,11 +573,19 @@ def links(docs: DataFrame, placed: DataFrame, size: int, percent: int) -> DataFr
         if len(held) > 1:
             yield flush(list(held), list(held.values()))
 
-    found = map_arrow(docs.select("text"), with_set, "node binary, shingles binary")
+    found = map_arrow(texts.select("text"), with_set, "node binary, shingles binary")
     dealt = deal(placed.join(found, "node").select("cell", "node", "shingles"), "cell").sortWithinPartitions("cell", "node")
     return map_arrow(dealt, compare, "a binary, b binary")
 
 
+def texts_of(docs: DataFrame, ids: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with the id of one of the nodes; ``ids`` has ``node, __id``."""
+    chosen = cut(ids.join(nodes.select("node").distinct(), "node", "left_semi").select("__id").distinct())
+    if chosen.count() <= BROADCAST_IDS:
+        chosen = F.broadcast(chosen)
+    return docs.join(chosen, F.coalesce("doc_id", F.lit(NO_ID)) == F.col("__id"), "left_semi")
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """``node, root``: the smallest node of the component of every node of ``pairs`` (``a, b``).
 
@@ -400,17 +611,26 @@ def node_components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     rows = cut(sets(docs, size))
-    shared = cut(shared_postings(docs, size, percent))
-    home = cut(homes(shared))
-    placed = cells(shared, home)
-    one = F.coalesce("doc_id", F.lit(NO_ID))
-    ids = rows.filter("node is not null").groupBy("node").agg(F.min(one).alias("__id"))
-    chosen = ids.join(home.select("node"), "node", "left_semi").select("__id").distinct()
-    texts = docs.join(chosen, one == F.col("__id"), "left_semi")
-    root = components(links(texts, placed, size, percent))
-    rooted = rows.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.groupBy(F.col("root").alias("__root")).agg(F.min("doc_id").alias("component_id"))
-    return rooted.join(least, F.col("root") == F.col("__root"), "left").select("doc_id", "node", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    ids = cut(rows.filter("node is not null").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("__id"), F.max("n_shingles").alias("n_shingles")))
+    sizes = ids.select("node", "n_shingles")
+    asked = cut(asked_postings(docs, size, percent))
+    members = cut(candidate_groups(asked))
+    home = cut(homes(members))
+    near = cut(links(texts_of(docs, ids, home), home_cells(home, sizes), size, percent))
+    root = components(near)
+    labels = cut(home.select("node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    groups = cut(component_groups(asked, labels))
+    open_ = cut(candidate_groups(groups))
+    if not open_.isEmpty():
+        lists = group_lists(groups.join(open_.select("node").distinct(), "node", "left_semi"))
+        possible = possible_cells(group_cells(open_), lists).withColumnRenamed("node", "root")
+        cells = cut(component_cells(cut(possible.join(labels, "root")), sizes))
+        far = cut(links(texts_of(docs, ids, cells), cells, size, percent))
+        root = components(near.unionByName(far))
+    named = ids.select("node", "__id").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = cut(named.groupBy("root").agg(F.min("__id").alias("least")))
+    named = cut(named.join(least, "root").select(F.col("node").alias("__node"), F.when(F.col("least") != NO_ID, F.col("least")).alias("least")))
+    return rows.join(named, F.col("node") == F.col("__node"), "left").select("doc_id", "node", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
