@@ -3,17 +3,29 @@
 The kernel of two strings is the weighted count of common subsequences of three
 characters, where every character that a subsequence spans costs a factor, divided
 by the strings' own kernels.  Insults with gaps or inserted characters keep most
-of their subsequences.  A string is mapped to its kernels with a few landmark
-strings, whitened (Nyström), and a linear machine on this map gives its margin.
-
-A sentence is as toxic as its most toxic string (a word, or single characters
-spaced out to hide one), and a text as its most toxic sentence, so that a margin
-is computed once for each distinct word of a task.  Training is by multiple
-instances: of a sentence of a toxic text the string with the largest margin
-stands for it, against strings of sentences of clean texts, the hardest first.
+of their subsequences.  A string is as similar to a landmark as its most similar
+stretch (of up to two characters more than the landmark); kernels up to ``FLOOR``
+count as none.  These similarities with all landmarks are whitened by the
+landmarks' own (Nyström), and a linear machine on this map gives a string's margin.
+
+The strings of a sentence are its words, behind a mark for where a word begins, and
+single characters set apart to hide one, put together.  A margin is computed once
+for each distinct word of a task.  Training is by multiple instances: of a sentence
+of a toxic text the string with the largest margin stands for it, against all
+strings of sentences of clean texts.  Some strings tell by themselves, others, which
+clean texts have by chance, only if a text has several: margins are sorted into
+``STEPS`` steps, each with a weight, the log ratio of its rates among the strings of toxic and
+of clean texts.  A text's evidence is the log ratio of how likely all its strings are,
+or the sum of its strings of weight ``SURE`` and more if that is larger, however
+long the text is; its score is a logistic curve over the evidence.
+
+Landmarks are stretches of words that far more toxic texts have than clean ones,
+chosen one after the other for the texts that those before do not explain, and the
+clean strings that are most similar to them.
 
 Models learn from a bounded, documented sample: at most ``LEARN_ROWS`` labelled
-rows (smallest hashes).  Scores are calibrated on the same rows.
+texts (smallest hashes, one row for each text), in one task.  Scores are calibrated
+on the same rows.
 
 Defined results: null and empty texts get the score of a text without any string;
 with labels of one class only, every text gets that class's share; repeated rows
@@ -22,6 +34,8 @@ each get their own result; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
+import pickle
 import re
 import uuid
 import zlib
@@ -37,20 +51,31 @@ from pyspark.sql import functions as F
 from basketlens.llm.frames import held_out, map_arrow
 from basketlens.llm.words import Remembered, held, per_row, slices
 
-LEARN_ROWS = 2500
+LEARN_ROWS = 4000
 DECAY = 0.6
 ORDER = 3
-#: Longer strings are looked at in overlapping windows of this many characters.
-SPAN = 24
-LANDMARKS = (14, 6)  # toxic and clean
-#: Share of a landmark's letters that a string must have to be compared.
-ALIKE = 0.7
+#: Longer strings are looked at in pieces of this many characters, which overlap by more than any stretch.
+PIECE, OVERLAP = 40, 13
+#: Toxic and clean landmarks, at most; lengths of toxic ones.
+LANDMARKS = (64, 8)
+STRETCH = range(4, 11)
+#: Kernels up to this one count as none.
+FLOOR = 0.5
+#: How much more frequent in toxic texts a landmark must be, how many of them it must explain that others do not, and how unlikely that is by chance (a log likelihood).
+LIFT, LEAST, EVIDENCE = 8, 4, 14.0
 SPACED = re.compile(r"(?<!\S)(?:[^\W\d_] ){3,}[^\W\d_](?!\S)")
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 SENTENCE = re.compile(r"[.!?\n]+")
-NEVER = -9.0
-#: Slope of the calibrated probability at its threshold.
-STEEP = 20.0
+APART = re.compile(r"[^\W\d_][\W_]+[^\W\d_][\W_]+[^\W\d_]")
+INNER = re.compile(r"[\W_]+")
+#: Stands for the beginning of a word.
+START = "^"
+#: Least margin of strings that tell something, and how many steps there are from there on.
+TELLING, STEPS = -0.5, 12
+#: Strings that a step has at least to be judged by itself.
+FEW = 20
+#: Weight from which a string tells by itself.
+SURE = 6.5
 
 
 def codes(strings: list[str]) -> np.ndarray:
@@ -89,55 +114,105 @@ def _kernel(s: np.ndarray, t: np.ndarray) -> np.ndarray:
     return total
 
 
-def letters(strings: list[str]) -> np.ndarray:
-    """The letters a to z of each string, as bits."""
-    return np.array([sum(1 << (ord(c) - 97) for c in set(s) if "a" <= c <= "z") for s in strings], np.int64)
-
-
 def string_kernel(strings: list[str], landmarks: list[str]) -> np.ndarray:
-    """Normalised kernels of all strings with all landmarks.
-
-    The kernel of a string that has fewer than ``ALIKE`` of a landmark's letters is
-    0: such strings have next to no subsequences in common.
-    """
-    t, own = codes(landmarks), letters(landmarks)
-    own_t = _own(t)
-    out = np.zeros((len(strings), len(landmarks)), np.float32)
-    near = np.bitwise_count(letters(strings)[:, None] & own[None]) >= ALIKE * np.bitwise_count(own)[None]
-    size = np.array([len(s) for s in strings], np.int64)
-    near &= (size >= ORDER)[:, None]
-    at, of = np.nonzero(near)
-    for length in np.unique(size[at]):
-        pick = np.flatnonzero(size[at] == length)
-        used, back = np.unique(at[pick], return_inverse=True)
-        s = codes([strings[i] for i in used])
-        norm = np.concatenate([_own(s[i : i + 1000]) for i in range(0, len(s), 1000)])
-        for i in range(0, len(pick), 4000):
-            j, part = back[i : i + 4000], pick[i : i + 4000]
-            k = _kernel(s[j], t[of[part]][:, None, :])[:, 0]
-            out[at[part], of[part]] = k / np.sqrt(norm[j] * own_t[of[part]] + 1e-12)
+    """Normalised kernels of all strings with all landmarks."""
+    s, t = codes(strings), codes(landmarks)
+    norm, out = np.outer(_own(s), _own(t)), np.zeros((len(strings), len(landmarks)), np.float32)
+    for i in range(0, len(s), 500):
+        out[i : i + 500] = _kernel(s[i : i + 500], t[None]) / np.sqrt(norm[i : i + 500] + 1e-12)
     return out
 
 
 def _own(s: np.ndarray) -> np.ndarray:
-    return _kernel(s, s[:, None, :])[:, 0]
+    return np.concatenate([_kernel(x, x[:, None, :])[:, 0] for i in range(0, len(s), 2000) if len(x := s[i : i + 2000])] or [np.zeros(0, np.float32)])
+
+
+def _bits(s: np.ndarray) -> np.ndarray:
+    """A bit for each character; letters other than a to z may share one."""
+    at = np.where((s >= 97) & (s <= 122), s - 97, 26 + s % 37).astype(np.uint64)
+    return np.where(s > 0, np.uint64(1) << at, np.uint64(0))
+
+
+class Landmark:
+    """A landmark string and the largest kernel that a string with some of its letters can have with it.
+
+    What a string has in common with the landmark are subsequences of common letters:
+    by Cauchy and Schwarz the kernel is at most the share that these have in the
+    landmark's norm.
+    """
+
+    def __init__(self, text: str):
+        self.codes = codes([text])[0]
+        bits = _bits(self.codes)
+        self.letters = np.unique(bits)
+        weight: dict[tuple, float] = defaultdict(float)
+        for at in itertools.combinations(range(len(text)), ORDER):
+            weight[tuple(self.codes[list(at)])] += DECAY ** (at[-1] - at[0] + 1)
+        masks = np.array([sum(1 << int(np.searchsorted(self.letters, b)) for b in set(_bits(np.array(u)).tolist())) for u in weight], np.int64)
+        square = np.array(list(weight.values())) ** 2
+        some = np.arange(1 << len(self.letters))
+        share = ((masks[None] & some[:, None]) == masks[None]) @ square / square.sum()
+        self.bound = np.sqrt(share).astype(np.float32)
+
+    def bounds(self, bits: np.ndarray) -> np.ndarray:
+        index = np.zeros(bits.shape, np.int64)
+        for j, letter in enumerate(self.letters):
+            index |= ((bits & letter) > 0).astype(np.int64) << j
+        return self.bound[index]
+
+
+class Similarity:
+    """Similarities of strings with landmarks: kernels of their most similar stretches, above the floor."""
+
+    def __init__(self, landmarks: list[str]):
+        self.landmarks = [Landmark(t) for t in landmarks]
+        self.codes = codes(landmarks) if landmarks else np.zeros((0, 1), np.int32)
+        self.own = _own(self.codes)
+
+    def of(self, strings: list[str]) -> np.ndarray:
+        out = np.zeros((len(strings), len(self.landmarks)), np.float32)
+        parts = [(i, s[a : a + PIECE]) for i, s in enumerate(strings) for a in range(0, max(1, len(s) - OVERLAP), PIECE - OVERLAP)]
+        for a in range(0, len(parts), 20_000):
+            rows, pieces = zip(*parts[a : a + 20_000], strict=True)
+            np.maximum.at(out, np.array(rows), self._of_pieces(list(pieces)))
+        return out
+
+    def _of_pieces(self, strings: list[str]) -> np.ndarray:
+        out = np.zeros((len(strings), len(self.landmarks)), np.float32)
+        s = codes(strings)
+        bits, size = _bits(s), np.array([len(x) for x in strings])
+        whole = np.bitwise_or.reduce(bits, axis=1)
+        for j, landmark in enumerate(self.landmarks):
+            near = np.flatnonzero((landmark.bounds(whole) > FLOOR) & (size >= ORDER))
+            width = len(landmark.codes) + 2
+            if not len(near):
+                continue
+            pad = ((0, 0), (0, max(width - s.shape[1], 0)))
+            own = np.lib.stride_tricks.sliding_window_view(np.pad(s[near], pad), width, axis=1)
+            has = np.bitwise_or.reduce(np.lib.stride_tricks.sliding_window_view(np.pad(bits[near], pad), width, axis=1), axis=2)
+            inside = np.arange(own.shape[1])[None] <= np.maximum(size[near] - width, 0)[:, None]
+            row, at = np.nonzero(inside & (landmark.bounds(has) > FLOOR))
+            for i in range(0, len(row), 20_000):
+                r = row[i : i + 20_000]
+                stretch = np.ascontiguousarray(own[r, at[i : i + 20_000]])
+                kernel = _kernel(stretch, landmark.codes[None, None])[:, 0] / np.sqrt(_own(stretch) * self.own[j] + 1e-12)
+                np.maximum.at(out[:, j], near[r], kernel)
+        return np.maximum(out - FLOOR, 0) / (1 - FLOOR)
 
 
 def string_of(word: str) -> str:
-    """A word without what surrounds it."""
-    return EDGES.sub("", word.lower())
+    """A word behind its mark, without what surrounds it or sets single characters of it apart."""
+    own = EDGES.sub("", word.lower())
+    return START + (INNER.sub("", own) if APART.search(own) else own)
 
 
-def windows(string: str) -> list[str]:
-    if len(string) <= SPAN:
-        return [string]
-    return [string[a : a + SPAN] for a in range(0, len(string) - SPAN // 2, SPAN // 2)]
+def spaced(text: str) -> list[str]:
+    return [START + m[0].replace(" ", "").lower() for m in SPACED.finditer(text)]
 
 
 def strings_of(text: str) -> list[str]:
     """The strings of a sentence: its words, and runs of spaced characters put together."""
-    own = [s for w in text.split() if len(s := string_of(w)) >= ORDER]
-    return own + [m[0].replace(" ", "").lower() for m in SPACED.finditer(text)]
+    return [s for w in text.split() if len(s := string_of(w)) > ORDER] + spaced(text)
 
 
 @dataclass
@@ -146,20 +221,43 @@ class Machine:
     whiten: np.ndarray
     weights: np.ndarray
     bias: float
-    threshold: float = 0.0
-    low: float = 0.0
-    high: float = 1.0
+    steps: np.ndarray  # their borders
+    rates: np.ndarray  # weight of each step, and by how much more of a toxic text's strings are in some step
+    curve: np.ndarray
 
-    def margins(self, strings: list[str]) -> np.ndarray:
+    def margins(self, strings: list[str], similarity: Similarity | None = None) -> np.ndarray:
         if not self.landmarks:
-            return np.full(len(strings), NEVER)
-        parts = [windows(s) for s in strings]
-        flat = [w for p in parts for w in p]
-        values = string_kernel(flat, self.landmarks) @ self.whiten @ self.weights + self.bias
-        return per_row(values.astype(np.float64), np.array([len(p) for p in parts], np.int64), np.maximum) if flat else np.zeros(0)
+            return np.full(len(strings), TELLING - 1)
+        return ((similarity or Similarity(self.landmarks)).of(strings) @ self.whiten @ self.weights + self.bias).astype(np.float64)
+
+    def weights_of(self, margins: np.ndarray) -> np.ndarray:
+        """What a string tells: the log ratio of its step's rates in toxic and in clean texts."""
+        return self.rates[np.searchsorted(self.steps, margins, side="right")]
+
+    def of_texts(self, margins: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        own = [self.weights_of(m) for m in margins]
+        return np.array([w.sum() for w in own]), np.array([w[w >= SURE].sum() for w in own]), np.array([len(m) for m in margins])
+
+    def evidence(self, total: np.ndarray, sure: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Of texts, from the summed weights of their strings and of those that tell by themselves, and how many strings they have."""
+        return np.stack([np.clip(np.maximum(total - n * self.rates[-1], sure), -5, 10), np.ones(len(n))], axis=1)
+
+    def probability(self, total: np.ndarray, sure: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.evidence(total, sure, n) @ self.curve, -50, 50)))
+
 
-    def probability(self, margin: np.ndarray) -> np.ndarray:
-        return self.low + (self.high - self.low) / (1 + np.exp(-np.clip(STEEP * (margin - self.threshold), -50, 50)))
+def _steps(margins: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Borders of steps of margins (equal shares of the telling strings of toxic texts); weights of all, and the summed difference of their rates."""
+    telling = np.concatenate([m[m >= TELLING] for m, y in zip(margins, toxic, strict=True) if y] or [np.zeros(0)])
+    steps = np.unique(np.append(np.quantile(telling, np.linspace(0, 1, STEPS + 1)[1:-1]) if len(telling) else [], TELLING)) - 1e-6
+    seen = np.array([np.bincount(np.searchsorted(steps, m, side="right"), minlength=len(steps) + 1) for m in margins])
+    seen = np.array([seen[toxic == y].sum(axis=0) for y in (0, 1)])
+    beyond = np.cumsum(seen[:, ::-1], axis=1)[:, ::-1]  # a step of few strings is judged with those above it
+    rate = (np.where(seen.sum(axis=0) < FEW, beyond, seen) + 0.5) / (seen.sum(axis=1, keepdims=True) + 1)
+    weight = np.maximum.accumulate(np.log(rate[1] / rate[0]))  # never less for a larger margin
+    weight[0] = 0
+    each = seen[:, 1:].sum(axis=1) / (seen.sum(axis=1) + 1)
+    return steps, np.append(weight, each[1] - each[0])
 
 
 def _squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 20.0) -> np.ndarray:
@@ -177,20 +275,16 @@ def _squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float
     return w
 
 
-def _calibrated(margin: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Threshold and the shares of toxic texts below and above it, of greatest likelihood.
-
-    A plain logistic curve will not do: texts that are labelled toxic for what no
-    string shows keep the share below the threshold from going to 0.
-    """
-    best = (-np.inf, 0.0, y.mean(), y.mean())
-    for threshold in np.arange(-0.8, 3.0, 0.05):
-        above = 1 / (1 + np.exp(-np.clip(STEEP * (margin - threshold), -50, 50)))
-        high = (y @ above + y.mean()) / (above.sum() + 1)
-        low = (y @ (1 - above) + y.mean()) / ((1 - above).sum() + 1)
-        p = np.clip(low + (high - low) * above, 1e-6, 1 - 1e-6)
-        best = max(best, (float(y @ np.log(p) + (1 - y) @ np.log1p(-p)), float(threshold), float(low), float(high)))
-    return best[1:]
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
+    """A logistic curve by Newton steps."""
+    w = np.zeros(x.shape[1])
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
+        w += step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
 
 
 def _gapped(strings: list[str], rng: np.random.Generator) -> list[str]:
@@ -216,74 +310,117 @@ def _first_of_copies(texts: list[str | None]) -> list[bool]:
     return out
 
 
+def stretches(word: str) -> set[str]:
+    return {word[a : a + n] for n in STRETCH for a in range(len(word) - n + 1)}
+
+
+def telling(toxic: Counter, clean: Counter, share: float) -> list[str]:
+    """Stretches that toxic texts have far more often; ``toxic`` and ``clean`` count the texts of each word."""
+    within: dict[str, list[str]] = defaultdict(list)
+    for word in toxic:
+        for x in stretches(word):
+            within[x].append(word)
+    within = {x: own for x, own in within.items() if sum(toxic[w] for w in own) >= LEAST}
+    of_clean: Counter[str] = Counter()
+    for word, n in clean.items():
+        for x in stretches(word):
+            if x in within:
+                of_clean[x] += n
+
+    def tells(n: int, other: int) -> bool:
+        chance = n * np.log(n / (n + other) / share) + (other * np.log(other / (n + other) / (1 - share)) if other else 0)
+        return n * (1 - share) >= LIFT * share * (other + 1) and chance >= EVIDENCE
+
+    within = {x: own for x, own in within.items() if tells(sum(toxic[w] for w in own), of_clean[x])}
+    found: list[str] = []
+    left = dict(toxic)
+    gain = {x: sum(left[w] for w in own) for x, own in within.items()}
+    while gain and len(found) < LANDMARKS[0]:
+        most = max(gain.values())
+        best = min((x for x, n in gain.items() if n == most), key=lambda x: (-len(x), x))
+        best = min((x for x, n in gain.items() if best in x and n >= 0.8 * most), key=lambda x: (-len(x), x))  # the longest that says the same
+        found.append(best)
+        for w in within[best]:
+            left[w] = 0
+        gain = {x: n for x in gain if (n := sum(left[w] for w in within[x])) >= LEAST and tells(n, of_clean[x])}
+    return found
+
+
 def fit(texts: list[str | None], toxic: list[int]) -> Machine:
     """A machine from labelled texts, whose sentences take the texts' labels."""
     n_toxic = sum(toxic)
     share = (n_toxic + 0.5) / (len(toxic) + 1)
-    empty = Machine([], np.zeros((0, 0)), np.zeros(0), NEVER, 0.0, share, share)
+    empty = Machine([], np.zeros((0, 0)), np.zeros(0), 0.0, np.zeros(0), np.zeros(2), np.array([0, np.log(share / (1 - share))]))
     if not 0 < n_toxic < len(toxic):
         return empty
     rng = np.random.default_rng(7)
-    single = _first_of_copies(texts)
-    sentences = [(s, y) for t, y, one in zip(texts, toxic, single, strict=True) if one for x in SENTENCE.split(t or "") if (s := strings_of(x))]
-    # in how many different surroundings a string stands
-    around: tuple[dict[str, set], dict[str, set]] = (defaultdict(set), defaultdict(set))
-    for s, y in sentences:
-        for a, word, b in zip(["", *s], s, [*s[1:], ""], strict=False):
-            around[y][word].add((a, b))
-    least = max(3, n_toxic // 50)
-    lift = {w: len(c) * (1 - share) / share / (len(around[0].get(w, ())) + 1) for w, c in around[1].items() if len(c) >= least}
-    insults = sorted((w for w, v in lift.items() if v >= 12), key=lambda w: (-len(around[1][w]), w))
-    if insults:  # words that copies of one text share stand far behind
-        usual = np.median([len(around[1][w]) for w in insults[:7]])
-        insults = [w for w in insults if len(around[1][w]) >= usual / 4]
+    of: tuple[Counter, Counter] = (Counter(), Counter())
+    bags: list[list[str]] = []  # strings of the sentences of toxic texts
+    for text, y, one in zip(texts, toxic, _first_of_copies(texts), strict=True):
+        if one:
+            own = [x for part in SENTENCE.split(text or "") if (x := strings_of(part))]
+            of[y].update(set(itertools.chain.from_iterable(own)))
+            bags += own if y else []
+    insults = telling(of[1], of[0], share)
     if not insults:
         return empty
-    common = sorted((w for w in around[0] if w not in lift or lift[w] < 3), key=lambda w: (-len(around[0][w]), w))
-    landmarks = insults[: LANDMARKS[0]] + [w for w in common if len(w) >= 5][: LANDMARKS[1]]
+    clean = sorted(of[0])
+    alike = Similarity(insults).of(clean).sum(axis=1)
+    hard = [clean[i] for i in np.argsort(-alike, kind="stable") if alike[i] > 0 and len(clean[i]) <= STRETCH[-1] and not any(x in clean[i] for x in insults)][: LANDMARKS[1]]
+    landmarks = insults + hard
+    similarity = Similarity(landmarks)
     gram = string_kernel(landmarks, landmarks).astype(np.float64)
     values, vectors = np.linalg.eigh(gram + 1e-6 * np.eye(len(landmarks)))
     whiten = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 0.02))) @ vectors.T
-    machine = Machine(landmarks, whiten, np.zeros(len(landmarks)), 0.0)
-    clean = list(rng.permutation(sorted(around[0])))[:20_000]
-    hinted = set(insults)
-    witnesses = [w for s, y in sentences if y for w in s if w in hinted]
-    negatives = clean[:2000] + common[:1000]
-    for _ in range(6):
-        count = Counter(witnesses).most_common(500)
-        good = [w for w, _ in count]
-        often = np.array([n for _, n in count], np.float64)
-        good += _gapped(good, rng)
-        often = np.concatenate([often, np.repeat(often, 2) / 2])
-        bad = negatives + _gapped([w for w in negatives[:300] if len(w) >= ORDER], rng)
-        x = np.concatenate([string_kernel([w[:SPAN] for w in good + bad], landmarks) @ whiten, np.ones((len(good) + len(bad), 1))], axis=1)
-        y = np.r_[np.ones(len(good)), -np.ones(len(bad))]
-        w = _squared_hinge(x, y, np.concatenate([often * len(bad) / often.sum() / 4, np.ones(len(bad))]))
-        machine.weights, machine.bias = w[:-1], float(w[-1])
-        margins = machine.margins(clean)
-        negatives = list(dict.fromkeys(negatives + [clean[i] for i in np.argsort(-margins)[:500]]))
-        of = dict(zip(all_ := sorted({w for s, y in sentences if y for w in s if w in lift}), machine.margins(all_), strict=True))
-        witnesses = insults + [top for s, y in sentences if y and (own := [w for w in s if w in of]) and of[top := max(own, key=of.__getitem__)] > 0]
-    most = _most(machine, texts)
-    machine.threshold, machine.low, machine.high = _calibrated(most, np.array(toxic, float))
-    return machine
 
-
-def _most(machine: Machine, texts: list[str | None]) -> np.ndarray:
+    def features(strings: list[str]) -> np.ndarray:
+        return np.concatenate([similarity.of(strings) @ whiten, np.ones((len(strings), 1))], axis=1)
+
+    gapped = _gapped(insults, rng)
+    bad, at = np.unique(features(clean), axis=0, return_inverse=True)  # most strings are similar to no landmark
+    weight = np.bincount(at, [of[0][w] for w in clean])
+    seen = sorted(set().union(*bags))
+    of_seen = dict(zip(seen, features(seen), strict=True))
+    witnesses = [w for own in bags for w in own if any(x in w for x in insults)]
+    machine = Machine(landmarks, whiten, np.zeros(len(landmarks)), 0.0, empty.steps, empty.rates, empty.curve)
+    for _ in range(4):
+        count = Counter(witnesses)
+        good = np.concatenate([np.array([of_seen[w] for w in count]), features(gapped)])
+        often = np.r_[np.array(list(count.values()), float), np.full(len(gapped), len(witnesses) / 4 / len(gapped))]
+        x, y = np.concatenate([good, bad]), np.r_[np.ones(len(good)), -np.ones(len(bad))]
+        w = _squared_hinge(x, y, np.concatenate([often, weight]))
+        machine.weights, machine.bias = w[:-1], float(w[-1])
+        margin = {k: float(v @ w) for k, v in of_seen.items()}
+        witnesses = [top for own in bags if margin[top := max(own, key=margin.__getitem__)] > 0] or witnesses
     strings = [strings_of(t or "") for t in texts]
     known = sorted(set().union(*strings))
-    of = dict(zip(known, machine.margins(known), strict=True))
-    return np.array([max((max(of[s], NEVER) for s in own), default=NEVER) for own in strings])
+    margin = dict(zip(known, machine.margins(known, similarity), strict=True))
+    margins = [np.array([margin[x] for x in own]) for own in strings]
+    machine.steps, machine.rates = _steps(margins, np.array(toxic))
+    machine.curve = _logistic(machine.evidence(*machine.of_texts(margins)), np.array(toxic, float))
+    return machine
 
 
 def learn(docs: DataFrame, rows: int = LEARN_ROWS) -> Machine:
-    """A machine from rows with ``text`` and ``toxic`` (0 or 1), of which at most ``rows`` with the smallest hashes are used."""
+    """A machine from rows with ``text`` and ``toxic`` (0 or 1), of which at most ``rows`` texts with the smallest hashes are used.
+
+    One task fits it; the driver gets the machine alone.
+    """
     docs = docs.select("text", F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1)").withColumn("h", F.xxhash64("text"))
-    n = docs.count()
+    n = docs.agg(F.approx_count_distinct("h", 0.01)).first()[0]
     if n > 2 * rows:
         docs = docs.filter(F.col("h") <= int(2 * rows / n * 2.0**64 - 2.0**63))
-    sample = docs.orderBy("h", "toxic").limit(rows).collect()
-    return fit([r["text"] for r in sample], [r["toxic"] for r in sample])
+    sample = docs.groupBy("h").agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("h").limit(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, toxic = [], []
+        for batch in batches:
+            texts += batch.column("text").to_pylist()
+            toxic += batch.column("toxic").to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, toxic))], pa.binary())], names=["machine"])
+
+    fitted = map_arrow(sample.select("text", "toxic").coalesce(1), run, "machine binary").collect()
+    return pickle.loads(fitted[0]["machine"]) if fitted else fit([], [])
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
@@ -293,27 +430,30 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     name = str(uuid.uuid4())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        similarity = Similarity(machine.landmarks)
         strings: dict[str, float] = {}  # margins, bounded below
 
         def compute(words: list[bytes]) -> np.ndarray:
             own = [string_of(w.decode()) for w in words]
-            fresh = list({s for s in own if len(s) >= ORDER and s not in strings})
+            fresh = list({s for s in own if len(s) > ORDER and s not in strings})
             if len(strings) > 400_000:
                 strings.clear()
-                fresh = list({s for s in own if len(s) >= ORDER})
-            strings.update(zip(fresh, machine.margins(fresh), strict=True))
-            return np.array([strings.get(s, NEVER) for s in own], np.float64)
+                fresh = list({s for s in own if len(s) > ORDER})
+            strings.update(zip(fresh, machine.margins(fresh, similarity), strict=True))
+            margin = np.array([strings.get(s, -np.inf) for s in own], np.float64)
+            weight = machine.weights_of(margin)
+            return np.stack([weight, np.where(weight >= SURE, weight, 0), margin > -np.inf], axis=1)
 
         known = held(name, lambda: Remembered(compute))
         for batch in (part for batch in batches for part in slices(batch, "text")):
             texts = batch.column("text").to_pylist()
             values, counts = known.of(texts)
-            most = per_row(np.maximum(values, NEVER), counts, np.maximum)
-            most[counts == 0] = NEVER
+            sums = per_row(values, counts)
             for i, text in enumerate(texts):
-                if text and (spaced := [m[0].replace(" ", "").lower() for m in SPACED.finditer(text)]):
-                    most[i] = max(most[i], machine.margins(spaced).max())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(machine.probability(most))], names=[*names, "score"])
+                if text and (more := spaced(text)):
+                    weights = machine.weights_of(machine.margins(more, similarity))
+                    sums[i] += weights.sum(), weights[weights >= SURE].sum(), len(more)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(machine.probability(*sums.T))], names=[*names, "score"])
 
     return map_arrow(docs.select(*names, "text"), run, ", ".join([*fields, "score double"]))
 
