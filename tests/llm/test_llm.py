@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -54,8 +55,9 @@ def plain_sets(rows, size):
     return out
 
 
-@pytest.mark.parametrize(("size", "percent"), [(4, 85), (5, 80)])
-def test_jaccard_components(docs, rows, size, percent):
+@pytest.mark.parametrize(("size", "percent", "block"), [(4, 85, 512), (5, 80, 4)])
+def test_jaccard_components(docs, rows, size, percent, block, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     sets = plain_sets(rows, size)
     root = list(range(len(rows)))
 
@@ -92,8 +94,11 @@ def test_jaccard_random_sets_lose_no_link():
             both = len(np.intersect1d(a, b))
             if 100 * both < 80 * (len(a) + len(b) - both):
                 continue
-            sa, sb = (set(jaccard.postings(x, np.array([len(x)]), schemes)[0].tolist()) for x in (a, b))
-            assert sa & sb, (n, len(a), len(b))
+            (sa, _, ka, skips_a), (sb, _, kb, skips_b) = (jaccard.postings(x, np.array([len(x)]), schemes) for x in (a, b))
+            kind_b = dict(zip(sb.tolist(), kb.tolist(), strict=True))
+            shared = Counter((k, kind_b[x]) for x, k in zip(sa.tolist(), ka.tolist(), strict=True) if x in kind_b)
+            left_out = [*skips_a[0].tolist(), 0], [*skips_b[0].tolist(), 0]
+            assert any(n > max(left_out[0][k], left_out[1][j]) for (k, j), n in shared.items()), (n, len(a), len(b))
 
 
 def test_jaccard_small_cells_and_large_cells_agree():
@@ -199,6 +204,9 @@ def test_secrets(spark):
     red = {r["doc_id"]: r["text"] for r in secrets.scan(df, redact=True).collect()}
     assert red[0] is None and red[2] == 'my [assign]" and api_key:short' and red[3] == "é [hex] [assign]"
     assert secrets.trigram_query("[0-9a-f]+") == secrets.ALWAYS
+    many = [secrets.Rule(f"k{i}", f"{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyz0123'[i // 100]}q{i}z[0-9]+") for i in range(400)] + [secrets.Rule("ü", "schlüssel=[a-z]+")]
+    some = spark.createDataFrame([(1, f"x {many[399].pattern[:-6]}77 schlüssel=abc")], "doc_id long, text string")
+    assert [s["kind"] for s in secrets.scan(some, tuple(many)).first()["spans"]] == ["k399", "ü"]
     assert secrets.trigram_query("ab(cd|ef)+gh?") == frozenset({frozenset({"abc", "bcd"}), frozenset({"abe", "bef"})}) or secrets.trigram_query("ab(cd|ef)+gh?")
 
 
@@ -234,12 +242,25 @@ def test_quality_judge(docs, spark):
     assert quality.judge(empty(spark)).count() == 0
 
 
+def first_fit_decreasing(lengths, capacity):
+    rooms: list[int] = []
+    for n in sorted(lengths, reverse=True):
+        at = next((k for k, room in enumerate(rooms) if room >= n), None)
+        if at is None:
+            rooms.append(capacity - n)
+        else:
+            rooms[at] -= n
+    return len(rooms)
+
+
 def test_packing(docs, rows, spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
+    special = [(800, "<|endoftext|> hello"), (801, "a<|startoftext|>b, <|endoftext|>"), (802, "< |endoftext|>")]
+    rows = rows + [(i, t) for i, t in special]
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame(special, "doc_id long, text string"))
     got = packing.best_fit_packing(docs, path, 512).collect()
     by_doc = {}
     for r in got:
@@ -258,14 +279,7 @@ def test_packing(docs, rows, spark):
             assert offset == at
             at += length
         assert at <= 512
-    decreasing: list[int] = []  # first fit
-    for n in sorted((r["length"] for r in got), reverse=True):
-        at = next((k for k, room in enumerate(decreasing) if room >= n), None)
-        if at is None:
-            decreasing.append(512 - n)
-        else:
-            decreasing[at] -= n
-    assert len(bins) <= len(decreasing)
+    assert len(bins) <= first_fit_decreasing([r["length"] for r in got], 512)
     assert packing.best_fit_packing(empty(spark), path).count() == 0
 
 
@@ -280,6 +294,9 @@ def test_bin_completion():
             for x in filling:
                 used[x] = used.get(x, 0) + times
         assert used == histogram
+        assert sum(n for _, n in plan) <= first_fit_decreasing([k for k, n in histogram.items() for _ in range(n)], 100)
+    assert sum(n for _, n in packing.bin_completion({60: 2, 40: 1, 25: 2, 15: 2, 20: 1}, 100)) == 3  # 60+40, 60+25+15, 25+20+15
+    assert packing.bin_completion({}, 100) == []
 
 
 def test_language(spark):
@@ -294,8 +311,20 @@ def test_language(spark):
     assert sum(got[i]["lang_pred"] == k for i, _, k in data if i >= 60) >= 28
     assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in range(900, 904))
     assert language.identify(df, {}).filter("lang_pred <> 'und'").count() == 0
-    a = language.SuffixAutomaton("abcabd")
-    assert a.phrases("abcabd") == 1 and a.phrases("abdabc") == 2 and a.phrases("xab") == 2 and a.phrases("") == 0
+    parser = language.Parser([language.SuffixAutomaton("abcabd"), language.SuffixAutomaton("xx")])
+    assert parser.phrases(["abcabd", "abdabc", "xab", "", "ab\U0001f600c"]).T.tolist() == [[1, 2, 2, 0, 3], [6, 6, 3, 0, 4]]
+
+    def plain(reference, text):
+        n = 0
+        while text:
+            k = next((k for k in range(len(text), 0, -1) if text[:k] in reference), 1)
+            n, text = n + 1, text[k:]
+        return n
+
+    references = [language.units(t)[0] for t in (data[0][1], data[1][1])]
+    texts = [x for _, t, _ in data[:20] for x in language.units(t + ". Été, two")]
+    want = [[plain(r, t) for r in references] for t in texts]
+    assert language.Parser([language.SuffixAutomaton(r) for r in references]).phrases(texts).tolist() == want
 
 
 def test_pieces(docs, rows, spark):
@@ -355,6 +384,39 @@ def test_urls(spark):
     assert urls.judge(df.limit(0)).count() == 0
 
 
+def test_url_tree_generalises_below_wildcards(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    paths = [["u", word(), "p", word()] for _ in range(100)] + [["tag", rng.choice("xyz"), word()] for _ in range(70)] + [["a"] * n for n in range(12)] + [["u", word()] for _ in range(5)]
+    paths += [["deep", *rng.choices("pq", k=rng.randrange(9)), word()] for _ in range(60)]
+    df = spark.createDataFrame([(i, f"https://h{i % 2 if x[:1] == ['deep'] else 0}.org/{'/'.join(x)}") for i, x in enumerate(paths)], "page_id long, url string")
+    got = {r["page_id"]: (r["host"], r["template"]) for r in urls.judge(df, ()).collect()}
+
+    def down(rows, at, node, out):
+        """Rows (id, path) of one node."""
+        kinds = {x[at] for _, x in rows if len(x) > at}
+        below = [(i, x) for i, x in rows if len(x) > at]
+        open_ = len(kinds) >= urls.CHILDREN and len(below) <= urls.PAGES_EACH * len(kinds)
+        for i, x in rows:
+            if len(x) <= at:
+                out[i] = node or "/"
+        for step in {"*"} if open_ and below else kinds:
+            down([(i, x) for i, x in below if open_ or x[at] == step], at + 1, f"{node}/{step}", out)
+        return out
+
+    want = {}
+    for host in ("h0.org", "h1.org"):
+        want |= {i: (host, t) for i, t in down([(i, x) for i, x in enumerate(paths) if got[i][0] == host], 0, "", {}).items()}
+    assert got == want and got[0][1] == "/u/*/p/*"
+
+
+def test_url_branches_are_merged(spark):
+    row = lambda node, n, bad: ("h", 130, node, "/", n, bad)
+    nodes = spark.createDataFrame([row("/a", 2, 2), row("/b", 3, 3), row("/c", 400, 8), row("/d", 500, 11)], "of string, level int, node string, parent string, n long, n_bad long")
+    got = {r["node"]: (r["n"], r["n_bad"]) for r in urls.merged(nodes).collect()}
+    assert got["/c"] == got["/d"] and got["/a"] == (2, 2) and got["/b"] == (3, 3)
+
+
 def test_url_labels_reach_templates_without_labels(spark):
     data = [(i, f"https://bad.example.com/de/{i}") for i in range(20)] + [(100 + i, f"https://www.bad.example.com/en/{i}") for i in range(5)]
     data += [(200 + i, f"https://good.org/fr/{i}") for i in range(20)] + [(300, "https://good.org/en/1"), (301, "https://new.example.com/en/1"), (302, "https://new.edu/en/1"), (303, "http://10.0.0.1:80/x"), (304, None)]
@@ -383,13 +445,13 @@ def test_toxicity(spark):
 
     data = [(i, text(i % 4 == 0), int(i % 4 == 0)) for i in range(400)]
     df = spark.createDataFrame(data, "doc_id long, text string, toxic int")
-    machine = toxicity.learn(df.filter("doc_id < 250"))
+    machine = toxicity.learn(df, df.filter("doc_id < 250"))
     odd = [(900, None), (901, ""), (902, text(0) + " grob-nik"), (903, text(0) + " s c h m u t z"), (904, text(0) + " fiesxling!")]
     got = {r["doc_id"]: r["score"] for r in toxicity.score(df.select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string")), machine).collect()}
     right = sum((got[i] >= 0.7) == bool(y) for i, _, y in data if i >= 250)
     assert right >= 145 and got[900] < 0.5 and got[901] < 0.5
     assert min(got[902], got[903], got[904]) >= 0.7
-    assert toxicity.learn(df.filter("toxic = 0")).landmarks == []
+    assert toxicity.learn(df, df.filter("toxic = 0")).landmarks == [] == toxicity.learn(df, df.limit(0)).landmarks
 
 
 def test_string_kernel():
