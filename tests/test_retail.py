@@ -1,7 +1,12 @@
 """Cleaning, feeds, promotions and comparison on small fixtures, and properties of the operators."""
 
 import itertools
+import os
+import pathlib
 import random
+import shutil
+import subprocess
+import sys
 from decimal import Decimal
 
 import pytest
@@ -241,7 +246,36 @@ def test_streams(spark, tmp_path):
     assert jobs.latest_prices(log).first()["price"] == 5.0
 
 
-def test_entry_without_the_training_data_operators():
+def test_entry_without_the_training_data_operators(tmp_path):
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+    root = pathlib.Path(__spark_entry__.__file__).parent
+    shutil.copytree(root / "basketlens", tmp_path / "basketlens", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; n = set(e.queries()); assert n >= set(e.oracle_sql()) and len(n) > 100 and not any(x.startswith('op') for x in n) and 'pipeline' not in n"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, check=True)
+
+
+def test_feeds_of_other_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("ChainId,ItemCode,ItemName\n1,11,x\n1,12,y,extra\n")
+    (tmp_path / "b.csv").write_text("itemcode,chainid\n21,2\n")
+    from basketlens.sources import feeds as src
+
+    got = src.read_feeds(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")])
+    assert sorted((r["chainid"], r["itemcode"], r["itemname"]) for r in got.collect()) == [("1", "11", "x"), ("2", "21", None)]
+
+
+def test_strict_localities(spark):
+    rows = [(1, "Be Akko", None), (2, "Akko - north", "Akko 12"), (3, "Akko", "Haifa, x"), (4, "Old Akko", None), (5, "online - Haifa", "Haifa"), (6, "Haifa (new)", None), (7, "Akko", "קניון Akko"), (8, None, None)]
+    stores = spark.createDataFrame(rows, "store_id long, store_name string, address string")
+    known = spark.createDataFrame([("Akko",), ("Haifa",)], "name string")
+    assert {r["store_id"]: r["named_city"] for r in cities.strict_locality(stores, known).collect()} == {1: "Akko", 5: "Haifa", 6: "Haifa"}
+
+
+def test_short_search_and_null_codes(spark):
+    products = spark.createDataFrame([(1, "7290001", "red tea", "acme", 5), (2, "7290002", "pie", "zest", 9)], "product_id long, barcode string, name_norm string, manufacturer string, availability long")
+    queries = spark.createDataFrame([(1, "e"), (2, "ea"), (3, "zz")], "query_id long, query string")
+    found = search.substring_search(products, queries, queries.limit(0)).orderBy("query_id", "place").collect()
+    assert [(r["query_id"], r["product_id"]) for r in found] == [(1, 2), (1, 1), (2, 1)]
+    assert spark.range(1).select(cl.product_key(F.lit(None).cast("string"), F.lit("729")).alias("k")).first()["k"] is None
