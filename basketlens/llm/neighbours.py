@@ -32,10 +32,10 @@ from pyspark.sql import functions as F
 from basketlens.llm.frames import cut, map_arrow
 
 #: Pivots, and how many of them a vector is posted under.
-PIVOTS, NEAREST = 512, 64
+PIVOTS, NEAREST = 512, 128
 BLOCK, QUERY_BLOCK = 8192, 512
 #: Share of a block that is reranked, and how many times the asked number of vectors at least.
-RERANKED, LEAST = 0.25, 4
+RERANKED, LEAST = 0.2, 4
 #: Distinct vectors that a task gathers before it hands them on.
 GATHERED = 50_000
 
