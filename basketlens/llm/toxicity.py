@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.llm.frames import held_out, map_arrow
+from basketlens.llm.frames import held_out, kept, map_arrow
 from basketlens.llm.words import Remembered, held, per_row, slices
 
 LEARN_ROWS = 4000
@@ -81,10 +81,7 @@ SURE = 6.5
 def codes(strings: list[str]) -> np.ndarray:
     """Characters as numbers, one row for each string, 0 behind its end."""
     width = max(map(len, strings), default=1)
-    out = np.zeros((len(strings), width), np.int32)
-    for i, s in enumerate(strings):
-        out[i, : len(s)] = [ord(c) for c in s]
-    return out
+    return np.frombuffer("".join(s.ljust(width, "\0") for s in strings).encode("utf-32-le"), np.int32).reshape(len(strings), width)
 
 
 def _kernel(s: np.ndarray, t: np.ndarray) -> np.ndarray:
@@ -401,16 +398,22 @@ def fit(texts: list[str | None], toxic: list[int]) -> Machine:
     return machine
 
 
-def learn(docs: DataFrame, rows: int = LEARN_ROWS) -> Machine:
-    """A machine from rows with ``text`` and ``toxic`` (0 or 1), of which at most ``rows`` texts with the smallest hashes are used.
+def learn(docs: DataFrame, labels: DataFrame, rows: int = LEARN_ROWS) -> Machine:
+    """A machine from ``docs`` (``doc_id, text``) and ``labels`` (``doc_id, toxic``, 0 or 1).
 
-    One task fits it; the driver gets the machine alone.
+    At most ``rows`` texts with the smallest hashes are used, chosen before any text is
+    shuffled.  One task fits the machine; the driver gets the chosen ids and the
+    machine alone.
     """
-    docs = docs.select("text", F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1)").withColumn("h", F.xxhash64("text"))
-    n = docs.agg(F.approx_count_distinct("h", 0.01)).first()[0]
-    if n > 2 * rows:
-        docs = docs.filter(F.col("h") <= int(2 * rows / n * 2.0**64 - 2.0**63))
-    sample = docs.groupBy("h").agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("h").limit(rows)
+    hashed = docs.select("doc_id", "text").withColumn("h", F.xxhash64("text"))
+    toxic = F.col("toxic").cast("int")
+    keyed = kept(hashed.select("doc_id", "h").join(labels.select("doc_id", toxic.alias("toxic")).filter("toxic in (0, 1)"), "doc_id"))
+    n = keyed.agg(F.approx_count_distinct("h", 0.01)).first()[0]
+    few = keyed.filter(F.col("h") <= int(2 * rows / n * 2.0**64 - 2.0**63)) if n > 2 * rows else keyed
+    chosen = few.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")).orderBy("h").limit(rows).collect()
+    keyed.unpersist()
+    table = docs.sparkSession.createDataFrame([tuple(r) for r in chosen], "h long, doc_id long, toxic int")
+    sample = hashed.join(F.broadcast(table), ["doc_id", "h"]).groupBy("h").agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("h").limit(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, toxic = [], []
@@ -462,5 +465,5 @@ def query(spark, folder):
     """``op1``: the toxicity of every document, learnt from labelled rows that are not held out."""
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic").filter(~held_out(F.col("doc_id")))
-    machine = learn(docs.join(labels, "doc_id"))
+    machine = learn(docs, labels)
     return score(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), machine).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
