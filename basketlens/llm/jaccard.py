@@ -380,32 +380,44 @@ def component_groups(asked: DataFrame, labels: DataFrame) -> DataFrame:
     return found.select(F.col("joined").alias("gid"), F.col("root").alias("node"), "kind", "times", "skips", "asks")
 
 
-def group_cells(groups: DataFrame) -> DataFrame:
-    """``cell, gid, node``: blocks in which all members of each group meet."""
-    blocks = cut(groups.groupBy("gid").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
-    own = groups.join(blocks, "gid").withColumn("block", F.pmod(F.hash("node"), "blocks"))
+def _paired(members: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``cell, gid, node``: all pairs of blocks of each group (``gid, node``); ``blocks`` (``gid, blocks``) says how many it has."""
+    own = members.join(blocks, "gid").withColumn("block", F.pmod(F.hash("node"), "blocks"))
     own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return own.select(F.xxhash64("gid", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), "gid", "node")
 
 
-def component_cells(members: DataFrame, sizes: DataFrame) -> DataFrame:
-    """``cell, node``: blocks in which all sets of different components of a cell meet (``cell, root, node``).
+def group_cells(groups: DataFrame) -> DataFrame:
+    """``cell, gid, node``: blocks in which all members of each group meet."""
+    return _paired(groups, cut(groups.groupBy("gid").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))))
+
+
+def component_cells(possible: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``cell, node``: blocks in which the sets of possible partners meet (``cell, root``: components of one cell).
 
-    Small components share blocks; a large one has blocks of its own, which do not meet each other.
+    Small components meet in their cell.  A component of several blocks meets all its
+    partners, of whatever cell, once: its blocks meet theirs, and not each other.
     """
-    sized = members.join(sizes, "node")
-    each = sized.groupBy("cell", "root").agg(_blocks(F.col("n_shingles")).alias("blocks"), F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
-    each = cut(each.withColumn("own", F.when(F.col("blocks") > 1, F.xxhash64("root")).otherwise(0)))
-    sides = each.groupBy("cell", "own").agg(F.greatest(F.ceil(F.sum("n") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    facing = sides.groupBy("cell").agg(F.flatten(F.collect_list(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.col("own").alias("own"), b.alias("block"))))).alias("facing"))
-    rows = members.join(each.select("cell", "root", "own"), ["cell", "root"]).join(sides, ["cell", "own"]).join(facing, "cell")
-    rows = rows.withColumn("block", F.pmod(F.hash("node"), "blocks")).withColumn("other", F.explode("facing")).filter((F.col("own") == 0) | (F.col("own") != F.col("other.own")))
-    a, b = F.xxhash64("own", "block"), F.xxhash64("other.own", "other.block")
-    return rows.select(F.xxhash64("cell", F.least(a, b), F.greatest(a, b)).alias("cell"), "node").distinct()
+    each = labels.join(possible.select("root").distinct(), "root", "left_semi").join(sizes, "node")
+    each = cut(each.groupBy("root").agg(_blocks(F.col("n_shingles")).alias("blocks"), F.count("*").alias("n"), F.sum("n_shingles").alias("size")))
+    known = cut(possible.join(each, "root"))
+    small = known.filter("blocks = 1").select("cell", "root").join(labels, "root").join(sizes, "node").select(F.col("cell").alias("gid"), "node", "n_shingles")
+    blocks = small.groupBy("gid").agg(_blocks(F.col("n_shingles")).alias("blocks"))
+    inside = _paired(small.select("gid", "node"), blocks).select("cell", "node")
+
+    large = known.filter("blocks > 1").select("cell", F.col("root").alias("of"), F.col("blocks").alias("own_blocks"))
+    met = large.join(known, "cell").filter("of <> root and (blocks = 1 or of < root)").select("of", "own_blocks", "root", "n", "size").distinct()
+    facing = cut(met.groupBy("of", "own_blocks").agg(F.greatest(F.ceil(F.sum("n") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("other")
+    own = facing.join(labels, F.col("of") == F.col("root")).select("of", "node", F.pmod(F.hash("node"), "own_blocks").alias("block"), every("blocks"))
+    own = own.select(F.xxhash64("of", "block", "other").alias("cell"), "node")
+    others = met.select("of", "root").join(facing, "of").join(labels, "root").select("of", "node", F.pmod(F.hash("node"), "blocks").alias("block"), every("own_blocks"))
+    others = others.select(F.xxhash64("of", "other", "block").alias("cell"), "node")
+    return inside.unionByName(own).unionByName(others).distinct()
 
 
 _MEMBERS = ["cell", "gid", "node", "skips", "list"]
-_ENTRY = np.dtype([("gid", "<i8"), ("times", "<u2"), ("kind", "u1"), ("asks", "?")])
+_ENTRY = np.dtype([("gid", "<i8"), ("times", "<u4"), ("kind", "u1"), ("asks", "?")])
 
 
 def group_lists(asked: DataFrame) -> DataFrame:
@@ -624,7 +636,7 @@ def node_components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     if not open_.isEmpty():
         lists = group_lists(groups.join(open_.select("node").distinct(), "node", "left_semi"))
         possible = possible_cells(group_cells(open_), lists).withColumnRenamed("node", "root")
-        cells = cut(component_cells(cut(possible.join(labels, "root")), sizes))
+        cells = cut(component_cells(cut(possible), labels, sizes))
         far = cut(links(texts_of(docs, ids, cells), cells, size, percent))
         root = components(near.unionByName(far))
     named = ids.select("node", "__id").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
