@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from basketlens.llm import jaccard, language, neighbours, packing, pieces, quality, secrets, substrings, toxicity, urls
+from basketlens.llm import audit, centroids, jaccard, language, neighbours, packing, pages, pieces, quality, secrets, substrings, toxicity, urls
 
 
 def queries():
@@ -17,8 +17,11 @@ def queries():
         "op8_quality_rules": quality.query,
         "op9_language_id": language.query,
         "op10_best_fit_packing": packing.query,
+        "op11_html_extraction": pages.query,
+        "op12_centroid_clustering": centroids.query,
+        "op13_filter_audit": audit.query,
     }
 
 
 def oracle_sql():
-    return {"op3_substring_dedup": substrings.ORACLE, "op4_ngram_jaccard": jaccard.ORACLE}
+    return {"op3_substring_dedup": substrings.ORACLE, "op4_ngram_jaccard": jaccard.ORACLE, "op12_centroid_clustering": centroids.ORACLE, "op13_filter_audit": audit.ORACLE}
