@@ -71,7 +71,7 @@ INNER = re.compile(r"[\W_]+")
 #: Stands for the beginning of a word.
 START = "^"
 #: Least margin of strings that tell something, and how many steps there are from there on.
-TELLING, STEPS = -0.5, 12
+TELLING, STEPS = -0.5, 24
 #: Strings that a step has at least to be judged by itself.
 FEW = 20
 #: Weight from which a string tells by itself.
@@ -293,18 +293,22 @@ def _gapped(strings: list[str], rng: np.random.Generator) -> list[str]:
     return out
 
 
-def _first_of_copies(texts: list[str | None]) -> list[bool]:
-    """Whether a text is the first of its near copies: few of the least hashes of its word pairs were seen before."""
-    seen: dict[int, int] = {}
-    out = []
-    for i, text in enumerate(texts):
-        words = (text or "").split()
-        sketch = sorted({zlib.crc32(f"{a} {b}".encode()) for a, b in zip(words, words[1:], strict=False)})[:10]
-        before = Counter(seen[h] for h in sketch if h in seen)
-        out.append(not before or max(before.values()) < 3)
-        for h in sketch:
-            seen.setdefault(h, i)
-    return out
+def _copies(texts: list[str], toxic: list[int]) -> list[int]:
+    """The group of near copies of each text, as a number: texts of one label that share three of their ten least hashes of word pairs, and so on from text to text."""
+    above = list(range(len(texts)))
+
+    def top(i: int) -> int:
+        while above[i] != i:
+            above[i] = i = above[above[i]]
+        return i
+
+    first: dict[tuple, int] = {}
+    for i, (text, y) in enumerate(zip(texts, toxic, strict=True)):
+        words = text.split()
+        sketch = sorted({zlib.crc32(f"{a} {b}".encode()) for a, b in itertools.pairwise(words)})[:10]
+        for key in itertools.combinations(sketch, 3):
+            above[top(i)] = top(first.setdefault((y, *key), i))
+    return [top(i) for i in range(len(texts))]
 
 
 def stretches(word: str) -> set[str]:
@@ -344,7 +348,8 @@ def telling(toxic: Counter, clean: Counter, share: float) -> list[str]:
 
 
 def fit(texts: list[str | None], toxic: list[int]) -> Machine:
-    """A machine from labelled texts, whose sentences take the texts' labels."""
+    """A machine from labelled texts, whose sentences take the texts' labels; the same one in whichever order they come."""
+    texts, toxic = map(list, zip(*sorted((t or "", y) for t, y in zip(texts, toxic, strict=True)), strict=True)) if texts else ([], [])
     n_toxic = sum(toxic)
     share = (n_toxic + 0.5) / (len(toxic) + 1)
     empty = Machine([], np.zeros((0, 0)), np.zeros(0), 0.0, np.zeros(0), np.zeros(2), np.array([0, np.log(share / (1 - share))]))
@@ -352,12 +357,14 @@ def fit(texts: list[str | None], toxic: list[int]) -> Machine:
         return empty
     rng = np.random.default_rng(7)
     of: tuple[Counter, Counter] = (Counter(), Counter())
-    bags: list[list[str]] = []  # strings of the sentences of toxic texts
-    for text, y, one in zip(texts, toxic, _first_of_copies(texts), strict=True):
-        if one:
-            own = [x for part in SENTENCE.split(text or "") if (x := strings_of(part))]
-            of[y].update(set(itertools.chain.from_iterable(own)))
-            bags += own if y else []
+    groups: dict[int, set[tuple[str, ...]]] = defaultdict(set)  # the strings of the sentences of near copies, each sentence once
+    label = {}
+    for text, y, g in zip(texts, toxic, _copies(texts, toxic), strict=True):
+        groups[g].update(tuple(x) for part in SENTENCE.split(text) if (x := strings_of(part)))
+        label[g] = y
+    for g, own in groups.items():
+        of[label[g]].update(set(itertools.chain.from_iterable(own)))
+    bags = sorted(own for g, each in groups.items() if label[g] for own in each)
     insults = telling(of[1], of[0], share)
     if not insults:
         return empty
@@ -389,7 +396,7 @@ def fit(texts: list[str | None], toxic: list[int]) -> Machine:
         machine.weights, machine.bias = w[:-1], float(w[-1])
         margin = {k: float(v @ w) for k, v in of_seen.items()}
         witnesses = [top for own in bags if margin[top := max(own, key=margin.__getitem__)] > 0] or witnesses
-    strings = [strings_of(t or "") for t in texts]
+    strings = [strings_of(t) for t in texts]
     known = sorted(set().union(*strings))
     margin = dict(zip(known, machine.margins(known, similarity), strict=True))
     margins = [np.array([margin[x] for x in own]) for own in strings]

@@ -492,3 +492,23 @@ def test_pipeline_stages(spark, tmp_path):
     assert "[assign]" in kept[3][6] and "abcdefgh12345678" not in kept[3][6]
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in packed} == {1, 2, 3, 6}
+
+
+def test_toxicity_is_learnt_in_any_order():
+    rng = random.Random(4)
+    toxic = [" ".join(rng.choice(WORDS) for _ in range(30)) + rng.choice([". you grobnik!", ". schmutzling, go.", ". a fiesel"]) for _ in range(60)]
+    rows = [(t, 1) for t in toxic] + [(" ".join(rng.choice(WORDS) for _ in range(30)), 0) for _ in range(150)]
+    rows += [(t.replace(" ", "  ", 1) + f" w{i}", y) for i, (t, y) in enumerate(rows[40:80])] + [(None, 0), ("", 0)]
+    made = []
+    for _ in range(3):
+        rng.shuffle(rows)
+        m = toxicity.fit([t for t, _ in rows], [y for _, y in rows])
+        made.append((m.landmarks, m.weights.tolist(), m.bias, m.steps.tolist(), m.rates.tolist(), m.curve.tolist()))
+    assert made[0] == made[1] == made[2] and made[0][0]
+
+
+def test_copies_are_groups_in_any_order():
+    base = " ".join(WORDS[:50])
+    texts = [base, base + " x", "y " + base, " ".join(WORDS[100:150]), "", base]
+    of = toxicity._copies(texts, [1, 1, 1, 1, 1, 0])
+    assert of[0] == of[1] == of[2] and len(set(of)) == 4
