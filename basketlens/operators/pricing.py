@@ -195,12 +195,18 @@ def resolve_conflicts(found: DataFrame) -> DataFrame:
 
 
 def attribute(applied: DataFrame, lines: DataFrame) -> DataFrame:
-    """``basket_id, store_id, canonical_id, saved, promotion_id``: savings by line, by the value taken; the smallest promotion names it."""
+    """``basket_id, store_id, canonical_id, saved, promotion_id``: savings by line, by the value taken; the smallest promotion names it.
+
+    A share is worked out in whole numbers and rounded to the ninth decimal place, so
+    that sums are the same in whatever order they are added.
+    """
     rows = applied.filter("canonical_id is not null").join(lines.select("basket_id", "store_id", "canonical_id", "unit_price"), ["basket_id", "store_id", "canonical_id"])
-    rows = rows.withColumn("weight", (F.col("used") * F.col("unit_price")).cast("double"))
-    total = F.sum("weight").over(Window.partitionBy(*KEY))
-    share = F.when(total == 0, F.col("saving").cast("double")).otherwise(F.col("saving").cast("double") * F.col("weight") / total)
-    return rows.withColumn("share", share).groupBy("basket_id", "store_id", "canonical_id").agg(F.sum("share").alias("saved"), F.min("promotion_id").alias("promotion_id"))
+    rows = rows.withColumn("weight", (F.col("used") * F.col("unit_price") * 100_000).cast("decimal(20,0)"))
+    rows = rows.withColumn("total", F.sum("weight").over(Window.partitionBy(*KEY)).cast("decimal(21,0)"))
+    cents = "cast(saving * 100 as decimal(10,0))"
+    share = F.expr(f"if(total = 0, cast({cents} * 10000000 as bigint), cast({cents} * weight * 20000000 + total as decimal(38,0)) div (total * 2))")
+    saved = (F.sum("share").cast("decimal(18,0)") * F.lit("0.000000001").cast("decimal(9,9)")).cast("decimal(18,9)")
+    return rows.withColumn("share", share).groupBy("basket_id", "store_id", "canonical_id").agg(saved.alias("saved"), F.min("promotion_id").alias("promotion_id"))
 
 
 def reprice(totals: DataFrame, applied: DataFrame) -> DataFrame:
@@ -215,7 +221,7 @@ def repriced_lines(lines: DataFrame, attributed: DataFrame) -> DataFrame:
     """Lines with ``original``, ``saved`` (at most the original), ``final`` and the promotion that names the saving."""
     own = attributed.select("basket_id", "store_id", "canonical_id", F.col("saved").alias("__saved"), "promotion_id")
     rows = lines.join(own, ["basket_id", "store_id", "canonical_id"], "left").withColumn("original", money(F.col("unit_price") * F.col("quantity")))
-    rows = rows.withColumn("saved", F.least(F.round(F.coalesce("__saved", F.lit(0.0)), 2).cast("decimal(10,2)"), F.col("original")))
+    rows = rows.withColumn("saved", F.least(F.round(F.coalesce("__saved", F.lit(0)), 2).cast("decimal(10,2)"), F.col("original")))
     return rows.withColumn("final", (F.col("original") - F.col("saved")).cast("decimal(10,2)")).drop("__saved")
 
 
@@ -229,7 +235,8 @@ def applied_list(applied: DataFrame, promotions: DataFrame) -> DataFrame:
 
 def unit_cost(kind: Column, price: Column, min_qty: Column) -> Column:
     """What one unit costs under a promotion, or null where that cannot be said."""
-    return F.when(kind == "FIXED_PRICE", price).when((kind == "BUNDLE_PRICE") & (min_qty >= 1), price / min_qty)
+    price, units = price.cast("double"), min_qty.cast("double")
+    return F.when(kind == "FIXED_PRICE", price).when((kind == "BUNDLE_PRICE") & (min_qty >= 1), price / units)
 
 
 def worth_advertising(kind: Column, price: Column, rate: Column, min_qty: Column, shelf: Column, chain: Column, description: Column) -> Column:
@@ -260,8 +267,8 @@ def alternative_promotions(lines: DataFrame, attributed: DataFrame, promotions:
     applied = attributed.join(promotions.select("promotion_id", F.col("min_qty").alias("applied_min")), "promotion_id").withColumnRenamed("promotion_id", "applied_id")
     offers = items.filter(~F.col("is_gift")).join(promotions, "promotion_id")
     c = F.col
-    charged = (c("unit_price").cast("double") * c("quantity").cast("double") - c("saved")) / c("quantity").cast("double")
-    cost = unit_cost(c("reward_kind"), c("discounted_price"), c("min_qty")).cast("double")
+    charged = (c("unit_price").cast("double") * c("quantity").cast("double") - c("saved").cast("double")) / c("quantity").cast("double")
+    cost = unit_cost(c("reward_kind"), c("discounted_price"), c("min_qty"))
     rows = lines.join(applied, ["basket_id", "store_id", "canonical_id"]).join(offers, ["store_id", "canonical_id"])
     rows = rows.withColumns({"cost": cost, "charged": charged}).filter((c("promotion_id") != c("applied_id")) & (c("min_qty") != c("applied_min")) & (c("cost") >= c("charged") - 1e-9))
     rows = rows.filter(worth_advertising(c("reward_kind"), c("discounted_price"), c("discount_rate"), c("min_qty"), c("unit_price"), c("chain_id"), c("description")))

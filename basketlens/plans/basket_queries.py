@@ -150,7 +150,7 @@ QUERIES = {
     "j7_amount_off": (_kind("AMOUNT_OFF"), _kind_sql("AMOUNT_OFF")),
     "j9_conflicts": (lambda t: pricing.conflicts(t.found), f"{PROMO} SELECT x.basket_id, x.store_id, x.promotion_id AS a, y.promotion_id AS b FROM found x JOIN found y USING (basket_id, store_id, canonical_id) WHERE x.promotion_id < y.promotion_id AND NOT (x.allow_stacking AND y.allow_stacking)"),
     "j11_resolve_conflicts": (lambda t: t.applied.select("basket_id", "store_id", "promotion_id", *dbl("saving")).distinct(), f"{PROMO} SELECT DISTINCT basket_id, store_id, promotion_id, CAST(saving AS DOUBLE) AS saving FROM applied"),
-    "j12_attribute": (lambda t: t.attributed.select("basket_id", "store_id", "canonical_id", "promotion_id", F.round("saved", 2).alias("saved")), f"{PROMO} SELECT basket_id, store_id, canonical_id, promotion_id, round(saved, 2) AS saved FROM attributed"),
+    "j12_attribute": (lambda t: t.attributed.select("basket_id", "store_id", "canonical_id", "promotion_id", *dbl("saved")), f"{PROMO} SELECT basket_id, store_id, canonical_id, promotion_id, CAST(saved AS DOUBLE) AS saved FROM attributed"),
     "j13_reprice": (lambda t: pricing.reprice(t.single, t.applied).select("basket_id", "store_id", "promotions_applied", *dbl("base_total", "total_savings", "total")), f"{PROMO} SELECT basket_id, store_id, promotions_applied, CAST(base_total AS DOUBLE) AS base_total, CAST(total_savings AS DOUBLE) AS total_savings, CAST(total AS DOUBLE) AS total FROM repriced"),
     "j15_available_promo": (
         lambda t: pricing.available_promotions(t.promo_lines, t.attributed, t.live, t.items),
@@ -160,14 +160,14 @@ QUERIES = {
         QUALIFY row_number() OVER (PARTITION BY l.basket_id, l.store_id, l.canonical_id ORDER BY min_qty, v.promotion_id) = 1""",
     ),
     "j16_alternative_promo": (
-        lambda t: pricing.alternative_promotions(t.promo_lines, t.attributed, t.live, t.items).select("basket_id", "store_id", "canonical_id", "promotion_id"),
+        lambda t: pricing.alternative_promotions(t.promo_lines, t.attributed, t.live, t.items).select("basket_id", "store_id", "canonical_id", "promotion_id", "cost"),
         f"""{PROMO}, rivals AS (
           SELECT l.basket_id, l.store_id, l.canonical_id, v.promotion_id, CASE v.reward_kind WHEN 'FIXED_PRICE' THEN CAST(v.discounted_price AS DOUBLE) WHEN 'BUNDLE_PRICE' THEN CAST(v.discounted_price AS DOUBLE) / CAST(v.min_qty AS DOUBLE) END AS cost,
-            (CAST(unit_price AS DOUBLE) * CAST(quantity AS DOUBLE) - saved) / CAST(quantity AS DOUBLE) AS charged
+            (CAST(unit_price AS DOUBLE) * CAST(quantity AS DOUBLE) - CAST(saved AS DOUBLE)) / CAST(quantity AS DOUBLE) AS charged
           FROM plines l JOIN attributed a ON a.basket_id = l.basket_id AND a.store_id = l.store_id AND a.canonical_id = l.canonical_id JOIN live x ON x.promotion_id = a.promotion_id
           JOIN promo_items i ON i.canonical_id = l.canonical_id AND NOT is_gift JOIN live v ON v.store_id = l.store_id AND v.promotion_id = i.promotion_id
           WHERE v.promotion_id <> a.promotion_id AND v.min_qty <> x.min_qty AND {ADVERTISED.replace("reward_kind", "v.reward_kind").replace("discounted_price", "v.discounted_price").replace("min_qty", "v.min_qty")}
-        ) SELECT basket_id, store_id, canonical_id, promotion_id FROM rivals WHERE cost >= charged - 1e-9 QUALIFY row_number() OVER (PARTITION BY basket_id, store_id, canonical_id ORDER BY cost, promotion_id) = 1""",
+        ) SELECT basket_id, store_id, canonical_id, promotion_id, cost FROM rivals WHERE cost >= charged - 1e-9 QUALIFY row_number() OVER (PARTITION BY basket_id, store_id, canonical_id ORDER BY cost, promotion_id) = 1""",
     ),
     "j17_rerank": (lambda t: t.reranked.select("basket_id", "store_id", "pos", "rank", *dbl("base_total", "total", "total_savings")), RERANKED),
     "j18_degrade": (

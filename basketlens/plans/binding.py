@@ -238,12 +238,12 @@ promos AS (
 ), live AS (SELECT * FROM promos WHERE club_id IS NULL AND (ends_at IS NULL OR ends_at >= TIMESTAMP '2026-06-15 12:00:00') AND description <> 'offer AR'),
 plines AS (SELECT o.basket_id, o.store_id, o.product_id AS canonical_id, o.quantity, o.price AS unit_price FROM offered o JOIN single USING (basket_id, store_id)),
 btotals AS (SELECT basket_id, store_id, CAST(round(sum(unit_price * quantity), 2) AS DECIMAL(10,2)) AS basket_total FROM plines GROUP BY 1, 2),
-touched AS (
+touched AS MATERIALIZED (
   SELECT l.*, b.basket_total, i.is_gift, v.* EXCLUDE (store_id, chain_id, club_id, ends_at, description)
   FROM plines l JOIN promo_items i USING (canonical_id) JOIN live v ON v.store_id = l.store_id AND v.promotion_id = i.promotion_id JOIN btotals b ON b.basket_id = l.basket_id AND b.store_id = l.store_id
   WHERE v.min_basket_amount IS NULL OR b.basket_total >= v.min_basket_amount
 ), covered AS (SELECT * EXCLUDE (is_gift), least(quantity, coalesce(max_qty, quantity)) AS take FROM touched WHERE NOT is_gift),
-sets AS (SELECT basket_id, store_id, promotion_id, CAST(floor(sum(take)) AS DECIMAL(12,0)) AS n FROM covered WHERE f = 'd' AND promotion_id IN (SELECT promotion_id FROM promo_items WHERE is_gift) GROUP BY 1, 2, 3 HAVING floor(sum(take)) >= 1),
+sets AS MATERIALIZED (SELECT basket_id, store_id, promotion_id, CAST(floor(sum(take)) AS DECIMAL(12,0)) AS n FROM covered WHERE f = 'd' AND promotion_id IN (SELECT promotion_id FROM promo_items WHERE is_gift) GROUP BY 1, 2, 3 HAVING floor(sum(take)) >= 1),
 gifts AS (
   SELECT basket_id, store_id, promotion_id, canonical_id, allow_stacking, unit_price, greatest(0, least(quantity, n - coalesce(sum(quantity) OVER (PARTITION BY basket_id, store_id, promotion_id ORDER BY unit_price, canonical_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS used
   FROM touched JOIN sets USING (basket_id, store_id, promotion_id) WHERE is_gift
@@ -259,7 +259,7 @@ gifts AS (
   FROM covered WHERE f <> 'd'
   UNION ALL SELECT basket_id, store_id, promotion_id, canonical_id, allow_stacking, 0, take FROM covered JOIN sets USING (basket_id, store_id, promotion_id)
   UNION ALL SELECT basket_id, store_id, promotion_id, canonical_id, allow_stacking, CAST(unit_price * used AS DECIMAL(18,5)), CAST(used AS DECIMAL(12,3)) FROM gifts WHERE used > 0
-), found AS (
+), found AS MATERIALIZED (
   SELECT * EXCLUDE (gain, total) FROM (SELECT *, CAST(round(total, 2) AS DECIMAL(10,2)) AS saving FROM (SELECT *, sum(gain) OVER w AS total, count(canonical_id) OVER w AS items FROM gains WHERE used > 0 OR canonical_id IS NULL WINDOW w AS (PARTITION BY basket_id, store_id, promotion_id))) WHERE saving > 0
 ), alone AS (
   SELECT *, max(items) OVER w > 1 AND canonical_id IS NOT NULL AS bound, coalesce(sum(saving) FILTER (allow_stacking) OVER w, 0) AS stacked, max(promotion_id) FILTER (allow_stacking) OVER w AS last_id, max(saving) FILTER (NOT allow_stacking) OVER w AS dearest
@@ -286,7 +286,10 @@ repriced AS (
   SELECT t.* REPLACE (CAST(t.total - least(coalesce(s, 0), t.total) AS DECIMAL(10,2)) AS total), t.total AS base_total, CAST(least(coalesce(s, 0), t.total) AS DECIMAL(10,2)) AS total_savings, s IS NOT NULL AS promotions_applied
   FROM single t LEFT JOIN saved USING (basket_id, store_id)
 ), weighed AS (
-  SELECT a.basket_id, a.store_id, a.promotion_id, a.canonical_id, CAST(saving AS DOUBLE) AS saving, CAST(used * unit_price AS DOUBLE) AS weight, sum(CAST(used * unit_price AS DOUBLE)) OVER (PARTITION BY a.basket_id, a.store_id, a.promotion_id) AS total
+  SELECT a.basket_id, a.store_id, a.promotion_id, a.canonical_id, CAST(saving * 100 AS HUGEINT) AS cents, CAST(used * unit_price * 100000 AS HUGEINT) AS weight
   FROM applied a JOIN plines l ON l.basket_id = a.basket_id AND l.store_id = a.store_id AND l.canonical_id = a.canonical_id
-), attributed AS (SELECT basket_id, store_id, canonical_id, sum(CASE WHEN total = 0 THEN saving ELSE saving * weight / total END) AS saved, min(promotion_id) AS promotion_id FROM weighed GROUP BY 1, 2, 3)
+), shares AS (
+  SELECT basket_id, store_id, promotion_id, canonical_id, CASE WHEN total = 0 THEN cents * 10000000 ELSE (cents * weight * 20000000 + total) // (total * 2) END AS share
+  FROM (SELECT *, CAST(sum(weight) OVER (PARTITION BY basket_id, store_id, promotion_id) AS HUGEINT) AS total FROM weighed)
+), attributed AS (SELECT basket_id, store_id, canonical_id, CAST(sum(share) AS DECIMAL(18,0)) * CAST(0.000000001 AS DECIMAL(10,9)) AS saved, min(promotion_id) AS promotion_id FROM shares GROUP BY 1, 2, 3)
 """

@@ -239,8 +239,8 @@ QUERIES = {
         f"{PROMO} SELECT l.basket_id, l.store_id, l.canonical_id, v.promotion_id FROM plines l JOIN promo_items i ON i.canonical_id = l.canonical_id AND NOT is_gift JOIN live v ON v.store_id = l.store_id AND v.promotion_id = i.promotion_id WHERE {ADVERTISED}",
     ),
     "j13_repriced_lines": (
-        lambda t: pricing.repriced_lines(t.promo_lines, t.attributed).select("basket_id", "store_id", "canonical_id", "promotion_id", *dbl("original")),
-        f"{PROMO} SELECT l.basket_id, l.store_id, l.canonical_id, a.promotion_id, CAST(round(unit_price * quantity, 2) AS DOUBLE) AS original FROM plines l LEFT JOIN attributed a ON a.basket_id = l.basket_id AND a.store_id = l.store_id AND a.canonical_id = l.canonical_id",
+        lambda t: pricing.repriced_lines(t.promo_lines, t.attributed).select("basket_id", "store_id", "canonical_id", "promotion_id", *dbl("original", "saved", "final")),
+        f"{PROMO} SELECT * REPLACE (CAST(original AS DOUBLE) AS original, CAST(saved AS DOUBLE) AS saved), CAST(original - saved AS DOUBLE) AS final FROM (SELECT l.basket_id, l.store_id, l.canonical_id, a.promotion_id, CAST(round(unit_price * quantity, 2) AS DECIMAL(18,2)) AS original, CAST(least(round(coalesce(saved, 0), 2), round(unit_price * quantity, 2)) AS DECIMAL(18,2)) AS saved FROM plines l LEFT JOIN attributed a ON a.basket_id = l.basket_id AND a.store_id = l.store_id AND a.canonical_id = l.canonical_id)",
     ),
     "j13_applied_list": (
         lambda t: pricing.applied_list(t.applied, t.live).select("basket_id", "store_id", F.array_join(F.transform("applied", lambda x: x["promotion_id"].cast("string")), ",").alias("applied")),

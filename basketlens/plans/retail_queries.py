@@ -130,7 +130,7 @@ QUERIES = {
     "d8_chain_profile": (lambda t: quality.chain_profile(t.prices, t.stores).drop("share"), f"{CTES} SELECT chain_name, count(*) AS prices, count(DISTINCT store_id) AS stores, count(DISTINCT product_id) AS products FROM prices JOIN stores USING (store_id) GROUP BY 1"),
     "d13_audit_promotions": (
         lambda t: quality.audit_promotions(t.promotions, t.promotion_items, t.prices, F.lit(b.NOW).cast("timestamp_ntz")).select("description", "branches", *dbl("discounted_price", "shelf")),
-        f"""{PROMO} SELECT description, count(DISTINCT store_id) AS branches, CAST(discounted_price AS DOUBLE) AS discounted_price, CAST(min(price) AS DOUBLE) AS shelf
+        f"""{PROMO} SELECT description, count(DISTINCT v.store_id) AS branches, CAST(discounted_price AS DOUBLE) AS discounted_price, CAST(min(price) AS DOUBLE) AS shelf
         FROM promos v JOIN promo_items i USING (promotion_id) JOIN prices r ON r.store_id = v.store_id AND r.product_id = i.canonical_id
         WHERE reward_kind = 'FIXED_PRICE' AND (ends_at IS NULL OR ends_at >= TIMESTAMP '2026-06-15 12:00:00') AND description <> 'offer AR' GROUP BY description, v.discounted_price HAVING v.discounted_price < min(price) * 0.6 ORDER BY branches DESC, description, discounted_price LIMIT 25""",
     ),
