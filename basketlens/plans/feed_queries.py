@@ -6,6 +6,8 @@ of real feeds: padded codes, other column names, quotes, blanks and nested JSON.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from basketlens.functions import tokens
 from basketlens.operators import canonical, cities, feeds, pricing, promo_feed, quality, search
 from basketlens.plans import binding as b
 from basketlens.plans.basket_queries import ADVERTISED, Tables, dbl
+from basketlens.sinks.folders import shared_folder
+from basketlens.sinks.versioned import VersionedTable
 
 CTES, PROMO = b.CTES, b.CTES + b.PROMO_CTES
 
@@ -96,7 +100,7 @@ GROUPED = f"own AS (SELECT l_orderkey, CAST(l_suppkey % 20 AS VARCHAR) AS store_
 
 
 def _headers(t: Tables, family: str) -> DataFrame:
-    return promo_feed.extract(raw_promotions(t, family))
+    return promo_feed.extract(raw_promotions(t, family).withColumn("ord", F.lit(0)))  # a row for each promotion
 
 
 def _runs(t: Tables) -> DataFrame:
@@ -119,6 +123,67 @@ def _localities(t: Tables) -> DataFrame:
     return b.table(t.spark, t.folder, "nation").select(F.col("n_name").alias("name"))
 
 
+def _cut_names(t: Tables) -> DataFrame:
+    """Branches whose names hold localities cut by separators: two of them, joined ones, venues, reviewed and blocked names, streets."""
+    n = b.table(t.spark, t.folder, "nation")
+    other = n.select(((F.col("n_nationkey") + 24) % 25).alias("before"), F.col("n_name").alias("other"))
+    s = b.table(t.spark, t.folder, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).join(other, F.col("n_nationkey") == F.col("before"))
+    key, name = F.col("s_suppkey"), F.col("n_name")
+    made = [F.concat(name, F.lit(" - "), "other"), F.concat(F.lit("NEW - "), name), F.concat(F.lit("מתחם "), name), F.concat(F.lit("x - קניון "), name), F.lit("Depot"), F.concat(F.lit("online - "), name)]
+    address = F.when(key % 4 == 0, F.concat(name, F.lit(" 12"))).otherwise("somewhere")
+    return s.select(key.alias("store_id"), F.element_at(F.array(*made), (key % 6 + 1).cast("int")).alias("store_name"), address.alias("address"), name.alias("n_name"))
+
+
+def _strict(t: Tables) -> DataFrame:
+    names = _localities(t)
+    known = names.unionByName(names.select(F.concat(F.lit("NEW "), "name").alias("name")))
+    reviewed = names.select(F.concat(F.lit("מתחם "), "name").alias("alias"), F.col("name").alias("city"))
+    return cities.strict_locality(_cut_names(t), known, None, reviewed, t.spark.createDataFrame([("depot",)], "name string"))
+
+
+def _resolved(t: Tables) -> DataFrame:
+    """Cities from codes, aliases, names of branches and as they are, then merged."""
+    n = b.table(t.spark, t.folder, "nation")
+    s = b.table(t.spark, t.folder, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    key, name = F.col("s_suppkey"), F.col("n_name")
+    code = F.lpad((1000 + F.col("n_nationkey")).cast("string"), 6, "0")
+    city = F.element_at(F.array(code, F.concat(F.lit("'"), name, F.lit("-Yafo'")), F.lit(None).cast("string"), F.lit("99999"), F.concat(F.lit("Upper  "), name), F.lit("unknown")), (key % 6 + 1).cast("int"))
+    own = F.when(key % 6 == 2, F.concat(F.lit("BE "), name)).when(key % 6 == 3, F.concat(F.lit("Old "), name)).otherwise("no place")
+    rows = s.select(key.alias("store_id"), city.alias("city"), own.alias("store_name"), F.when(key % 2 == 0, "the south road").otherwise("x").alias("address"))
+    named = n.select(F.col("n_name").alias("name"))
+    half = n.filter("n_nationkey % 2 = 0").select((1000 + F.col("n_nationkey")).cast("string").alias("code"), F.col("n_name").alias("city"))
+    rest = n.select((1000 + F.col("n_nationkey")).cast("string").alias("code"), F.concat("n_name", F.lit(" (code)")).alias("name")).unionByName(named.select(F.lit("-").alias("code"), "name"))
+    aliases = n.select(F.concat("n_name", F.lit("-Yafo")).alias("alias"), F.col("n_name").alias("city"))
+    found = cities.resolve_city(rows, half, aliases, named.select(F.col("name").alias("city")), rest)
+    return cities.canonical_city(found, [("NATION_3", "Third"), ("Third", "The Third")], [("Third", "south", "South Third")])
+
+
+def _products_by_code(t: Tables, share: str = "true") -> DataFrame:
+    return t.products.filter(share).select(F.concat(F.lit("9"), F.lpad(F.col("product_id").cast("string"), 12, "0")).alias("barcode"), F.col("product_id").alias("canonical_id"))
+
+
+def _repeated(t: Tables) -> DataFrame:
+    """A flat feed in which an order is one promotion of several rows."""
+    order = F.struct("l_linenumber", "l_partkey", "l_extendedprice")
+    return promo_feed.extract(raw_promotions(t, "flat").withColumns({"promotionid": F.col("l_orderkey").cast("string"), "ord": order}))
+
+
+def _flat_load(t: Tables) -> DataFrame:
+    promotions, links, _ = feeds.load_promotions(_repeated(t), clean_stores(t), _products_by_code(t))
+    told = links.groupBy("promotion_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", F.lpad(F.col("canonical_id").cast("string"), 9, "0"), F.col("is_gift").cast("int").cast("string")))), ",").alias("links"))
+    return promotions.join(told, "promotion_id", "left").join(clean_stores(t).select("store_id", "store_code"), "store_id").select("store_code", "promo_id_src", "reward_kind", F.coalesce("links", F.lit("")).alias("links"), *dbl("discounted_price", "min_qty"))
+
+
+def _versioned(t: Tables) -> DataFrame:
+    """The price log in three feeds by time, the second one twice, through a versioned table of the shared folder."""
+    log = t.price_log.join(t.stores.select("store_id", "chain_id"), "store_id")
+    kept = VersionedTable(t.spark, f"{shared_folder(t.spark)}/prices-{uuid.uuid4()}", ["product_id", "store_id"], ["chain_id"], 2)
+    year = F.year("seen")
+    for part, number in ((year < 1994, 0), ((year >= 1994) & (year < 1996), 1), ((year >= 1994) & (year < 1996), 1), (year >= 1996, 2)):
+        kept.upsert(log.filter(part), b.ORDER, ("log", number))
+    return kept.read().select("chain_id", "product_id", "store_id", *dbl("price"))
+
+
 PRICE_COLUMNS = "barcode, chain_id, store_code, CAST(price AS DOUBLE) AS price, allow_discount, manufacturer"
 STRINGS = "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'main st ' || p_size || ' , 0' WHEN 1 THEN '0' WHEN 2 THEN '12 - 4' WHEN 3 THEN '\"n/a\"' WHEN 4 THEN 'a' ELSE '''oak road''' END AS raw FROM part"
 
@@ -143,6 +208,24 @@ QUERIES = {
         lambda t: feeds.load_promotions(_headers(t, "items"), clean_stores(t), t.products.select(F.concat(F.lit("9"), F.lpad(F.col("product_id").cast("string"), 12, "0")).alias("barcode"), F.col("product_id").alias("canonical_id")))[0].join(clean_stores(t).select("store_id", "store_code"), "store_id").select("chain_id", "store_code", "promo_id_src", "reward_kind", *dbl("discount_rate", "min_qty")),
         f"WITH {GROUPED} SELECT '3' AS chain_id, store_code, CAST(l_orderkey AS VARCHAR) AS promo_id_src, CASE WHEN n > 3 THEN 'NTH_FREE' ELSE 'UNKNOWN' END AS reward_kind, 30.5::DOUBLE AS discount_rate, 0.5::DOUBLE AS min_qty FROM own WHERE store_code IN (SELECT CAST(s_suppkey AS VARCHAR) FROM supplier WHERE s_suppkey % 7 = 3)",
     ),
+    "a6_versioned_prices": (_versioned, f"{CTES} SELECT chain_id, product_id, store_id, CAST(price AS DOUBLE) AS price FROM prices JOIN stores USING (store_id)"),
+    "a11_flat_promotions": (
+        _flat_load,
+        """WITH x AS (
+          SELECT *, CAST(l_suppkey % 20 AS VARCHAR) AS store_code, l_linenumber AS n FROM lineitem WHERE l_suppkey % 20 IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 7 = 3)
+        ), h AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY l_orderkey, store_code ORDER BY n DESC, l_partkey DESC, l_extendedprice DESC) = 1),
+        k AS (SELECT DISTINCT l_orderkey, store_code, lpad(CAST(l_partkey AS VARCHAR), 9, '0') || ':' || CASE WHEN n = 3 THEN 1 ELSE 0 END AS link FROM x WHERE n % 5 <> 0 AND l_partkey IN (SELECT p_partkey FROM part)),
+        g AS (SELECT l_orderkey, store_code, string_agg(link, ',' ORDER BY link) AS links FROM k GROUP BY 1, 2)
+        SELECT store_code, CAST(l_orderkey AS VARCHAR) AS promo_id_src, CASE WHEN n = 3 THEN 'NTH_FREE' WHEN n = 2 THEN 'BUNDLE_PRICE' WHEN n % 2 = 0 THEN 'FIXED_PRICE' ELSE 'UNKNOWN' END AS reward_kind, coalesce(links, '') AS links,
+          CASE WHEN n % 2 = 0 THEN 1009.9::DOUBLE END AS discounted_price, CASE WHEN n = 2 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS min_qty FROM h LEFT JOIN g USING (l_orderkey, store_code)""",
+    ),
+    "d4_promotion_counters": (
+        lambda t: feeds.promotion_counters(_repeated(t), clean_stores(t), _products_by_code(t, "product_id % 3 <> 0")),
+        """WITH x AS (SELECT *, CAST(l_suppkey % 20 AS VARCHAR) AS store_code, l_suppkey % 20 IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 7 = 3) AS known FROM lineitem),
+        c AS (SELECT DISTINCT l_partkey FROM x WHERE known AND l_linenumber % 5 <> 0)
+        SELECT (SELECT count(*) FROM x) AS rows, (SELECT count(*) FROM x WHERE NOT known) AS no_store, (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, store_code FROM x WHERE known)) AS promotions,
+          (SELECT count(*) FROM c) AS items, (SELECT count(*) FROM c WHERE l_partkey % 3 = 0 OR l_partkey NOT IN (SELECT p_partkey FROM part)) AS items_unresolved""",
+    ),
     "a12_dry_run": (
         lambda t: _dry_counts(t),
         f"WITH {RAW_PRICES} SELECT count(*) AS rows, count(*) FILTER (l_suppkey NOT IN (SELECT s_suppkey FROM supplier)) AS no_store FROM raw",
@@ -183,6 +266,18 @@ QUERIES = {
         lambda t: cities.strict_locality(_named_stores(t), _localities(t)),
         "SELECT s_suppkey AS store_id, n_name AS named_city FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 4 <> 2 AND s_suppkey % 5 NOT IN (0, 2) AND (s_suppkey % 5 <> 1 OR n_name = 'NATION_3')",
     ),
+    "e4_locality_runs": (
+        _strict,
+        """SELECT * FROM (SELECT s_suppkey AS store_id, CASE WHEN s_suppkey % 6 = 2 THEN n.n_name WHEN s_suppkey % 6 IN (3, 4) THEN NULL WHEN s_suppkey % 6 = 0 AND length(n.n_name) = length(o.n_name) THEN NULL
+          WHEN s_suppkey % 4 = 0 THEN NULL WHEN s_suppkey % 6 = 1 THEN 'NEW ' || n.n_name ELSE n.n_name END AS named_city
+        FROM supplier JOIN nation n ON s_nationkey = n.n_nationkey JOIN nation o ON o.n_nationkey = (n.n_nationkey + 1) % 25) WHERE named_city IS NOT NULL""",
+    ),
+    "e2_resolve_city": (
+        lambda t: _resolved(t).select("store_id", "city"),
+        """SELECT store_id, CASE WHEN city = 'NATION_3' THEN CASE WHEN store_id % 2 = 0 THEN 'South Third' ELSE 'The Third' END ELSE city END AS city FROM (
+          SELECT s_suppkey AS store_id, CASE s_suppkey % 6 WHEN 0 THEN n_name || CASE WHEN n_nationkey % 2 = 0 THEN '' ELSE ' (code)' END WHEN 1 THEN n_name WHEN 2 THEN n_name WHEN 3 THEN n_name WHEN 4 THEN 'Upper ' || n_name END AS city
+          FROM supplier JOIN nation ON s_nationkey = n_nationkey)""",
+    ),
     "e7_validate_aliases": (lambda t: cities.validate_aliases(t.stores.select(F.col("store_name").alias("alias"), "city"), b.table(t.spark, t.folder, "region").filter("r_regionkey % 2 = 0").select(F.col("r_name").alias("city")))[1], f"{CTES} SELECT store_name AS alias, city FROM stores WHERE city NOT IN (SELECT r_name FROM region WHERE r_regionkey % 2 = 0)"),
     "e8_norm_locality": (lambda t: _part(t).select("p_partkey", cl.norm_locality(F.concat("p_name", F.lit('-"x"  –y'))).alias("name")), "SELECT p_partkey, p_name || ' x y' AS name FROM part"),
     "f1_object_or_array": (
