@@ -3,9 +3,9 @@
 Lines are ``basket_id, store_id, canonical_id, quantity, unit_price`` with one line
 for each canonical item; promotions and ``promotion_items`` (``promotion_id,
 canonical_id, is_gift``) have the columns of the feed.  Everything up to the choice
-among conflicting promotions is DataFrame expressions; that choice is a small exact
-search in Python, for conflicts of promotions over several items only.  Rows are dealt
-once by basket and branch; everything else happens within these partitions.
+among conflicting promotions is DataFrame expressions, and so is that choice for up to ``EXACT``
+promotions of a basket and branch that are bound to each other; what is left goes to a small
+search in Python.  Rows are dealt once by basket and branch; everything else happens within these partitions.
 """
 
 from __future__ import annotations
@@ -156,8 +156,8 @@ def resolve_conflicts(found: DataFrame) -> DataFrame:
 
     Where all promotions of an item take nothing else, either all that stack apply
     or the dearest of the others (beyond ``EXACT`` promotions, whichever is dearest
-    decides).  Promotions that share an item with one over several items go to
-    :func:`best_subset`, together for each basket and branch.
+    decides).  Promotions that share an item with one over several items are looked
+    at together for each basket and branch: up to ``EXACT`` of them by :func:`_best_of`, more by :func:`best_subset`.
     """
     c = F.col
     item = Window.partitionBy("basket_id", "store_id", "canonical_id")
@@ -178,20 +178,48 @@ def resolve_conflicts(found: DataFrame) -> DataFrame:
     bound = c("canonical_id").isNotNull() & c("__several")
     simple = rows.filter(~bound & applies).select(*found.columns)
 
-    promos = rows.filter(bound).groupBy(*KEY).agg(F.first("saving").alias("saving"), F.first("allow_stacking").alias("stacks"), F.collect_list("canonical_id").alias("items"))
-    groups = promos.groupBy("basket_id", "store_id").agg(F.collect_list(F.struct("promotion_id", "saving", "stacks", "items")).alias("promos"))
+    line = F.struct("canonical_id", "used", "items")
+    promos = rows.filter(bound).groupBy(*KEY).agg(F.first("saving").alias("saving"), F.first("allow_stacking").alias("allow_stacking"), F.collect_list(line).alias("lines"))
+    promo = F.struct("promotion_id", "saving", "allow_stacking", "lines")
+    groups = promos.groupBy("basket_id", "store_id").agg(F.array_sort(F.collect_list(promo)).alias("promos"))
+    small = groups.filter(F.size("promos") <= EXACT).withColumn("promos", _best_of(c("promos")))
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for r in pdf.itertuples():
                 own = {p["promotion_id"]: p for p in r.promos}
-                chosen = best_subset(sorted(own), {i: p["saving"] for i, p in own.items()}, {i: p["stacks"] for i, p in own.items()}, {i: set(p["items"]) for i, p in own.items()})
-                out += [(r.basket_id, r.store_id, i) for i in chosen]
-            yield pd.DataFrame(out, columns=KEY)
+                chosen = best_subset(sorted(own), {i: p["saving"] for i, p in own.items()}, {i: p["allow_stacking"] for i, p in own.items()}, {i: {x["canonical_id"] for x in p["lines"]} for i, p in own.items()})
+                out.append((r.basket_id, r.store_id, sorted(chosen)))
+            yield pd.DataFrame(out, columns=["basket_id", "store_id", "ids"])
 
-    chosen = groups.mapInPandas(choose, "basket_id long, store_id long, promotion_id long")
-    return simple.unionByName(rows.filter(bound).select(*found.columns).join(chosen, KEY, "left_semi").select(*found.columns))
+    large = groups.filter(F.size("promos") > EXACT).mapInPandas(choose, "basket_id long, store_id long, ids array<long>")
+    large = groups.filter(F.size("promos") > EXACT).join(large, ["basket_id", "store_id"]).withColumn("promos", F.expr("filter(promos, p -> array_contains(ids, p.promotion_id))")).drop("ids")
+    chosen = small.unionByName(large).select("basket_id", "store_id", F.explode("promos").alias("p")).select("basket_id", "store_id", "p.promotion_id", "p.saving", "p.allow_stacking", F.explode("p.lines").alias("x"))
+    return simple.unionByName(chosen.select("basket_id", "store_id", "promotion_id", "saving", "allow_stacking", "x.*").select(*found.columns))
+
+
+def _best_of(promos: Column) -> Column:
+    """The promotions of an array (by id, at most ``EXACT``) that :func:`best_subset` would choose.
+
+    A fold over the array keeps every set without conflicts as a mask with its saving in
+    cents; the largest saving wins, of equal ones the smallest mask.
+    """
+    bit = lambda i: F.pow(F.lit(2), i).cast("int")
+    code = lambda p: F.transform(p["lines"], lambda x: x["canonical_id"])
+
+    def entry(p: Column, i: Column) -> Column:
+        rivals = F.transform(promos, lambda q, j: F.when((j != i) & ~(p["allow_stacking"] & q["allow_stacking"]) & F.arrays_overlap(code(p), code(q)), bit(j)).otherwise(0))
+        return F.struct(bit(i).alias("bit"), (p["saving"] * 100).cast("long").alias("cents"), F.aggregate(rivals, F.lit(0), lambda a, b: a + b).alias("bad"))
+
+    def grow(sets: Column, p: Column) -> Column:
+        free = F.filter(sets, lambda s: s["mask"].bitwiseAND(p["bad"]) == 0)
+        return F.concat(sets, F.transform(free, lambda s: F.struct((s["mask"] + p["bit"]).alias("mask"), (s["cents"] + p["cents"]).alias("cents"))))
+
+    none = F.array(F.struct(F.lit(0).alias("mask"), F.lit(0).cast("long").alias("cents")))
+    sets = F.aggregate(F.transform(promos, entry), none, grow)
+    best = -F.array_max(F.transform(sets, lambda s: F.struct(s["cents"].alias("cents"), (-s["mask"]).alias("mask"))))["mask"]
+    return F.filter(promos, lambda p, i: best.bitwiseAND(bit(i)) != 0)
 
 
 def attribute(applied: DataFrame, lines: DataFrame) -> DataFrame:

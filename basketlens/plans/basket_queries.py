@@ -4,18 +4,18 @@ from __future__ import annotations
 
 import functools
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketlens.operators import compare, matching, pricing
 from basketlens.plans import binding as b
+from basketlens.sinks.folders import stored
 
 CTES, PROMO = b.CTES, b.CTES + b.PROMO_CTES
 
 
 class Tables:
-    """Lazily built tables of one run: plans only, nothing is computed here."""
+    """Lazily built tables of one run.  Those that several steps read are stored once in the shared folder when they are first asked for."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -36,7 +36,7 @@ class Tables:
     @functools.cached_property
     def offered(self) -> DataFrame:
         offers = compare.best_offers(matching.candidates(self.products, self.reps), compare.city_prices(self.prices, self.stores))
-        return compare.offered_lines(self.lines, offers).persist(StorageLevel.MEMORY_AND_DISK)
+        return stored(compare.offered_lines(self.lines, offers))
 
     @functools.cached_property
     def totals(self) -> DataFrame:
@@ -52,20 +52,20 @@ class Tables:
 
     @functools.cached_property
     def live(self) -> DataFrame:
-        return pricing.active_promotions(self.promotions, F.lit(b.NOW).cast("timestamp_ntz")).persist(StorageLevel.MEMORY_AND_DISK)
+        return stored(pricing.active_promotions(self.promotions, F.lit(b.NOW).cast("timestamp_ntz")))
 
     @functools.cached_property
     def items(self) -> DataFrame:
-        return self.promotion_items.join(self.live.select("promotion_id"), "promotion_id", "left_semi")
+        return stored(self.promotion_items.join(self.live.select("promotion_id"), "promotion_id", "left_semi"))
 
     @functools.cached_property
     def promo_lines(self) -> DataFrame:
         rows = self.offered.join(self.single.select("basket_id", "store_id", F.col("total").alias("basket_total")), ["basket_id", "store_id"])
-        return rows.select("basket_id", "store_id", F.col("product_id").alias("canonical_id"), "quantity", F.col("price").alias("unit_price"), "basket_total").persist(StorageLevel.MEMORY_AND_DISK)
+        return stored(rows.select("basket_id", "store_id", F.col("product_id").alias("canonical_id"), "quantity", F.col("price").alias("unit_price"), "basket_total"))
 
     @functools.cached_property
     def found(self) -> DataFrame:
-        return pricing.evaluate(self.promo_lines, self.live, self.items).persist(StorageLevel.MEMORY_AND_DISK)
+        return stored(pricing.evaluate(self.promo_lines, self.live, self.items))
 
     @functools.cached_property
     def applied(self) -> DataFrame:
