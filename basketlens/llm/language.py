@@ -34,9 +34,11 @@ from basketlens.llm.words import held, per_row, slices
 
 LEARN_ROWS = 60
 LEARN_CHARS = 320_000
-#: Letters that the automata tell apart; rarer ones are like letters that no labelled text has.
-ALPHABET = 62
-LETTERS = re.compile(r"[^\W\d_]+")
+#: The most frequent letters have a column of each transition table; transitions on all others are looked up in a sorted list.
+COMMON = 62
+#: Numerals that are no digits, such as fractions and superscripts, count as word characters but are no letters.
+NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+LETTERS = re.compile(rf"[^\W\d_{NUMERALS}]+")
 ENDS = re.compile(r"[.!?\n]+")
 
 
@@ -78,13 +80,27 @@ class SuffixAutomaton:
         self.bits = math.log2(len(text) + 2)
 
     def table(self, alphabet: np.ndarray) -> np.ndarray:
-        """The next state by state and number of a character in ``alphabet``; 0 where there is none or for unknown characters."""
+        """The next state by state and number of a character in ``alphabet``; 0 where there is none and for other characters."""
         out = np.zeros((self.states, len(alphabet) + 2), np.int32)
-        at = np.searchsorted(alphabet, self.moves[:, 1])
-        known = alphabet[np.minimum(at, len(alphabet) - 1)] == self.moves[:, 1]
+        at, known = _places(alphabet, self.moves[:, 1])
         out[self.moves[known, 0], at[known] + 1] = self.moves[known, 2]
         return out
 
+    def others(self, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Transitions on the characters of ``rest``: sorted keys (state times their number, plus that of the character) and next states."""
+        at, known = _places(rest, self.moves[:, 1])
+        keys = self.moves[known, 0].astype(np.int64) * len(rest) + at[known]
+        order = np.argsort(keys)
+        return keys[order], self.moves[known, 2][order]
+
+
+def _places(alphabet: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where characters stand in a sorted alphabet, and which of them do."""
+    if not len(alphabet):
+        return np.zeros(len(chars), np.int64), np.zeros(len(chars), bool)
+    at = np.minimum(np.searchsorted(alphabet, chars), len(alphabet) - 1)
+    return at, alphabet[at] == chars
+
 
 class Parser:
     """Cross-parses units against the automata of all languages."""
@@ -92,10 +108,30 @@ class Parser:
     def __init__(self, automata: list[SuffixAutomaton]):
         seen = np.concatenate([a.moves[:, 1] for a in automata] or [np.zeros(0, np.int32)])
         chars, n = np.unique(seen, return_counts=True)
-        alphabet = np.sort(chars[np.argsort(-n, kind="stable")][: ALPHABET + 1])
-        self.number = np.full(0x110000, len(alphabet) + 1, np.uint8)  # of a character; the last one for unknown characters
+        by_count = chars[np.argsort(-n, kind="stable")]
+        alphabet, self.rest = np.sort(by_count[: COMMON + 1]), np.sort(by_count[COMMON + 1 :])
+        self.unknown = len(alphabet) + 1
+        # of a character: common ones, one number for all unknown ones, the rest
+        self.number = np.full(0x110000, self.unknown, np.uint8 if not len(self.rest) else np.uint16 if len(chars) < 65_000 else np.int32)
         self.number[alphabet] = np.arange(1, len(alphabet) + 1)
+        self.number[self.rest] = self.unknown + 1 + np.arange(len(self.rest))
         self.tables = [a.table(alphabet) for a in automata]
+        self.others = [a.others(self.rest) for a in automata]
+
+    def _next(self, j: int, state: np.ndarray | None, c: np.ndarray, rare: bool) -> np.ndarray:
+        """Next states in the automaton of language ``j``, from the start without ``state``; ``rare`` if some characters may be of the rest."""
+        table = self.tables[j]
+        flat, width = table.ravel(), table.shape[1]
+        at = np.minimum(c, self.unknown) if rare else c
+        to = flat[at.astype(np.int32)] if state is None else flat[state * width + at]
+        if rare and len(rows := np.flatnonzero(c > self.unknown)):
+            keys, targets = self.others[j]
+            key = c[rows].astype(np.int64) - self.unknown - 1
+            if state is not None:
+                key += state[rows].astype(np.int64) * len(self.rest)
+            place, found = _places(keys, key)
+            to[rows[found]] = targets[place[found]]
+        return to
 
     def phrases(self, own: list[str]) -> np.ndarray:
         """Into how many longest matches each unit falls, by language; an unknown character is one of its own."""
@@ -105,16 +141,16 @@ class Parser:
         data = self.number[np.frombuffer("".join(own).encode("utf-32-le"), np.uint32)]
         still = np.searchsorted(-size[order], -np.arange(size.max(initial=0)), side="left")  # units longer than each step
         out = np.zeros((len(own), len(self.tables)), np.int32)
-        for j, table in enumerate(self.tables):
-            width, flat = table.shape[1], table.ravel()
+        rare = bool(len(self.rest)) and bool((data > self.unknown).any())
+        for j in range(len(self.tables)):
             state, count = np.zeros(len(own), np.int32), np.zeros(len(own), np.int32)
             for step, n in enumerate(still.tolist()):
                 c = data[starts[:n] + step]
                 before = state[:n]
-                to = flat[before * width + c]
+                to = self._next(j, before, c, rare)
                 cut = np.flatnonzero(to == 0)
                 if len(cut):
-                    again = flat[c[cut].astype(np.int32)]
+                    again = self._next(j, None, c[cut], rare)
                     count[cut] += before[cut] > 0
                     count[cut] += again == 0
                     to[cut] = again

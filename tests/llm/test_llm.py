@@ -512,3 +512,32 @@ def test_copies_are_groups_in_any_order():
     texts = [base, base + " x", "y " + base, " ".join(WORDS[100:150]), "", base]
     of = toxicity._copies(texts, [1, 1, 1, 1, 1, 0])
     assert of[0] == of[1] == of[2] and len(set(of)) == 4
+
+
+def test_language_of_a_script_with_thousands_of_letters():
+    rng = random.Random(6)
+    script = [chr(0x4E00 + i) for i in range(3000)]
+    halves = {"a": script[:1800], "b": script[1200:]}
+    write = lambda k, n: "".join(rng.choice(halves[k]) for _ in range(n))
+    automata = [language.SuffixAutomaton(" " + write(k, 6000) + " ") for k in "ab"] + [language.SuffixAutomaton(" only latin letters here ")]
+    parser = language.Parser(automata)
+    assert len(parser.rest) > 2500
+
+    def plain(unit, text):
+        n = i = 0
+        while i < len(unit):
+            k = 1
+            while i + k <= len(unit) and unit[i : i + k] in text:
+                k += 1
+            i += max(k - 1, 1)
+            n += 1
+        return n
+
+    texts = []
+    rng.seed(6)
+    for k in "ab":
+        texts.append(" " + write(k, 6000) + " ")
+    texts.append(" only latin letters here ")
+    own = [texts[0][50:80], texts[1][7:60], " latin letters ", " 丠unseen丠 ΑΒ ", write("a", 40)]
+    assert parser.phrases(own).tolist() == [[plain(u, t) for t in texts] for u in own]
+    assert language.units("½ ² 3 ⅷ ab½c") == [" ab c "] and language.units("½ 12 ²") == []
