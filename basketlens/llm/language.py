@@ -37,13 +37,16 @@ LEARN_CHARS = 320_000
 #: The most frequent letters have a column of each transition table; transitions on all others are looked up in a sorted list.
 COMMON = 62
 #: Numerals that are no digits, such as fractions and superscripts, count as word characters but are no letters.
-NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-LETTERS = re.compile(rf"[^\W\d_{NUMERALS}]+")
+NUMERALS = frozenset(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+AS_BLANK = str.maketrans(dict.fromkeys(NUMERALS, " "))
+LETTERS = re.compile(r"[^\W\d_]+")
 ENDS = re.compile(r"[.!?\n]+")
 
 
 def units(text: str) -> list[str]:
     """The letters of a text's sentences and lines, words one blank apart."""
+    if not NUMERALS.isdisjoint(text):
+        text = text.translate(AS_BLANK)
     return [f" {' '.join(own)} " for part in ENDS.split(text.lower()) if (own := LETTERS.findall(part))]
 
 
@@ -134,14 +137,32 @@ class Parser:
         return to
 
     def phrases(self, own: list[str]) -> np.ndarray:
-        """Into how many longest matches each unit falls, by language; an unknown character is one of its own."""
+        """Into how many longest matches each unit falls, by language; an unknown character is one of its own.
+
+        The few units with uncommon characters are parsed by themselves, so that the others need no look-ups.
+        """
+        if not len(self.rest):
+            return self._parse(own, False)
+        of = np.repeat(np.arange(len(own)), [len(x) for x in own])
+        data = self.number[np.frombuffer("".join(own).encode("utf-32-le"), np.uint32)]
+        rare = np.bincount(of[data > self.unknown], minlength=len(own)) > 0
+        if not rare.any():
+            return self._parse(own, False)
+        out = np.zeros((len(own), len(self.tables)), np.int32)
+        for kind in (False, True):
+            rows = np.flatnonzero(rare == kind)
+            out[rows] = self._parse([own[i] for i in rows], kind)
+        return out
+
+    def _parse(self, own: list[str], rare: bool) -> np.ndarray:
         size = np.array([len(x) for x in own], np.int64)
         order = np.argsort(-size, kind="stable")
         starts = (np.cumsum(size) - size)[order]
         data = self.number[np.frombuffer("".join(own).encode("utf-32-le"), np.uint32)]
         still = np.searchsorted(-size[order], -np.arange(size.max(initial=0)), side="left")  # units longer than each step
         out = np.zeros((len(own), len(self.tables)), np.int32)
-        rare = bool(len(self.rest)) and bool((data > self.unknown).any())
+        if not rare:
+            data = data.astype(np.uint8)
         for j in range(len(self.tables)):
             state, count = np.zeros(len(own), np.int32), np.zeros(len(own), np.int32)
             for step, n in enumerate(still.tolist()):
