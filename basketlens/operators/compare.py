@@ -123,19 +123,13 @@ def compare(baskets: DataFrame, products: DataFrame, prices: DataFrame, stores:
 
 
 def compare_header(baskets: DataFrame, ranked: DataFrame, limit: int = BRANCHES) -> DataFrame:
-    """One row for each basket: counts, winner and a message where no branch has all."""
-    each = ranked.groupBy("basket_id").agg(F.count("*").alias("store_count"), F.count_if("is_complete").alias("complete_count"), F.max(F.when(F.col("rank") == 1, F.col("store_id"))).alias("winner_store_id"))
+    """One row for each basket: counts, winner, a message where no branch has all, and, of repriced branches, whether any promotion applies."""
+    priced = [F.max(F.col("total_savings") > 0).alias("promotions_applied")] if "total_savings" in ranked.columns else []
+    each = ranked.groupBy("basket_id").agg(F.count("*").alias("store_count"), F.count_if("is_complete").alias("complete_count"), F.max(F.when(F.col("rank") == 1, F.col("store_id"))).alias("winner_store_id"), *priced)
     rows = baskets.select("basket_id").distinct().join(each, "basket_id", "left").fillna(0, ["store_count", "complete_count"])
+    told = [F.coalesce("promotions_applied", F.lit(False)).alias("promotions_applied")] if priced else []
     message = F.when(F.col("store_count") == 0, "no branch").when(F.col("complete_count") == 0, "no complete branch").otherwise("ok")
-    return rows.select("basket_id", "store_count", "complete_count", F.least("store_count", F.lit(limit)).alias("shown_count"), "winner_store_id", message.alias("message"))
-
-
-def to_documents(shown: DataFrame, offered: DataFrame) -> DataFrame:
-    """``basket_id, document``: branches in order with their lines, as JSON."""
-    item = F.struct("product_id", "quantity", F.col("price").alias("unit_price"), "line_total", "tier")
-    items = offered.groupBy("basket_id", "store_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
-    store = F.struct("pos", "store_id", "chain_name", "total", "rank", "missing_count", "items")
-    return shown.join(items, ["basket_id", "store_id"]).groupBy("basket_id").agg(F.to_json(F.sort_array(F.collect_list(store))).alias("document"))
+    return rows.select("basket_id", "store_count", "complete_count", F.least("store_count", F.lit(limit)).alias("shown_count"), "winner_store_id", message.alias("message"), *told)
 
 
 def basket_summary(baskets: DataFrame, products: DataFrame, prices: DataFrame) -> DataFrame:

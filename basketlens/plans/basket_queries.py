@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketlens.operators import compare, matching, pricing
+from basketlens.operators import compare, documents, matching, pricing
 from basketlens.plans import binding as b
 from basketlens.sinks.folders import stored
 
@@ -80,6 +80,17 @@ class Tables:
         return compare.rank_stores(pricing.reprice(self.single, self.applied))
 
 
+def _documents(t: Tables) -> DataFrame:
+    """Answers after promotions: ten branches of each basket, with all that the lines can tell."""
+    ranked = stored(t.reranked)
+    shown = stored(compare.select_branches(ranked))
+    own = t.promo_lines.join(shown.select("basket_id", "store_id"), ["basket_id", "store_id"], "left_semi")
+    attributed = stored(pricing.attribute(t.applied.join(shown.select("basket_id", "store_id"), ["basket_id", "store_id"], "left_semi"), own))
+    marks = documents.line_marks(attributed, pricing.available_promotions(own, attributed, t.live, t.items), pricing.alternative_promotions(own, attributed, t.live, t.items))
+    found = documents.branch_lines(pricing.repriced_lines(own, attributed), marks, t.live, shown)
+    return documents.to_documents(compare.compare_header(t.baskets, ranked), shown, t.stores, documents.requests(t.lines, t.products), found, documents.branch_promotions(t.applied, t.live, shown))
+
+
 def dbl(*names: str) -> list:
     return [F.col(n).cast("double").alias(n) for n in names]
 
@@ -107,6 +118,59 @@ RERANKED = f"""{PROMO}, posed2 AS (
 #: Whether a promotion makes a line cheaper, in SQL.
 ADVERTISED = "CASE reward_kind WHEN 'FIXED_PRICE' THEN discounted_price > 0 AND discounted_price < unit_price WHEN 'BUNDLE_PRICE' THEN discounted_price < unit_price * min_qty WHEN 'AMOUNT_OFF' THEN false WHEN 'NTH_FREE' THEN min_qty >= 2 ELSE true END"
 
+#: The rows of j15 and j16 as tables.
+AVAILABLE = f"""SELECT l.basket_id, l.store_id, l.canonical_id, v.promotion_id, CASE WHEN min_qty > quantity THEN min_qty - quantity END AS units_short
+        FROM plines l JOIN promo_items i ON i.canonical_id = l.canonical_id AND NOT is_gift JOIN live v ON v.store_id = l.store_id AND v.promotion_id = i.promotion_id ANTI JOIN attributed a ON a.basket_id = l.basket_id AND a.store_id = l.store_id AND a.canonical_id = l.canonical_id
+        WHERE {ADVERTISED}
+        QUALIFY row_number() OVER (PARTITION BY l.basket_id, l.store_id, l.canonical_id ORDER BY min_qty, v.promotion_id) = 1"""
+RIVALS = f"""SELECT l.basket_id, l.store_id, l.canonical_id, v.promotion_id, CASE v.reward_kind WHEN 'FIXED_PRICE' THEN CAST(v.discounted_price AS DOUBLE) WHEN 'BUNDLE_PRICE' THEN CAST(v.discounted_price AS DOUBLE) / CAST(v.min_qty AS DOUBLE) END AS cost,
+            (CAST(unit_price AS DOUBLE) * CAST(quantity AS DOUBLE) - CAST(saved AS DOUBLE)) / CAST(quantity AS DOUBLE) AS charged
+          FROM plines l JOIN attributed a ON a.basket_id = l.basket_id AND a.store_id = l.store_id AND a.canonical_id = l.canonical_id JOIN live x ON x.promotion_id = a.promotion_id
+          JOIN promo_items i ON i.canonical_id = l.canonical_id AND NOT is_gift JOIN live v ON v.store_id = l.store_id AND v.promotion_id = i.promotion_id
+          WHERE v.promotion_id <> a.promotion_id AND v.min_qty <> x.min_qty AND {ADVERTISED.replace("reward_kind", "v.reward_kind").replace("discounted_price", "v.discounted_price").replace("min_qty", "v.min_qty")}"""
+ALTERNATIVE = "SELECT basket_id, store_id, canonical_id, promotion_id, cost FROM rivals WHERE cost >= charged - 1e-9 QUALIFY row_number() OVER (PARTITION BY basket_id, store_id, canonical_id ORDER BY cost, promotion_id) = 1"
+
+
+def _told_sql(v: str, more: str) -> str:
+    return f"{{'id': {v}.promotion_id, " + ", ".join(f"'{c}': {v}.{c}" for c in documents.FACTS) + f", {more}}}"
+
+
+#: Answers as documents: what is shown after promotions, its lines from what was asked for, and what each line can tell.
+DOCUMENTS = f"""{PROMO}, posed2 AS (
+  SELECT *, row_number() OVER (PARTITION BY basket_id ORDER BY is_complete DESC, CASE WHEN NOT is_complete THEN missing_count END NULLS FIRST, total, store_id) AS pos, CAST(min(CASE WHEN is_complete THEN total END) OVER (PARTITION BY basket_id) AS DOUBLE) AS cheapest FROM repriced
+), flagged2 AS (SELECT *, row_number() OVER (PARTITION BY basket_id, chain_name ORDER BY pos) = 1 AS first FROM posed2),
+shown2 AS MATERIALIZED (SELECT *, CASE WHEN is_complete THEN pos END AS rank, CASE WHEN is_complete THEN CAST(round_even((CAST(total AS DOUBLE) - cheapest) / nullif(cheapest, 0) * 100, 1) AS DECIMAL(12,1)) END AS pct FROM flagged2 QUALIFY row_number() OVER (PARTITION BY basket_id ORDER BY first DESC, pos) <= 10),
+available AS ({AVAILABLE}), rivals AS ({RIVALS}), alternative AS ({ALTERNATIVE}),
+asked AS (SELECT *, name, barcode, manufacturer FROM lines JOIN products USING (product_id)),
+items AS (
+  SELECT s.basket_id, s.store_id, list({{'product_id': k.product_id, 'quantity': k.quantity, 'unit_price': p.unit_price,
+      'line_total': CAST(m.original - least(CAST(round(coalesce(a.saved, 0), 2) AS DECIMAL(10,2)), m.original) AS DECIMAL(10,2)), 'original_line_total': m.original,
+      'applied_promotion': CASE WHEN va.promotion_id IS NOT NULL THEN {_told_sql("va", "'units_needed': CAST(NULL AS DECIMAL(12,3))")} END,
+      'available_promotion': CASE WHEN vb.promotion_id IS NOT NULL THEN {_told_sql("vb", "'units_needed': CAST(b.units_short AS DECIMAL(12,3))")} END,
+      'alternative_promotion': CASE WHEN vc.promotion_id IS NOT NULL THEN {_told_sql("vc", "'units_needed': CAST(NULL AS DECIMAL(12,3))")} END,
+      'found': p.unit_price IS NOT NULL}} ORDER BY k.product_id) AS items,
+    coalesce(list(k.product_id ORDER BY k.product_id) FILTER (p.unit_price IS NULL), []) AS missing
+  FROM shown2 s JOIN asked k ON k.basket_id = s.basket_id
+    LEFT JOIN plines p ON p.basket_id = s.basket_id AND p.store_id = s.store_id AND p.canonical_id = k.product_id
+    LEFT JOIN LATERAL (SELECT CAST(round(p.unit_price * p.quantity, 2) AS DECIMAL(10,2)) AS original) m ON true
+    LEFT JOIN attributed a ON a.basket_id = s.basket_id AND a.store_id = s.store_id AND a.canonical_id = k.product_id LEFT JOIN live va ON va.promotion_id = a.promotion_id
+    LEFT JOIN available b ON b.basket_id = s.basket_id AND b.store_id = s.store_id AND b.canonical_id = k.product_id LEFT JOIN live vb ON vb.promotion_id = b.promotion_id
+    LEFT JOIN alternative c ON c.basket_id = s.basket_id AND c.store_id = s.store_id AND c.canonical_id = k.product_id LEFT JOIN live vc ON vc.promotion_id = c.promotion_id
+  GROUP BY 1, 2
+), granted AS (
+  SELECT basket_id, store_id, list({_told_sql("v", "'savings': g.saving")} ORDER BY g.saving DESC, g.promotion_id) AS applied FROM (SELECT DISTINCT basket_id, store_id, promotion_id, saving FROM applied) g JOIN live v USING (store_id, promotion_id) GROUP BY 1, 2
+), branches AS (
+  SELECT s.basket_id, list({{'pos': pos, 'store_id': s.store_id, 'chain_id': t.chain_id, 'chain_name': t.chain_name, 'store_name': t.store_name, 'address': t.address, 'city': t.city, 'total': total, 'base_total': base_total, 'total_savings': total_savings,
+      'applied_promotions': coalesce(applied, []), 'found_count': found_count, 'missing_count': missing_count, 'missing_product_ids': missing, 'is_complete': is_complete, 'rank': rank, 'pct_above_cheapest': pct, 'items': items}} ORDER BY pos) AS stores
+  FROM shown2 s JOIN stores t ON t.store_id = s.store_id JOIN items i ON i.basket_id = s.basket_id AND i.store_id = s.store_id LEFT JOIN granted g ON g.basket_id = s.basket_id AND g.store_id = s.store_id GROUP BY 1
+), heads2 AS (
+  SELECT b.basket_id, count(store_id) AS store_count, count(*) FILTER (is_complete) AS complete_count, max(CASE WHEN is_complete AND pos = 1 THEN store_id END) AS winner_store_id, coalesce(bool_or(total_savings > 0), false) AS promotions_applied
+  FROM (SELECT DISTINCT basket_id FROM baskets) b LEFT JOIN posed2 USING (basket_id) GROUP BY 1
+), wishes AS (SELECT basket_id, min(city) AS city, list(product_id ORDER BY product_id) AS ids, list({{'id': product_id, 'name': name, 'barcode': barcode, 'manufacturer': manufacturer}} ORDER BY product_id) AS briefs FROM asked GROUP BY 1)
+SELECT h.basket_id, CAST(to_json({{'city': city, 'requested_product_ids': coalesce(ids, []), 'products': coalesce(briefs, []), 'store_count': store_count, 'complete_count': complete_count, 'shown_count': least(store_count, 10), 'winner_store_id': winner_store_id,
+    'message': CASE WHEN store_count = 0 THEN 'no branch' WHEN complete_count = 0 THEN 'no complete branch' ELSE 'ok' END, 'promotions_applied': promotions_applied, 'stores': coalesce(stores, [])}}) AS VARCHAR) AS document
+FROM heads2 h LEFT JOIN wishes USING (basket_id) LEFT JOIN branches USING (basket_id)"""
+
 #: Name: (function of the tables, SQL).
 QUERIES = {
     "b20_validate_baskets": (lambda t: compare.validate_baskets(t.raw_baskets)[1], f"{PROMO} SELECT basket_id, CASE WHEN count(*) > 50 THEN 'too many lines' ELSE 'quantity' END AS reason FROM raw_baskets GROUP BY 1 HAVING count(*) > 50 OR count(*) FILTER (quantity <= 0) > 0"),
@@ -131,7 +195,7 @@ QUERIES = {
         f"""{CTES} SELECT b.basket_id, count(store_id) AS store_count, count(*) FILTER (is_complete) AS complete_count, least(count(store_id), 10) AS shown_count, max(store_id) FILTER (rank = 1) AS winner_store_id,
         CASE WHEN count(store_id) = 0 THEN 'no branch' WHEN count(*) FILTER (is_complete) = 0 THEN 'no complete branch' ELSE 'ok' END AS message FROM (SELECT DISTINCT basket_id FROM baskets) b LEFT JOIN ranked USING (basket_id) GROUP BY 1""",
     ),
-    "i11_documents": (lambda t: compare.to_documents(compare.select_branches(t.ranked), t.offered), None),
+    "i11_documents": (_documents, DOCUMENTS),
     "d9_basket_summary": (
         lambda t: compare.basket_summary(t.baskets, t.products, t.prices),
         f"{CTES}, s AS (SELECT name_norm, (CAST(sum(price) * 100 AS BIGINT) * 10000) // count(*) AS micro, count(*) AS n FROM prices JOIN products USING (product_id) GROUP BY 1) SELECT basket_id, CAST(round(CAST(sum(CAST(micro AS DECIMAL(18,0)) * quantity) AS DECIMAL(29,3)) * CAST(0.000001 AS DECIMAL(7,6)), 2) AS DOUBLE) AS estimate, count(n) AS priced_items FROM lines JOIN products USING (product_id) LEFT JOIN s USING (name_norm) GROUP BY 1",
@@ -154,20 +218,11 @@ QUERIES = {
     "j13_reprice": (lambda t: pricing.reprice(t.single, t.applied).select("basket_id", "store_id", "promotions_applied", *dbl("base_total", "total_savings", "total")), f"{PROMO} SELECT basket_id, store_id, promotions_applied, CAST(base_total AS DOUBLE) AS base_total, CAST(total_savings AS DOUBLE) AS total_savings, CAST(total AS DOUBLE) AS total FROM repriced"),
     "j15_available_promo": (
         lambda t: pricing.available_promotions(t.promo_lines, t.attributed, t.live, t.items),
-        f"""{PROMO} SELECT l.basket_id, l.store_id, l.canonical_id, v.promotion_id, CAST(CASE WHEN min_qty > quantity THEN min_qty - quantity END AS DOUBLE) AS units_short
-        FROM plines l JOIN promo_items i ON i.canonical_id = l.canonical_id AND NOT is_gift JOIN live v ON v.store_id = l.store_id AND v.promotion_id = i.promotion_id ANTI JOIN attributed a ON a.basket_id = l.basket_id AND a.store_id = l.store_id AND a.canonical_id = l.canonical_id
-        WHERE {ADVERTISED}
-        QUALIFY row_number() OVER (PARTITION BY l.basket_id, l.store_id, l.canonical_id ORDER BY min_qty, v.promotion_id) = 1""",
+        f"{PROMO}, x AS ({AVAILABLE}) SELECT * REPLACE (CAST(units_short AS DOUBLE) AS units_short) FROM x",
     ),
     "j16_alternative_promo": (
         lambda t: pricing.alternative_promotions(t.promo_lines, t.attributed, t.live, t.items).select("basket_id", "store_id", "canonical_id", "promotion_id", "cost"),
-        f"""{PROMO}, rivals AS (
-          SELECT l.basket_id, l.store_id, l.canonical_id, v.promotion_id, CASE v.reward_kind WHEN 'FIXED_PRICE' THEN CAST(v.discounted_price AS DOUBLE) WHEN 'BUNDLE_PRICE' THEN CAST(v.discounted_price AS DOUBLE) / CAST(v.min_qty AS DOUBLE) END AS cost,
-            (CAST(unit_price AS DOUBLE) * CAST(quantity AS DOUBLE) - CAST(saved AS DOUBLE)) / CAST(quantity AS DOUBLE) AS charged
-          FROM plines l JOIN attributed a ON a.basket_id = l.basket_id AND a.store_id = l.store_id AND a.canonical_id = l.canonical_id JOIN live x ON x.promotion_id = a.promotion_id
-          JOIN promo_items i ON i.canonical_id = l.canonical_id AND NOT is_gift JOIN live v ON v.store_id = l.store_id AND v.promotion_id = i.promotion_id
-          WHERE v.promotion_id <> a.promotion_id AND v.min_qty <> x.min_qty AND {ADVERTISED.replace("reward_kind", "v.reward_kind").replace("discounted_price", "v.discounted_price").replace("min_qty", "v.min_qty")}
-        ) SELECT basket_id, store_id, canonical_id, promotion_id, cost FROM rivals WHERE cost >= charged - 1e-9 QUALIFY row_number() OVER (PARTITION BY basket_id, store_id, canonical_id ORDER BY cost, promotion_id) = 1""",
+        f"{PROMO}, rivals AS ({RIVALS}) {ALTERNATIVE}",
     ),
     "j17_rerank": (lambda t: t.reranked.select("basket_id", "store_id", "pos", "rank", *dbl("base_total", "total", "total_savings")), RERANKED),
     "j18_degrade": (
