@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from basketlens.functions import cleaning as cl
 from basketlens.functions import promo_rules as rules
 from basketlens.functions import tokens
-from basketlens.operators import canonical, quality, search, upsert
+from basketlens.operators import canonical, gates, quality, repair, search, upsert
 from basketlens.plans import binding as b
 from basketlens.plans.basket_queries import Tables, dbl
 from basketlens.sources import feeds
@@ -65,6 +65,61 @@ def _fuzzy(t: Tables):
     return fuzzy_names(t.products)
 
 
+#: Spellings of cities that are merged; one is told apart by the address.
+MERGES, BY_ADDRESS = [("MIDDLE EAST", "ASIA"), ("AMERICA", "AMERICAS"), ("EUROPE", "EUROPE EAST")], [("EUROPE", "street 1", "EUROPE WEST")]
+MERGED = "CASE city WHEN 'MIDDLE EAST' THEN 'ASIA' WHEN 'AMERICA' THEN 'AMERICAS' WHEN 'EUROPE' THEN CASE WHEN contains(address, 'street 1') THEN 'EUROPE WEST' ELSE 'EUROPE EAST' END ELSE city END"
+#: Up to here a price log is history, then it is a load.
+CUT = "1998-01-01"
+
+
+def _worn_stores(t: Tables):
+    """Branches whose addresses carry what feeds put there: house numbers of zero, and marks for none."""
+    s = F.col("store_id")
+    return t.stores.withColumn("address", F.when(s % 13 == 0, "-").when(s % 7 == 0, F.concat("address", F.lit(" 0"))).otherwise(F.col("address")))
+
+
+WORN = "SELECT * REPLACE (CASE WHEN store_id % 13 = 0 THEN '-' WHEN store_id % 7 = 0 THEN address || ' 0' ELSE address END AS address) FROM stores"
+#: What cleaning makes of these addresses.
+CLEANED = r"CASE WHEN regexp_replace(address, '([\s,]+0+)+[\s,]*$', '') IN ('-', '', '0') THEN NULL ELSE regexp_replace(address, '([\s,]+0+)+[\s,]*$', '') END"
+
+
+def _effects(t: Tables, column: str, make):
+    stores = _worn_stores(t)
+    return repair.summary(make(stores), stores, column)
+
+
+def _effects_sql(column: str, fresh: str) -> str:
+    return f"""{CTES}, w AS ({WORN}), p AS (SELECT {column} AS old, {fresh} AS new FROM w), n AS (SELECT {column} AS new, count(*) AS k FROM w WHERE {column} IS NOT NULL GROUP BY 1)
+        SELECT old, p.new, count(*) AS rows, coalesce(any_value(k), 0) AS already, CASE WHEN p.new IS NULL THEN 'clear' WHEN any_value(k) > 0 THEN 'heal' ELSE 'rename' END AS effect FROM p LEFT JOIN n ON n.new = p.new WHERE old IS DISTINCT FROM p.new GROUP BY 1, 2"""
+
+
+def _repaired(t: Tables):
+    stores = _worn_stores(t)
+    stores = repair.apply_plan(stores, repair.city_plan(stores, MERGES, BY_ADDRESS), ["store_id"], "city")
+    return repair.apply_plan(stores, repair.address_plan(stores), ["store_id"], "address").select("store_id", "city", "address")
+
+
+def _chain_log(t: Tables):
+    """The price log with chains, and with the day as it is seen."""
+    return t.price_log.join(t.stores.select("store_id", "chain_id"), "store_id").select("chain_id", "store_id", "product_id", "price", "seen", F.to_date("seen").alias("day"))
+
+
+def _band_verdict(t: Tables):
+    log = _chain_log(t)
+    return gates.outside_bands(log.filter(F.col("day") >= CUT), gates.price_bands(log.filter(F.col("day") < CUT)))
+
+
+CHAIN_LOG = "log AS (SELECT chain_id, store_id, product_id, price, seen, CAST(seen AS DATE) AS day FROM price_log JOIN stores USING (store_id))"
+BANDS = f"{CHAIN_LOG}, bands AS (SELECT product_id, quantile_disc(price, 0.01) AS low, quantile_disc(price, 0.99) AS high, count(*) AS seen FROM log WHERE day < DATE '{CUT}' GROUP BY 1)"
+BAND_VERDICT = f"SELECT chain_id, count(*) AS prices, count(*) FILTER (price < low OR price > high) AS outside, count(*) FILTER (price < low OR price > high) * 1000 <= count(*) AS ok FROM log LEFT JOIN bands USING (product_id) WHERE day >= DATE '{CUT}' GROUP BY 1"
+GATE_NOW = "1998-11-29 00:00:00"
+
+
+def _load_gate(t: Tables):
+    log, now = _chain_log(t), F.lit(GATE_NOW).cast("timestamp_ntz")
+    return gates.load_gate(t.stores, bands=_band_verdict(t), freshness=gates.freshness_gate(log, now), promotions=gates.promotion_gate(t.promotions, F.lit(b.NOW).cast("timestamp_ntz")))
+
+
 MAPPED = "SELECT product_id, name, name_norm, size_signature, manufacturer FROM products WHERE name_norm <> ''"
 NAME_TOKENS = r"list_slice(list_filter(string_split_regex(name_norm, '[\s\-/,]+'), lambda w: length(w) >= 2 AND NOT regexp_matches(w, '^[0-9]+([.,][0-9]+)?%?$')), 1, 4)"
 
@@ -142,6 +197,28 @@ QUERIES = {
         lambda t: quality.drift(t.stores, "store_name", F.upper("store_name")),
         f"{CTES} SELECT store_name AS old, upper(store_name) AS new, count(*) AS rows, (SELECT count(*) FROM stores z WHERE z.store_name = upper(s.store_name)) AS already FROM stores s WHERE store_name <> upper(store_name) GROUP BY 1, 2, s.store_name",
     ),
+    "d6_price_bands": (lambda t: gates.price_bands(_chain_log(t).filter(F.col("day") < CUT)).select("product_id", "seen", *dbl("low", "high")), f"{CTES}, {BANDS} SELECT product_id, seen, CAST(low AS DOUBLE) AS low, CAST(high AS DOUBLE) AS high FROM bands"),
+    "d6_outside_bands": (_band_verdict, f"{CTES}, {BANDS} {BAND_VERDICT}"),
+    "d7_volume_gate": (
+        lambda t: gates.volume_gate(gates.daily_volume(_chain_log(t))),
+        f"""{CTES}, {CHAIN_LOG}, d AS (SELECT chain_id, day, count(*) AS rows, count(DISTINCT store_id) AS stores FROM log GROUP BY 1, 2),
+        w AS (SELECT *, CAST(coalesce(sum(rows) OVER week, 0) AS BIGINT) AS week_rows, count(*) OVER week AS week_days, lag(stores) OVER (PARTITION BY chain_id ORDER BY day) AS stores_before FROM d WINDOW week AS (PARTITION BY chain_id ORDER BY day RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING))
+        SELECT *, concat_ws(',', CASE WHEN week_days > 0 AND abs(rows * week_days - week_rows) * 10 > week_rows * 3 THEN 'volume' END, CASE WHEN stores < stores_before THEN 'stores' END) AS problems FROM w""",
+    ),
+    "d7_load_gate": (
+        _load_gate,
+        f"""{CTES}{b.PROMO_CTES}, {BANDS}, v AS ({BAND_VERDICT}), f AS (SELECT chain_id, max(seen) >= TIMESTAMP '{GATE_NOW}' - INTERVAL 48 HOUR AS ok FROM log GROUP BY 1),
+        p AS (SELECT chain_id, count(*) FILTER (ends_at <= TIMESTAMP '2026-01-01') = 0 AND count(*) FILTER (ends_at < TIMESTAMP '{b.NOW}') * 20 <= count(*) AS ok FROM promos GROUP BY 1),
+        g AS (SELECT chain_id, concat_ws(',', CASE WHEN NOT coalesce(v.ok, false) THEN 'bands' END, CASE WHEN NOT coalesce(f.ok, false) THEN 'freshness' END, CASE WHEN NOT coalesce(p.ok, false) THEN 'promotions' END) AS problems FROM (SELECT DISTINCT chain_id FROM stores) LEFT JOIN v USING (chain_id) LEFT JOIN f USING (chain_id) LEFT JOIN p USING (chain_id))
+        SELECT chain_id, problems, problems = '' AS ok FROM g""",
+    ),
+    "d17_city_repair": (lambda t: _effects(t, "city", lambda s: repair.city_plan(s, MERGES, BY_ADDRESS)), _effects_sql("city", MERGED)),
+    "d17_address_repair": (lambda t: _effects(t, "address", repair.address_plan), _effects_sql("address", CLEANED)),
+    "d17_repaired_stores": (_repaired, f"{CTES}, w AS ({WORN}) SELECT store_id, {MERGED} AS city, {CLEANED} AS address FROM w"),
+    "d18_purge_report": (
+        lambda t: repair.purge_report(t.products, t.prices, canonical.map_products(t.products)),
+        f"{CTES}, x AS (SELECT product_id, name_norm FROM products WHERE length(barcode) < 8) SELECT (SELECT count(*) FROM x) AS products, (SELECT count(*) FROM prices WHERE product_id IN (SELECT product_id FROM x)) AS prices, (SELECT count(*) FROM x WHERE name_norm <> '') AS mapped",
+    ),
     "d18_legacy_keys": (lambda t: quality.legacy_keys(t.products, t.prices), f"{CTES} SELECT product_id, barcode, (SELECT count(*) FROM prices p WHERE p.product_id = x.product_id) AS prices FROM products x WHERE length(barcode) < 8"),
     "f7_fit_rate": (lambda t: _event(t).select("event_id", rules.fit_rate(F.col("value") * 20).alias("rate")), "SELECT event_id, CASE WHEN abs(value * 20) < 1000 THEN value * 20 END AS rate FROM events"),
     "f9_classify_reward": (

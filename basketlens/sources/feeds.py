@@ -60,6 +60,51 @@ def chain_files(spark: SparkSession, folder: str, slugs: Sequence[str], full: bo
     return out
 
 
+#: Names of feed files: what they hold, and the chain's slug.
+FEED_NAME = r"^(store|price|promo)(_full)?_file_(.+)\.csv$"
+KINDS = {"store": "stores", "price": "prices", "promo": "promotions"}
+CHAIN_FIELDS = "slug string, name string, enabled boolean, reason string"
+
+
+def chain_config(spark: SparkSession, path: str, fallback: Sequence[str] = ()) -> DataFrame:
+    """``slug, name, enabled, reason`` of a JSON file with ``chains``; a chain is enabled unless it says otherwise, and named by its slug unless it has a name.
+
+    Entries without a slug are left out.  Where the file is missing or no such JSON, the slugs of ``fallback`` are all there is.
+    """
+    known = spark.createDataFrame([(s, s, True, None) for s in fallback], CHAIN_FIELDS)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return known
+    read = spark.read.schema(f"chains array<struct<{CHAIN_FIELDS.replace(' ', ': ').replace(',: ', ', ')}>>").json(path, multiLine=True)
+    rows = read.select(F.inline("chains")).filter("slug <> ''")
+    rows = rows.select("slug", F.coalesce(F.nullif("name", F.lit("")), "slug").alias("name"), F.coalesce("enabled", F.lit(True)).alias("enabled"), "reason")
+    return known if rows.isEmpty() else rows
+
+
+def chain_problems(config: DataFrame) -> DataFrame:
+    """``slug, problem``: chains named twice, which would be loaded twice, and chains put aside without a reason."""
+    each = config.groupBy("slug").agg(F.count("*").alias("n"), F.max(~F.col("enabled") & F.coalesce(F.trim("reason") == "", F.lit(True))).alias("silent"))
+    found = F.filter(F.array(F.when(F.col("n") > 1, "twice"), F.when(F.col("silent"), "no reason")), lambda x: x.isNotNull())
+    return each.select("slug", F.explode(found).alias("problem"))
+
+
+def read_chains(spark: SparkSession, folder: str, config: DataFrame, kind: str, full: bool = False, splittable: bool = False) -> DataFrame | None:
+    """The feeds of one kind (``stores``, ``prices``, ``promotions``) of all enabled chains as one table with ``slug`` and ``chain_label``.
+
+    A chain without that file is passed over, and promotions fall back from the full to the
+    snapshot file (:func:`chain_files`).  None if no chain has a file.  The list of chains is driver-sized, feeds are not read for it.
+    """
+    names = {r["slug"]: r["name"] for r in config.filter("enabled").select("slug", "name").distinct().collect()}
+    paths = [own[kind] for own in chain_files(spark, folder, sorted(names), full).values() if kind in own]
+    if not paths:
+        return None
+    rows = read_feeds(spark, paths, splittable)
+    name = F.regexp_extract(F.col("file"), r"([^/]*)$", 1)
+    slug = F.url_decode(F.regexp_extract(name, FEED_NAME, 3))
+    label = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))[F.col("slug")]
+    return rows.withColumn("slug", slug).withColumn("chain_label", label)
+
+
 def _blank(c: Column) -> Column:
     return c.isNull() | F.regexp_replace(c, r"(?U)^\s+|\s+$", "").isin("", "''", '""')
 
