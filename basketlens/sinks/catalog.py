@@ -10,18 +10,43 @@ stays where it is stored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketlens.operators import feeds, promo_feed
+from basketlens.functions.cleaning import clean_str, column_or_null
+from basketlens.operators import cities, feeds, promo_feed
 from basketlens.operators import upsert as up
 from basketlens.sinks.versioned import VersionedTable
+from basketlens.sources.feeds import IDENTITY, forward_fill, read_chains
 
 PRODUCT_FIELDS = ["name", "manufacturer", "unit_qty", "quantity", "unit_of_measure", "is_weighted"]
 PRICE_FIELDS = ["price", "unit_price", "allow_discount", "item_status", "price_update_time"]
 
 
+@dataclass(frozen=True)
+class Spellings:
+    """The tables that say how cities are written, for :func:`cities.resolve_city` and :func:`cities.canonical_city`."""
+
+    codes: DataFrame
+    aliases: DataFrame
+    cities: DataFrame
+    localities: DataFrame | None = None
+    reviewed: DataFrame | None = None
+    blocked: DataFrame | None = None
+    neighbourhoods: DataFrame | None = None
+    merges: tuple[tuple[str, str], ...] = ()
+    by_address: tuple[tuple[str, str, str], ...] = ()
+
+    def __call__(self, stores: DataFrame) -> DataFrame:
+        """Stores (one row for each id) with the city that all chains call the same."""
+        told = cities.resolve_city(stores, self.codes, self.aliases, self.cities, self.localities, self.reviewed, self.blocked, self.neighbourhoods)
+        return cities.canonical_city(told, list(self.merges), list(self.by_address)) if self.merges else told
+
+
 class Catalog:
     """Versioned tables under one folder.  ``buckets`` splits the products, and the prices of each chain."""
 
@@ -34,10 +59,12 @@ class Catalog:
         self.promotions = table("promotions", ["promotion_id"], ["chain_id"], buckets)
         self.promotion_items = table("promotion_items", ["promotion_id", "canonical_id", "is_gift"], ["chain_id"], buckets)
 
-    def load_stores(self, raw: DataFrame, batch: tuple[str, int] | None = None, display_names: DataFrame | None = None) -> None:
-        """Stores of a raw feed with ``ord``: the last row of each replaces what was known."""
+    def load_stores(self, raw: DataFrame, batch: tuple[str, int] | None = None, display_names: DataFrame | None = None, spell: Callable[[DataFrame], DataFrame] | None = None) -> None:
+        """Stores of a raw feed with ``ord``: the last row of each replaces what was known.  ``spell`` (:class:`Spellings`) says their cities."""
         rows = feeds.normalize_stores(raw, display_names).drop("file")
         rows = rows.withColumn("store_id", feeds.store_id(F.col("chain_id"), F.col("sub_chain_id"), F.col("store_code")))
+        if spell is not None:
+            rows = spell(up.last_per_key(rows, ["store_id"], ["ord"])).select(*rows.columns)
         self.stores.upsert(rows, ["ord"], batch)
 
     def load_prices(self, raw: DataFrame, batch: tuple[str, int] | None = None) -> dict[str, int]:
@@ -87,3 +114,32 @@ class Catalog:
             return feeds.promotion_counters(headers, self.stores.read(), canonical_of).first().asDict()
         finally:
             headers.unpersist()
+
+    def load_folder(self, folder: str, config: DataFrame, number: int | None = None, full: bool = False, display_names: DataFrame | None = None, spell: Callable[[DataFrame], DataFrame] | None = None, canonical_of: DataFrame | None = None) -> dict[str, dict[str, int]]:
+        """All feeds of a folder of the chains that ``config`` enables: stores first, then prices, then promotions (if ``canonical_of`` is given).
+
+        ``number`` is that of the folder's batch: each kind of feed is taken in once.  What was counted
+        is returned by kind; a kind that no chain has a file of is left out.
+        """
+        counts: dict[str, dict[str, int]] = {}
+        batch = lambda kind: None if number is None else (f"{kind} of folders", number)
+        for kind in ("stores", "prices", "promotions"):
+            raw = read_chains(self.spark, folder, config, kind, full)
+            if raw is None or (kind == "promotions" and canonical_of is None):
+                continue
+            raw = in_order(raw)
+            if kind == "stores":
+                self.load_stores(raw.withColumn("chainname", F.coalesce(clean_str(column_or_null(raw, "chainname")), "chain_label")), batch(kind), display_names, spell)
+                counts[kind] = {"stores": self.stores.read().count()}
+            elif kind == "prices":
+                counts[kind] = self.load_prices(raw, batch(kind))
+            else:
+                counts[kind] = self.load_promotions(raw, canonical_of, batch(kind))
+        return counts
+
+
+def in_order(raw: DataFrame) -> DataFrame:
+    """Feeds of :func:`read_chains` with the identity of each block of rows filled in; ``ord`` is the same in every run, whichever file is read first."""
+    block = F.struct("ord.block", F.shiftright("ord.row", 16))
+    filled = forward_fill(raw, [c for c in IDENTITY if c in raw.columns and c != "file_name"], "file", "ord", block)
+    return filled.withColumn("ord", F.struct("slug", "ord.block", "ord.row"))

@@ -22,7 +22,8 @@ def read_feed(spark: SparkSession, paths: str | Sequence[str], columns: Sequence
     rows = read.csv(list(paths) if not isinstance(paths, str) else paths)
     # the mark of bad rows stays selected up to the filter: a pruned scan would not parse them
     rows = rows.select("*", F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("ord"))
-    return rows.filter(F.col("_bad").isNull()).drop("_bad")
+    # ... and Spark refuses to read that mark alone, as a plain count would: a column that is always read goes with it
+    return rows.filter(F.col("_bad").isNull() & (F.char_length(F.concat_ws("", F.col(f"`{columns[0]}`"))) >= 0)).drop("_bad")
 
 
 def read_feeds(spark: SparkSession, paths: Sequence[str], splittable: bool = False) -> DataFrame:
