@@ -19,25 +19,33 @@ def confidence(name_norm: Column, signature: Column) -> Column:
 
 
 def build_canonical(products: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """``canonical_id, name_norm, size_signature, canonical_name, brand, member_count``.
+    """``canonical_id, name_norm, size_signature, canonical_name, brand, net_qty, unit, is_weighted, member_count``.
 
-    The display name is the longest, and the brand that of its row, else of any row;
-    values of ``existing`` are never overwritten.
+    The display name is the longest; brand, quantity and unit are those of its row, else
+    of any row, and null where ``products`` has no such column.  Of ``existing`` items the
+    longer name wins, and other values are filled where they are null, never overwritten.
     """
-    named = products.filter(F.col("name_norm") != "")
+    have = lambda df, c, kind: (F.col(c) if c in df.columns else F.lit(None)).cast(kind)
+    named = products.filter(F.col("name_norm") != "").withColumns({"__net_qty": have(products, "quantity", "decimal(12,3)"), "__unit": have(products, "unit_qty", "string"), "__weighted": F.coalesce(have(products, "is_weighted", "boolean"), F.lit(False))})
     key = F.struct(F.char_length("name"), -F.col("product_id"))
+    filled = lambda c: F.coalesce(F.max_by(c, key), F.min(c))
     found = named.groupBy("name_norm", "size_signature").agg(
         F.max_by("name", key).alias("canonical_name"),
-        F.coalesce(F.max_by("manufacturer", key), F.min("manufacturer")).alias("brand"),
+        filled("manufacturer").alias("brand"),
+        filled("__net_qty").alias("net_qty"),
+        filled("__unit").alias("unit"),
+        F.max_by("__weighted", key).alias("is_weighted"),
         F.count("*").alias("member_count"),
     )
-    found = found.withColumn("canonical_id", canonical_id(F.col("name_norm"), F.col("size_signature"))).select("canonical_id", "name_norm", "size_signature", "canonical_name", "brand", "member_count")
+    found = found.select(canonical_id(F.col("name_norm"), F.col("size_signature")).alias("canonical_id"), "*")
     if existing is None:
         return found
-    old = existing.select("canonical_id", *(F.col(c).alias(f"__{c}") for c in found.columns[1:]))
+    old = existing.select("canonical_id", *(have(existing, c, kind).alias(f"__{c}") for c, kind in found.dtypes[1:]))
     joined = found.join(old, "canonical_id", "full_outer")
-    kept = [F.coalesce(f"__{c}", c).alias(c) for c in ("name_norm", "size_signature", "canonical_name", "brand")]
-    return joined.select("canonical_id", *kept, F.coalesce("member_count", "__member_count").alias("member_count"))
+    kept = {c: F.coalesce(f"__{c}", c) for c in found.columns[1:]}
+    kept["canonical_name"] = F.when(F.char_length("canonical_name") > F.char_length("__canonical_name"), F.col("canonical_name")).otherwise(kept["canonical_name"])
+    kept["member_count"] = F.coalesce("member_count", "__member_count")
+    return joined.select("canonical_id", *(v.alias(c) for c, v in kept.items()))
 
 
 def map_products(products: DataFrame) -> DataFrame:
@@ -52,6 +60,39 @@ def products_for_chains(products: DataFrame, prices: DataFrame, stores: DataFram
     return products.join(own, "product_id", "left_semi")
 
 
+def resolve(products: DataFrame, existing: DataFrame | None = None, mapped: DataFrame | None = None, chains: list[str] | None = None, prices: DataFrame | None = None, stores: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One run of entity resolution: canonical items, the map of products, and a row of counters.
+
+    ``chains`` limits the run to what these chains price (``prices`` and ``stores`` say
+    what that is).  Identity is shared all the same: ids are hashes of the blocking key,
+    so that runs of different chains meet in one item.  Items and maps of earlier runs
+    (``existing, mapped``) are carried on, named products of this run are mapped anew,
+    and members are counted over the whole map, so that a run can be repeated.  Products
+    without a name are counted as skipped; what they were mapped to stays.
+    """
+    scoped = products if chains is None else products_for_chains(products, prices, stores, chains)
+    links = map_products(scoped)
+    n, s = F.col("name_norm"), F.col("size_signature")
+    unnamed = F.coalesce(n, F.lit("")) == ""
+    counters = scoped.agg(
+        F.count_if(~unnamed).alias("products"), F.countDistinct(F.when(~unnamed, canonical_id(n, s))).alias("canonical"), F.count_if(~unnamed & (confidence(n, s) < 0.7)).alias("review"), F.count_if(unnamed).alias("skipped")
+    )
+    if mapped is not None:
+        links = links.unionByName(mapped.join(links.select("product_id"), "product_id", "left_anti"))
+    items = build_canonical(scoped, existing).drop("member_count")
+    return items.join(member_counts(items, links), "canonical_id"), links, counters
+
+
+def resolve_codes(codes: DataFrame, products: DataFrame, mapped: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Codes of feed rows (``barcode``) with the canonical item of their product, and the codes that have none, once each.
+
+    Rows keep their other columns; a null code is no miss and has no item.
+    """
+    known = products.select("barcode", "product_id").join(mapped.select("product_id", "canonical_id"), "product_id").select("barcode", "canonical_id")
+    found = codes.join(known, "barcode", "left")
+    return found, found.filter(F.col("canonical_id").isNull() & F.col("barcode").isNotNull()).select("barcode").distinct()
+
+
 def member_counts(canonical: DataFrame, mapped: DataFrame) -> DataFrame:
     counts = mapped.groupBy("canonical_id").agg(F.count("*").alias("n"))
     return canonical.select("canonical_id").join(counts, "canonical_id", "left").select("canonical_id", F.coalesce("n", F.lit(0)).alias("member_count"))

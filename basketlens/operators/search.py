@@ -13,36 +13,63 @@ def _top(df: DataFrame, limit: int, *order) -> DataFrame:
     return df.withColumn("place", place).filter(F.col("place") <= limit)
 
 
+#: What an answer shows of a name besides its smallest product id, and how rows of one name are put together.
+DETAILS = {"barcode": F.min, "manufacturer": F.min, "unit_qty": F.min, "unit_of_measure": F.min, "quantity": F.min, "is_weighted": F.max}
+#: Tokens and words meet by their first letters, at most so many.
+LETTERS = 4
+BARCODE = r"^\d{4,}$"
+
+
+def _by_name(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows of one normal name as one: the smallest id and details, branches added up; only the details that ``rows`` has."""
+    shown = [how(c).alias(c) for c, how in DETAILS.items() if c in rows.columns]
+    return rows.groupBy(*keys, "name_norm").agg(F.min("product_id").alias("product_id"), F.coalesce(F.sum("availability"), F.lit(0)).alias("availability"), *shown)
+
+
+def _answers(rows: DataFrame, limit: int, *order) -> DataFrame:
+    shown = [c for c in DETAILS if c in rows.columns]
+    return _top(rows, limit, *order).select("query_id", "place", "name_norm", "product_id", "availability", *shown)
+
+
 def barcode_search(products: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
-    """Queries of at least four digits: products whose barcode starts with them (``query_id, place, product_id``)."""
-    q = queries.filter(F.col("query").rlike(r"^\d{4,}$")).withColumn("__k", F.substring("query", 1, 4))
-    p = products.select("product_id", "barcode").withColumn("__k", F.substring("barcode", 1, 4))
-    return _top(q.join(p, "__k").filter(F.startswith("barcode", F.col("query"))), limit, "barcode", "product_id").select("query_id", "place", "product_id")
+    """Queries of at least four digits: names of products whose barcode starts with them, those in more shops and shorter ones first.
+
+    A name's details are those of its products that match.
+    """
+    q = queries.filter(F.col("query").rlike(BARCODE)).select("query_id", "query", F.substring("query", 1, 4).alias("__k"))
+    p = products.withColumn("__k", F.substring("barcode", 1, 4))
+    met = q.join(p, "__k").filter(F.startswith("barcode", F.col("query")))
+    return _answers(_by_name(met, "query_id"), limit, F.desc("availability"), F.char_length("name_norm"), "product_id")
 
 
 def word_search(products: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
-    """Every token of a query begins some word of the name; one row for each name (``query_id, place, name_norm, product_id``).
+    """Every token of a query begins some word of the name; one row for each name.
 
-    Tokens meet words through their first two letters; first come names that start
+    A query meets names through the rarest of its tokens only, by its first letters,
+    and the names found so are asked for the other tokens.  First come names that start
     with the query, then those in more shops, with more whole words, and shorter ones.
     """
-    q = queries.filter(~F.col("query").rlike(r"^\d{4,}$")).select("query_id", F.lower(tokens.norm_name(F.col("query"))).alias("q"), F.array_distinct(tokens.query_tokens(F.col("query"))).alias("tokens")).filter(F.size("tokens") > 0)
-    asked = q.select("query_id", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).withColumn("__k", F.substring("token", 1, 2))
-    names = products.groupBy("name_norm").agg(F.min("product_id").alias("product_id"), F.coalesce(F.sum("availability"), F.lit(0)).alias("availability"))
-    words = names.select("name_norm", F.explode(F.array_distinct(tokens.words(F.col("name_norm")))).alias("word"))
-    words = words.withColumn("__k", F.explode(F.array_distinct(F.array(F.substring("word", 1, 1), F.substring("word", 1, 2)))))
-    hits = asked.join(words, "__k").filter(F.startswith("word", F.col("token")))
-    hits = hits.groupBy("query_id", "n", "name_norm").agg(F.countDistinct("token").alias("found"), F.count_if(F.col("word") == F.col("token")).alias("whole")).filter("found = n")
-    rows = hits.join(names, "name_norm").join(q.select("query_id", "q"), "query_id")
-    starts = F.startswith(F.lower("name_norm"), F.col("q"))
-    return _top(rows, limit, F.desc(starts), F.desc("availability"), F.desc("whole"), F.char_length("name_norm"), "product_id").select("query_id", "place", "name_norm", "product_id")
+    q = queries.filter(~F.col("query").rlike(BARCODE)).select("query_id", F.lower(tokens.norm_name(F.col("query"))).alias("q"), F.array_distinct(tokens.query_tokens(F.col("query"))).alias("tokens")).filter(F.size("tokens") > 0)
+    listed = _by_name(products)
+    names = listed.select("name_norm", "product_id", "availability", F.array_distinct(tokens.words(F.col("name_norm"))).alias("words"))
+    starts = F.flatten(F.transform("words", lambda w: F.transform(F.sequence(F.lit(1), F.lit(LETTERS)), lambda n: F.substring(w, F.lit(1), n))))
+    posted = names.withColumn("__k", F.explode(F.array_distinct(starts)))
+    often = posted.groupBy("__k").agg(F.count("*").alias("n"))
+    asked = q.select("query_id", F.explode("tokens").alias("token")).withColumn("__k", F.substring("token", 1, LETTERS))
+    rarest = asked.join(often, "__k", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "__k"))["__k"].alias("__k"))
+    met = q.join(rarest, "query_id").join(posted, "__k").filter(F.forall("tokens", lambda t: F.exists("words", lambda w: F.startswith(w, t))))
+    whole = F.size(F.array_intersect("tokens", "words"))
+    best = _top(met, limit, F.desc(F.startswith(F.lower("name_norm"), F.col("q"))), F.desc("availability"), F.desc(whole), F.char_length("name_norm"), "product_id")
+    shown = [c for c in DETAILS if c in listed.columns]
+    return best.select("query_id", "place", "name_norm").join(listed, "name_norm").select("query_id", "place", "name_norm", "product_id", "availability", *shown)
 
 
 def substring_search(products: DataFrame, queries: DataFrame, answered: DataFrame, limit: int = 20) -> DataFrame:
     """For queries without an answer: names or makers that contain the query.
 
     A contained text shares its first letters, three at most, with some place of the
-    name, so that runs of one to three letters make this an equi-join.
+    name, so that runs of one to three letters make this an equi-join.  A name's details
+    are those of its products that match.
     """
     left = queries.join(answered.select("query_id").distinct(), "query_id", "left_anti").select("query_id", F.lower(tokens.norm_name(F.col("query"))).alias("q")).filter("q <> ''")
     fields = products.select(F.explode(F.array(F.lower("name_norm"), F.lower(F.coalesce("manufacturer", F.lit(""))))).alias("field")).distinct().filter("field <> ''")
@@ -50,8 +77,25 @@ def substring_search(products: DataFrame, queries: DataFrame, answered: DataFram
     runs = fields.select("field", F.explode(F.array_distinct(F.concat(run(1), run(2), run(3)))).alias("__k"))
     met = left.withColumn("__k", F.substring("q", 1, 3)).join(runs, "__k").filter(F.contains("field", F.col("q"))).select("query_id", "q", "field").distinct()
     named = products.withColumn("field", F.explode(F.array_distinct(F.array(F.lower("name_norm"), F.lower(F.coalesce("manufacturer", F.lit("")))))))
-    rows = met.join(named, "field").groupBy("query_id", "q", "name_norm").agg(F.min("product_id").alias("product_id"), F.coalesce(F.sum("availability"), F.lit(0)).alias("availability"))
-    return _top(rows, limit, F.desc(F.startswith(F.lower("name_norm"), F.col("q"))), F.desc("availability"), F.char_length("name_norm"), "product_id").select("query_id", "place", "name_norm", "product_id")
+    # a product whose name and maker both contain the query is one product
+    rows = met.join(named, "field").drop("field").dropDuplicates(["query_id", "product_id"])
+    return _answers(_by_name(rows, "query_id", "q"), limit, F.desc(F.startswith(F.lower("name_norm"), F.col("q"))), F.desc("availability"), F.char_length("name_norm"), "product_id")
+
+
+def search_products(products: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
+    """Answers to a table of queries (``query_id, query``), with the ``way`` they were found.
+
+    Queries of four digits or more are barcodes and nothing else, even without an answer.
+    Others are searched by words, and by substrings only where no name has their words.
+    Queries that are null or blank have no answer; rows of one ``query_id`` must be one query.
+    """
+    asked = queries.select("query_id", tokens.norm_name(F.col("query")).alias("query")).filter("query <> ''")
+    codes = barcode_search(products, asked, limit)
+    worded = asked.filter(~F.col("query").rlike(BARCODE))
+    by_words = word_search(products, worded, limit)
+    inside = substring_search(products, worded, by_words, limit)
+    ways = [df.withColumn("way", F.lit(way)) for way, df in (("barcode", codes), ("words", by_words), ("substring", inside))]
+    return ways[0].unionByName(ways[1]).unionByName(ways[2])
 
 
 def list_stores(stores: DataFrame, city: str | None = None, chain: str | None = None, limit: int = 100, offset: int = 0) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketlens.functions.tokens import norm_name, size_signature
-from basketlens.operators.upsert import last_per_key
+from basketlens.operators.upsert import last_per_key, refresh_availability
 
 #: The clock of promotion queries.
 NOW = "2026-06-15 12:00:00"
@@ -51,6 +51,20 @@ def products(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def listed(spark: SparkSession, folder: str) -> DataFrame:
+    """Products with what a listing shows: units, and in how many branches they are."""
+    k = F.col("p_partkey")
+    more = table(spark, folder, "part").select(
+        k.alias("product_id"),
+        F.when(k % 4 != 0, F.col("p_type")).alias("unit_qty"),
+        F.concat(F.lit("per "), (k % 3).cast("string")).alias("unit_of_measure"),
+        F.when(k % 5 != 0, F.col("p_size").cast("decimal(12,3)")).alias("quantity"),
+        (k % 9 == 0).alias("is_weighted"),
+    )
+    branches = refresh_availability(prices(spark, folder), products(spark, folder))
+    return products(spark, folder).drop("availability").join(more, "product_id").join(branches, "product_id", "left").fillna(0, ["availability"])
+
+
 def price_log(spark: SparkSession, folder: str) -> DataFrame:
     cents = F.floor(F.col("l_extendedprice") * 100 / F.col("l_quantity")).cast("decimal(18,0)")
     return table(spark, folder, "lineitem").select(
@@ -210,6 +224,10 @@ shown AS (SELECT * EXCLUDE (first) FROM flagged QUALIFY row_number() OVER (PARTI
 """
 
 #: Promotions on top: what each is worth, which apply.
+LISTED = r"""listed AS (
+  SELECT p.*, CASE WHEN p_partkey % 4 <> 0 THEN p_type END AS unit_qty, 'per ' || (p_partkey % 3) AS unit_of_measure, CASE WHEN p_partkey % 5 <> 0 THEN CAST(p_size AS DECIMAL(12,3)) END AS quantity, p_partkey % 9 = 0 AS is_weighted, coalesce(n, 0) AS availability
+  FROM products p JOIN part ON p_partkey = p.product_id LEFT JOIN (SELECT product_id, count(DISTINCT store_id) AS n FROM prices GROUP BY 1) USING (product_id)
+)"""
 PROMO_CTES = r""", promo_base AS (
   SELECT product_id AS p, store_id AS s, price, chain_id FROM prices JOIN stores USING (store_id)
 ), raw_baskets AS (

@@ -194,6 +194,53 @@ def _strings(t: Tables) -> DataFrame:
     return _part(t).select("p_partkey", raw.alias("raw"))
 
 
+def _search(t: Tables) -> DataFrame:
+    """Searches by beginnings of barcodes, of words and sizes, and by pieces of names and makers; one is blank."""
+    p = _part(t)
+    words = F.transform(F.split("p_name", " "), lambda w: F.substring(w, 1, 3))
+    asked = [t.products.select(F.substring("barcode", 1, 12).alias("query")), p.select(F.concat_ws("  ", F.array_join(words, " "), F.col("p_size").cast("string"))), p.select(F.substring("p_name", 2, 4)), p.select(F.expr("substring(p_brand, 2)")), p.select(F.lit(" "))]
+    q = asked[0].union(asked[1]).union(asked[2]).union(asked[3]).union(asked[4]).select(tokens.norm_name(F.col("query")).alias("query")).distinct().withColumn("query_id", F.xxhash64("query"))
+    found = search.search_products(t.listed, q).join(q, "query_id")
+    return found.select("query", "way", "place", "name_norm", "product_id", "availability", "barcode", "manufacturer", "unit_qty", "unit_of_measure", "is_weighted", *dbl("quantity"))
+
+
+_SHOWN = "min(product_id) AS product_id, CAST(sum(availability) AS BIGINT) AS availability, min(barcode) AS barcode, min(manufacturer) AS manufacturer, min(unit_qty) AS unit_qty, min(unit_of_measure) AS unit_of_measure, bool_or(is_weighted) AS is_weighted, CAST(min(quantity) AS DOUBLE) AS quantity"
+SEARCHED = rf"""{CTES}, {b.LISTED}, q AS (SELECT DISTINCT trim(regexp_replace(query, '\s+', ' ', 'g')) AS query, regexp_matches(trim(query), '^[0-9]{{4,}}$') AS code FROM (
+    SELECT substring(barcode, 1, 12) AS query FROM products UNION ALL SELECT array_to_string(list_transform(string_split(p_name, ' '), lambda w: substring(w, 1, 3)), ' ') || ' ' || p_size FROM part
+    UNION ALL SELECT substring(p_name, 2, 4) FROM part UNION ALL SELECT substring(p_brand, 2) FROM part) WHERE trim(query) <> ''),
+  bycode AS (SELECT query, 'barcode' AS way, name_norm, {_SHOWN} FROM q JOIN listed ON code AND starts_with(barcode, query) GROUP BY ALL),
+  names AS (SELECT name_norm, list_distinct(list_filter(string_split_regex(lower(name_norm), '[\s\-/,]+'), lambda w: w <> '')) AS words, {_SHOWN} FROM listed GROUP BY 1),
+  t AS (SELECT query, list_distinct(string_split(lower(query), ' ')) AS ts FROM q WHERE NOT code),
+  byword AS (SELECT query, 'words' AS way, names.*, len(list_filter(words, lambda w: list_contains(ts, w))) AS whole FROM t JOIN names ON len(list_filter(ts, lambda t: len(list_filter(words, lambda w: starts_with(w, t))) = 0)) = 0),
+  inside AS (SELECT query, 'substring' AS way, name_norm, {_SHOWN} FROM q JOIN listed ON NOT code AND query NOT IN (SELECT query FROM byword) AND (contains(lower(name_norm), lower(query)) OR contains(lower(manufacturer), lower(query))) GROUP BY ALL),
+  every AS (SELECT *, 0 AS whole FROM bycode UNION ALL SELECT * EXCLUDE (words) FROM byword UNION ALL BY NAME SELECT *, 0 AS whole FROM inside),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY way <> 'barcode' AND starts_with(lower(name_norm), lower(query)) DESC, availability DESC, whole DESC, length(name_norm), product_id) AS place FROM every)
+  SELECT * EXCLUDE (whole) FROM placed WHERE place <= 10"""
+
+
+def _two_runs(t: Tables):
+    """A run for two chains, then one for three others over what it left; names get longer before the second run."""
+    first = canonical.resolve(t.listed, chains=["1", "2"], prices=t.prices, stores=t.stores)
+    longer = t.listed.withColumn("name_norm", F.when(F.col("product_id") % 17 == 0, "").otherwise(F.col("name_norm"))).withColumn("name", F.when(F.col("product_id") % 2 == 0, F.concat("name", F.lit("  "))).otherwise(F.col("name")))
+    return canonical.resolve(longer, first[0], first[1], ["2", "3", "4"], t.prices, t.stores)
+
+
+_FILLED = ", ".join(f"coalesce(arg_max_null({c}, (length(name), -product_id)), min({c})) AS {a}" for c, a in (("manufacturer", "brand"), ("quantity", "net_qty"), ("unit_qty", "unit"))) + ", arg_max(is_weighted, (length(name), -product_id)) AS is_weighted"
+TWO_RUNS = f"""{CTES}, {b.LISTED}, runs AS (
+  SELECT 1 AS run, * FROM listed WHERE product_id IN (SELECT product_id FROM prices JOIN stores USING (store_id) WHERE chain_id IN ('1', '2'))
+  UNION ALL SELECT 2, * REPLACE (CASE WHEN product_id % 2 = 0 THEN name || '  ' ELSE name END AS name, CASE WHEN product_id % 17 = 0 THEN '' ELSE name_norm END AS name_norm) FROM listed WHERE product_id IN (SELECT product_id FROM prices JOIN stores USING (store_id) WHERE chain_id IN ('2', '3', '4')))"""
+
+
+def _codes(t: Tables):
+    """Codes of a feed: a seventh of its items is unknown, an eleventh of the known ones has no canonical item."""
+    rows = t.price_log.select(F.when(F.col("product_id") % 7 == 0, F.concat(F.lit("x"), F.col("product_id").cast("string"))).otherwise(F.lpad(F.col("product_id").cast("string"), 13, "0")).alias("barcode"))
+    return canonical.resolve_codes(rows, t.products, canonical.map_products(t.products.filter("product_id % 11 <> 0")))
+
+
+CODES = f"""{CTES}, codes AS (SELECT x.barcode, p.product_id FROM (SELECT CASE WHEN product_id % 7 = 0 THEN 'x' || product_id ELSE lpad(CAST(product_id AS VARCHAR), 13, '0') END AS barcode FROM price_log) x
+  LEFT JOIN (SELECT * FROM products WHERE product_id % 11 <> 0) p USING (barcode))"""
+
+
 QUERIES = {
     "a9_load_stores": (lambda t: clean_stores(t).select("chain_id", "chain_name", "sub_chain_id", "store_code", "store_name", "address"), STORES),
     "a10_load_prices": (
@@ -317,6 +364,28 @@ QUERIES = {
         lambda t: _substring(t),
         f"{CTES}, q AS (SELECT DISTINCT substring(p_name, 2, 2) AS query FROM part UNION SELECT DISTINCT substring(p_name, 3, 4) FROM part UNION SELECT DISTINCT substring(p_brand, 4, 4) FROM part), f AS (SELECT name_norm, min(product_id) AS product_id, lower(name_norm) AS n, list_distinct(list(lower(manufacturer))) AS makers FROM products GROUP BY name_norm), m AS (SELECT query, name_norm, n, p.product_id FROM q JOIN (SELECT name_norm, lower(name_norm) AS n, lower(manufacturer) AS maker, product_id FROM products) p ON contains(n, trim(lower(query))) OR contains(maker, trim(lower(query))) WHERE trim(query) <> ''), g AS (SELECT query, name_norm, n, min(product_id) AS product_id FROM m GROUP BY ALL) SELECT query, row_number() OVER (PARTITION BY query ORDER BY starts_with(n, trim(lower(query))) DESC, length(name_norm), product_id) AS place, name_norm, product_id FROM g QUALIFY place <= 5",
     ),
+    "h_search_products": (_search, SEARCHED),
+    "h3_after_words": (
+        lambda t: _search(t).filter("way = 'substring'").groupBy("query").agg(F.count("*").alias("names"), F.min("product_id").alias("product_id")),
+        f"WITH found AS ({SEARCHED}) SELECT query, count(*) AS names, min(product_id) AS product_id FROM found WHERE way = 'substring' GROUP BY 1",
+    ),
+    "g4_two_runs": (
+        lambda t: _two_runs(t)[0].select("name_norm", "size_signature", "canonical_name", "brand", "unit", "is_weighted", "member_count", *dbl("net_qty")),
+        f"""{TWO_RUNS}, g AS (SELECT name_norm, size_signature, run, arg_max(name, (length(name), -product_id)) AS canonical_name, {_FILLED} FROM runs WHERE name_norm <> '' GROUP BY ALL),
+        a AS (SELECT * FROM g WHERE run = 1), z AS (SELECT * FROM g WHERE run = 2)
+        SELECT name_norm, size_signature, CASE WHEN a.canonical_name IS NULL OR length(z.canonical_name) > length(a.canonical_name) THEN z.canonical_name ELSE a.canonical_name END AS canonical_name, coalesce(a.brand, z.brand) AS brand, coalesce(a.unit, z.unit) AS unit,
+          coalesce(a.is_weighted, z.is_weighted) AS is_weighted, CAST(coalesce(a.net_qty, z.net_qty) AS DOUBLE) AS net_qty, (SELECT count(DISTINCT product_id) FROM runs r WHERE r.name_norm = coalesce(a.name_norm, z.name_norm) AND r.size_signature = coalesce(a.size_signature, z.size_signature)) AS member_count
+        FROM a FULL JOIN z USING (name_norm, size_signature)""",
+    ),
+    "g4_run_counters": (
+        lambda t: _two_runs(t)[2],
+        f"{TWO_RUNS} SELECT count(*) FILTER (name_norm <> '') AS products, count(DISTINCT (name_norm, size_signature)) FILTER (name_norm <> '') AS canonical, count(*) FILTER (name_norm <> '' AND size_signature = '' AND len(list_filter(string_split(name_norm, ' '), lambda w: length(w) > 1)) < 3) AS review, count(*) FILTER (name_norm = '') AS skipped FROM runs WHERE run = 2",
+    ),
+    "c3_codes_of_items": (
+        lambda t: _codes(t)[0].groupBy("barcode").agg(F.count("*").alias("rows"), F.count("canonical_id").alias("resolved")),
+        f"{CODES} SELECT barcode, count(*) AS rows, count(product_id) AS resolved FROM codes GROUP BY 1",
+    ),
+    "c3_missed_codes": (lambda t: _codes(t)[1], f"{CODES} SELECT DISTINCT barcode FROM codes WHERE product_id IS NULL"),
     "j1_eligible_promotions": (
         lambda t: pricing.covered_lines(t.promo_lines, t.live, t.items).select("basket_id", "store_id", "promotion_id", "canonical_id", "is_gift"),
         f"{PROMO} SELECT basket_id, store_id, promotion_id, canonical_id, is_gift FROM touched",
