@@ -381,6 +381,11 @@ QUERIES = {
         lambda t: _two_runs(t)[2],
         f"{TWO_RUNS} SELECT count(*) FILTER (name_norm <> '') AS products, count(DISTINCT (name_norm, size_signature)) FILTER (name_norm <> '') AS canonical, count(*) FILTER (name_norm <> '' AND size_signature = '' AND len(list_filter(string_split(name_norm, ' '), lambda w: length(w) > 1)) < 3) AS review, count(*) FILTER (name_norm = '') AS skipped FROM runs WHERE run = 2",
     ),
+    "c1_prices_of_stores": (
+        lambda t: feeds.resolve_store(feeds.normalize_prices(raw_prices(t)), _two_sub_chains(t))[0].join(_two_sub_chains(t).select("store_id", "sub_chain_id"), "store_id").groupBy("chain_id", "store_code").agg(F.count("*").alias("n"), F.countDistinct("sub_chain_id").alias("sub_chains")),
+        f"WITH {RAW_PRICES} SELECT chain_id, store_code, count(*) AS n, 1 AS sub_chains FROM raw WHERE l_suppkey % 2 = 0 AND l_suppkey IN (SELECT s_suppkey FROM supplier) GROUP BY 1, 2",
+    ),
+    "d4_observed_load": (lambda t: _dry_counts(t, _two_sub_chains(t)), f"WITH {RAW_PRICES} SELECT count(*) AS rows, count(*) FILTER (l_suppkey % 2 <> 0 OR l_suppkey NOT IN (SELECT s_suppkey FROM supplier)) AS no_store FROM raw"),
     "c3_codes_of_items": (
         lambda t: _codes(t)[0].groupBy("barcode").agg(F.count("*").alias("rows"), F.count("canonical_id").alias("resolved")),
         f"{CODES} SELECT barcode, count(*) AS rows, count(product_id) AS resolved FROM codes GROUP BY 1",
@@ -413,9 +418,16 @@ QUERIES = {
 }
 
 
-def _dry_counts(t: Tables) -> DataFrame:
+def _two_sub_chains(t: Tables) -> DataFrame:
+    """The branches with even codes, each under two sub-chains; prices name no sub-chain."""
+    even = clean_stores(t).filter(F.col("store_code").cast("int") % 2 == 0)
+    again = even.withColumn("sub_chain_id", F.lit("9")).withColumn("store_id", feeds.store_id(F.col("chain_id"), F.col("sub_chain_id"), F.col("store_code")))
+    return even.unionByName(again)
+
+
+def _dry_counts(t: Tables, stores: DataFrame | None = None) -> DataFrame:
     """The counters of a load of which nothing is written."""
-    _, prices, watched = feeds.load_prices(raw_prices(t), clean_stores(t))
+    _, prices, watched = feeds.load_prices(raw_prices(t), clean_stores(t) if stores is None else stores)
     feeds.dry_run(prices)
     got = watched.get
     return t.spark.createDataFrame([(got["rows"], got["no_store"])], "rows long, no_store long")

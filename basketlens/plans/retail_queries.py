@@ -123,6 +123,17 @@ def _load_gate(t: Tables):
 MAPPED = "SELECT product_id, name, name_norm, size_signature, manufacturer FROM products WHERE name_norm <> ''"
 NAME_TOKENS = r"list_slice(list_filter(string_split_regex(name_norm, '[\s\-/,]+'), lambda w: length(w) >= 2 AND NOT regexp_matches(w, '^[0-9]+([.,][0-9]+)?%?$')), 1, 4)"
 
+def _packed(t: Tables):
+    """Texts; two of three begin with a pack of several, written in one of four ways."""
+    k = F.col("doc_id")
+    pack = F.concat((k % 7).cast("string"), F.element_at(F.array(*map(F.lit, ("*", " x ", "X ", "  ×"))), (k % 4 + 1).cast("int")), (k % 90).cast("string"), F.lit(" of "))
+    return _doc(t).select("doc_id", F.when(k % 3 == 0, F.col("text")).otherwise(F.concat(pack, F.coalesce("text", F.lit("")))).alias("text"))
+
+
+PACKS = r"""WITH x AS (SELECT doc_id, coalesce(CASE WHEN doc_id % 3 = 0 THEN text ELSE (doc_id % 7) || ['*', ' x ', 'X ', '  ×'][doc_id % 4 + 1] || (doc_id % 90) || ' of ' || coalesce(text, '') END, '') AS text FROM documents),
+    n AS (SELECT doc_id, flatten(list_transform(regexp_extract_all(text, '[0-9]+[\s\x0B]*[*x×X][\s\x0B]*[0-9]+'), lambda p: regexp_extract_all(p, '[0-9]+'))) || list_filter(regexp_extract_all(text, '[0-9]+'), lambda d: length(d) >= 2) AS n FROM x)
+    SELECT doc_id, array_to_string(list_slice(list_transform(list_filter(range(1, len(n) + 1), lambda i: list_position(n, n[i]) = i), lambda i: n[i]), 1, 2), '|') AS sizes FROM n"""
+
 QUERIES = {
     "a2_forward_fill": (
         lambda t: feeds.forward_fill(_grouped_events(t), ["event_type"], "file", "event_id", F.floor(F.col("event_id") / 1000)).select("event_id", "event_type"),
@@ -225,6 +236,18 @@ QUERIES = {
         lambda t: t.promotions.select("promotion_id", rules.classify_reward(F.col("reward_kind") == "NTH_FREE", F.col("discounted_price"), F.col("discount_rate"), F.col("min_qty"), F.col("min_basket_amount")).alias("kind")),
         f"{PROMO} SELECT promotion_id, reward_kind AS kind FROM promos",
     ),
+    "f9_reward_of_items": (
+        lambda t: t.promotions.join(t.promotion_items.groupBy("promotion_id").agg(F.bool_or("is_gift").alias("gift")), "promotion_id", "left").select(
+            "promotion_id", rules.classify_reward(F.col("gift"), F.when(F.col("promotion_id") % 5 != 0, F.col("discounted_price")), F.col("discount_rate"), F.when(F.col("promotion_id") % 3 != 0, F.col("min_qty")), F.col("min_basket_amount")).alias("kind")
+        ),
+        f"""{PROMO}, x AS (SELECT promotion_id, CASE WHEN promotion_id % 5 <> 0 THEN discounted_price END AS price, discount_rate AS rate, CASE WHEN promotion_id % 3 <> 0 THEN min_qty ELSE 1 END AS least, min_basket_amount AS whole, promotion_id IN (SELECT promotion_id FROM promo_items WHERE is_gift) AS gift FROM promos)
+        SELECT promotion_id, CASE WHEN gift THEN 'NTH_FREE' WHEN price > 0 AND least >= 2 THEN 'BUNDLE_PRICE' WHEN price > 0 THEN 'FIXED_PRICE' WHEN rate > 0 AND rate < 1 THEN 'PCT_OFF' WHEN whole > 0 THEN 'AMOUNT_OFF' ELSE 'UNKNOWN' END AS kind FROM x""",
+    ),
+    "b12_packs": (lambda t: _packed(t).select("doc_id", F.array_join(tokens.size_tokens(F.col("text")), "|").alias("sizes")), PACKS),
+    "d8_chain_shares": (
+        lambda t: quality.chain_profile(t.prices, t.stores).select("chain_name", "prices", *dbl("share")),
+        f"{CTES}, n AS (SELECT chain_name, count(*) AS prices FROM prices JOIN stores USING (store_id) GROUP BY 1), a AS (SELECT CAST(sum(prices) AS BIGINT) AS every FROM n) SELECT chain_name, prices, ((20000 * prices + every) // (2 * every)) / 100 AS share FROM n, a",
+    ),
     "g1_build_canonical": (
         lambda t: canonical.build_canonical(t.products).select("name_norm", "size_signature", "canonical_name", "brand", "member_count"),
         f"{CTES} SELECT name_norm, size_signature, arg_max(name, (length(name), -product_id)) AS canonical_name, arg_max(manufacturer, (length(name), -product_id)) AS brand, count(*) AS member_count FROM products GROUP BY 1, 2",
