@@ -116,17 +116,34 @@ def index(vectors: DataFrame, pivots: np.ndarray, blocks: int) -> DataFrame:
     return vectors.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks))).groupBy("block").applyInArrow(pack, INDEX)
 
 
-def footrule_nearest(files: tuple[np.ndarray, np.ndarray, np.ndarray], n: int, near: np.ndarray, depth: int) -> np.ndarray:
-    """The ``depth`` of ``n`` vectors whose nearest pivots are most alike to ``near``."""
-    if depth >= n:
-        return np.arange(n)
+def unrolled(files: tuple[np.ndarray, np.ndarray, np.ndarray], n: int, last: int) -> np.ndarray:
+    """A row for each pivot's file with the places of all ``n`` vectors; those that are not posted stand at ``last``.
+
+    Made once for a block of queries, so that a query adds up rows instead of looking postings up.
+    Sums of ``last`` distances up to ``last`` must fit the type.
+    """
     begins, posted, places = files
-    last = len(near)
-    less = np.zeros(n, np.int32)  # than the distance of a vector without any of these pivots
-    for place, pivot in enumerate(near.tolist()):
-        own = slice(begins[pivot], begins[pivot + 1])
-        less[posted[own]] += last - place - np.abs(places[own] - place)
-    return np.argpartition(-less, depth - 1)[:depth]
+    rows = np.full((len(begins) - 1, n), last, np.int16 if last * last < 2**15 else np.int32)
+    rows[np.repeat(np.arange(len(begins) - 1), np.diff(begins)), posted] = places
+    return rows
+
+
+def footrule_nearest(rows: np.ndarray, near: np.ndarray, depth: int) -> np.ndarray:
+    """The ``depth`` vectors whose nearest pivots are most alike to ``near``; ``rows`` are unrolled files."""
+    if depth >= rows.shape[1]:
+        return np.arange(rows.shape[1])
+    off = rows[near]
+    off -= np.arange(len(near), dtype=rows.dtype)[:, None]
+    return np.argpartition(np.abs(off, out=off).sum(axis=0, dtype=rows.dtype), depth - 1)[:depth]
+
+
+def best_scores(vectors: np.ndarray, vector: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which ``vectors`` have the ``k`` largest inner products (and all that tie), and these products."""
+    rows, scores = np.arange(len(vectors)), (vectors * vector).sum(axis=1)
+    if len(rows) > k:
+        rows = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+        scores = scores[rows]
+    return rows, scores
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -165,15 +182,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         files = tuple(np.frombuffer(row[c], kind) for c, kind in (("begins", np.int32), ("posted", np.int32), ("places", np.int16)))
         asked_vectors = np.frombuffer(row["queries"], np.float64).reshape(len(row["keys"]), -1)
         asked_near = nearest_pivots(asked_vectors, pivots)
+        files = unrolled(files, len(own), asked_near.shape[1])
         depth = max(LEAST * (k + 1), int(RERANKED * len(own)))
         out: tuple[list, list, list] = ([], [], [])
         for key, vector, order in zip(row["keys"], asked_vectors, asked_near, strict=True):
-            near = footrule_nearest(files, len(own), order, depth)
-            score = (own[near] * vector).sum(axis=1)
-            if len(near) > k + 1:
-                bound = np.partition(score, len(score) - k - 1)[len(score) - k - 1]
-                near, score = near[score >= bound], score[score >= bound]
-            best = sorted((-s, i) for v, s in zip(near.tolist(), score.tolist(), strict=True) for i in row["ids"][v])[: k + 1]
+            near = footrule_nearest(files, order, depth)
+            at, score = best_scores(own[near], vector, k + 1)
+            best = sorted((-s, i) for v, s in zip(near[at].tolist(), score.tolist(), strict=True) for i in row["ids"][v])[: k + 1]
             out[0].extend([key] * len(best))
             out[1].extend(i for _, i in best)
             out[2].extend(-s for s, _ in best)

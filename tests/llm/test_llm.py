@@ -368,6 +368,35 @@ def test_neighbours(spark):
     assert neighbours.search(df.limit(0), df, 5).count() == 0
 
 
+def test_neighbours_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 60)
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 5)
+    vectors = np.random.default_rng(9).normal(size=(400, 8))
+    vectors[::4] = vectors[0]  # a quarter is one vector
+    df = spark.createDataFrame([(i, [float(x) for x in v], "x") for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, rank string")
+    got = neighbours.search(df, df.filter("vec_id % 20 = 0 or vec_id = 7"), 10).collect()
+    own = {q: [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] for q in (*range(0, 400, 20), 7)}
+    assert len(got) == 21 * 10 and own[0] == list(range(4, 44, 4)) and own[20][:3] == [0, 4, 8]
+    score = vectors @ vectors[7]
+    score[7] = -99
+    assert len(set(own[7]) & set(np.lexsort((np.arange(400), -score))[:10].tolist())) >= 9
+
+
+@pytest.mark.parametrize("pivots", [3, 40, 200])
+def test_footrule_by_its_definition(pivots):
+    rng = np.random.default_rng(pivots)
+    vectors, asked = rng.normal(size=(150, 6)), rng.normal(size=(4, 6))
+    chosen = vectors[:pivots]
+    places = [{p: i for i, p in enumerate(near)} for near in neighbours.nearest_pivots(vectors, chosen).tolist()]
+    queries = neighbours.nearest_pivots(asked, chosen)
+    last = queries.shape[1]
+    rows = neighbours.unrolled(neighbours.inverted_files(vectors, chosen), len(vectors), last)
+    for near in queries:
+        plain = [sum(abs(own.get(p, last) - i) for i, p in enumerate(near.tolist())) for own in places]
+        found = neighbours.footrule_nearest(rows, near, 20)
+        assert sorted(plain[v] for v in found) == sorted(plain)[:20]
+
+
 def test_urls(spark):
     data = [(1, "https://a.Example.net/en/5?x#y"), (2, "http://b.net/x"), (3, "https://example.com/de/7"), (4, "https://q.org/fr/"), (5, None), (6, "no scheme"), (7, "https://q.org"), (8, "https://notexample.net/en/1"), (9, "https://x.org?u=http://b/c")]
     data += [(100 + i, f"https://shop.org/item/name{chr(97 + i % 26)}{'abcdefgh'[i // 26]}z") for i in range(60)]
