@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlens.functions import tokens
+from basketlens.sinks.folders import stored
 
 #: Matches of one item, for each of the two name tiers: a limit of the reference's semantics.
 MATCHES = 80
@@ -53,8 +54,10 @@ def fuzzy_names(names: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     where they have no word), and through equal sizes where they have sizes.  The few
     queries that are not found by their own words (words in quotes, for instance) meet
     names through the first two letters of the head, and names without a head.
+
+    The names' features are stored: five joins start from them.
     """
-    f = name_features(names).withColumns({"prefix": F.substring("head", 1, 2), "sizes_key": F.array_join(F.array_sort("sizes"), "|")})
+    f = stored(name_features(names)).withColumns({"prefix": F.substring("head", 1, 2), "sizes_key": F.array_join(F.array_sort("sizes"), "|")})
     q = f if asked is None else f.join(asked.select("name_norm").distinct(), "name_norm", "left_semi")
     q = q.filter((F.size("brand") > 0) | (F.size("sizes") > 0)).select(F.col("name_norm").alias("query"), F.col("name_norm").alias("candidate"), "brand", F.col("sizes").alias("want"), F.col("head").alias("query_head"), "prefix", "sizes_key", "words")
     q = q.withColumn("own", _holds(F.col("words"), F.col("want"))[0]).drop("words", "candidate")

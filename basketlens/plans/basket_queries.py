@@ -31,7 +31,7 @@ class Tables:
 
     @functools.cached_property
     def reps(self) -> DataFrame:
-        return self.lines.select(F.col("product_id").alias("rep_id")).distinct()
+        return stored(self.lines.select(F.col("product_id").alias("rep_id")).distinct())
 
     @functools.cached_property
     def offered(self) -> DataFrame:
