@@ -19,6 +19,7 @@ first by name wins; repeated rows each get their own result.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import uuid
@@ -41,6 +42,15 @@ NUMERALS = frozenset(c for c in map(chr, range(0x110000)) if c.isalnum() and not
 AS_BLANK = str.maketrans(dict.fromkeys(NUMERALS, " "))
 LETTERS = re.compile(r"[^\W\d_]+")
 ENDS = re.compile(r"[.!?\n]+")
+#: Of each character of a lower-case text: whether it is a letter or ends a unit.
+LETTER, END = 1, 2
+KINDS = np.zeros(0x110000, np.uint8)
+KINDS[[ord(c) for c in map(chr, range(0x110000)) if c.isalpha()]] = LETTER
+KINDS[[ord(c) for c in ".!?\n"]] = END
+#: Texts are cut into units in blocks of this many characters, or of one longer unit.
+BLOCK = 1 << 21
+#: Longer units are parsed in runs of this many characters, so that a few long ones do not decide how many steps all take.
+RUN = 256
 
 
 def units(text: str) -> list[str]:
@@ -50,6 +60,10 @@ def units(text: str) -> list[str]:
     return [f" {' '.join(own)} " for part in ENDS.split(text.lower()) if (own := LETTERS.findall(part))]
 
 
+def _code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
 class SuffixAutomaton:
     """Substrings of a reference text, as transitions (state, character, next state)."""
 
@@ -82,19 +96,17 @@ class SuffixAutomaton:
         self.states = len(moves)
         self.bits = math.log2(len(text) + 2)
 
-    def table(self, alphabet: np.ndarray) -> np.ndarray:
-        """The next state by state and number of a character in ``alphabet``; 0 where there is none and for other characters."""
-        out = np.zeros((self.states, len(alphabet) + 2), np.int32)
+    def table(self, alphabet: np.ndarray, root: int, out: np.ndarray) -> None:
+        """Fill in the next state by state and number of a character in ``alphabet``, states counted from ``root``; 0 stays where there is none."""
         at, known = _places(alphabet, self.moves[:, 1])
-        out[self.moves[known, 0], at[known] + 1] = self.moves[known, 2]
-        return out
+        out[self.moves[known, 0], at[known] + 1] = self.moves[known, 2] + root
 
-    def others(self, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def others(self, rest: np.ndarray, root: int) -> tuple[np.ndarray, np.ndarray]:
         """Transitions on the characters of ``rest``: sorted keys (state times their number, plus that of the character) and next states."""
         at, known = _places(rest, self.moves[:, 1])
-        keys = self.moves[known, 0].astype(np.int64) * len(rest) + at[known]
+        keys = (self.moves[known, 0].astype(np.int64) + root) * len(rest) + at[known]
         order = np.argsort(keys)
-        return keys[order], self.moves[known, 2][order]
+        return keys[order], self.moves[known, 2][order] + root
 
 
 def _places(alphabet: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,67 +130,164 @@ class Parser:
         self.number = np.full(0x110000, self.unknown, np.uint8 if not len(self.rest) else np.uint16 if len(chars) < 65_000 else np.int32)
         self.number[alphabet] = np.arange(1, len(alphabet) + 1)
         self.number[self.rest] = self.unknown + 1 + np.arange(len(self.rest))
-        self.tables = [a.table(alphabet) for a in automata]
-        self.others = [a.others(self.rest) for a in automata]
-
-    def _next(self, j: int, state: np.ndarray | None, c: np.ndarray, rare: bool) -> np.ndarray:
-        """Next states in the automaton of language ``j``, from the start without ``state``; ``rare`` if some characters may be of the rest."""
-        table = self.tables[j]
-        flat, width = table.ravel(), table.shape[1]
-        at = np.minimum(c, self.unknown) if rare else c
-        to = flat[at.astype(np.int32)] if state is None else flat[state * width + at]
+        # states of all automata in one table, one after the other
+        *self.roots, states = itertools.accumulate((a.states for a in automata), initial=0)
+        self.width = len(alphabet) + 2
+        table = np.zeros((states, self.width), np.int32)
+        for a, root in zip(automata, self.roots, strict=True):
+            a.table(alphabet, root, table[root : root + a.states])
+        self.flat = table.ravel()
+        others = [a.others(self.rest, root) for a, root in zip(automata, self.roots, strict=True)]
+        self.others = [np.concatenate(x) for x in zip(*others, strict=True)]
+
+    def _next(self, state: np.ndarray | int, c: np.ndarray, rare: bool) -> np.ndarray:
+        """Next states, 0 where there is none; ``rare`` if some characters may be of the rest."""
+        to = self.flat.take(np.multiply(state, self.width, dtype=np.int64) + (np.minimum(c, self.unknown) if rare else c))
         if rare and len(rows := np.flatnonzero(c > self.unknown)):
-            keys, targets = self.others[j]
-            key = c[rows].astype(np.int64) - self.unknown - 1
-            if state is not None:
-                key += state[rows].astype(np.int64) * len(self.rest)
-            place, found = _places(keys, key)
+            keys, targets = self.others
+            own = state if np.ndim(state) == 0 else state[rows]
+            place, found = _places(keys, np.multiply(own, len(self.rest), dtype=np.int64) + c[rows] - (self.unknown + 1))
             to[rows[found]] = targets[place[found]]
         return to
 
+    def _step(self, state: np.ndarray, root: np.ndarray | int, c: np.ndarray, rare: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Next states where a phrase that cannot go on gives way to a new one; where that is, and how many phrases end there."""
+        to = self._next(state, c, rare)
+        cut = (to == 0).nonzero()[0]
+        begin = root if np.ndim(root) == 0 else root[cut]
+        again = self._next(begin, c[cut], rare)
+        lost = again == 0
+        to[cut] = np.where(lost, begin, again)
+        return to, cut, (state[cut] != begin).astype(np.int32) + lost
+
+    def numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What ``units`` makes of texts, as numbers of characters one unit after the other: these, sizes of units, and units of each text."""
+        lower = [(x if x.isascii() or NUMERALS.isdisjoint(x) else x.translate(AS_BLANK)).lower() if x else "" for x in texts]
+        whole = "\n".join([*lower, ""])  # the end of a text is one of a unit
+        parts, at = [(np.zeros(0, self.number.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
+        while at < len(whole):  # in blocks of whole units, for the sake of memory
+            to = max(whole.rfind(c, at, at + BLOCK) for c in ".!?\n") + 1 or ENDS.search(whole, at).end()
+            data, size, begins = self._units(_code_points(whole[at:to]))
+            parts.append((data, size, begins + at))
+            at = to
+        data, size, begins = (np.concatenate(x) for x in zip(*parts, strict=True))
+        ends = np.cumsum([len(x) + 1 for x in lower])
+        return data, size, np.diff(np.searchsorted(begins, ends), prepend=0)
+
+    def _units(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Units of lower-case characters: their own characters' numbers, sizes, and where each one's first letter is."""
+        kind = KINDS[chars]
+        letter, stops = kind == LETTER, np.flatnonzero(kind == END)
+        edges = np.flatnonzero(np.diff(letter, prepend=False, append=False))
+        first, size = edges[::2], np.diff(edges)[::2]  # of words
+        fresh = np.diff(np.searchsorted(stops, first), prepend=-1) > 0  # words that begin a unit
+        # a blank before each word and one after each unit; the first word follows no unit
+        place = np.cumsum(size + 1) - size + np.cumsum(fresh) - 1
+        begins = np.flatnonzero(fresh)
+        total = int(size.sum()) + len(size) + len(begins)
+        turns = np.zeros(total + 1, np.int8)
+        turns[place] = 1
+        turns[place + size] = -1
+        data = np.full(total, self.number[32], self.number.dtype)
+        data[np.cumsum(turns[:-1], dtype=np.int8).view(bool)] = self.number[chars[letter]]
+        return data, np.diff(place[begins] - 1, append=total), first[begins]
+
     def phrases(self, own: list[str]) -> np.ndarray:
-        """Into how many longest matches each unit falls, by language; an unknown character is one of its own.
+        """Into how many longest matches each unit falls, by language; an unknown character is one of its own."""
+        return self.parse(self.number[_code_points("".join(own))], np.array([len(x) for x in own], np.int64))
+
+    def parse(self, data: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """``phrases`` of units whose characters' numbers stand in ``data`` one unit after the other.
 
         The few units with uncommon characters are parsed by themselves, so that the others need no look-ups.
         """
+        start = np.cumsum(size) - size
         if not len(self.rest):
-            return self._parse(own, False)
-        of = np.repeat(np.arange(len(own)), [len(x) for x in own])
-        data = self.number[np.frombuffer("".join(own).encode("utf-32-le"), np.uint32)]
-        rare = np.bincount(of[data > self.unknown], minlength=len(own)) > 0
-        if not rare.any():
-            return self._parse(own, False)
-        out = np.zeros((len(own), len(self.tables)), np.int32)
+            return self._parse(data, start, size, False)
+        rare = np.bincount(np.repeat(np.arange(len(size)), size)[data > self.unknown], minlength=len(size)) > 0
+        out = np.zeros((len(size), len(self.roots)), np.int32)
         for kind in (False, True):
-            rows = np.flatnonzero(rare == kind)
-            out[rows] = self._parse([own[i] for i in rows], kind)
+            if len(rows := np.flatnonzero(rare == kind)):
+                out[rows] = self._parse(data, start[rows], size[rows], kind)
         return out
 
-    def _parse(self, own: list[str], rare: bool) -> np.ndarray:
-        size = np.array([len(x) for x in own], np.int64)
+    def _parse(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, rare: bool) -> np.ndarray:
+        """Units are cut into runs, which are parsed side by side as if a phrase began with each, and then joined."""
+        runs = -(-size // RUN)
+        unit = np.repeat(np.arange(len(size)), runs)
+        before = RUN * (np.arange(len(unit)) - np.repeat(np.cumsum(runs) - runs, runs))
+        first, start, size = before == 0, start[unit] + before, np.minimum(size[unit] - before, RUN)
         order = np.argsort(-size, kind="stable")
-        starts = (np.cumsum(size) - size)[order]
-        data = self.number[np.frombuffer("".join(own).encode("utf-32-le"), np.uint32)]
-        still = np.searchsorted(-size[order], -np.arange(size.max(initial=0)), side="left")  # units longer than each step
-        out = np.zeros((len(own), len(self.tables)), np.int32)
+        still = np.searchsorted(-size[order], -np.arange(size.max(initial=0)), side="left")  # runs longer than each step
+        steps = [data[start[order[:n]] + step] for step, n in enumerate(still.tolist())]
         if not rare:
-            data = data.astype(np.uint8)
-        for j in range(len(self.tables)):
-            state, count = np.zeros(len(own), np.int32), np.zeros(len(own), np.int32)
-            for step, n in enumerate(still.tolist()):
-                c = data[starts[:n] + step]
-                before = state[:n]
-                to = self._next(j, before, c, rare)
-                cut = np.flatnonzero(to == 0)
-                if len(cut):
-                    again = self._next(j, None, c[cut], rare)
-                    count[cut] += before[cut] > 0
-                    count[cut] += again == 0
-                    to[cut] = again
-                state[:n] = to
-            out[order, j] = count + (state > 0)
+            steps = [c.astype(np.uint8, copy=False) for c in steps]
+        state, count = np.zeros((2, len(self.roots), len(unit)), np.int32)
+        for j, root in enumerate(self.roots):
+            to, ends = np.full(len(unit), root, np.int32), np.zeros(len(unit), np.int32)
+            for c in steps:
+                to[: len(c)], cut, ended = self._step(to[: len(c)], root, c, rare)
+                ends[cut] += ended
+            state[j, order], count[j, order] = to, ends
+        self._join(data, start, size, first, state, count, rare)
+        last = np.append(first, True)[1:]
+        out = np.zeros((len(runs), len(self.roots)), np.int32)
+        for j, root in enumerate(self.roots):
+            out[:, j] = np.bincount(unit, count[j] + (last & (state[j] != root)), len(runs))
         return out
 
+    def _join(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, first: np.ndarray, state: np.ndarray, count: np.ndarray, rare: bool) -> None:
+        """Correct counts and last states of runs, by language, for the state that the run before leaves.
+
+        All runs are parsed side by side from their old and their new state until both are in one state, mostly after a few
+        characters.  A run that ends in another state than it did (repeated words can do that) makes the next one of
+        its unit wrong; these few are parsed again in their order, each once.
+        """
+        n = len(first)
+        state, count = state.reshape(-1), count.reshape(-1)
+        rows = later = (np.arange(len(self.roots))[:, None] * n + np.flatnonzero(~first)).ravel()
+        roots = np.array(self.roots, np.int32)
+        old, new = roots[rows // n], state[rows - 1]
+        entered = new
+        for step in range(RUN):
+            going = (old != new) & (step < size[rows % n])
+            rows, old, new = rows[going], old[going], new[going]
+            if not len(rows):
+                break
+            c = data[start[rows % n] + step]
+            both, cut, ended = self._step(np.concatenate([old, new]), np.tile(roots[rows // n], 2), np.tile(c, 2), rare)
+            old, new = both[: len(rows)], both[len(rows) :]
+            fresh = cut >= len(rows)
+            count[rows[cut[~fresh]]] -= ended[~fresh]
+            count[rows[cut[fresh] - len(rows)]] += ended[fresh]
+            ending = step == size[rows % n] - 1
+            state[rows[ending]] = new[ending]
+        for k in np.flatnonzero(entered != state[later - 1]).tolist():
+            while k < len(later) and entered[k] != state[later[k] - 1]:
+                row, entered[k] = later[k], state[later[k] - 1]
+                at = start[row % n]
+                state[row], count[row] = self._again(int(entered[k]), int(roots[row // n]), data[at : at + size[row % n]].tolist())
+                k += 1
+
+    def _again(self, state: int, root: int, chars: list[int]) -> tuple[int, int]:
+        """The last state of one run, and how many phrases end in it."""
+        flat, width, ended = memoryview(self.flat), self.width, 0
+        for c in chars:
+            to = flat[state * width + c] if c <= self.unknown else self._other(state, c)
+            if not to:
+                ended += state != root
+                to = flat[root * width + c] if c <= self.unknown else self._other(root, c)
+                if not to:
+                    ended, to = ended + 1, root
+            state = to
+        return state, ended
+
+    def _other(self, state: int, c: int) -> int:
+        keys, targets = self.others
+        key = state * len(self.rest) + c - (self.unknown + 1)
+        at = int(np.searchsorted(keys, key))
+        return int(targets[at]) if at < len(keys) and keys[at] == key else 0
+
 
 def learn(docs: DataFrame, rows: int = LEARN_ROWS, chars: int = LEARN_CHARS) -> dict[str, SuffixAutomaton]:
     """Automata by language from rows with ``text`` and ``lang``, of whole texts of a bounded sample."""
@@ -212,11 +321,8 @@ def identify(docs: DataFrame, models: dict[str, SuffixAutomaton]) -> DataFrame:
         bits = np.array([a.bits for a in automata])
         parser = held(name, lambda: Parser(automata))
         for batch in (part for batch in batches for part in slices(batch, "text")):
-            own = [units(t) if t else [] for t in batch.column("text").to_pylist()]
-            flat = [x for part in own for x in part]
-            counts = np.array([len(part) for part in own], np.int64)
-            size = np.array([len(x) for x in flat], np.int32)
-            sums = per_row(np.concatenate([parser.phrases(flat), size[:, None]], axis=1), counts)
+            data, size, counts = parser.numbers(batch.column("text").to_pylist())
+            sums = per_row(np.concatenate([parser.parse(data, size), size[:, None]], axis=1), counts)
             preds, scores = [], []
             for own in sums:
                 if not own[-1] or not langs:
