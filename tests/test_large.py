@@ -6,7 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from basketlens.operators import search
+from basketlens.operators import compare, matching, search
 
 
 def differs(spark, name, folder):
@@ -71,3 +71,22 @@ def test_substrings_are_looked_up_by_names_and_makers(spark):
 
 def test_searches_are_those_of_the_sql(spark):
     assert differs(spark, "h_search_products", pathlib.Path("/root/testdata/sf0.001")) == ([], [])
+
+
+def test_names_of_many_products_are_cut_before_they_meet(spark):
+    products = spark.range(600).select(F.col("id").alias("product_id"), F.concat(F.element_at(F.array(F.lit("bamba snack"), F.lit("bamba snacks"), F.lit("milk")), (F.col("id") % 3 + 1).cast("int")), F.lit(" 80 g")).alias("name_norm"))
+    reps = products.filter("product_id % 2 = 0").select(F.col("product_id").alias("rep_id"))
+    own = {k: list(range(k, 600, 3))[:80] for k in range(3)}
+    want = {(r, p): 2 for r in range(0, 600, 2) for p in own[r % 3]}
+    assert sorted(map(tuple, matching.same_name(products, reps).collect())) == sorted(want)
+    assert largest(matching.same_name(products, reps)) == len(want)  # products of equal names made 60,000 pairs
+    third = {0: [p for p in range(600) if p % 3 < 2][:80], 1: own[1], 2: own[2]}
+    want = {(r, p): 3 for r in range(0, 600, 2) for p in third[r % 3]} | want | {(r, r): 1 for r in range(0, 600, 2)}
+    found = matching.candidates(products, reps)
+    assert sorted(map(tuple, found.collect())) == sorted((*k, tier) for k, tier in want.items())
+    assert largest(found) <= len(want)
+    prices = products.crossJoin(spark.range(9).select(F.col("id").alias("store_id"))).filter("product_id % 7 <> store_id % 7").select(F.concat(F.lit("c"), (F.col("store_id") % 2).cast("string")).alias("city"), "store_id", "product_id", ((F.col("product_id") * 37 + F.col("store_id")) % 101 + 1).cast("decimal(10,2)").alias("price"))
+    offers = compare.item_offers(products, reps, prices)
+    plain = compare.best_offers(found, prices).select(offers.columns)
+    assert sorted(map(tuple, offers.collect())) == sorted(map(tuple, plain.collect()))
+    assert largest(offers) < largest(plain) / 5
