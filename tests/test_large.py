@@ -1,12 +1,15 @@
 """What odd inputs and larger tables showed: registered queries and operators against their SQL or a plain version."""
 
 import pathlib
+import random
+from decimal import Decimal
 
 import duckdb
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from basketlens.operators import compare, matching, search
+from basketlens.operators import branches, compare, matching, search
+from basketlens.plans import basket_queries
 
 
 def differs(spark, name, folder):
@@ -20,16 +23,16 @@ def differs(spark, name, folder):
     return [r for r in mine if r not in theirs], [r for r in theirs if r not in mine]
 
 
-def largest(df):
-    """The most rows that any step of a plan made."""
+def largest(df, metric="numOutputRows"):
+    """The most rows that any step of a plan made (or shuffled: ``shuffleRecordsWritten``)."""
     df.write.format("noop").mode("overwrite").save()
     made = []
 
     def walk(plan):
         for child in [plan.children().apply(i) for i in range(plan.children().size())] + ([plan.executedPlan()] if "AdaptiveSparkPlan" in plan.nodeName() else []) + ([plan.plan()] if "QueryStage" in plan.nodeName() else []):
             walk(child)
-        if plan.metrics().contains("numOutputRows"):
-            made.append(plan.metrics().apply("numOutputRows").value())
+        if plan.metrics().contains(metric):
+            made.append(plan.metrics().apply(metric).value())
 
     run = df._jdf.queryExecution()
     df._jdf.collectToPython()
@@ -90,3 +93,50 @@ def test_names_of_many_products_are_cut_before_they_meet(spark):
     plain = compare.best_offers(found, prices).select(offers.columns)
     assert sorted(map(tuple, offers.collect())) == sorted(map(tuple, plain.collect()))
     assert largest(offers) < largest(plain) / 5
+
+
+def shops(spark, chains=4):
+    """Tables of two cities, with namesakes with and without addresses, names of several products and a basket of great amounts."""
+    rng = random.Random(5)
+    t = basket_queries.Tables(spark, "")
+    names = ["bamba snack", "bamba snack 80 g", "milk 1", "bread", ""]
+    t.products = spark.createDataFrame([(i, names[i % 5]) for i in range(40)], "product_id long, name_norm string")
+    t.stores = spark.createDataFrame([(i, str(i % chains), f"chain {i % chains}", "xy"[i % 3 == 0], "twin" if i % 5 < 2 else f"s{i}", rng.choice(["", None, "a", "b", f"street {i}"])) for i in range(60)], "store_id long, chain_id string, chain_name string, city string, store_name string, address string")
+    t.prices = spark.createDataFrame([(p, s, Decimal(rng.choice([0, 5, 100, 105, 99_999_999]) if p == 7 else rng.randint(1, 30)) / 10) for p in range(40) for s in rng.sample(range(60), 12)], "product_id long, store_id long, price decimal(10,2)")
+    t.baskets = spark.createDataFrame([(b, "xyz"[b % 3], rng.randint(0, 41), Decimal(rng.choice([1, 2, 3])) / 4) for b in range(120) for _ in range(rng.randint(1, 6))] + [(9, "x", 7, Decimal(9_999_999) / 4)], "basket_id long, city string, product_id long, quantity decimal(10,3)")
+    return t
+
+
+def same(got, want):
+    columns = [c for c in want.columns if c in got.columns]
+    rows = lambda df: sorted((tuple(r) for r in df.select(columns).collect()), key=str)
+    assert rows(got) == rows(want)
+    return columns
+
+
+def test_totals_in_blocks_are_those_of_the_plain_functions(spark, monkeypatch):
+    t = shops(spark)
+    for tiers, cells in ((3, 3_000_000), (1, 50)):
+        monkeypatch.setattr(branches, "CELLS", cells)
+        prices = compare.city_prices(t.prices, t.stores)
+        offered = compare.offered_lines(t.lines, compare.item_offers(t.products, t.reps, prices, tiers)).localCheckpoint()
+        rows = branches.dealt(t.lines, t.products, prices, t.stores, tiers).localCheckpoint()
+        plain = compare.store_totals(offered).localCheckpoint()
+        assert plain.filter("total is null").count() > 0
+        assert "total" in same(branches.totals(rows, "all"), plain)
+        single = compare.dedup_twins(plain, t.stores)
+        assert 0 < single.count() < plain.count()
+        same(branches.totals(rows, "single"), single)
+        ranked = compare.rank_stores(single).localCheckpoint()
+        assert {"pos", "rank", "pct_above_cheapest"} < set(same(branches.totals(rows, "ranked"), ranked))
+        same(branches.totals(rows, "shown"), compare.select_branches(ranked))
+        same(branches.missing_items(rows), compare.missing_items(plain, t.lines, offered))
+
+
+def test_offered_lines_are_not_shuffled_for_totals(spark):
+    t = shops(spark)
+    t.stores = spark.range(400).select(F.col("id").alias("store_id"), F.lit("1").alias("chain_id"), F.lit("one").alias("chain_name"), F.lit("x").alias("city"), F.col("id").cast("string").alias("store_name"), F.lit("a").alias("address"))
+    t.prices = t.products.crossJoin(t.stores.select("store_id")).select("product_id", "store_id", (F.col("product_id") + 1).cast("decimal(10,2)").alias("price"))
+    t.baskets = t.baskets.withColumn("city", F.lit("x"))
+    for name in ("i4_store_totals", "i5_dedup_twins", "i6_rank_stores", "i7_pct_above_cheapest", "i9_select_branches", "i10_compare_header", "d12_missing_items"):
+        assert largest(basket_queries.QUERIES[name][0](t), "shuffleRecordsWritten") <= 40 * 400, name  # prices; lines meet offers 133,000 times
