@@ -8,7 +8,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from basketlens.operators import branches, compare, matching, search
+from basketlens.operators import branches, compare, matching, pricing, search
 from basketlens.plans import basket_queries
 
 
@@ -140,3 +140,23 @@ def test_offered_lines_are_not_shuffled_for_totals(spark):
     t.baskets = t.baskets.withColumn("city", F.lit("x"))
     for name in ("i4_store_totals", "i5_dedup_twins", "i6_rank_stores", "i7_pct_above_cheapest", "i9_select_branches", "i10_compare_header", "d12_missing_items"):
         assert largest(basket_queries.QUERIES[name][0](t), "shuffleRecordsWritten") <= 40 * 400, name  # prices; lines meet offers 133,000 times
+
+
+def test_only_lines_with_promotions_are_shuffled_for_them(spark):
+    t = shops(spark)
+    rows = branches.with_marks(t.dealt, t.prices.filter("store_id % 7 = 0").select("store_id", "product_id"), t.stores)
+    offered = compare.offered_lines(t.lines, compare.item_offers(t.products, t.reps, compare.city_prices(t.prices, t.stores)))
+    single = compare.dedup_twins(compare.store_totals(offered), t.stores).select("basket_id", "store_id", F.col("total").alias("basket_total"))
+    lines = offered.join(single, ["basket_id", "store_id"]).select("basket_id", "store_id", F.col("product_id").alias("canonical_id"), "quantity", F.col("price").alias("unit_price"), "basket_total").localCheckpoint()
+    same(branches.sold(rows).drop("marked"), lines)
+    some = lines.join(t.prices.filter("store_id % 7 = 0").select("store_id", F.col("product_id").alias("canonical_id")), ["store_id", "canonical_id"], "left_semi")
+    assert 0 < some.count() < lines.count() / 5
+    same(branches.sold(rows, marked=True).drop("marked"), some)
+    savings = single.filter("store_id % 2 = 0").select("basket_id", "store_id", ((F.col("store_id") + 1) / 4).cast("decimal(10,2)").alias("saving"))
+    applied = savings.select("*", F.col("basket_id").alias("promotion_id"))
+    plain = pricing.reprice(compare.dedup_twins(compare.store_totals(offered), t.stores), applied).localCheckpoint()
+    lowered = branches.with_savings(t.dealt, savings, t.stores)
+    assert {"total", "base_total", "total_savings", "promotions_applied"} < set(same(branches.repriced(branches.totals(lowered, "single")), plain))
+    ranked = compare.rank_stores(plain)
+    same(branches.repriced(branches.totals(lowered, "ranked")), ranked)
+    same(branches.repriced(branches.totals(lowered, "shown")), compare.select_branches(ranked))
