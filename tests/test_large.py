@@ -160,3 +160,18 @@ def test_only_lines_with_promotions_are_shuffled_for_them(spark):
     ranked = compare.rank_stores(plain)
     same(branches.repriced(branches.totals(lowered, "ranked")), ranked)
     same(branches.repriced(branches.totals(lowered, "shown")), compare.select_branches(ranked))
+
+
+def test_coverage_shuffles_lines_and_not_their_chains(spark):
+    t = shops(spark, 30)
+    t.stores = t.stores.withColumn("chain_name", F.when(F.col("chain_id") != "4", F.col("chain_name")))
+    got = compare.basket_coverage(t.baskets, t.products, t.prices, t.stores)
+    name = {r["product_id"]: r["name_norm"] for r in t.products.collect()}
+    chain = {r["store_id"]: r["chain_name"] for r in t.stores.collect()}
+    carried = {(name[r["product_id"]], chain[r["store_id"]]) for r in t.prices.collect()}
+    want = {}
+    for basket, item in {(r["basket_id"], r["product_id"]) for r in t.baskets.collect() if r["product_id"] in name}:
+        for c in {c for n, c in carried if n == name[item]}:
+            want[basket, c] = want.get((basket, c), 0) + 1
+    assert {(r["basket_id"], r["chain_name"]): r["items"] for r in got.collect()} == want
+    assert largest(got, "shuffleRecordsWritten") <= max(t.prices.count(), t.baskets.count())  # chains of lines are thousands
